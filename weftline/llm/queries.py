@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, sharding, warc
+from weftline.llm import decontaminate, fingerprint, lines, packing, sharding, warc
 from weftline.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -20,6 +20,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_table(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), dropped="n_dropped")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")
 
@@ -28,7 +36,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "offset", "length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op4_fingerprints, op9_decontamination, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op9_decontamination, op10_warc)}
 
 
 def _op3_sql() -> str:
@@ -59,4 +67,14 @@ SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN page_id > first THEN
 FROM q LEFT JOIN f ON f.payload_digest = q.payload_digest AND payload_bytes >= 100
 """
 
-ORACLES: dict[str, str] = {"op3_sharding": _op3_sql(), "op9_decontamination": _OP9_SQL, "op10_warc": _OP10_SQL}
+_OP6_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(source, '') AS h, i, unnest(string_split(coalesce(text, ''), chr(10))) AS line, text FROM (SELECT doc_id, source, text, 0 AS i FROM documents)),
+s AS (SELECT doc_id, h, trim(line, E' \t\r\f\v') AS k FROM l),
+b AS (SELECT s.h, k FROM (SELECT h, k, count(DISTINCT doc_id) AS n FROM s WHERE k <> '' GROUP BY h, k) s JOIN (SELECT coalesce(source, '') AS h, count(*) AS pages FROM documents GROUP BY 1) p ON p.h = s.h WHERE n >= 4 AND n > 0.05 * pages),
+bad AS (SELECT h, list(k) AS ks FROM b GROUP BY h),
+d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS a, coalesce(ks, []) AS ks FROM documents LEFT JOIN bad ON bad.h = coalesce(source, '')),
+k AS (SELECT doc_id, source, text, a, list_filter(a, lambda x: NOT list_contains(ks, trim(x, E' \t\r\f\v'))) AS keep FROM d)
+SELECT doc_id, source, CASE WHEN len(keep) < len(a) THEN array_to_string(keep, chr(10)) ELSE text END AS text, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(a) - len(keep) END AS BIGINT) AS n_dropped FROM k
+"""
+
+ORACLES: dict[str, str] = {"op3_sharding": _op3_sql(), "op6_line_dedup": _OP6_SQL, "op9_decontamination": _OP9_SQL, "op10_warc": _OP10_SQL}
