@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, lines, packing, sharding, warc
+from weftline.llm import decontaminate, fingerprint, langid, lines, packing, sharding, urls, warc
 from weftline.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -28,6 +32,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), dropped="n_dropped")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")
 
@@ -36,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "offset", "length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op9_decontamination, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op8_language_id, op9_decontamination, op10_warc)}
 
 
 def _op3_sql() -> str:
