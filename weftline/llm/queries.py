@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, langid, lines, packing, sharding, urls, warc
+from weftline.llm import decontaminate, fingerprint, langid, lines, packing, sharding, toxicity, urls, warc
 from weftline.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -44,7 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "offset", "length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op8_language_id, op9_decontamination, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op8_language_id, op9_decontamination, op10_warc)}
 
 
 def _op3_sql() -> str:
