@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, langid, lines, packing, sharding, toxicity, urls, warc
+from weftline.llm import decontaminate, fingerprint, jaccard, langid, lines, packing, sharding, toxicity, urls, warc
 from weftline.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -36,6 +36,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), dropped="n_dropped")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "offset", "length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op8_language_id, op9_decontamination, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op7_jaccard_join, op8_language_id, op9_decontamination, op10_warc)}
 
 
 def _op3_sql() -> str:
