@@ -167,7 +167,7 @@ def identify_held_out(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFram
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs that have a language, with their columns: `und` goes, and what scores below `least`."""
     columns = docs.columns
-    rows = docs.withColumnsRenamed({"lang_pred": "_lp", "score": "_sc"})
+    rows = docs.withColumnsRenamed({"lang_pred": "__weftline_lang", "score": "__weftline_score"})
     found = identify(rows, train(docs, F.lit(True)))
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lp": "lang_pred", "_sc": "score"}).select(*columns)
+    return kept.withColumnsRenamed({"__weftline_lang": "lang_pred", "__weftline_score": "score"}).select(*columns)

@@ -48,13 +48,13 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     """
     bad = cut(boilerplate(pages, host, text, ratio, least))
     n = bad.count()
-    by_host = bad.groupBy("_host").agg(F.collect_set("_key").alias("_bad"))
+    by_host = bad.withColumnRenamed("_host", "__weftline_host").groupBy("__weftline_host").agg(F.collect_set("_key").alias("__weftline_bad"))
     by_host = F.broadcast(by_host) if n <= BROADCAST_LINES else by_host
-    rows = pages.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(by_host, "_host", "left")
+    rows = pages.withColumn("__weftline_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(by_host, "__weftline_host", "left")
     lines = lines_of(text)
-    rows = rows.withColumn("_keep", F.filter(lines, lambda x: ~F.array_contains("_bad", line_key(x))))
-    touched = F.col("_bad").isNotNull() & F.col(text).isNotNull()
-    count = F.when(touched, F.size(lines) - F.size("_keep")).otherwise(F.lit(0)).cast("long")
-    out = rows.withColumn("_n", count).withColumn(text, F.when(touched & (F.col("_n") > 0), F.array_join("_keep", "\n")).otherwise(F.col(text)))
-    out = out.withColumn(dropped, F.col("_n")) if dropped else out
-    return out.drop("_host", "_bad", "_keep", "_n")
+    rows = rows.withColumn("__weftline_keep", F.filter(lines, lambda x: ~F.array_contains("__weftline_bad", line_key(x))))
+    touched = F.col("__weftline_bad").isNotNull() & F.col(text).isNotNull()
+    count = F.when(touched, F.size(lines) - F.size("__weftline_keep")).otherwise(F.lit(0)).cast("long")
+    out = rows.withColumn("__weftline_n", count).withColumn(text, F.when(touched & (F.col("__weftline_n") > 0), F.array_join("__weftline_keep", "\n")).otherwise(F.col(text)))
+    out = out.withColumn(dropped, F.col("__weftline_n")) if dropped else out
+    return out.drop("__weftline_host", "__weftline_bad", "__weftline_keep", "__weftline_n")

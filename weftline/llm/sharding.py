@@ -49,7 +49,7 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], size: int = TABLE_S
     """(slot, shard) of the filled table; `size` rows, cut from one binary literal of two bytes a slot."""
     packed = b"".join(x.to_bytes(2, "big") for x in fill_table(shards, size))
     shard = F.conv(F.hex(F.substring(F.lit(packed), F.col("id").cast("int") * 2 + 1, F.lit(2))), 16, 10)
-    return spark.range(size).select(F.col("id").cast("int").alias("_slot"), shard.cast("int").alias("_shard"))
+    return spark.range(size).select(F.col("id").cast("int").alias("__weftline_slot"), shard.cast("int").alias("__weftline_shard"))
 
 
 def slot_of(key: str, size: int = TABLE_SIZE):
@@ -64,6 +64,6 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str], size: int = TA
     Rows are never moved: the table has `size` rows and is broadcast. Null keys go where the
     empty text goes, rows with equal keys to one shard. An empty df gives an empty result.
     """
-    placed = df.drop(slot_col, shard_col).withColumn("_slot", slot_of(key, size))
-    placed = placed.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "_slot")
-    return placed.withColumnsRenamed({"_slot": slot_col, "_shard": shard_col})
+    placed = df.drop(slot_col, shard_col).withColumn("__weftline_slot", slot_of(key, size))
+    placed = placed.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "__weftline_slot")
+    return placed.withColumnsRenamed({"__weftline_slot": slot_col, "__weftline_shard": shard_col})
