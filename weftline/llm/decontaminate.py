@@ -20,7 +20,9 @@ RATIO = 20  # a text is contaminated if RATIO * hit words >= words
 #: Up to this many benchmark grams (8 bytes each) are broadcast; beyond, Spark joins them by shuffle.
 BROADCAST_GRAMS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII but letters and digits, one by one: Java tests such a class with one table look-up.
+APART = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD = f"[^{APART}]+"
 
 
 def words_of(text: str) -> Column:
@@ -51,7 +53,8 @@ def find_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFr
     shapes = items.groupBy("len", "c").agg(F.sum("n").alias("grams")).collect()  # at most `window` rows
     small = sum(r["grams"] for r in shapes) <= BROADCAST_GRAMS
     hint = F.broadcast if small else (lambda x: x)
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), words_of("text").alias("w")).withColumn("n", F.size("w"))
+    # explode(array(x)) keeps Spark from pushing filters on the words below, where it would split the text again for each
+    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.explode(F.array(words_of("text"))).alias("w")).withColumn("n", F.size("w"))
     found = None
     for r in shapes:
         size, c = r["len"], r["c"]
@@ -94,22 +97,26 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, ratio
     )
 
 
+#: Columns that exist only inside the functions below, which keep all of docs' own.
+D, T, K, H = ("__weftline_" + x for x in ("d", "t", "k", "h"))
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, bench, window, ratio).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).distinct()
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_d"]) & (keyed["_th"] == bad["_t"]), "left_anti").drop("_th")
+    bad = contamination(docs, bench, window, ratio).where("contaminated").select(F.col("doc_id").alias(D), F.col("_th").alias(T)).distinct()
+    keyed = docs.withColumn(K, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(D)) & (F.col(K) == F.col(T)), "left_anti").drop(K)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every hit word, and what separates it from the word before, cut out of text."""
     hits = find_hits(docs, bench, window).select("doc_id", "_th", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("p")).distinct()
-    hits = hits.groupBy("doc_id", "_th").agg(F.map_from_arrays(F.sort_array(F.collect_list("p")), F.array_repeat(F.lit(True), F.count("*").cast("int"))).alias("_hit"))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "_hit")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_d"]) & (keyed["_th"] == hits["_t"]), "left")
-    gap = WORD.replace("[^", "[").removesuffix("+") + "*"
+    hits = hits.groupBy("doc_id", "_th").agg(F.map_from_arrays(F.sort_array(F.collect_list("p")), F.array_repeat(F.lit(True), F.count("*").cast("int"))).alias(H))
+    hits = hits.select(F.col("doc_id").alias(D), F.col("_th").alias(T), H)
+    keyed = docs.withColumn(K, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col(D)) & (F.col(K) == F.col(T)), "left")
+    gap = f"[{APART}]*"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(gap + WORD), F.lit(0))
     tail = F.regexp_extract(F.col("text"), gap + r"\z", 0)
-    cleaned = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~F.coalesce(F.try_element_at("_hit", i), F.lit(False))), ""), tail)
-    return out.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cleaned)).drop("_th", "_d", "_t", "_hit")
+    cleaned = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~F.coalesce(F.try_element_at(H, i), F.lit(False))), ""), tail)
+    return out.withColumn("text", F.when(F.col(H).isNull(), F.col("text")).otherwise(cleaned)).drop(K, D, T, H)
