@@ -32,7 +32,7 @@ LEAST_Z = 5.0
 STEMS = (3, 4, 5, 6)
 NEIGHBOURS = 15
 EVIDENCE = 3
-BLOCK = 64
+BLOCK = 128
 REPORT_AT = 0.7
 CACHED_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -231,9 +231,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        vectoriser = Vectoriser(m.terms)
+        vectoriser, seen = Vectoriser(m.terms), {}
+
+        def judged(text: str | None) -> tuple[float, list[int]]:
+            counts = vectoriser.counts(text) if isinstance(text, str) else {}
+            key = tuple(sorted(counts.items()))  # texts with the same terms have the same neighbours
+            if key not in seen:
+                if len(seen) > CACHED_WORDS:
+                    seen.clear()
+                seen[key] = m.score(counts)
+            return seen[key]
+
         for batch in batches:
-            found = [m.score(vectoriser.counts(t) if isinstance(t, str) else {}) for t in batch["text"]]
+            found = [judged(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [f[0] for f in found], "evidence": [f[1] for f in found]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
