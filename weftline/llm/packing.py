@@ -26,69 +26,111 @@ END = 1  # closes every document
 BLOCK = 65_536
 #: Bins filled to less than this share are packed again with those of other blocks.
 FULL = 0.995
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
+TEXTS = 64  # whose new words are looked up together
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LAST = END.to_bytes(4, "little")
+#: Elsewhere Python's lower case is the vocabulary's.
+WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
+#: White space to Python, but not to the vocabulary.
+CONTROL = re.compile("[\x1c-\x1f]")
+AFTER_MARK = re.compile(r"[\W_][.,]\s")
 TOKENIZER = "word_bpe_49k.json"
 #: White space as Unicode defines it, fixed values.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordTokenizer:
-    """Token ids of whole texts, remembered by white-space-delimited word.
+    """Token ids of whole texts, remembered by white-space-delimited word as packed bytes.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids
-    are its words' ids in a row. Texts that spell a special token are encoded whole.
+    are its words' ids in a row. Texts that spell a special token are encoded whole. Two
+    generations of words are kept; a word not met in the last one is forgotten.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {"": []}
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
-        words = SPACE.split(text.lower() if text.isascii() else text)
-        known = self.known
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.cached:
-                known.clear()
-            self._learn(set(words))
-            found = [known[w] for w in words]
-        flat = [i for x in found for i in x]
-        flat.append(END)
-        return np.array(flat, dtype="<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts words into the cache; a mark that ends a word of letters is looked up apart."""
-        known, ends, new = self.known, {}, set()
-        for w in words:
-            if w not in known:
-                if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha():
-                    ends[w] = w[:-1]
-                    new.update((w[:-1], w[-1]))
-                else:
-                    new.add(w)
-        new = [w for w in new if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        for w, stem in ends.items():
-            known[w] = known[stem] + known[w[-1]]
+        self.tokenizer, self.cached, self.known, self.old = Tokenizer.from_file(path), cached, {"": b""}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not WIDE.search(text):
+            text = text.lower()  # as the vocabulary's normaliser does; there the two agree
+        if CONTROL.search(text):
+            return SPACE.split(text)
+        if not AFTER_MARK.search(text):  # a mark after a letter or digit is a word to the pre-tokeniser
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split()
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, END last."""
+        split = [None if "<|" in t else self._words(t) for t in texts]
+        new = set().union(*[w for w in split if w is not None]).difference(self.known)
+        if len(self.known) > self.cached:
+            self.old, self.known = self.known, {"": b""}
+            new = set().union(*[w for w in split if w is not None]).difference(self.known)
+        self._learn(new)
+        find = self.known.__getitem__
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
+            else:
+                yield np.frombuffer(b"".join(map(find, words)) + LAST, dtype="<u4")
+
+    def _learn(self, new: set[str]) -> None:
+        """Puts words into the cache; marks that end a word of letters are looked up apart."""
+        known, old, ends, letters, rest = self.known, self.old, [], set(), set()
+        for w in new:
+            if (data := old.get(w)) is not None:
+                known[w] = data
+            elif w.isalpha():
+                letters.add(w)
+            elif (stem := w.rstrip(MARKS)).isalpha():
+                ends.append((w, stem, w[len(stem) :]))
+                letters.add(stem)
+                rest.add(w[len(stem) :])
+            else:
+                rest.add(w)
+        letters, rest = list(letters.difference(known)), list(rest.difference(known))
+        if letters:  # each is one word to the pre-tokeniser, so the ids that end words part them
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts, data = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+            if len(cuts) == len(letters):
+                known.update(zip(letters, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                rest += letters
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, stem, mark in ends:
+            known[w] = known[stem] + known[mark]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One a process, so that later tasks find the words of earlier ones."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces. Null text is empty and has one token."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = tokenizer.ids(text)
+            texts = batch["text"].tolist()
+            groups = (texts[i : i + TEXTS] for i in range(0, len(texts), TEXTS))
+            for doc_id, ids in zip(batch["doc_id"], (x for g in groups for x in tokenizer.ids(g)), strict=True):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
