@@ -3,10 +3,11 @@
 Jaccard distance is a metric; texts link at distance at most 1 - threshold. Exact copies become
 one representative first. Nearly all unrelated texts lie at distance 1 from each other, where
 document pivots alone part nothing, so the first regions have single shingles as pivots: with
-shingles ordered by corpus frequency, two linked sets share at least `SHARED` of their first
-n - ceil(t n) + SHARED, and sets that share fewer with all others are settled. Inside a
-region, sets are compared by their distances to 64 pivots that part the shingle universe (the
-counts of their shingles in each part, a lower bound of the true distance), which leaves
+shingles ordered by corpus frequency, two linked sets share at least k(n) of their first
+n - ceil(t n) + k(n), n being the smaller one's size, and sets that share fewer with all others
+are settled. Inside a region, sets are compared by their distances to 64 pivots that part the
+shingle universe, 512 for large sets (the counts of their shingles in each part, a lower bound
+of the true distance), which leaves
 families of possible neighbours. A family is joined in one task while its shingles fit a bound:
 texts are visited from linked text to linked text, and only those in the triangle-inequality
 window of the first pivot's distance are compared. Larger families are cut into Voronoi regions
@@ -26,14 +27,18 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
 
-SHARED = 8
+SHARED, SHARED_PER = 8, 32  # k(n) is SHARED + n // SHARED_PER, but no more than ceil(t n)
 SKETCH_BITS = 20  # counters of the frequency order: one array of 4 MB
-PARTS = 64
+PARTS, WIDE, LARGE = 64, 512, 1024  # sets of LARGE shingles have WIDE parts, which fold into PARTS
 #: Regions of more rows are linked whole, which only makes families larger.
-REGION = 2000
+REGION = 50_000
 #: Shingles that one task joins at once.
-FAMILY = 1_000_000
-PIVOTS = 16
+FAMILY = 2_000_000
+PIVOTS = 8
+#: Bytes of pivots that may be sent to every task; families beyond it are joined in blocks.
+PIVOT_BYTES = 32 << 20
+#: Cells that together hold more than this many times their family part nothing.
+SPREAD = 3
 #: Up to this many ids (8 bytes each) are broadcast to pick the texts of families.
 BROADCAST_IDS = 1_000_000
 SPACES = np.zeros(256, dtype=bool)
@@ -93,11 +98,29 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(s)).view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts that are small enough to hold several times over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _overlap(n: np.ndarray | int, percent: int):
     """The least intersection of a set of n with any it links to."""
     return -(-percent * n // 100)
 
 
+def _shared(n: int, percent: int) -> int:
+    """How many of the first shingles a set of n must share with one of its size or larger; ascends with n."""
+    return min(SHARED + n // SHARED_PER, _overlap(n, percent))
+
+
 def _bound(n: np.ndarray | int, percent: int):
     """Numerator of the largest symmetric difference of two linked sets, given n = |x| + |y|; over 100 + percent."""
     return (100 - percent) * n
@@ -110,7 +133,7 @@ def shingle_order(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(0).to_pylist()]
             total += np.bincount(np.concatenate(found).view(np.uint64) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS) if found else 0
         packed = [np.minimum(total[i * each : (i + 1) * each], 0xFFFFFFFF).astype("<u4").tobytes() for i in range(blocks)]
@@ -137,17 +160,18 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
         import hashlib
 
         counts = order.value
-        for batch in batches:
+        for batch in _slices(batches):
             n, digest, first, parts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 need = _overlap(len(s), percent)
-                take = len(s) - need + min(SHARED, need)
+                take = len(s) - need + _shared(len(s), percent)
                 by = np.argsort(counts[s.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:take]
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                 first.append(s[by])
-                parts.append(np.minimum(np.bincount(s & (PARTS - 1), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                width = PARTS if len(s) < LARGE else WIDE
+                parts.append(np.minimum(np.bincount(s & (width - 1), minlength=width), 255).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(first) if first else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest), lists, pa.array(parts, pa.binary())], names=["doc_id", "n", "digest", "first", "parts"])
@@ -156,20 +180,59 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(profile, "doc_id long, n long, digest string, first array<long>, parts binary")
 
 
-def _forest(n: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
-    """Label (first row) of each row's component among rows whose parts do not exclude a link."""
+class _Parts:
+    """Counts by part of many sets: all in PARTS, the large ones also in WIDE."""
+
+    def __init__(self, narrow: np.ndarray, wide: np.ndarray, place: np.ndarray):
+        self.narrow, self.wide, self.place = narrow, wide, place  # place: row in wide, or -1
+
+    @classmethod
+    def of(cls, packed: list[bytes]) -> _Parts:
+        large = np.array([len(p) == WIDE for p in packed], dtype=bool)
+        place = np.where(large, np.cumsum(large) - 1, -1)
+        wide = np.frombuffer(b"".join(p for p in packed if len(p) == WIDE), dtype=np.uint8).reshape(-1, WIDE).astype(np.int16)
+        narrow = np.zeros((len(packed), PARTS), dtype=np.int16)
+        narrow[~large] = np.frombuffer(b"".join(p for p in packed if len(p) != WIDE), dtype=np.uint8).reshape(-1, PARTS)
+        narrow[large] = wide.reshape(-1, WIDE // PARTS, PARTS).sum(axis=1)
+        return cls(narrow, wide, place)
+
+    def take(self, rows: np.ndarray) -> _Parts:
+        return _Parts(self.narrow[rows], self.wide, self.place[rows])
+
+    def with_more(self, other: _Parts) -> _Parts:
+        mine = self.place[self.place >= 0]
+        at = np.where(self.place >= 0, np.cumsum(self.place >= 0) - 1, -1)
+        return _Parts(np.r_[self.narrow, other.narrow], np.r_[self.wide[mine], other.wide], np.r_[at, np.where(other.place >= 0, other.place + len(mine), -1)])
+
+    def near(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows a[i], b[i] the parts and sizes n do not exclude."""
+        most = _bound(n[a] + n[b], percent)
+        ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * np.abs(self.narrow[a] - self.narrow[b]).sum(axis=1, dtype=np.int64) <= most)
+        both = np.flatnonzero(ok & (self.place[a] >= 0) & (self.place[b] >= 0))
+        for at in range(0, len(both), 4096):
+            i = both[at : at + 4096]
+            apart = np.abs(self.wide[self.place[a[i]]] - self.wide[self.place[b[i]]]).sum(axis=1, dtype=np.int64)
+            ok[i] = (100 + percent) * apart <= most[i]
+        return ok
+
+
+def _forest(n: np.ndarray, parts: _Parts, percent: int) -> np.ndarray:
+    """Label of each row's component among rows whose sizes and parts do not exclude a link; n ascends."""
     label, left = np.full(len(n), -1), np.arange(len(n))
     while len(left):
         root, queue = left[0], [left[0]]
         label[root], left = root, left[1:]
         while queue and len(left):
             p = queue.pop()
-            apart = np.abs(parts[left] - parts[p]).sum(axis=1)
-            small, large = np.minimum(n[left], n[p]), np.maximum(n[left], n[p])
-            near = ((100 + percent) * apart <= _bound(n[left] + n[p], percent)) & (100 * small >= percent * large)
-            label[left[near]] = root
-            queue += left[near].tolist()
-            left = left[~near]
+            lo, hi = np.searchsorted(n[left], [-(-percent * n[p] // 100), 100 * n[p] // percent + 1])
+            if lo >= hi:
+                continue
+            some = left[lo:hi]
+            near = parts.near(some, np.full(len(some), p), n, percent)
+            if near.any():
+                label[some[near]] = root
+                queue += some[near].tolist()
+                left = np.concatenate([left[:lo], some[~near], left[hi:]])
     return label
 
 
@@ -184,20 +247,22 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-        def solve(rep: np.ndarray, n: np.ndarray, parts: np.ndarray, a: list, b: list) -> None:
-            order = np.argsort(rep, kind="stable")
-            label = _forest(n[order], parts[order], percent)
-            a.append(rep[order])
-            b.append(rep[order][label])
+        def solve(rep: np.ndarray, n: np.ndarray, parts: _Parts, a: list, b: list) -> None:
+            order = np.lexsort((rep, n))
+            label, rep = _forest(n[order], parts.take(order), percent), rep[order]
+            least = np.full(len(rep), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, rep)
+            a.append(rep)
+            b.append(least[label])
 
         whole: tuple[int, int] | None = None
-        for batch in batches:
+        for batch in _slices(batches, 4096):
             s, rep, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(s):
                 continue
-            parts = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(s), PARTS).astype(np.int16)
+            parts = _Parts.of(batch.column(3).to_pylist())
             if tail is not None:
-                s, rep, n, parts = np.r_[tail[0], s], np.r_[tail[1], rep], np.r_[tail[2], n], np.r_[tail[3], parts]
+                s, rep, n, parts = np.r_[tail[0], s], np.r_[tail[1], rep], np.r_[tail[2], n], tail[3].with_more(parts)
                 tail = None
             a, b = [], []
             at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -205,9 +270,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
             pairs = np.flatnonzero(ends[:-1] - at[:-1] == 2)
             if len(pairs):  # most regions: all at once
                 i = at[pairs]
-                apart = np.abs(parts[i] - parts[i + 1]).sum(axis=1)
-                small, large = np.minimum(n[i], n[i + 1]), np.maximum(n[i], n[i + 1])
-                near = ((100 + percent) * apart <= _bound(n[i] + n[i + 1], percent)) & (100 * small >= percent * large)
+                near = parts.near(i, i + 1, n, percent)
                 a.append(rep[i[near]])
                 b.append(rep[i[near] + 1])
             for lo, hi in zip(at[:-1], ends[:-1], strict=True):
@@ -219,7 +282,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
                         a.append(rep[lo:hi])
                         b.append(np.full(hi - lo, rep[lo]))
                     else:
-                        solve(rep[lo:hi], n[lo:hi], parts[lo:hi], a, b)
+                        solve(rep[lo:hi], n[lo:hi], parts.take(np.arange(lo, hi)), a, b)
             lo = at[-1]
             if whole is not None and whole[0] != s[lo]:
                 whole = None
@@ -228,7 +291,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
                 a.append(rep[lo:])
                 b.append(np.full(len(s) - lo, whole[1]))
             else:
-                tail = (s[lo:], rep[lo:], n[lo:], parts[lo:])
+                tail = (s[lo:], rep[lo:], n[lo:], parts.take(np.arange(lo, len(s))))
             yield out(a, b)
         if tail is not None and len(tail[0]) > 1:
             a, b = [], []
@@ -317,40 +380,48 @@ def _solve(groups: DataFrame, key: str, percent: int) -> DataFrame:
     return groups.select(key, "rep", "set").groupBy(key).applyInPandas(one, "a long, b long")
 
 
-def _voronoi(members: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(cell, rep, set): members (fam, rep, set) by nearest pivot, and in each cell they lie within twice the radius of."""
-    sizes = members.groupBy("fam").agg(F.count("*").alias("rows"))
-    chosen = members.join(sizes, "fam").where(F.pmod(F.xxhash64("rep"), F.greatest(F.floor(F.col("rows") / PIVOTS), F.lit(1))) == 0)
-    pivots = cut(chosen.select("fam", F.col("rep").alias("pivot"), F.col("set").alias("pset")))
+def _cells(members: DataFrame, total: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(fam, rep, cell) of members (fam, rep, set): their nearest pivot's cell, and those they lie within twice the radius of.
 
-    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only families that this parts well are cut: no cell beyond the limit, all together no more
+    than SPREAD times the family.
+    """
+    count = total.select("fam", "rows")
+    chosen = members.join(F.broadcast(count), "fam").where(F.pmod(F.xxhash64("rep"), F.greatest(F.floor(F.col("rows") / PIVOTS), F.lit(1))) == 0)
+    size = chosen.agg(F.coalesce(F.sum(F.size("set").cast("long") * 8), F.lit(0))).first()[0]
+    if size > PIVOT_BYTES:
+        return members.select("fam", "rep", F.lit(0).cast("long").alias("cell")).where("false")
+    pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in chosen.select("fam", "rep", "set").orderBy("fam", "rep").collect():
+        pivots.setdefault(r["fam"], []).append((r["rep"], np.array(r["set"], dtype=np.int64)))
+    shared = members.sparkSession.sparkContext.broadcast(pivots)
+    window = 2 * (1 - percent / 100) + 1e-9
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            d = []
-            for a, b in zip(x, y, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                d.append(1 - both / max(1, len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(d, pa.float64())], names=["fam", "rep", "pivot", "d"])
+            out = []
+            for fam, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                near = shared.value.get(fam, [])
+                both = [len(np.intersect1d(own, p, assume_unique=True)) for _, p in near]
+                d = [1 - x / max(1, len(own) + len(p) - x) for x, (_, p) in zip(both, near, strict=True)]
+                out += [(fam, rep, pivot, len(own)) for (pivot, _), x in zip(near, d, strict=True) if x <= min(d) + window]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["fam", "rep", "cell", "n"])
 
-    far = members.join(pivots, "fam").select("fam", "rep", "set", "pivot", "pset").mapInArrow(distance, "fam long, rep long, pivot long, d double")
-    far = cut(far)
-    home = far.groupBy("fam", "rep").agg(F.min("d").alias("home"))
-    cells = far.join(home, ["fam", "rep"]).where(F.col("d") <= F.col("home") + 2 * (1 - percent / 100) + 1e-9)
-    return members.join(cells.select("fam", "rep", "pivot"), ["fam", "rep"]).select(F.xxhash64("fam", "pivot").alias("cell"), "rep", "set")
+    cells = cut(members.select("fam", "rep", "set").mapInArrow(place, "fam long, rep long, cell long, n long"))
+    spread = cells.groupBy("fam", "cell").agg(F.sum("n").alias("n")).groupBy("fam").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    good = spread.join(total, "fam").where((F.col("most") <= limit) & (F.col("all") <= SPREAD * F.col("total"))).select("fam")
+    return cells.join(F.broadcast(good), "fam").select("fam", "rep", "cell")
 
 
 def _blocks(members: DataFrame, total: DataFrame, limit: int) -> DataFrame:
     """(cell, rep, set) for each pair of blocks of a family, every block of at most about limit / 2 shingles."""
-    rows = members.join(total, "fam").withColumn("k", F.ceil(F.col("total") * 2 / limit).cast("int"))
+    rows = members.join(F.broadcast(total.select("fam", "total")), "fam").withColumn("k", F.ceil(F.col("total") * 2 / limit).cast("int"))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     rows = rows.select("fam", "rep", "set", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).where((F.col("i") != F.col("j")) | (F.col("k") == 1))
     return rows.select(F.xxhash64("fam", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "rep", "set")
 
 
-def _totals(members: DataFrame, key: str) -> DataFrame:
-    return members.groupBy(key).agg(F.sum(F.size("set").cast("long")).alias("total"))
-
-
 def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int, limit: int = FAMILY) -> DataFrame:
     """(a, b) spanning the links inside families (rep, fam), whose texts are read from docs."""
     n = families.count()
@@ -358,28 +429,23 @@ def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int,
     rows = rows.join(F.broadcast(families) if n <= BROADCAST_IDS else families, "rep")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(2).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fam", "rep", "set"])
 
     members = rows.select("fam", "rep", "text").mapInArrow(make, "fam long, rep long, set array<long>").where(F.size("set") > 0)
-    sizes = cut(_totals(members, "fam"))
+    sizes = cut(members.groupBy("fam").agg(F.sum(F.size("set").cast("long")).alias("total"), F.count("*").alias("rows")))
     large = sizes.where(F.col("total") > limit)
-    found = _solve(members.join(sizes.where(F.col("total") <= limit), "fam"), "fam", percent)
     if large.isEmpty():
-        return cut(found)
-    big = cut(members.join(F.broadcast(large.select("fam")), "fam"))
-    cells = cut(_voronoi(big, percent, limit))
-    cell_sizes = cut(_totals(cells, "cell"))
-    found = found.unionByName(_solve(cells.join(cell_sizes.where(F.col("total") <= limit), "cell"), "cell", percent))
-    rest = cells.join(cell_sizes.where(F.col("total") > limit).select("cell"), "cell").select(F.col("cell").alias("fam"), "rep", "set")
-    if not rest.isEmpty():
-        whole = rest.select("rep").distinct()  # cells that overlap this much: join the families once, in blocks
-        again = big.join(whole, "rep", "left_semi")
-        found = found.unionByName(_solve(_blocks(again, _totals(again, "fam"), limit), "cell", percent))
-    return cut(found)
+        return cut(_solve(members, "fam", percent))
+    found = _solve(members.join(sizes.where(F.col("total") <= limit).select("fam"), "fam"), "fam", percent)
+    big = cut(members.join(F.broadcast(large.select("fam")), "fam"))  # at most a family for every `limit` shingles
+    cells = cut(_cells(big, large, percent, limit))
+    placed = big.join(cells, ["fam", "rep"]).select(F.xxhash64("fam", "cell").alias("cell"), "rep", "set")
+    rest = big.join(F.broadcast(cells.select("fam").distinct()), "fam", "left_anti")
+    return cut(found.unionByName(_solve(placed, "cell", percent)).unionByName(_solve(_blocks(rest, large, limit), "cell", percent)))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int = FAMILY) -> DataFrame:
@@ -397,7 +463,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
     few = copies.count() <= BROADCAST_IDS
     reps = usable.alias("u").join((F.broadcast(copies) if few else copies).alias("k"), F.expr("u.doc_id = k.doc_id and u.digest = k._g"), "left_anti")
     reps = reps.select(F.col("doc_id").alias("rep"), "n", "first", "parts")
-    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    smaller = F.floor((F.col("n") * percent + 99) / 100)  # the least size of a partner
+    least = F.least(F.lit(SHARED) + F.floor(smaller / SHARED_PER), F.floor((smaller * percent + 99) / 100))
     held = reps.select(F.explode("first").alias("s"), "rep", "n")
     for _ in range(2):  # sets that share too few of their first shingles with others have no link
         often = held.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
