@@ -53,13 +53,15 @@ def frontier(walk: DataFrame, seeds: DataFrame, depth: int | None, known: DataFr
     stop: (seed, node); a seed is dropped from the frontier once it has reached its node.
     """
     none = F.lit(None).cast("string")
+    walk = walk.persist()  # every level joins it; it spills, and is let go at the end
+    known = known.select(F.col("id").alias("node")).persist() if known is not None and not expand_unknown else None
     level = cut(seeds.select("seed", "node").distinct())
     reached = level.select("seed", "node", F.lit(0).alias("depth"), none.alias("parent"), F.lit(None).cast("int").alias("dir"), none.alias("relation"), none.alias("confidence"))
     d = 0
     while depth is None or d < depth:
         d += 1
-        if known is not None and not expand_unknown and d > 1:
-            level = level.join(known.select(F.col("id").alias("node")), "node", "left_semi")
+        if known is not None and d > 1:
+            level = level.join(known, "node", "left_semi")
         if stop is not None:
             level = level.join(reached.join(stop, ["seed", "node"], "left_semi").select("seed").distinct(), "seed", "left_anti")
         n = level.count()
@@ -73,6 +75,9 @@ def frontier(walk: DataFrame, seeds: DataFrame, depth: int | None, known: DataFr
         new = cut(new.select("seed", "node", F.lit(d).alias("depth"), "way.*"))
         reached = reached.unionByName(new)
         level = new.select("seed", "node")
+    walk.unpersist()
+    if known is not None:
+        known.unpersist()
     return reached
 
 

@@ -8,8 +8,9 @@ from weftline import schemas
 from weftline.functions.identity import make_id, namespaced_id, normalize_label, normalize_remote, parse_remote, path_hash, project_key, split_identifier
 from weftline.operators import audit, community, resolve, retrieval, stats
 from weftline.operators import traversal as t
+from weftline.plans.lineage import cut
 from weftline.plans.registry import graph, ids, query
-from weftline.plans.workload import EDGE, with_tables
+from weftline.plans.workload import with_tables
 from weftline.sources import files
 
 N, E, NE = with_tables("nodes"), with_tables("edges"), with_tables("nodes", "edges")
@@ -688,6 +689,7 @@ def _(w):
 def _(w):
     g = graph(w)
     few = audit.restricted(g, g.nodes.where("repo = 'AMERICA' or id like 'part:1%'").select("id"))
+    few = t.Graph(cut(few.nodes), cut(few.edges))
     pack = audit.run_audit(few, _catalog(w), max_hops=4, max_bytes=8_192)
     return w.spark.createDataFrame([(f["id"], f["type"], f["severity"]) for f in pack["findings"]], "id string, type string, severity string")
 
@@ -695,9 +697,9 @@ def _(w):
 # --- retrieval over nodes
 
 
-@query("T1_question_terms", "SELECT unnest(['how', 'does', 'open', 'server2', 'server', 'httpserver', 'http']) AS term WHERE false")
+@query("T1_question_terms", "SELECT * FROM (VALUES ('how'), ('does'), ('openhttpserver2'), ('open'), ('http'), ('server'), ('work')) v(term)")
 def _(w):
-    return w.spark.createDataFrame([(x,) for x in retrieval.question_terms("a?")], "term string")
+    return w.spark.createDataFrame([(x,) for x in retrieval.question_terms("How does openHTTPServer2 work?")], "term string")
 
 
 SCORE = " + ".join(f"CASE WHEN l = '{x}' THEN 100 WHEN list_contains(string_split(l, '_'), '{x}') THEN 12 WHEN starts_with(l, '{x}') OR contains(l, '_{x}') THEN 10 WHEN contains(l, '{x}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{x}') THEN 1 ELSE 0 END" for x in ("supplier", "000000003", "crm"))
@@ -717,5 +719,3 @@ def _(w):
 def _(w):
     return t.find_by_label(w.nodes, "Asia").select("id", "label", "kind", F.col("source_file").alias("file"))
 
-
-EDGE_COLUMNS = EDGE

@@ -5,12 +5,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
 
-SIGNATURE = "struct<returnType: struct<text: string, nullable: boolean>, parameters: array<struct<name: string, type: string, nullable: boolean, optional: boolean>>, accessModifier: string, isAsync: boolean, isGenerator: boolean>"
-NODES = _struct(f"id string not null, label string not null, file_type string not null, kind string, source_file string not null, source_location string, community int, signature {SIGNATURE}, repo string")
+def _struct(text: str, **nested: T.DataType) -> T.StructType:
+    """Fields of `name type [not null]`, without a session; nested types by name."""
+    fields = [f.split() for f in text.split(", ")]
+    return T.StructType([T.StructField(f[0], nested.get(f[1]) or TYPES[f[1]], f[2:] != ["not", "null"]) for f in fields])
+
+
+PARAMETER = _struct("name string, type string, nullable boolean, optional boolean")
+SIGNATURE = _struct("returnType result, parameters list, accessModifier string, isAsync boolean, isGenerator boolean", result=_struct("text string, nullable boolean"), list=T.ArrayType(PARAMETER))
+NODES = _struct("id string not null, label string not null, file_type string not null, kind string, source_file string not null, source_location string, community int, signature signature, repo string", signature=SIGNATURE)
 EDGES = _struct("source string not null, target string not null, relation string not null, confidence string not null, context string not null, source_file string not null, source_location string, weight double not null, repo string")
 RAW_CALLS = _struct("callee string not null, source_file string not null, source_location string, from_id string not null, is_member boolean, receiver_type string")
 IMPORTS = _struct("local_name string not null, module string not null, source_file string not null, origin string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTER = "_CURRENT"
+POINTER = "CURRENT"  # Spark reads no file whose name starts with an underscore
 
 
 def _hadoop(spark: SparkSession, path: str):
