@@ -86,7 +86,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, ratio
     new = F.col("pos") + F.col("len") - F.greatest(F.col("pos"), F.coalesce(before, F.lit(0)))
     covered = by_pos.select(*key, F.greatest(new, F.lit(0)).alias("new")).groupBy(*key).agg(F.sum("new").alias("n_hit"))
     ids = hits.select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
-    found = covered.join(ids, key).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "n_hit", "ids")
+    ids = ids.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "ids")
+    found = covered.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).select("_d", "_t", "n_hit", "ids")
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     out = base.join(found, base["doc_id"].eqNullSafe(found["_d"]) & (base["_th"] == found["_t"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

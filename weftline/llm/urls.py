@@ -72,13 +72,13 @@ def templates(judged: DataFrame) -> DataFrame:
         rows = rows.withColumn("_s", F.get("seg", F.lit(level)))
         node = rows.where("_s is not null").groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.sum("m").alias("_m"), F.sum("b").alias("_b"), F.max("purity").alias("_parent"))
         whole = Window.partitionBy("host", "template")
-        node = node.withColumns({"_N": F.sum("_n").over(whole), "_M": F.sum("_m").over(whole), "_B": F.sum("_b").over(whole)})
-        rest_m, rest_b = F.col("_M") - F.col("_m"), F.col("_B") - F.col("_b")
+        node = node.withColumns({"_all_n": F.sum("_n").over(whole), "_all_m": F.sum("_m").over(whole), "_all_b": F.sum("_b").over(whole)})
+        rest_m, rest_b = F.col("_all_m") - F.col("_m"), F.col("_all_b") - F.col("_b")
         share, other = F.try_divide("_b", "_m"), F.try_divide(rest_b, rest_m)
-        pooled = F.try_divide("_B", "_M")
+        pooled = F.try_divide("_all_b", "_all_m")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "_m") + F.try_divide(F.lit(1.0), rest_m)))
-        differs = (F.abs(share - other) > SIGNIFICANT * error) | ((F.col("_m") > 0) != (rest_m > 0)) & (F.col("_M") > 0)
-        frequent = (F.col("_n") >= LEAST) & (F.col("_n") >= RARE * F.col("_N"))
+        differs = (F.abs(share - other) > SIGNIFICANT * error) | ((F.col("_m") > 0) != (rest_m > 0)) & (F.col("_all_m") > 0)
+        frequent = (F.col("_n") >= LEAST) & (F.col("_n") >= RARE * F.col("_all_n"))
         stays = frequent & F.coalesce(differs, F.lit(False)) & (F.col("_s") != WILD)
         node = node.withColumn("_t", F.when(stays, F.col("_s")).otherwise(WILD))
         merged = node.groupBy("host", "template", "_t").agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"), F.max("_parent").alias("_parent"))
