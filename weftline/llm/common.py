@@ -35,3 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(key: Column | str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """An object that this process keeps between tasks, until another operator's tasks let go of it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Frees what other operators' tasks kept in this process, whose memory they share."""
+    if _kept:
+        import gc
+
+        _kept.clear()
+        gc.collect()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, let_go
 
 SHARED, SHARED_PER = 8, 32  # k(n) is SHARED + n // SHARED_PER, but no more than ceil(t n)
 SKETCH_BITS = 20  # counters of the frequency order: one array of 4 MB
@@ -33,7 +33,7 @@ PARTS, WIDE, LARGE = 64, 512, 1024  # sets of LARGE shingles have WIDE parts, wh
 #: Regions of more rows are linked whole, which only makes families larger.
 REGION = 50_000
 #: Shingles that one task joins at once.
-FAMILY = 2_000_000
+FAMILY = 1_000_000
 PIVOTS = 8
 #: Bytes of pivots that may be sent to every task; families beyond it are joined in blocks.
 PIVOT_BYTES = 32 << 20
@@ -132,6 +132,7 @@ def shingle_order(docs: DataFrame, size: int) -> np.ndarray:
     each = (1 << SKETCH_BITS) // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(0).to_pylist()]
@@ -159,6 +160,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        let_go()
         counts = order.value
         for batch in _slices(batches):
             n, digest, first, parts = [], [], [], []
@@ -429,6 +431,7 @@ def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int,
     rows = rows.join(F.broadcast(families) if n <= BROADCAST_IDS else families, "rep")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(2).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
@@ -476,7 +479,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
     families = components(candidate_links(regions, percent)).select(F.col("v").alias("rep"), F.col("c").alias("fam"))
     linked = components(family_links(docs, families, size, percent, limit)).select(F.col("v").alias("rep"), F.col("c").alias("comp"))
     out = found.select("doc_id", "n", "digest").join(multi, "digest", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return out.join(linked, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 

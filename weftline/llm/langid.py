@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold
+from weftline.llm.common import fold, let_go
 
 LENGTHS = (1, 2, 3, 4)
 HASHES = 1 << 15
@@ -135,22 +135,19 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` with lang_pred and score; null texts and texts without a letter are `und` with score 0."""
-    keep = docs.columns if keep is None else keep
+    """docs' columns `keep` with lang_pred and score, which replace columns of those names; null texts and texts without a letter are `und` with score 0."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HASHES x LANGUAGES
-    wanted = docs.select(*keep, *([] if "text" in keep else ["text"])).drop("lang_pred", "score")
-    out = wanted.withColumns({"lang_pred": F.lit("").alias("lang_pred"), "score": F.lit(0.0)})
-    if "text" not in keep:
-        out = out.drop("text")
 
-    columns = out.columns
+    def score(texts: pd.Series) -> pd.DataFrame:
+        let_go()
+        names, best = shared.value.scores([None if pd.isna(t) else t for t in texts])
+        return pd.DataFrame({"lang_pred": names, "score": best})
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names, best = shared.value.scores([None if pd.isna(t) else t for t in b["text"]])
-            yield b.assign(lang_pred=names, score=best)[columns]
-
-    return wanted.mapInPandas(score, out.schema)
+    # not deterministic: else a filter on the result would be pushed below and score every text again
+    judged = F.pandas_udf(score, "lang_pred string, score double").asNondeterministic()
+    out = docs.select(*keep, judged("text").alias("__weftline_judged"))
+    return out.select(*keep, "__weftline_judged.lang_pred", "__weftline_judged.score")
 
 
 def train(docs: DataFrame, usable: Column) -> Model:
