@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, kept
 
 CAPACITY = 4096
 END = 1  # closes every document
@@ -26,7 +26,7 @@ END = 1  # closes every document
 BLOCK = 65_536
 #: Bins filled to less than this share are packed again with those of other blocks.
 FULL = 0.995
-CACHED_WORDS = 900_000
+CACHED_WORDS = 800_000
 TEXTS = 64  # whose new words are looked up together
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LAST = END.to_bytes(4, "little")
@@ -34,7 +34,7 @@ LAST = END.to_bytes(4, "little")
 WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 #: White space to Python, but not to the vocabulary.
 CONTROL = re.compile("[\x1c-\x1f]")
-AFTER_MARK = re.compile(r"[\W_][.,]\s")
+AFTER_MARK = re.compile(r"[.,](?<=[\W_].)\s")
 TOKENIZER = "word_bpe_49k.json"
 #: White space as Unicode defines it, fixed values.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -108,17 +108,12 @@ class WordTokenizer:
             known[w] = known[stem] + known[mark]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(path: str) -> WordTokenizer:
     """One a process, so that later tasks find the words of earlier ones."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return kept(path, lambda: WordTokenizer(path))
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
