@@ -166,7 +166,7 @@ def test_json_lines(spark, tmp_path):
 
 def test_outbox_stream(spark, tmp_path):
     path, out = str(tmp_path / "box"), str(tmp_path / "out")
-    events = spark.range(20).select(outbox.envelope("graph.built", F.struct("id"), F.concat(F.lit("e"), F.col("id").cast("string")), F.col("id") * 600_000).alias("e")).select("e.*")
+    events = spark.range(20).select(outbox.envelope("graph.built", F.struct("id"), F.concat(F.lit("e"), F.col("id").cast("string")), F.col("id") * 600_000 + 1_704_067_200_000).alias("e")).select("e.*")
     assert outbox.append(events, path) and outbox.append(events.limit(5), path) and not outbox.append(events, path, enabled=False)
     assert not outbox.append(events, "/proc/none/x")
     assert outbox.read(spark, path).count() == 25
@@ -190,6 +190,9 @@ def test_streamed_saves_equal_a_batch(spark, tmp_path):
         state["df"] = spark.read.parquet(str(tmp_path / f"v{number}"))
 
     stream = spark.readStream.schema(spark.createDataFrame([], cols).schema).option("maxFilesPerTrigger", 1).json(src)
-    outbox.save_stream(stream, lambda: state["df"], keep, str(tmp_path / "cp")).awaitTermination()
+    run = outbox.save_stream(stream, lambda: state["df"], keep, str(tmp_path / "cp"))
+    done = run.awaitTermination(90)
+    run.stop()
+    assert done, run.lastProgress
     live = lambda df: sorted((r["topic_key"], r["revision"]) for r in df.where("superseded_by is null").collect())
     assert live(state["df"]) == live(m.evolve(spark.createDataFrame(rows, cols)))

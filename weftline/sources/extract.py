@@ -66,7 +66,7 @@ def extract_python(path: str, text: str) -> list[dict]:
     return out
 
 
-DECLARATION = re.compile(r"(?m)^[ \t]*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+)*(?:(class|interface)\s+(\w+)(?:\s+(?:extends|implements|:)\s+([\w, ]+))?|function\s*\*?\s*(\w+)|(?:[\w<>\[\], ]+\s+)?(\w+)\s*\([^;{}]*\)\s*(?::[^;{=]+)?(?=\{))")
+DECLARATION = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+)*(?:(class|interface)\s+(\w+)(?:\s+(?:extends|implements|:)\s+([\w, ]+))?|function\s*\*?\s*(\w+)|(?:[\w<>\[\], ]+\s+)?(\w+)\s*\([^;{}]*\)\s*(?::[^;{=]+)?(?=\{))")
 CALL = re.compile(r"(?:(\w+)\s*\.\s*)?\b(\w+)\s*\(")
 NOT_CALLED = frozenset("if for while switch catch return function new typeof sizeof super constructor do else throw await".split())
 
