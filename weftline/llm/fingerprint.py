@@ -20,7 +20,8 @@ from weftline.llm.common import cut
 WORDS = 5
 BITS = 64
 #: Ranges of doc_id in which "the next document" is looked up; bounds one broadcast table.
-RANGES = 256
+RANGES = 4096
+GROUP = 64  # bounds of ranges are searched in two steps
 ROWS_A_RANGE = 4096
 
 
@@ -102,12 +103,14 @@ def _with_next(docs: DataFrame) -> DataFrame:
     bounds = []
     if ranges > 1:
         cuts = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(rows.select(F.percentile_approx("doc_id", cuts, 10_000)).first()[0]), reverse=True)
+        found = rows.select(F.percentile_approx("doc_id", cuts, 50_000)).first()[0]
+        bounds = sorted(set(found), reverse=True)
     place = F.lit(0)
-    for i, b in enumerate(bounds):  # few hundred at most
-        place = F.when(F.col("doc_id") < b, i + 1).otherwise(place)
-    if len(bounds) > 24:
-        place = F.size(F.filter(F.lit(bounds), lambda b: F.col("doc_id") < b))
+    if bounds:
+        below = lambda b: F.col("doc_id") < b
+        group = F.size(F.filter(F.lit(bounds[::GROUP]), below))
+        inside = F.size(F.filter(F.slice(F.lit(bounds), F.greatest(group - 1, F.lit(0)) * GROUP + 1, F.lit(GROUP)), below))
+        place = F.when(group > 0, (group - 1) * GROUP + inside).otherwise(0)
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(place).cast("int"))
     heads = cut(rows.groupBy("range").agg(F.max("doc_id").alias("_head")))  # RANGES rows at most
     used = sorted(r["range"] for r in heads.select("range").collect())
