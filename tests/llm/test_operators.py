@@ -470,6 +470,16 @@ def test_templates_split_by_purity(spark):
     assert got["m", "u/*"]["template"] == got["m", "v/*"]["template"] == "/*/*"
 
 
+@pytest.mark.parametrize("times", [1, 60])
+def test_branches_without_labels_are_judged_alike_at_any_size(spark, times):
+    hosts = {"a.example.com": ("de", "en", "fr"), "b.example.com": ("de", *[f"rare-{chr(97 + i)}" for i in range(20)])}
+    given = [f"http://{h}/{s}/{'x' if s == 'de' else 'y'}" for h, names in hosts.items() for s in names for _ in range(30 if h[0] == "a" and s != "de" else 3)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given * times)], "page_id long, url string")
+    got = urls.judge_urls(df)
+    assert got.where("rule is null and verdict = 'block'").isEmpty()
+    assert got.where("rule is not null and verdict = 'allow'").isEmpty()
+
+
 # --- registered queries and the pipeline
 
 

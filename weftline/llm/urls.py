@@ -6,6 +6,10 @@ tree counts rows and, from the rules, labelled and blocked rows. Siblings whose
 do not differ significantly merge into the wildcard. A template's purity is its blocked share,
 smoothed towards its parent's purity, from the root (smoothed towards the share over all hosts,
 but never above one half) down; templates that reach the threshold are rejected.
+
+Rules leave whole branches without a label, and labels elsewhere on the host say nothing of
+those: a branch without labelled rows starts at the share over all hosts at most, and its rows
+count as not blocked at the root and in a wildcard that it shares with labelled branches.
 """
 
 from __future__ import annotations
@@ -64,8 +68,8 @@ def templates(judged: DataFrame) -> DataFrame:
     raw = cut(raw.agg(F.count("*").alias("n"), F.count("label").alias("m"), F.sum(F.coalesce("label", F.lit(0))).alias("b")))
     total = raw.agg(F.sum("m").alias("m"), F.sum("b").alias("b")).first()
     prior = min(0.5, ((total["b"] or 0) + 1) / ((total["m"] or 0) + 2))
-    smooth = lambda b, m, parent: (F.col(b) + SMOOTHING * parent) / (F.col(m) + SMOOTHING)
-    root = raw.groupBy("host").agg(F.sum("m").alias("_m"), F.sum("b").alias("_b")).select("host", smooth("_b", "_m", F.lit(prior)).alias("purity"))
+    smooth = lambda b, m, parent: (F.col(b) + SMOOTHING * parent) / ((F.col(m) if isinstance(m, str) else m) + SMOOTHING)
+    root = raw.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).select("host", smooth("_b", "_n", F.lit(prior)).alias("purity"))
     rows = raw.select(F.xxhash64("host", "seg").alias("_id"), "host", "seg", "n", "m", "b", F.lit("").alias("template")).join(root, "host")
     depth = raw.agg(F.max(F.size("seg"))).first()[0] or 0
     for level in range(depth):
@@ -81,8 +85,10 @@ def templates(judged: DataFrame) -> DataFrame:
         frequent = (F.col("_n") >= LEAST) & (F.col("_n") >= RARE * F.col("_all_n"))
         stays = frequent & F.coalesce(differs, F.lit(False)) & (F.col("_s") != WILD)
         node = node.withColumn("_t", F.when(stays, F.col("_s")).otherwise(WILD))
-        merged = node.groupBy("host", "template", "_t").agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"), F.max("_parent").alias("_parent"))
-        merged = merged.select("host", "template", "_t", smooth("_b", "_m", F.col("_parent")).alias("_p"))
+        bare = F.sum(F.when(F.col("_m") == 0, F.col("_n")).otherwise(0))  # rows of branches without a label
+        merged = node.groupBy("host", "template", "_t").agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"), bare.alias("_u"), F.max("_parent").alias("_parent"))
+        parent = F.when(F.col("_m") == 0, F.least("_parent", F.lit(prior))).otherwise(F.col("_parent"))
+        merged = merged.select("host", "template", "_t", smooth("_b", F.col("_m") + F.col("_u"), parent).alias("_p"))
         placed = node.select("host", "template", "_s", "_t").join(merged, ["host", "template", "_t"])
         rows = rows.join(placed, ["host", "template", "_s"], "left")
         rows = rows.withColumns({"template": F.when(F.col("_t").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_t")), "purity": F.coalesce("_p", "purity")})
