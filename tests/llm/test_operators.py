@@ -297,6 +297,12 @@ def test_drop_near_copies(docs, rows):
     assert jaccard.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_drop_near_copies_keeps_null_ids_and_other_texts(spark):
+    given = [(None, "alpha beta"), (None, "gamma delta"), (None, None), (None, "alpha beta"), (1, "one two three"), (1, "one two three"), (1, "quite another text"), (2, "four five")]
+    out = jaccard.drop_near_copies(spark.createDataFrame(given, "doc_id long, text string"))
+    assert as_set(out) == Counter(given) - Counter([(1, "one two three")])
+
+
 def test_long_texts_hash_like_short_ones(monkeypatch):
     text = words(random.Random(1), 3000)
     whole = jaccard.shingles(text, 4)

@@ -486,10 +486,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near copies; all columns are kept.
 
-    Of rows that repeat a doc_id of a larger group none or all stay as that id does; exact
-    repeats of a row that stays are dropped.
+    Of rows that repeat a doc_id of a larger group none or all stay as that id does; rows that
+    repeat both doc_id and text of a row that stays are dropped. Rows with a null doc_id all stay.
     """
     gone = cut(near_groups(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
