@@ -368,6 +368,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_revisits_follow_the_digest(spark):
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, "u", a), (2, "u", b), (5, "u", a), (5, "u", b), (5, "u", "c" * 200), (5, "u", "short")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_digest", "record_type", "refers_to")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, sha(a), "response", None), (2, sha(b), "response", None), (5, sha(a), "revisit", 1), (5, sha(b), "revisit", 2), (5, sha("c" * 200), "response", None), (5, sha("short"), "response", None)]
+    assert as_set(got) == Counter(want)
+
+
 def test_warc_members(tmp_path):
     import gzip
     import io
