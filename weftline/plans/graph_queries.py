@@ -458,9 +458,7 @@ def _(w):
 
 @query("C1_communities")
 def _(w):
-    part = w.nodes.where("kind in ('module', 'config', 'class', 'service')")
-    g = audit.restricted(graph(w), part.select("id"))
-    return community.communities(g)
+    return community.communities(graph(w))
 
 
 @query("C2_graph_payload", DEGREE + ", shown AS (SELECT id FROM nodes LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 600) SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
