@@ -196,3 +196,25 @@ def test_streamed_saves_equal_a_batch(spark, tmp_path):
     assert done, run.lastProgress
     live = lambda df: sorted((r["topic_key"], r["revision"]) for r in df.where("superseded_by is null").collect())
     assert live(state["df"]) == live(m.evolve(spark.createDataFrame(rows, cols)))
+
+
+def test_audits_and_communities_take_the_whole_graph(spark, sf_dir, monkeypatch):
+    from weftline.operators import audit, community
+    from weftline.plans import system_queries
+    from weftline.plans.all_queries import QUERIES
+    from weftline.plans.workload import Workload
+
+    w, seen = Workload(spark, sf_dir), []
+
+    def note(g, sources=None, sinks=None, max_hops=20, **more):
+        seen.append((g.nodes.count(), g.edges.count(), max_hops))
+        raise InterruptedError
+
+    monkeypatch.setattr(system_queries, "source_sink_paths", note)
+    monkeypatch.setattr(audit, "run_audit", note)
+    monkeypatch.setattr(community, "communities", note)
+    names = ("U3_audit_paths", "K10_render_audit", "W11_greedy_budget", "U7_run_audit", "C1_communities")
+    for name in names:
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, sf_dir)
+    assert seen == [(w.nodes.count(), w.edges.count(), 20)] * len(names)

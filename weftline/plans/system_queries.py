@@ -101,26 +101,24 @@ def _(w):
     return w.saves.join(hit, "id", "left_semi").select("id", "title")
 
 
-def _small(w) -> Graph:
-    g = graph(w)
-    g = audit.restricted(g, g.nodes.where("repo = 'ASIA' or id like 'part:%'").select("id"))
-    return Graph(cut(g.nodes), cut(g.edges))
+def _sources(w):
+    return w.nodes.where("kind = 'config'").select("id")
 
 
-def _sources(w):
-    return w.nodes.where("kind = 'config' and repo = 'ASIA'").select("id")
+def _whole(w) -> Graph:
+    return Graph(cut(w.nodes), cut(w.edges))
 
 
 @query("U3_audit_paths")
 def _(w):
-    return source_sink_paths(_small(w), _sources(w), ids(w, "part:5", "part:7", name="id"), 6).select("source", "sink", "hops", "weakest")
+    return source_sink_paths(_whole(w), _sources(w), ids(w, "part:5", "part:7", name="id")).select("source", "sink", "hops", "weakest")
 
 
 @query("K10_render_audit")
 def _(w):
     sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "file")], "id string, category string")
-    g = _small(w)
-    found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id"), 6), sinks)
+    g = _whole(w)
+    found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g)
     return w.spark.createDataFrame([("markdown", audit.render_markdown(pack)), ("html", audit.render_html(pack)), ("json", json.dumps(pack))], "format string, text string")
 
@@ -128,8 +126,8 @@ def _(w):
 @query("W11_greedy_budget")
 def _(w):
     sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "file")], "id string, category string")
-    g = _small(w)
-    found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id"), 6), sinks)
+    g = _whole(w)
+    found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g, 2048)
     return w.spark.createDataFrame([(len(pack["paths"]), pack["prunedPaths"], len(json.dumps(pack)) <= 2048)], "kept int, pruned int, fits boolean")
 
