@@ -208,7 +208,7 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES, parts: int = 8)
     small = small.select("page_id", F.sha2("b", 256).alias("digest"), F.octet_length("b").alias("bytes")).where(F.col("bytes") >= least)
     groups = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = small.join(groups, "digest").where("page_id > first").select(F.col("page_id").alias("_id"), F.struct("digest", "first").alias("_r"))
-    revisits = revisits.groupBy("_id").agg(F.map_from_entries(F.collect_set("_r")).alias("_r"))  # a row an id, so payloads keep their place
+    revisits = revisits.repartition(parts, F.col("_id")).groupBy("_id").agg(F.map_from_entries(F.collect_set("_r")).alias("_r"))  # a row an id, so payloads keep their place
     rows = keyed.join(revisits, keyed["page_id"] == revisits["_id"], "left")
     return rows.withColumn("refers_to", F.try_element_at("_r", F.col("digest"))).drop("_id", "_r")
 
