@@ -420,32 +420,78 @@ def test_folded_matrix_is_the_kernel_machine():
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
-    idf = rng.random(40) + 0.5
-    vectors = [toxicity.weighted({int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 6), replace=False)}, idf) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 40)
+    weight = rng.random(40) + 0.5
+    vectors = [toxicity.weighted(np.unique(rng.integers(0, 40, rng.integers(0, 9)), return_counts=True), weight) for _ in range(500)]
+    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+    assert sorted(index.order) == list(range(500))
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
     for q in range(60):
-        t, w = vectors[q]
-        ids, cos = index.nearest(t, w, 15, leave=q)
-        full = dense @ dense[q]
-        full[q] = -1
-        want = np.lexsort((np.arange(500), -np.round(full, 12)))[:15]
-        want = want[full[want] > 0]
-        assert np.allclose(np.sort(cos), np.sort(full[want])) and len(ids) == len(want)
+        for leave in (-1, q):
+            ids, cos = index.nearest(*vectors[q], 15, leave=leave)
+            full = dense @ dense[q]
+            if leave >= 0:
+                full[q] = -1
+            want = np.lexsort((np.arange(500), -np.round(full, 12)))[:15]
+            assert ids.tolist() == want[full[want] > 0].tolist() and np.allclose(cos, full[ids])
+
+
+def test_scores_are_brute_force(spark):
+    """Every text's score from plain cosines over all words of all examples."""
+    rng = random.Random(11)
+    texts = [words(rng, rng.randint(0, 30)) + (" foul" if i % 5 == 0 else "") for i in range(120)] + [None, "", "12 34", "foul"] + ["same same text"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"score": F.lit(1), "toxic": F.lit(2)})
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 90)] + [(121, 0), (None, 1), (4000, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_held_out(docs, labels).collect()}
+    split = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    train = [i for i in [*range(90), 121] if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = {i: float(i % 5 == 0 and i < 90) for i in train}
+    df = Counter(w for t in texts for w in split(t))
+    n1, n0 = sum(y.values()), len(train) - sum(y.values())
+    weight = {}
+    for w in set().union(*[split(texts[i]) for i in train]):
+        a, b = (sum(w in split(texts[i]) for i in train if y[i] == v) for v in (1, 0))
+        p = (a + b + 1) / (len(train) + 2)
+        weight[w] = (np.log((len(texts) + 1) / (df[w] + 1)) + 1) * max(1, (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+
+    def vector(t):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in split(t).items() if w in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    example = {i: vector(texts[i]) for i in train}
+
+    def vote(v, leave=None):
+        cos = sorted(((-round(sum(x * e.get(w, 0) for w, x in v.items()), 12), i) for i, e in example.items() if i != leave))
+        near = [(-c, i) for c, i in cos[: toxicity.NEIGHBOURS] if c < 0]
+        w = [1 / (1.05 - min(c, 1)) for c, _ in near]
+        return (sum(a * y[i] for a, (_, i) in zip(w, near, strict=True)) / sum(w) if near else None), [i for _, i in near[:3]]
+
+    own = {i: vote(example[i], i)[0] for i in train}
+    stands = {i: (n1 + (zlib.crc32(b"4000") % 3 != 1)) / n1 if y[i] else 1.0 for i in train}  # a label without a text counts
+    some = [i for i in train if own[i] is not None]
+    knots, values = toxicity.isotonic(*(np.array([of[i] for i in some]) for of in (own, y, stands)))
+    bare = [i for i in train if own[i] is None]
+    none = (sum(y[i] * stands[i] for i in bare) + sum(y[i] * stands[i] for i in train) / sum(stands.values())) / (sum(stands[i] for i in bare) + 1)
+    for i, t in enumerate(texts):
+        v, evidence = vote(vector(t))
+        assert got[i]["score"] == pytest.approx(none if v is None else np.interp(v, knots, values), abs=1e-6), i
+        assert got[i]["evidence"] == evidence and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
 def test_toxicity(spark, docs):
-    d = "/root/testdata/sf0.01/"
+    d = "/root/testdata/sf0.1/"
     documents, labels = spark.read.parquet(d + "documents.parquet"), spark.read.parquet(d + "labels.parquet")
-    out = toxicity.score_held_out(documents, labels).join(labels, "doc_id")
-    clean = out.where("toxic = 0").agg(F.avg("predicted")).first()[0]
-    assert clean < 0.05
-    assert out.where("toxic = 1 and not held_out").agg(F.avg("predicted")).first()[0] > 0.5
+    found = toxicity.score_held_out(documents, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out")
+    got = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.85 * (got[1, 1] + got[1, 0]) and got.get((0, 1), 0) <= 0.005 * got[0, 0]
     few = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (8, None), (99, 1)], "doc_id long, toxic int")
     edge = toxicity.score_held_out(docs, few)
     assert edge.count() == docs.count() and edge.where("score is null or score < 0 or score > 1").isEmpty()
+    assert len({r["score"] for r in edge.where("doc_id in (3, 4, 5)").collect()}) == 1
+    assert toxicity.score_held_out(docs, few.limit(0)).where("score <> 0").isEmpty()
     assert toxicity.score_held_out(docs.limit(0), few.limit(0)).count() == 0
 
 

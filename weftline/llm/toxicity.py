@@ -1,11 +1,14 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
-
-Terms are words and word beginnings that a bounded sample of labelled texts ties to the label;
-their document frequencies are counted over the whole corpus. The sample's texts that hold any
-such term are the index: for each term, postings in blocks of examples with the block's largest
-weight. A query bounds every block by its terms' maxima and scores blocks from the highest
-bound until the bound falls below the k-th best cosine, so the neighbours are exact. Their
-similarities weigh their votes; an isotonic map, fitted on the examples' own leave-one-out
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+
+The examples are a bounded sample of the labelled texts, and the terms are all their words. A
+term weighs (1 + log tf) * idf, its document frequency being counted over the whole corpus,
+times a factor of at least 1: by how many standard errors its document rates differ between
+the two labels. No term or example is left out; the factor keeps a handful of telling words
+from drowning in a long text. The index holds, for each term, postings in blocks of examples
+with the block's largest weight; examples are ordered by similarity, so that a block's maxima
+say something. A query bounds every block by its terms' maxima, scores the most promising
+blocks, then all whose bound reaches the k-th best cosine found, so the neighbours are exact.
+Their distances weigh their votes; an isotonic map, fitted on the examples' own leave-one-out
 votes and weighted to the labelled rows' base rate, turns votes into probabilities.
 """
 
@@ -21,100 +24,118 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold
+from weftline.llm.common import fold, let_go
 
 #: At most this many labelled rows of each label are used to fit, chosen by hash of doc_id.
 SAMPLE_A_LABEL = 3000
-TERMS = 1024  # at most
-LEAST_DOCS = 5
-#: Standard errors by which a term's rates under the two labels must differ.
-LEAST_Z = 5.0
-STEMS = (3, 4, 5, 6)
 NEIGHBOURS = 15
 EVIDENCE = 3
-BLOCK = 128
+BLOCK = 128  # examples
+FIRST = 3  # blocks scored before any is ruled out
 REPORT_AT = 0.7
-CACHED_WORDS = 400_000
+PIECES = 16  # that a task's document frequencies are sent in
 WORD = re.compile(r"[^\W\d_]+")
 
-
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings, marked by ^."""
-    return [word, *(f"^{word[:n]}" for n in STEMS if len(word) >= n)]
+Vector = tuple[np.ndarray, np.ndarray]  # ascending term numbers and their weights, of length 1
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Vectoriser:
-    """Counts of the chosen terms in a text; remembers what terms a word has."""
+def counts_of(text: str | None, number: dict[str, int]) -> Vector:
+    """The numbered words of a text, ascending, and how often each occurs."""
+    found = [number[w] for w in words_of(text) if w in number] if isinstance(text, str) else []
+    return np.unique(np.array(found, dtype=np.int64), return_counts=True)
+
+
+def weighted(counts: Vector, weight: np.ndarray) -> Vector:
+    terms, tf = counts
+    w = (1 + np.log(tf)) * weight[terms]
+    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
 
-    def __init__(self, terms: list[str]):
-        self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of start, start + 1 ... start + size - 1, one range after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in Counter(words_of(text)).items():
-            ids = self.known.get(word)
-            if ids is None:
-                if len(self.known) > CACHED_WORDS:
-                    self.known.clear()
-                ids = self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
 
+def similar_order(vectors: list[Vector], terms: int, block: int) -> np.ndarray:
+    """Rows in an order that brings similar ones together: parts are halved between two far rows, down to a block."""
+    size = np.array([len(v[0]) for v in vectors], dtype=np.int64)
+    start = np.cumsum(size) - size
+    flat = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
+    value = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
 
-def weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms (ascending) and their weights, of length 1."""
-    terms = np.array(sorted(counts), dtype=np.int64)
-    w = (1 + np.log([counts[t] for t in terms])) * idf[terms] if len(terms) else np.zeros(0)
-    return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
+    def cosines(rows: np.ndarray, to: int) -> np.ndarray:
+        dense = np.zeros(terms)
+        dense[vectors[to][0]] = vectors[to][1]
+        at = _ranges(start[rows], size[rows])
+        return np.bincount(np.repeat(np.arange(len(rows)), size[rows]), value[at] * dense[flat[at]], len(rows))
+
+    out, parts = [], [np.arange(len(vectors))]
+    while parts:
+        rows = parts.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        one = int(rows[np.argmin(cosines(rows, int(rows[0])))])
+        near = cosines(rows, one)
+        other = int(rows[np.argmin(near)])
+        rows = rows[np.argsort(cosines(rows, other) - near, kind="stable")]
+        middle = block * (-(-len(rows) // block) // 2)
+        parts += [rows[middle:], rows[:middle]]
+    return np.concatenate(out or [np.zeros(0, np.int64)])
 
 
 class BlockMaxIndex:
-    """Postings of each term by block of examples, with each block's largest weight."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.most = np.zeros((terms, self.blocks), dtype=np.float64)
-        self.posts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (ts, ws) in enumerate(vectors):
-            for t, w in zip(ts.tolist(), ws.tolist(), strict=True):
-                lists.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-        for (t, b), post in lists.items():
-            self.posts[t, b] = np.array([p[0] for p in post]), np.array([p[1] for p in post])
-            self.most[t, b] = max(p[1] for p in post)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k examples with a positive cosine, best first, ties by number."""
-        bound = weights @ self.most[terms]
-        ids, cos, floor = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < floor - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (post := self.posts.get((t, int(b)))) is not None:
-                    sums[post[0]] += w * post[1]
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + b * BLOCK != leave]
-            ids, cos = np.r_[ids, hit + b * BLOCK], np.r_[cos, sums[hit]]
-            if len(ids) > k:
-                best = np.lexsort((ids, -np.round(cos, 12)))[:k]
-                ids, cos = ids[best], cos[best]
-            if len(ids) >= k:
-                floor = cos.min()
-        best = np.lexsort((ids, -np.round(cos, 12)))
-        return ids[best], cos[best]
+    """For each term, its entries: blocks of examples with their postings and the largest weight among them."""
+
+    def __init__(self, vectors: list[Vector], terms: int, block: int = BLOCK):
+        self.size, self.block = len(vectors), block
+        self.order = similar_order(vectors, terms, block)  # number of the example at each place
+        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
+        value = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in self.order])
+        by = np.argsort(term, kind="stable")  # by term, then place
+        term, self.place, self.value = term[by], place[by].astype(np.int32), value[by]
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.place[1:] // block != self.place[:-1] // block)]) if len(term) else np.zeros(0, np.int64)
+        self.posts = np.r_[first, len(term)]  # where an entry's postings begin
+        self.held = (self.place[first] // block).astype(np.int32)  # an entry's block
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(terms + 1))  # where a term's entries begin
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> Vector:
+        """Up to k examples with a positive cosine, best first, ties by number; `leave` is not among them."""
+        sizes = self.entries[terms + 1] - self.entries[terms]
+        entry, weight = _ranges(self.entries[terms], sizes), np.repeat(weights, sizes)
+        held = self.held[entry]
+        blocks = -(-self.size // self.block)
+        bound = np.bincount(held, weight * self.most[entry], blocks)
+        cos, floor, tried = np.zeros(self.size), 0.0, np.zeros(blocks, dtype=bool)
+        best = np.argsort(-bound, kind="stable")[:FIRST]
+        while len(best):
+            take = np.zeros(blocks, dtype=bool)
+            take[best] = True
+            tried |= take
+            mine = take[held]
+            e, w = entry[mine], weight[mine]
+            n = self.posts[e + 1] - self.posts[e]
+            at = _ranges(self.posts[e], n)
+            cos += np.bincount(self.place[at], np.repeat(w, n) * self.value[at], self.size)
+            if len(e) and leave >= 0:
+                cos[self.order == leave] = 0
+            floor = np.partition(cos, -k)[-k] if self.size >= k else 0.0
+            best = np.flatnonzero(~tried & (bound > 0) & (bound >= floor - 1e-12))
+        hit = np.flatnonzero((cos > 0) & (cos >= floor - 1e-12))
+        best = hit[np.lexsort((self.order[hit], -np.round(cos[hit], 12)))[:k]]
+        return self.order[best], cos[best]
 
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    words: list[str]
+    weight: np.ndarray  # of each word: idf times how much it tells
     index: BlockMaxIndex
     ids: np.ndarray
     toxic: np.ndarray
@@ -126,28 +147,19 @@ class Model:
         w = 1 / (1.05 - np.minimum(cos, 1.0))
         return float((w * self.toxic[near]).sum() / w.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        near, cos = self.index.nearest(*weighted(counts, self.idf), NEIGHBOURS) if counts else ((), ())
+    def score(self, counts: Vector) -> tuple[float, list[int]]:
+        near, cos = self.index.nearest(*weighted(counts, self.weight), NEIGHBOURS) if len(counts[0]) else ((), ())
         if not len(near):
             return self.none, []
         return float(np.interp(self.vote(near, cos), self.knots, self.values)), self.ids[near[:EVIDENCE]].tolist()
 
 
-def choose_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Terms whose document rates under the two labels differ most, by their z statistic; ties by term."""
-    a, b = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        (a if y else b).update({t for w in set(words_of(text)) for t in terms_of(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-    scored = []
-    for t, x in a.items():
-        y = b.get(t, 0)
-        if x + y >= LEAST_DOCS:
-            p = (x + y) / (n1 + n0)
-            z = (x / n1 - y / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            if z >= LEAST_Z and x / n1 > 2 * y / n0:
-                scored.append((-z, t))
-    return [t for _, t in sorted(scored)[:TERMS]]
+def telling(counts: list[Vector], toxic: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term, how many standard errors above the other label's its rate under the toxic label is; at least 1."""
+    of = [np.bincount(np.concatenate([c[0] for c, y in zip(counts, toxic, strict=True) if y == label] or [np.zeros(0, np.int64)]), minlength=terms) for label in (1, 0)]
+    n = [max(1, int((toxic == label).sum())) for label in (1, 0)]
+    p = (of[0] + of[1] + 1) / (sum(n) + 2)
+    return np.maximum(1.0, (of[0] / n[0] - of[1] / n[1]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,88 +181,97 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = SAMPL
     """Up to `each` labelled texts a label, and the labelled rows of each label. Of rows with one doc_id the highest label counts."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    out = []
+    picked = None
     for label, n in counts.items():
         share = int(min(1.0, 1.3 * each / n + 0.001) * (1 << 20))
         part = known.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= share))
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(part), "doc_id")
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-        out += [(r["doc_id"], int(label), r["text"]) for r in rows.collect()]
-    return sorted(out), counts
+        picked = part if picked is None else picked.unionByName(part)
+    if picked is None:
+        return [], counts
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return sorted((r["doc_id"], int(r["toxic"]), r["text"]) for r in rows.collect()), counts
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """Of each term, over every document; and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # TERMS at most
+def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+    """Of each word, over every document; and the number of documents. A task sends one packed array, in pieces."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by the sample
+    each = -(-(len(words) + 1) // PIECES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectoriser, total, n = Vectoriser(shared.value), Counter(), 0
+        let_go()
+        known, total, n = frozenset(shared.value), Counter(), 0
         for batch in batches:
             for text in batch["text"]:
                 n += 1
                 if isinstance(text, str):
-                    total.update(vectoriser.counts(text).keys())
-        yield pd.DataFrame({"term": [*total, -1], "n": [*total.values(), n]})
+                    total.update(known.intersection(words_of(text)))
+        out = np.zeros(each * PIECES, dtype="<i8")
+        out[: len(words) + 1] = [*(total.get(w, 0) for w in shared.value), n]
+        yield pd.DataFrame({"piece": range(PIECES), "n": [out[i * each : (i + 1) * each].tobytes() for i in range(PIECES)]})
+
+    def add(piece: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(each, dtype="<i8")
+        for n in piece["n"]:
+            total += np.frombuffer(n, dtype="<i8")
+        return pd.DataFrame({"piece": piece["piece"].iloc[:1], "n": [total.tobytes()]})
 
-    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    return np.array([found.get(i, 0) for i in range(len(terms))], dtype=np.float64), found.get(-1, 0)
+    rows = docs.select("text").mapInPandas(count, "piece int, n binary").groupBy("piece").applyInPandas(add, "piece int, n binary").collect()
+    found = np.zeros(each * PIECES, dtype=np.int64)
+    for r in rows:
+        found[r["piece"] * each : (r["piece"] + 1) * each] = np.frombuffer(r["n"], dtype="<i8")
+    return found[: len(words)], int(found[len(words)])
 
 
 def fit(docs: DataFrame, rows: list[tuple[int, int, str]], counts: dict[int, int]) -> Model:
     toxic = np.array([r[1] for r in rows], dtype=np.float64)
-    terms = choose_terms([r[2] for r in rows], toxic) if rows else []
-    df, n = document_frequencies(docs, terms)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    vectoriser = Vectoriser(terms)
+    words = sorted(set().union(*[words_of(r[2]) for r in rows]))
+    number = {w: i for i, w in enumerate(words)}
+    found = [counts_of(r[2], number) for r in rows]
+    df, n = document_frequencies(docs, words)
+    weight = (np.log((n + 1) / (df + 1)) + 1) * telling(found, toxic, len(words))
+    vectors = [weighted(c, weight) for c in found]
+    model = Model(words, weight, BlockMaxIndex(vectors, len(words)), np.array([r[0] for r in rows], dtype=np.int64), toxic, np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0)
+    if not rows:
+        return model
     taken = Counter(int(t) for t in toxic)
-    weight = np.array([counts[int(t)] / taken[int(t)] for t in toxic])  # labelled rows that each example stands for
-    vectors = [weighted(vectoriser.counts(r[2]), idf) for r in rows]
-    some = np.array([len(v[0]) > 0 for v in vectors], dtype=bool)
-    index = BlockMaxIndex([v for v, s in zip(vectors, some, strict=True) if s], len(terms))
-    model = Model(terms, idf, index, np.array([r[0] for r, s in zip(rows, some, strict=True) if s], dtype=np.int64), toxic[some], np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0)
-    base = float((toxic * weight).sum() / weight.sum()) if rows else 0.0
-    bare = ~some
-    model.none = float(((toxic * weight)[bare].sum() + base) / (weight[bare].sum() + 1)) if rows else 0.0
-    votes, ys, ws = [], [], []
-    for i, (v, y, w) in enumerate(zip([v for v, s in zip(vectors, some, strict=True) if s], toxic[some], weight[some], strict=True)):
-        near, cos = index.nearest(*v, NEIGHBOURS, leave=i)
+    stands = np.array([counts[int(t)] / taken[int(t)] for t in toxic])  # labelled rows that each example stands for
+    votes = np.full(len(rows), np.nan)
+    for i, v in enumerate(vectors):
+        near, cos = model.index.nearest(*v, NEIGHBOURS, leave=i)
         if len(near):
-            votes.append(model.vote(near, cos))
-            ys.append(y)
-            ws.append(w)
-    if votes:
-        model.knots, model.values = isotonic(np.array(votes), np.array(ys), np.array(ws))
+            votes[i] = model.vote(near, cos)
+    bare = np.isnan(votes)
+    base = float((toxic * stands).sum() / stands.sum())
+    model.none = float(((toxic * stands)[bare].sum() + base) / (stands[bare].sum() + 1))
+    if not bare.all():
+        model.knots, model.values = isotonic(votes[~bare], toxic[~bare], stands[~bare])
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, evidence (doc_ids of the nearest examples) of every row; null and empty texts have no neighbour."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and TERMS
+    """doc_id, score, evidence (doc_ids of the nearest examples) of every row; texts without a word of any example have no neighbour."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        vectoriser, seen = Vectoriser(m.terms), {}
-
-        def judged(text: str | None) -> tuple[float, list[int]]:
-            counts = vectoriser.counts(text) if isinstance(text, str) else {}
-            key = tuple(sorted(counts.items()))  # texts with the same terms have the same neighbours
-            if key not in seen:
-                if len(seen) > CACHED_WORDS:
-                    seen.clear()
-                seen[key] = m.score(counts)
-            return seen[key]
-
+        let_go()
+        model = shared.value
+        number = {w: i for i, w in enumerate(model.words)}
         for batch in batches:
-            found = [judged(t) for t in batch["text"]]
+            found = [model.score(counts_of(t, number)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [f[0] for f in found], "evidence": [f[1] for f in found]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence; labels are learned only from rows whose crc32 fold is not `out`."""
+    """doc_id, held_out, score, predicted, evidence; labels are learned only from rows whose crc32 fold is not `out`.
+
+    One row for each row of docs: null and empty texts get the share of toxic ones among
+    examples without a neighbour, repeated rows are scored alike, all other columns of docs are
+    ignored. Without any labelled row every score is 0.
+    """
     held = fold("doc_id", folds) == out
     rows, counts = sample(docs, labels, ~held)
     found = score(docs, fit(docs, rows, counts))
