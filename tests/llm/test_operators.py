@@ -418,18 +418,19 @@ def test_folded_matrix_is_the_kernel_machine():
 # --- toxicity
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [0.1, 1])
+def test_block_max_search_is_exact(common):
     rng = np.random.default_rng(2)
     weight = rng.random(40) + 0.5
     vectors = [toxicity.weighted(np.unique(rng.integers(0, 40, rng.integers(0, 9)), return_counts=True), weight) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+    index = toxicity.BlockMaxIndex(vectors, 40, block=16, common=common)
     assert sorted(index.order) == list(range(500))
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
+    own, others = index.nearest(vectors[:60], 15), index.nearest(vectors[:60], 15, leave=list(range(60)))
     for q in range(60):
-        for leave in (-1, q):
-            ids, cos = index.nearest(*vectors[q], 15, leave=leave)
+        for leave, (ids, cos) in ((-1, own[q]), (q, others[q])):
             full = dense @ dense[q]
             if leave >= 0:
                 full[q] = -1
@@ -481,6 +482,15 @@ def test_scores_are_brute_force(spark):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
+def test_words_of_long_texts(monkeypatch):
+    text = words(random.Random(1), 3000) + " ÀÉ ß漢字a😀b x1y_z"
+    whole = toxicity.words_of(text)
+    assert whole[1].sum() == 3000 + len(re.findall(r"[^\W\d_]+", "ÀÉ ß漢字a😀b x1y_z"))
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    assert all((a == b).all() for a, b in zip(toxicity.words_of(text), whole, strict=True))
+    assert len(toxicity.words_of(None)[0]) == len(toxicity.words_of("1 _")[0]) == 0
+
+
 def test_toxicity(spark, docs):
     d = "/root/testdata/sf0.1/"
     documents, labels = spark.read.parquet(d + "documents.parquet"), spark.read.parquet(d + "labels.parquet")

@@ -6,15 +6,15 @@ times a factor of at least 1: by how many standard errors its document rates dif
 the two labels. No term or example is left out; the factor keeps a handful of telling words
 from drowning in a long text. The index holds, for each term, postings in blocks of examples
 with the block's largest weight; examples are ordered by similarity, so that a block's maxima
-say something. A query bounds every block by its terms' maxima, scores the most promising
-blocks, then all whose bound reaches the k-th best cosine found, so the neighbours are exact.
+say something, and terms of many examples are dense rows. A query bounds every block by the
+block's best dense part and its other terms' maxima, scores the most promising blocks, then all
+whose bound reaches the k-th best cosine found, so the neighbours are exact.
 Their distances weigh their votes; an isotonic map, fitted on the examples' own leave-one-out
 votes and weighted to the labelled rows' base rate, turns votes into probabilities.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,22 +31,66 @@ SAMPLE_A_LABEL = 3000
 NEIGHBOURS = 15
 EVIDENCE = 3
 BLOCK = 128  # examples
+COMMON = 1 / 6  # terms of a larger share of the examples are dense rows
 FIRST = 3  # blocks scored before any is ruled out
+BATCH = 64  # texts scored at once
 REPORT_AT = 0.7
 PIECES = 16  # that a task's document frequencies are sent in
-WORD = re.compile(r"[^\W\d_]+")
+PIECE = 1 << 20  # code points hashed at once
 
-Vector = tuple[np.ndarray, np.ndarray]  # ascending term numbers and their weights, of length 1
+Vector = tuple[np.ndarray, np.ndarray]  # ascending terms and their counts or weights
 
+_lower: list[np.ndarray] = []
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
 
+def _lower_case() -> np.ndarray:
+    """The lower case of each letter's code point, 0 for all that is no letter."""
+    if not _lower:
+        _lower.append(np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], dtype=np.uint32))
+    return _lower[0]
 
-def counts_of(text: str | None, number: dict[str, int]) -> Vector:
-    """The numbered words of a text, ascending, and how often each occurs."""
-    found = [number[w] for w in words_of(text) if w in number] if isinstance(text, str) else []
-    return np.unique(np.array(found, dtype=np.int64), return_counts=True)
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in parts of about PIECE code points that cut no run of letters."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def _hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word, which is a run of letters in lower case."""
+    codes = _lower_case()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    inside = codes > 0
+    if not inside.any():
+        return np.zeros(0, dtype=np.uint64)
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    spans = np.diff(np.r_[starts, len(codes)])
+    at = np.arange(starts[0], len(codes)) - np.repeat(starts, spans)
+    powers = np.r_[np.uint64(1), np.full(int(spans.max()), 0x9E3779B97F4A7C15, dtype=np.uint64)].cumprod(dtype=np.uint64)
+    h = codes[starts[0] :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = np.add.reduceat((h ^ (h >> np.uint64(32))) * powers[at], starts - starts[0])
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
+def words_of(text: str | None) -> Vector:
+    """The hashes of a text's words, ascending, and how often each occurs."""
+    found = [_hashes(p) for p in _pieces(text)] if isinstance(text, str) else []
+    return np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), return_counts=True)
+
+
+def counts_of(text: str | None, words: np.ndarray) -> Vector:
+    """The places in `words` (ascending hashes) of a text's words, and how often each occurs."""
+    found, tf = words_of(text)
+    if not len(words):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, found), len(words) - 1)
+    known = words[at] == found
+    return at[known], tf[known]
 
 
 def weighted(counts: Vector, weight: np.ndarray) -> Vector:
@@ -89,52 +133,75 @@ def similar_order(vectors: list[Vector], terms: int, block: int) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """For each term, its entries: blocks of examples with their postings and the largest weight among them."""
+    """For each term, its entries: blocks of examples with their postings and the largest weight among them.
+
+    Terms that many examples hold are kept as dense rows instead, one matrix product for a
+    batch of queries; a block's bound is then its best dense part plus its entries' maxima.
+    """
 
-    def __init__(self, vectors: list[Vector], terms: int, block: int = BLOCK):
-        self.size, self.block = len(vectors), block
+    def __init__(self, vectors: list[Vector], terms: int, block: int = BLOCK, common: float = COMMON):
+        self.size, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
         self.order = similar_order(vectors, terms, block)  # number of the example at each place
         term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
         value = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
         place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in self.order])
+        many = np.bincount(term, minlength=terms) > common * self.size
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.dense = np.zeros((int(many.sum()), self.blocks * block))
+        often = many[term]
+        self.dense[self.row[term[often]], place[often]] = value[often]
+        term, value, place = term[~often], value[~often], place[~often]
         by = np.argsort(term, kind="stable")  # by term, then place
-        term, self.place, self.value = term[by], place[by].astype(np.int32), value[by]
+        term, self.place, self.value = term[by], place[by], value[by]
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.place[1:] // block != self.place[:-1] // block)]) if len(term) else np.zeros(0, np.int64)
         self.posts = np.r_[first, len(term)]  # where an entry's postings begin
-        self.held = (self.place[first] // block).astype(np.int32)  # an entry's block
+        self.held = self.place[first] // block  # an entry's block
         self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.entries = np.searchsorted(term[first], np.arange(terms + 1))  # where a term's entries begin
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> Vector:
-        """Up to k examples with a positive cosine, best first, ties by number; `leave` is not among them."""
+    def nearest(self, queries: list[Vector], k: int, leave: list[int] | None = None) -> list[Vector]:
+        """For each query up to k examples with a positive cosine, best first, ties by number; never leave[i]."""
+        given = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            given[i, row[row >= 0]] = weights[row >= 0]
+        part = given @ self.dense
+        best = part.reshape(len(queries), self.blocks, self.block).max(axis=2, initial=0)
+        left = None if leave is None else np.argsort(self.order)[leave]
+        return [self._of(*query, part[i], best[i], k, -1 if left is None else left[i]) for i, query in enumerate(queries)]
+
+    def _of(self, terms: np.ndarray, weights: np.ndarray, cos: np.ndarray, bound: np.ndarray, k: int, leave: int) -> Vector:
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         sizes = self.entries[terms + 1] - self.entries[terms]
         entry, weight = _ranges(self.entries[terms], sizes), np.repeat(weights, sizes)
         held = self.held[entry]
-        blocks = -(-self.size // self.block)
-        bound = np.bincount(held, weight * self.most[entry], blocks)
-        cos, floor, tried = np.zeros(self.size), 0.0, np.zeros(blocks, dtype=bool)
-        best = np.argsort(-bound, kind="stable")[:FIRST]
-        while len(best):
-            take = np.zeros(blocks, dtype=bool)
-            take[best] = True
-            tried |= take
+        bound = bound + np.bincount(held, weight * self.most[entry], self.blocks)
+        untried, floor, now = bound > 0, 0.0, np.argsort(-bound, kind="stable")[:FIRST]
+        while True:
+            take = np.zeros(self.blocks, dtype=bool)
+            take[now] = True
+            take &= untried
+            if not take.any():
+                break
+            untried &= ~take
             mine = take[held]
             e, w = entry[mine], weight[mine]
             n = self.posts[e + 1] - self.posts[e]
             at = _ranges(self.posts[e], n)
-            cos += np.bincount(self.place[at], np.repeat(w, n) * self.value[at], self.size)
-            if len(e) and leave >= 0:
-                cos[self.order == leave] = 0
-            floor = np.partition(cos, -k)[-k] if self.size >= k else 0.0
-            best = np.flatnonzero(~tried & (bound > 0) & (bound >= floor - 1e-12))
-        hit = np.flatnonzero((cos > 0) & (cos >= floor - 1e-12))
+            cos = cos + np.bincount(self.place[at], np.repeat(w, n) * self.value[at], len(cos))
+            if leave >= 0:
+                cos[leave] = 0
+            floor = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
+            now = np.flatnonzero(bound >= floor - 1e-9)
+        hit = np.flatnonzero((cos > 0) & (cos >= floor - 1e-9))
         best = hit[np.lexsort((self.order[hit], -np.round(cos[hit], 12)))[:k]]
         return self.order[best], cos[best]
 
 
 @dataclass
 class Model:
-    words: list[str]
+    words: np.ndarray  # hashes, ascending
     weight: np.ndarray  # of each word: idf times how much it tells
     index: BlockMaxIndex
     ids: np.ndarray
@@ -147,11 +214,13 @@ class Model:
         w = 1 / (1.05 - np.minimum(cos, 1.0))
         return float((w * self.toxic[near]).sum() / w.sum())
 
-    def score(self, counts: Vector) -> tuple[float, list[int]]:
-        near, cos = self.index.nearest(*weighted(counts, self.weight), NEIGHBOURS) if len(counts[0]) else ((), ())
-        if not len(near):
-            return self.none, []
-        return float(np.interp(self.vote(near, cos), self.knots, self.values)), self.ids[near[:EVIDENCE]].tolist()
+    def scores(self, counts: list[Vector]) -> Iterator[tuple[float, list[int]]]:
+        for at in range(0, len(counts), BATCH):
+            for near, cos in self.index.nearest([weighted(c, self.weight) for c in counts[at : at + BATCH]], NEIGHBOURS):
+                if len(near):
+                    yield float(np.interp(self.vote(near, cos), self.knots, self.values)), self.ids[near[:EVIDENCE]].tolist()
+                else:
+                    yield self.none, []
 
 
 def telling(counts: list[Vector], toxic: np.ndarray, terms: int) -> np.ndarray:
@@ -194,21 +263,18 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = SAMPL
     return sorted((r["doc_id"], int(r["toxic"]), r["text"]) for r in rows.collect()), counts
 
 
-def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """Of each word, over every document; and the number of documents. A task sends one packed array, in pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by the sample
     each = -(-(len(words) + 1) // PIECES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
-        known, total, n = frozenset(shared.value), Counter(), 0
+        words, out = shared.value, np.zeros(each * PIECES, dtype="<i8")
         for batch in batches:
             for text in batch["text"]:
-                n += 1
-                if isinstance(text, str):
-                    total.update(known.intersection(words_of(text)))
-        out = np.zeros(each * PIECES, dtype="<i8")
-        out[: len(words) + 1] = [*(total.get(w, 0) for w in shared.value), n]
+                out[counts_of(text, words)[0]] += 1
+            out[len(words)] += len(batch)
         yield pd.DataFrame({"piece": range(PIECES), "n": [out[i * each : (i + 1) * each].tobytes() for i in range(PIECES)]})
 
     def add(piece: pd.DataFrame) -> pd.DataFrame:
@@ -226,9 +292,9 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, rows: list[tuple[int, int, str]], counts: dict[int, int]) -> Model:
     toxic = np.array([r[1] for r in rows], dtype=np.float64)
-    words = sorted(set().union(*[words_of(r[2]) for r in rows]))
-    number = {w: i for i, w in enumerate(words)}
-    found = [counts_of(r[2], number) for r in rows]
+    given = [words_of(r[2]) for r in rows]
+    words = np.unique(np.concatenate([g[0] for g in given] or [np.zeros(0, dtype=np.uint64)]))
+    found = [(np.searchsorted(words, w), tf) for w, tf in given]
     df, n = document_frequencies(docs, words)
     weight = (np.log((n + 1) / (df + 1)) + 1) * telling(found, toxic, len(words))
     vectors = [weighted(c, weight) for c in found]
@@ -238,10 +304,11 @@ def fit(docs: DataFrame, rows: list[tuple[int, int, str]], counts: dict[int, int
     taken = Counter(int(t) for t in toxic)
     stands = np.array([counts[int(t)] / taken[int(t)] for t in toxic])  # labelled rows that each example stands for
     votes = np.full(len(rows), np.nan)
-    for i, v in enumerate(vectors):
-        near, cos = model.index.nearest(*v, NEIGHBOURS, leave=i)
-        if len(near):
-            votes[i] = model.vote(near, cos)
+    for at in range(0, len(rows), BATCH):
+        some = list(range(at, min(at + BATCH, len(rows))))
+        for i, (near, cos) in zip(some, model.index.nearest(vectors[at : at + BATCH], NEIGHBOURS, leave=some), strict=True):
+            if len(near):
+                votes[i] = model.vote(near, cos)
     bare = np.isnan(votes)
     base = float((toxic * stands).sum() / stands.sum())
     model.none = float(((toxic * stands)[bare].sum() + base) / (stands[bare].sum() + 1))
@@ -257,9 +324,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         model = shared.value
-        number = {w: i for i, w in enumerate(model.words)}
         for batch in batches:
-            found = [model.score(counts_of(t, number)) for t in batch["text"]]
+            found = list(model.scores([counts_of(t, model.words) for t in batch["text"]]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [f[0] for f in found], "evidence": [f[1] for f in found]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
