@@ -109,6 +109,32 @@ def test_compare_edited(spark, docs, rows):
     assert fingerprint.compare_edited(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_are_brute_force(spark):
+    """Signed votes of five-word terms, bit by bit; Spark hashes the terms."""
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(0, 40)) for _ in range(25)] + [None, "One, two!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = lambda t: [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
+    terms = lambda t: [tuple(split(t)[i : i + 5]) for i in range(max(1, len(split(t)) - 4))]
+    edited = lambda i: (texts[i] or "")[: len(texts[i] or "") - len(texts[i] or "") // 2] + (texts[i - 1] or "")[: len(texts[i] or "") // 2]
+    every = sorted({x for i, t in enumerate(texts) for x in terms(t) + terms(edited(i))})
+    cols = [F.get("t", F.lit(j)) for j in range(5)]
+    known = {tuple(r["t"]): r["h"] & (1 << 64) - 1 for r in spark.createDataFrame([(list(x),) for x in every], "t array<string>").select("t", F.xxhash64(*cols).alias("h")).collect()}
+
+    def fp(text):
+        votes = [sum(1 if known[x] >> b & 1 else -1 for x in terms(text)) for b in range(64)]
+        return f"{sum(1 << b for b in range(64) if votes[b] > 0):016x}"
+
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
+    radius = 24
+    for r in fingerprint.compare_edited(df, radius=radius).collect():
+        i = r["doc_id"]
+        own, other = fp(texts[i]), fp(edited(i))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, other)
+        assert (r["near_edited"], r["near_next"]) == (like(own, other), like(own, fp(texts[i - 1])))
+        assert r["n_near"] == sum(like(own, f) >= 1 - radius / 64 for f in {fp(t) for t in texts} - {own})
+
+
 def test_next_document_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_A_RANGE", 5)
     df = spark.createDataFrame([(i * i, f"text number {i}") for i in range(40)], "doc_id long, text string")
