@@ -295,7 +295,7 @@ def brute_groups(rows, size, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("limit", [jaccard.FAMILY, 300])
+@pytest.mark.parametrize("limit", [jaccard.FAMILY, 300, 40])
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (1, 50)])
 def test_groups_are_brute_force(spark, docs, rows, size, percent, limit):
     rng = random.Random(size * percent)

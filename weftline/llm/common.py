@@ -28,6 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Tables of a loop, written to the shared folder and read again.
+
+    A checkpoint keeps the optimizer's estimate of its size; joined with itself turn after turn,
+    that number doubles its digits until planning takes minutes. A file's size is what it is.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, scratch(spark, "steps"), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def drop(self) -> None:
+        """Deletes the tables; what was read from them must have been written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

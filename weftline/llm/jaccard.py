@@ -11,8 +11,11 @@ of the true distance), which leaves
 families of possible neighbours. A family is joined in one task while its shingles fit a bound:
 texts are visited from linked text to linked text, and only those in the triangle-inequality
 window of the first pivot's distance are compared. Larger families are cut into Voronoi regions
-around document pivots; sets within twice the radius of a border are replicated; regions still
-too large are joined block by block. All steps report a spanning forest, never all pairs.
+around document pivots; sets within twice the radius of a border are replicated; regions are cut
+again by pivots of their own until they fit. Sets that link to a pivot are one component with it
+and are not compared with each other, so a family of thousands of near copies of one text falls
+to its few sets that no pivot reaches. Regions that pivots cannot part are joined block by
+block. All steps report a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, let_go
+from weftline.llm.common import Steps, cut, let_go
 
 SHARED, SHARED_PER = 8, 32  # k(n) is SHARED + n // SHARED_PER, but no more than ceil(t n)
 SKETCH_BITS = 20  # counters of the frequency order: one array of 4 MB
@@ -33,12 +36,12 @@ PARTS, WIDE, LARGE = 64, 512, 1024  # sets of LARGE shingles have WIDE parts, wh
 #: Regions of more rows are linked whole, which only makes families larger.
 REGION = 50_000
 #: Shingles that one task joins at once.
-FAMILY = 1_000_000
+FAMILY = 1 << 17
 PIVOTS = 8
-#: Bytes of pivots that may be sent to every task; families beyond it are joined in blocks.
+#: Bytes of pivots that are sent to every task at once.
 PIVOT_BYTES = 32 << 20
-#: Cells that together hold more than this many times their family part nothing.
-SPREAD = 3
+#: Turns of cutting cells by pivots, the share of its cell that the largest part may hold, and how often all together.
+TURNS, PARTED, SPREAD = 4, 0.7, 3
 #: Up to this many ids (8 bytes each) are broadcast to pick the texts of families.
 BROADCAST_IDS = 1_000_000
 SPACES = np.zeros(256, dtype=bool)
@@ -308,32 +311,33 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points vertices at their smallest neighbour, follows pointers twice and contracts the edges.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps = Steps(edges.sparkSession)
+    edges = steps.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))
-        to = cut(to)
+        to = steps.put(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")))
         for _ in range(2):
             on = to.select(F.col("v").alias("c"), F.col("c").alias("_d"))
             to = to.join(on, "c", "left").select("v", F.coalesce("_d", "c").alias("c"))
-        to = cut(to)
+        to = steps.put(to)
         rounds.append(to)
         a, b = to.select(F.col("v").alias("a"), F.col("c").alias("ca")), to.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        edges = cut(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    if not rounds:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
-    found = rounds[0]
+        edges = steps.put(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    found = rounds[0] if rounds else edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
     for later in rounds[1:]:
         found = found.join(later.select(F.col("v").alias("c"), F.col("c").alias("_d")), "c", "left").select("v", F.coalesce("_d", "c").alias("c"))
-    return cut(found)
+    found = cut(found)
+    steps.drop()
+    return found
 
 
-def linked_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def linked_components(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
     """Label (smallest index) of each set's component, exactly.
 
     A pivot is compared with the sets not yet reached that lie in its window: their distances to
-    the first pivot differ from its own by at most the radius.
+    the first pivot differ from its own by at most the radius. Sets of one `known` component are
+    reached together and never compared with each other.
     """
     n = np.array([len(s) for s in sets], dtype=np.int64)
     flat, ends = np.unique(np.concatenate(sets), return_inverse=True)[1], np.r_[0, np.cumsum(n)]
@@ -352,76 +356,142 @@ def linked_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     both = shared(0, np.arange(len(sets)))
     first = 1 - both / (n[0] + n - both)
     while len(left):
-        root, queue = left[0], [left[0]]
-        label[root], left = root, left[1:]
-        while queue and len(left):
-            p = queue.pop()
-            window = np.abs(first[left] - first[p]) <= radius + 1e-9
-            window &= 100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p])
-            rows = left[window]
-            both = shared(p, rows)
-            near = rows[100 * both >= percent * (n[rows] + n[p] - both)]
-            if len(near):
-                label[near] = root
-                queue += near.tolist()
-                left = left[~np.isin(left, near, assume_unique=True)]
+        root, queue, near = left[0], [], left[:1]
+        while len(near):
+            reached = np.isin(left, near, assume_unique=True) if known is None else np.isin(known[left], known[near])
+            label[left[reached]] = root
+            queue += left[reached].tolist()
+            left, near = left[~reached], left[:0]
+            while queue and len(left) and not len(near):
+                p = queue.pop()
+                window = np.abs(first[left] - first[p]) <= radius + 1e-9
+                window &= 100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p])
+                rows = left[window]
+                both = shared(p, rows)
+                near = rows[100 * both >= percent * (n[rows] + n[p] - both)]
+                if len(near):
+                    queue.append(p)
     return label
 
 
 def _solve(groups: DataFrame, key: str, percent: int) -> DataFrame:
-    """(a, b): each set's smallest companion in its component, within each group of key (bounded by FAMILY shingles)."""
+    """(a, b): each set's smallest companion in its component, within each group of key.
+
+    Groups (key, rep, set, label) fit a task; sets of one label are known to be in one component.
+    """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("rep").sort_values("rep") if group["rep"].is_unique else group.sort_values("rep")
+        group = group.drop_duplicates("rep").sort_values("rep")
         sets = [np.asarray(s, dtype=np.int64) for s in group["set"]]
-        label = linked_components(sets, percent)
+        label = linked_components(sets, percent, group["label"].to_numpy())
         rep = group["rep"].to_numpy()
         keep = label != np.arange(len(rep))
         return pd.DataFrame({"a": rep[label[keep]], "b": rep[keep]})
 
-    return groups.select(key, "rep", "set").groupBy(key).applyInPandas(one, "a long, b long")
+    return groups.select(key, "rep", "set", "label").groupBy(key).applyInPandas(one, "a long, b long")
+
 
+def _measured(cells: DataFrame, label: DataFrame) -> DataFrame:
+    """(cell, rows, total, rest, core) of cells (cell, rep, n): core is the label of most shingles, rest those of all others."""
+    by = cells.join(label, "rep").groupBy("cell", "label").agg(F.sum("n").alias("k"), F.count("*").alias("rows"))
+    by = by.groupBy("cell").agg(F.sum("rows").alias("rows"), F.sum("k").alias("total"), F.max(F.struct("k", "rows", "label")).alias("top"))
+    return by.select("cell", (F.col("rows") - F.col("top.rows")).alias("rows"), "total", (F.col("total") - F.col("top.k")).alias("rest"), F.col("top.label").alias("core"))
 
-def _cells(members: DataFrame, total: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(fam, rep, cell) of members (fam, rep, set): their nearest pivot's cell, and those they lie within twice the radius of.
 
-    Only families that this parts well are cut: no cell beyond the limit, all together no more
-    than SPREAD times the family.
+def _place(rows: DataFrame, shell: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(cell, pivot, rep, n, linked) of rows (cell, rep, set): to the nearest pivots of its cell.
+
+    Pivots are some sets of shell (cell, rep, set, rows), no more than PIVOT_BYTES of them at
+    once; a set goes to all pivots within twice the radius of its nearest, and `linked` says
+    whether it links to the pivot. Sets of a cell without pivots have a null pivot.
     """
-    count = total.select("fam", "rows")
-    chosen = members.join(F.broadcast(count), "fam").where(F.pmod(F.xxhash64("rep"), F.greatest(F.floor(F.col("rows") / PIVOTS), F.lit(1))) == 0)
+    chosen = cut(shell.where(F.pmod(F.xxhash64("rep", F.lit(turn)), F.greatest(F.floor(F.col("rows") / PIVOTS), F.lit(1))) == 0).select("cell", "rep", "set"))
     size = chosen.agg(F.coalesce(F.sum(F.size("set").cast("long") * 8), F.lit(0))).first()[0]
-    if size > PIVOT_BYTES:
-        return members.select("fam", "rep", F.lit(0).cast("long").alias("cell")).where("false")
-    pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for r in chosen.select("fam", "rep", "set").orderBy("fam", "rep").collect():
-        pivots.setdefault(r["fam"], []).append((r["rep"], np.array(r["set"], dtype=np.int64)))
-    shared = members.sparkSession.sparkContext.broadcast(pivots)
+    times, out = max(1, -(-size // PIVOT_BYTES)), None
     window = 2 * (1 - percent / 100) + 1e-9
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for fam, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
-                near = shared.value.get(fam, [])
-                both = [len(np.intersect1d(own, p, assume_unique=True)) for _, p in near]
-                d = [1 - x / max(1, len(own) + len(p) - x) for x, (_, p) in zip(both, near, strict=True)]
-                out += [(fam, rep, pivot, len(own)) for (pivot, _), x in zip(near, d, strict=True) if x <= min(d) + window]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["fam", "rep", "cell", "n"])
-
-    cells = cut(members.select("fam", "rep", "set").mapInArrow(place, "fam long, rep long, cell long, n long"))
-    spread = cells.groupBy("fam", "cell").agg(F.sum("n").alias("n")).groupBy("fam").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    good = spread.join(total, "fam").where((F.col("most") <= limit) & (F.col("all") <= SPREAD * F.col("total"))).select("fam")
-    return cells.join(F.broadcast(good), "fam").select("fam", "rep", "cell")
-
-
-def _blocks(members: DataFrame, total: DataFrame, limit: int) -> DataFrame:
-    """(cell, rep, set) for each pair of blocks of a family, every block of at most about limit / 2 shingles."""
-    rows = members.join(F.broadcast(total.select("fam", "total")), "fam").withColumn("k", F.ceil(F.col("total") * 2 / limit).cast("int"))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    rows = rows.select("fam", "rep", "set", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).where((F.col("i") != F.col("j")) | (F.col("k") == 1))
-    return rows.select(F.xxhash64("fam", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "rep", "set")
+    for i in range(times):  # each time for some of the cells
+        mine = F.pmod(F.xxhash64("cell"), F.lit(times)) == i
+        pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for r in chosen.where(mine).orderBy("cell", "rep").collect():
+            pivots.setdefault(r["cell"], []).append((r["rep"], np.array(r["set"], dtype=np.int64)))
+        shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+        def place(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for cell, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                    near = shared.value.get(cell, [])
+                    both = [len(np.intersect1d(own, p, assume_unique=True)) for _, p in near]
+                    d = [1 - x / max(1, len(own) + len(p) - x) for x, (_, p) in zip(both, near, strict=True)]
+                    links = [100 * x >= percent * (len(own) + len(p) - x) for x, (_, p) in zip(both, near, strict=True)]
+                    out += [(cell, pivot, rep, len(own), k) for (pivot, _), x, k in zip(near, d, links, strict=True) if x <= min(d) + window]
+                    out += [] if near else [(cell, None, rep, len(own), False)]
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.bool_())], names=["cell", "pivot", "rep", "n", "linked"])
+
+        some = rows.where(mine).select("cell", "rep", "set").mapInArrow(place, "cell long, pivot long, rep long, n long, linked boolean")
+        out = some if out is None else out.unionByName(some)
+    return cut(out)
+
+
+def _pieces(rows: DataFrame, limit: int) -> DataFrame:
+    """(piece, rep, set, label) of rows (cell, rep, set, label, core, total, rest), every piece of about limit shingles.
+
+    Sets of the core need no comparison with each other: where the rest is small, all of it goes
+    to every part of the core; else each block of the rest meets each other block.
+    """
+    in_core = F.col("label") == F.col("core")
+    half = limit / 2
+    small = F.col("rest") <= half
+    parts = F.greatest(F.ceil((F.col("total") - F.col("rest")) / F.greatest(limit - F.col("rest"), F.lit(half))), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("rest") / half), F.lit(1)).cast("int")  # of the rest
+    rows = rows.withColumns({"p": parts, "k": blocks, "h": F.xxhash64("rep")})
+    every = F.sequence(F.lit(0), F.col("p") - 1)
+    own = F.pmod("h", F.col("k")).cast("int")
+    core_block = F.col("k") + F.pmod("h", F.col("p")).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("k") + F.col("p") - 1), lambda j: j != own)
+    as_pair = lambda i, j: F.xxhash64("cell", F.least(i, j), F.greatest(i, j))
+    of_small = F.when(in_core, F.array(F.pmod("h", F.col("p")).cast("int"))).otherwise(every)
+    of_large = F.when(in_core, F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: as_pair(i, core_block))).otherwise(F.transform(met, lambda j: as_pair(own, j)))
+    piece = F.when(small, F.transform(of_small, lambda i: F.xxhash64("cell", i))).otherwise(of_large)
+    return rows.select(F.explode(piece).alias("piece"), "rep", "set", "label")
+
+
+def region_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b) spanning the links inside the families of sets (fam, rep, set), which are large.
+
+    Each turn, sets of the cells still too large are measured against pivots: those that link to
+    a pivot are one component with it, and sets known to be in one component are not compared
+    again. Cells that pivots part well become smaller cells, which go through the next turn;
+    what is left after TURNS is joined block by block.
+    """
+    cells = cut(sets.select(F.col("fam").alias("cell"), "rep", F.size("set").cast("long").alias("n")))
+    label = cut(sets.select("rep", F.col("rep").alias("label")).distinct())
+    of = sets.select("rep", "set").dropDuplicates(["rep"])
+    edges = ready = None
+    for turn in range(TURNS + 1):
+        state = cut(_measured(cells, label).where("rest > 0"))
+        good = (F.col("rest") <= limit / 2) if turn < TURNS else F.lit(True)
+        now = cut(cells.join(state.where(good).select("cell"), "cell", "left_semi"))
+        ready = now if ready is None else ready.unionByName(now)
+        wide = state.where(~good)
+        if turn == TURNS or wide.isEmpty():
+            break
+        rows = cut(cells.join(wide, "cell").join(label, "rep").join(of, "rep"))
+        placed = _place(rows, rows.where("label <> core"), turn, percent)
+        links = placed.where("linked and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        edges = cut(links.distinct() if edges is None else edges.unionByName(links).distinct())
+        label = cut(label.select("rep").join(components(edges).withColumnsRenamed({"v": "rep", "c": "label"}), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+        cut_up = placed.where("pivot is not null").withColumn("child", F.xxhash64("cell", "pivot"))
+        spread = cut_up.groupBy("cell", "child").agg(F.sum("n").alias("n")).groupBy("cell").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+        parted = spread.join(wide, "cell").where((F.col("most") <= PARTED * F.col("total")) & (F.col("all") <= SPREAD * F.col("total"))).select("cell")
+        smaller = cut_up.join(parted, "cell", "left_semi").select(F.col("child").alias("cell"), "rep", "n")
+        same = cells.join(wide.select("cell"), "cell", "left_semi").join(parted, "cell", "left_anti")
+        cells = cut(same.unionByName(smaller))
+    state = _measured(ready, label).where("rest > 0")  # with all that is known by now
+    rows = ready.join(state, "cell").join(label, "rep").join(of, "rep")
+    found = _solve(_pieces(rows, limit), "piece", percent)
+    return found if edges is None else found.unionByName(edges)
 
 
 def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int, limit: int = FAMILY) -> DataFrame:
@@ -439,16 +509,14 @@ def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fam", "rep", "set"])
 
     members = rows.select("fam", "rep", "text").mapInArrow(make, "fam long, rep long, set array<long>").where(F.size("set") > 0)
-    sizes = cut(members.groupBy("fam").agg(F.sum(F.size("set").cast("long")).alias("total"), F.count("*").alias("rows")))
-    large = sizes.where(F.col("total") > limit)
+    sizes = cut(members.groupBy("fam").agg(F.sum(F.size("set").cast("long")).alias("total")))
+    alone = members.withColumn("label", F.col("rep"))
+    large = sizes.where(F.col("total") > limit).select("fam")
     if large.isEmpty():
-        return cut(_solve(members, "fam", percent))
-    found = _solve(members.join(sizes.where(F.col("total") <= limit).select("fam"), "fam"), "fam", percent)
-    big = cut(members.join(F.broadcast(large.select("fam")), "fam"))  # at most a family for every `limit` shingles
-    cells = cut(_cells(big, large, percent, limit))
-    placed = big.join(cells, ["fam", "rep"]).select(F.xxhash64("fam", "cell").alias("cell"), "rep", "set")
-    rest = big.join(F.broadcast(cells.select("fam").distinct()), "fam", "left_anti")
-    return cut(found.unionByName(_solve(placed, "cell", percent)).unionByName(_solve(_blocks(rest, large, limit), "cell", percent)))
+        return cut(_solve(alone, "fam", percent))
+    found = _solve(alone.join(large, "fam", "left_anti"), "fam", percent)
+    big = cut(members.join(large, "fam", "left_semi"))
+    return cut(found.unionByName(region_links(big, percent, limit)))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int = FAMILY) -> DataFrame:
