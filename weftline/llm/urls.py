@@ -7,6 +7,9 @@ do not differ significantly merge into the wildcard. A template's purity is its
 smoothed towards its parent's purity, from the root (smoothed towards the share over all hosts,
 but never above one half) down; templates that reach the threshold are rejected.
 
+A branch with too few rows, or with all its rows in one path, is a leaf: what is below it is
+one wildcard, so the tree is as deep as the urls part and no deeper.
+
 Rules leave whole branches without a label, and labels elsewhere on the host say nothing of
 those: a branch without labelled rows starts at the share over all hosts at most, and its rows
 count as not blocked at the root and in a wildcard that it shares with labelled branches.
@@ -18,22 +21,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm.common import cut
 
 #: (host suffix, path prefix, verdict) of the rules; the fixed values of the query's contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH = 6  # levels of the tree; deeper segments count as one
 RARE = 0.02  # a segment with less of its parent's rows becomes a wildcard
-LEAST = 5  # and so does one with fewer rows
+LEAST = 5  # and so does one with fewer rows; a node with fewer is a leaf
 SIGNIFICANT = 2.58  # standard errors by which unmerged siblings' blocked shares differ from the rest's
 SMOOTHING = 10.0  # labelled rows that the parent's purity counts for
 REJECT = 0.9
-WILD = "*"
+WILD, REST = "*", "**"
 #: Up to this many templates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TEMPLATES = 50_000
-VARIABLE = r"^(\d+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|.*\d{3,}.*|.{48,})$"
+VARIABLE = r"^(\*+|\d+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|.*\d{3,}.*|.{48,})$"
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -58,8 +59,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 def _segments(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(VARIABLE)), F.lit(WILD)).otherwise(x))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(VARIABLE)), F.lit(WILD)).otherwise(x))
 
 
 def templates(judged: DataFrame) -> DataFrame:
@@ -70,13 +70,21 @@ def templates(judged: DataFrame) -> DataFrame:
     prior = min(0.5, ((total["b"] or 0) + 1) / ((total["m"] or 0) + 2))
     smooth = lambda b, m, parent: (F.col(b) + SMOOTHING * parent) / ((F.col(m) if isinstance(m, str) else m) + SMOOTHING)
     root = raw.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).select("host", smooth("_b", "_n", F.lit(prior)).alias("purity"))
-    rows = raw.select(F.xxhash64("host", "seg").alias("_id"), "host", "seg", "n", "m", "b", F.lit("").alias("template")).join(root, "host")
-    depth = raw.agg(F.max(F.size("seg"))).first()[0] or 0
-    for level in range(depth):
-        rows = rows.withColumn("_s", F.get("seg", F.lit(level)))
-        node = rows.where("_s is not null").groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.sum("m").alias("_m"), F.sum("b").alias("_b"), F.max("purity").alias("_parent"))
-        whole = Window.partitionBy("host", "template")
-        node = node.withColumns({"_all_n": F.sum("_n").over(whole), "_all_m": F.sum("_m").over(whole), "_all_b": F.sum("_b").over(whole)})
+    rows = cut(raw.select("host", "seg", "n", "m", "b", F.lit("").alias("template")).join(root, "host"))
+    done, level = [], 0
+    while True:
+        state = rows.withColumn("_s", F.get("seg", F.lit(level)))
+        done.append(state.where("_s is null").select("host", "seg", "template", "purity"))
+        state = state.where("_s is not null")
+        if state.isEmpty():
+            break
+        level += 1
+        sums = [F.sum(c).alias(f"_{c}") for c in ("n", "m", "b")]
+        node = state.groupBy("host", "template", "_s").agg(*sums, F.count("*").alias("_paths"), F.max("purity").alias("_parent"))
+        node = cut(node)
+        whole = node.groupBy("host", "template").agg(*[F.sum(f"_{c}").alias(f"_all_{c}") for c in ("n", "m", "b", "paths")])
+        node = node.join(whole, ["host", "template"])
+        leaf = (F.col("_all_n") < LEAST) | (F.col("_all_paths") == 1)
         rest_m, rest_b = F.col("_all_m") - F.col("_m"), F.col("_all_b") - F.col("_b")
         share, other = F.try_divide("_b", "_m"), F.try_divide(rest_b, rest_m)
         pooled = F.try_divide("_all_b", "_all_m")
@@ -84,16 +92,21 @@ def templates(judged: DataFrame) -> DataFrame:
         differs = (F.abs(share - other) > SIGNIFICANT * error) | ((F.col("_m") > 0) != (rest_m > 0)) & (F.col("_all_m") > 0)
         frequent = (F.col("_n") >= LEAST) & (F.col("_n") >= RARE * F.col("_all_n"))
         stays = frequent & F.coalesce(differs, F.lit(False)) & (F.col("_s") != WILD)
-        node = node.withColumn("_t", F.when(stays, F.col("_s")).otherwise(WILD))
+        node = node.withColumn("_t", F.when(leaf, REST).when(stays, F.col("_s")).otherwise(WILD))
         bare = F.sum(F.when(F.col("_m") == 0, F.col("_n")).otherwise(0))  # rows of branches without a label
         merged = node.groupBy("host", "template", "_t").agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"), bare.alias("_u"), F.max("_parent").alias("_parent"))
         parent = F.when(F.col("_m") == 0, F.least("_parent", F.lit(prior))).otherwise(F.col("_parent"))
-        merged = merged.select("host", "template", "_t", smooth("_b", F.col("_m") + F.col("_u"), parent).alias("_p"))
+        own = F.when(F.col("_t") == REST, F.col("_parent")).otherwise(smooth("_b", F.col("_m") + F.col("_u"), parent))
+        merged = merged.select("host", "template", "_t", own.alias("_p"))
         placed = node.select("host", "template", "_s", "_t").join(merged, ["host", "template", "_t"])
-        rows = rows.join(placed, ["host", "template", "_s"], "left")
-        rows = rows.withColumns({"template": F.when(F.col("_t").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_t")), "purity": F.coalesce("_p", "purity")})
-        rows = cut(rows.select("_id", "host", "seg", "n", "m", "b", "template", "purity"))
-    return rows.select("host", F.col("seg").alias("raw"), "template", "purity")
+        placed = state.join(placed, ["host", "template", "_s"])
+        placed = cut(placed.select("host", "seg", "n", "m", "b", F.concat("template", F.lit("/"), "_t").alias("template"), F.col("_p").alias("purity"), (F.col("_t") == REST).alias("_leaf")))
+        done.append(placed.where("_leaf").select("host", "seg", "template", "purity"))
+        rows = placed.where("not _leaf").drop("_leaf")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("host", F.col("seg").alias("raw"), "template", "purity")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject: float = REJECT, id_col: str = "page_id", url: str = "url") -> DataFrame:
