@@ -16,18 +16,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftline.llm.common import fold, let_go
+from weftline.llm.common import cut, fold, let_go
 
 LENGTHS = (1, 2, 3, 4)
 HASHES = 1 << 15
-#: At most this many labelled rows a language, and this many languages, are used to fit.
+#: At most this many labelled rows a language are used to fit, fewer where there are so many languages that all
+#: together would exceed SAMPLE; every language has LEAST_A_LANGUAGE of them. Landmarks are bounded alike.
 SAMPLE_A_LANGUAGE = 500
-LANGUAGES = 200
+SAMPLE = 20_000
+LEAST_A_LANGUAGE = 4
 LANDMARKS_A_LANGUAGE = 48
+LANDMARKS = 2_048
 RIDGE = 1e-2
-SHARPNESS = 4.0
 UNKNOWN = "und"
+BROADCAST_LANGUAGES = 100_000
 BATCH = 64
 #: Texts are hashed in pieces of this many code points that overlap; bounds memory, not what is read.
 PIECE = 1 << 20
@@ -77,36 +81,35 @@ class Model:
             for i, text in enumerate(part):
                 size[i] = presence(text, x[i]) if text else 0
             raw = (x @ self.weights) / np.sqrt(np.maximum(size, 1))[:, None]
-            e = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True))) if self.languages else np.ones((len(part), 1))
-            p = e / e.sum(axis=1, keepdims=True)
             for i in np.flatnonzero(size):
                 if self.languages:
-                    k = int(p[i].argmax())
-                    names[at + i], best[at + i] = self.languages[k], p[i, k]
+                    k = int(raw[i].argmax())
+                    names[at + i], best[at + i] = self.languages[k], min(1.0, max(0.0, (1 + raw[i, k]) / 2))
         return names, best
 
 
-def sample(labelled: DataFrame, each: int = SAMPLE_A_LANGUAGE) -> list[tuple[str, bytes]]:
-    """Up to `each` labelled rows a language, by the hash of doc_id: (language, packed presence)."""
+def sample(labelled: DataFrame, each: int = SAMPLE_A_LANGUAGE, most: int = SAMPLE) -> list[tuple[str, bytes]]:
+    """Up to `each` labelled rows of every language, by the hash of doc_id: (language, packed presence)."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    rows = []
-    for r in counts:
-        share = min(1.0, 1.5 * each / r["count"] + 0.001)
-        pool = known.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))))
-        pool = pool.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-
-        def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                packed = []
-                for text in b["text"]:
-                    x = np.zeros(HASHES, dtype=np.uint8)
-                    packed.append(np.packbits(x if not presence(text, x) else x).tobytes())
-                yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "doc_id": b["doc_id"], "p": packed})
-
-        small = pool.mapInPandas(shrink, "lang string, h long, doc_id long, p binary").orderBy("h", "doc_id").limit(each)
-        rows += [(x["lang"], bytes(x["p"])) for x in small.collect()]
-    return rows
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    languages = counts.count()
+    each = max(LEAST_A_LANGUAGE, min(each, most // max(1, languages)))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("_n") <= F.lit((2 * each + 20) << 40).cast("double")
+    pool = known.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(draw)
+    pool = pool.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            packed = []
+            for text in b["text"]:
+                x = np.zeros(HASHES, dtype=np.uint8)
+                packed.append(np.packbits(x if not presence(text, x) else x).tobytes())
+            yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "doc_id": b["doc_id"], "p": packed})
+
+    small = pool.mapInPandas(shrink, "lang string, h long, doc_id long, p binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "p"))  # a few times `each` rows a language
+    rows = small.withColumn("r", first).where(F.col("r") <= each).select("lang", "r", "p").collect()
+    return [(x["lang"], bytes(x["p"])) for x in sorted(rows, key=lambda x: (x["lang"], x["r"]))]
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
@@ -115,7 +118,8 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     if not rows:
         return Model([], np.zeros((HASHES, 1), dtype=np.float32))
     own = {lang: [i for i, (x, _) in enumerate(rows) if x == lang] for lang in languages}
-    marks = [i for lang in languages for i in own[lang][:LANDMARKS_A_LANGUAGE]]
+    each = max(1, min(LANDMARKS_A_LANGUAGE, LANDMARKS // len(languages)))
+    marks = [i for lang in languages for i in own[lang][:each]]
 
     def unit(i: int) -> np.ndarray:
         x = np.unpackbits(np.frombuffer(rows[i][1], dtype=np.uint8)).astype(np.float32)
@@ -137,7 +141,7 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` with lang_pred and score, which replace columns of those names; null texts and texts without a letter are `und` with score 0."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HASHES x LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # HASHES x languages
 
     def score(texts: pd.Series) -> pd.DataFrame:
         let_go()
@@ -155,14 +159,22 @@ def train(docs: DataFrame, usable: Column) -> Model:
 
 
 def identify_held_out(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; the model learns from rows whose crc32 fold is not `out`."""
+    """doc_id, held_out, lang_pred, score; the model learns from rows whose crc32 fold is not `out`.
+
+    One row for each row of docs; repeated rows are judged alike, ties go to the language that
+    comes first, and other columns are ignored. Without any labelled row all texts are `und`.
+    """
     held = fold("doc_id", folds) == out
     found = identify(docs.select("doc_id", "text"), train(docs, ~held), ["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs that have a language, with their columns: `und` goes, and what scores below `least`."""
+    """The rows of docs that have a language, with their columns: `und` goes, and what scores below `least`.
+
+    A score is half of one plus the best language's margin, 1 for its own texts and 0 for others'
+    when it was fitted, so it does not depend on the number of languages.
+    """
     columns = docs.columns
     rows = docs.withColumnsRenamed({"lang_pred": "__weftline_lang", "score": "__weftline_score"})
     found = identify(rows, train(docs, F.lit(True)))
