@@ -51,11 +51,12 @@ def _clean(value: str) -> str:
     return "".join(c if c > "\x1f" and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP headers but no payload."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; a revisit has the HTTP headers but no payload. A page without an id gets a record id of another kind."""
+    urn = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"{URN}{page_id}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{URN}{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url or URN + str(page_id))}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url or urn)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{URN}{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -118,7 +119,7 @@ def parse_record(record: bytes) -> dict:
     head = header_of(record)
     block = record[record.index(b"\r\n\r\n") + 4 : -4]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: int(x.strip("<>").removeprefix(URN))
+    number = lambda x: int(x.strip("<>").removeprefix(URN)) if x.startswith("<" + URN) else None
     response = head["warc-type"] == "response"
     stated = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     return {
@@ -136,7 +137,7 @@ def write_archives(pages: DataFrame, out: str, level: int = LEVEL) -> DataFrame:
         for batch in batches:
             for page_id, url, html, digest, ref in zip(batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["refers_to"], strict=True):
                 file = file or opened(path, "w")
-                file.write(gz.compress(build_record(int(page_id), url, html.encode("utf-8"), digest, None if pd.isna(ref) else int(ref))))
+                file.write(gz.compress(build_record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8"), digest, None if pd.isna(ref) else int(ref))))
                 n += 1
         if file is not None:
             file.write(gz.flush())
@@ -193,37 +194,40 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows)
-    out["refers_to"] = out["refers_to"].astype("Int64")
-    return out
+    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES, parts: int = 8) -> DataFrame:
-    """pages with html (null: empty), digest, bytes and refers_to: the smallest page_id of those with an equal payload.
+    """pages with html (null: empty), digest and refers_to: the smallest page_id of those with an equal payload.
 
     Only digests that occur twice are joined, their counts being combined before any shuffle.
-    The rows come hashed by page_id into `parts` partitions; payloads move once.
+    The rows come hashed by page_id into `parts` partitions; payloads move once. Rows without
+    a page_id are placed by their digest and url instead.
     """
-    keyed = pages.repartition(parts, F.col("page_id")).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    small = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b"))
-    small = small.select("page_id", F.sha2("b", 256).alias("digest"), F.octet_length("b").alias("bytes")).where(F.col("bytes") >= least)
-    groups = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = small.join(groups, "digest").where("page_id > first").select(F.col("page_id").alias("_id"), F.struct("digest", "first").alias("_r"))
+    html, digest = F.coalesce("html", F.lit("")).cast("binary"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    place = F.coalesce(F.col("page_id").cast("long"), F.xxhash64(digest, F.pmod(F.xxhash64("url"), F.lit(64))))
+    keyed = pages.select(place.alias("_place"), "page_id", "url", "html").repartition(parts, F.col("_place"))
+    keyed = keyed.select("_place", "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), digest.alias("digest"))
+    small = pages.select(place.alias("_id"), "page_id", digest.alias("digest"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= least)
+    groups = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    revisits = small.join(groups, "digest").where("page_id is null or page_id > first").select("_id", F.struct("digest", "first").alias("_r"))
     revisits = revisits.repartition(parts, F.col("_id")).groupBy("_id").agg(F.map_from_entries(F.collect_set("_r")).alias("_r"))  # a row an id, so payloads keep their place
-    rows = keyed.join(revisits, keyed["page_id"] == revisits["_id"], "left")
-    return rows.withColumn("refers_to", F.try_element_at("_r", F.col("digest"))).drop("_id", "_r")
+    rows = keyed.join(revisits, keyed["_place"] == revisits["_id"], "left")
+    first = F.try_element_at("_r", F.col("digest"))
+    return rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > first), first)).drop("_id", "_r", "_place")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, level: int = LEVEL, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes pages to archives, normalises and reads them: a row for each page with an id.
+    """Writes pages to archives, normalises and reads them: a row for each page.
 
-    Null html is an empty payload; rows with a null page_id have no record id and are left out.
-    Of rows that repeat a page_id each gets its record; equal payloads with the smallest id are
-    all responses. Pages may have any other columns.
+    Null html is an empty payload. Rows with a null page_id get a record id that names no page:
+    they revisit others, but none revisits them. Of rows that repeat a page_id each gets its
+    record; equal payloads with the smallest id are all responses. Pages may have any other columns.
     """
     out = uri(scratch(spark, "warc"))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     parts = max(1, -(-total // archive_bytes), min(2 * spark.sparkContext.defaultParallelism, total >> 20))
-    rows = with_revisits(pages.where("page_id is not null"), parts=parts)
+    rows = with_revisits(pages, parts=parts)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(conf).mkdirs(path)
