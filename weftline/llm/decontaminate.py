@@ -19,6 +19,8 @@ WINDOW = 13
 RATIO = 20  # a text is contaminated if RATIO * hit words >= words
 #: Up to this many benchmark grams (8 bytes each) are broadcast; beyond, Spark joins them by shuffle.
 BROADCAST_GRAMS = 2_000_000
+#: Up to this many windows (about 100 bytes each) are broadcast.
+BROADCAST_WINDOWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII but letters and digits, one by one: Java tests such a class with one table look-up.
 APART = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
@@ -52,7 +54,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFr
     windows = cut(windows.select("item_id", "len", _exact("w", F.col("s"), F.col("len")).alias("win")).distinct())
     shapes = items.groupBy("len", "c").agg(F.sum("n").alias("grams")).collect()  # at most `window` rows
     small = sum(r["grams"] for r in shapes) <= BROADCAST_GRAMS
-    hint = F.broadcast if small else (lambda x: x)
+    few = windows.count() <= BROADCAST_WINDOWS
     # explode(array(x)) keeps Spark from pushing filters on the words below, where it would split the text again for each
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.explode(F.array(words_of("text"))).alias("w")).withColumn("n", F.size("w"))
     found = None
@@ -61,11 +63,18 @@ def find_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFr
         grams = items.where(F.col("len") == size).select("w", F.explode(_starts(F.col("n") - c)).alias("s"))
         grams = grams.select(_gram("w", F.col("s"), c).alias("g")).distinct()
         blocks = base.where(F.col("n") >= size).select("*", F.explode(_starts(F.col("n") - c, c)).alias("p"))
-        blocks = blocks.withColumn("g", _gram("w", F.col("p"), c)).join(hint(grams), "g", "left_semi")
+        blocks = blocks.withColumn("g", _gram("w", F.col("p"), c))
+        if small:
+            blocks = blocks.join(F.broadcast(grams), "g", "left_semi")
+        else:  # the words stay where they are until it is known which texts have a hit
+            found_at = cut(blocks.select("doc_id", "_th", "p", "g").join(grams, "g", "left_semi").groupBy("doc_id", "_th").agg(F.collect_set("p").alias("ps")))
+            found_at = found_at.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "ps")
+            blocks = base.join(found_at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).withColumn("p", F.explode("ps"))
         around = F.sequence(F.greatest(F.col("p") - (size - c), F.lit(0)), F.least(F.col("p"), F.col("n") - size))
         spans = blocks.select("doc_id", "_th", "w", F.explode(F.when(F.col("p") - (size - c) <= F.col("n") - size, around)).alias("pos"))
         spans = spans.select("doc_id", "_th", "pos", F.lit(size).alias("len"), _exact("w", F.col("pos"), F.lit(size)).alias("win"))
-        hits = spans.join(hint(windows.where(F.col("len") == size).select("win", "item_id")), "win").drop("win")
+        of_size = windows.where(F.col("len") == size).select("win", "item_id")
+        hits = spans.join(F.broadcast(of_size) if few else of_size, "win").drop("win")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("_th"), F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit("").alias("item_id")).where("false")
