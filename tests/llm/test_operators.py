@@ -249,15 +249,18 @@ def test_word_cache_is_the_tokenizer():
 # --- lines
 
 
-def test_line_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("limit", [lines.BROADCAST_LINES, 0])
+def test_line_dedup_is_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
     rng = random.Random(5)
     pool = [f"line {i}" for i in range(30)] + ["", "  "]
     rows = [(i, None if i % 17 == 0 else "\n".join(rng.choice(pool[: 8 if rng.random() < 0.3 else 32]) + " " * rng.randint(0, 2) for _ in range(rng.randint(0, 6))), rng.choice(["a", "b", None]), i) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
     got = {r["doc_id"]: (r["text"], r["cut"], r["n"]) for r in lines.dedup_lines(df, ratio=0.1, least=3, dropped="cut").collect()}
-    pages, seen = Counter(r[2] or "" for r in rows), Counter()
-    for _, t, s, _ in rows:
-        seen.update({(s or "", x.strip()) for x in (t or "").split("\n") if x.strip()})
+    different = {(r[2] or "", r[1] or "") for r in rows}
+    pages, seen = Counter(s for s, _ in different), Counter()
+    for s, t in different:
+        seen.update({(s, x.strip()) for x in t.split("\n") if x.strip()})
     bad = {k for k, v in seen.items() if v >= 3 and v > 0.1 * pages[k[0]]}
     assert bad
     for i, t, s, n in rows:
@@ -357,7 +360,10 @@ def brute_contamination(docs, items):
     return out
 
 
-def test_contamination_is_brute_force(spark, docs, bench, rows):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_GRAMS, 0])
+def test_contamination_is_brute_force(spark, docs, bench, rows, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
     extra = [(50, "p q r s t u p q-r s t u"), (51, "P,Q r S t U zz ZZ"), (52, "a" * 50 + " zz")]
     df = docs.select("doc_id", "text", "w", "n").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumns({"w": F.lit(1), "n": F.lit(1)}))
     small = [(i, t) for i, t, *_ in rows if i != 7]
@@ -383,11 +389,14 @@ def test_drop_contaminated_and_spans(spark, docs, bench, rows):
 
 def test_warc_round_trip(spark):
     page = "<p>" + "é" * 60
-    rows = [(5, "http://a/x y\n", page, 1), (3, None, page, 1), (9, "", page, 1), (7, "u", None, 1), (8, "u", "", 1), (2, "u", "small", 1), (1, "u", "small", 1), (11, "u", "z" * 300_000, 1), (None, "u", "gone", 1)]
+    rows = [(5, "http://a/x y\n", page, 1), (3, None, page, 1), (9, "", page, 1), (7, "u", None, 1), (8, "u", "", 1), (2, "u", "small", 1), (1, "u", "small", 1), (11, "u", "z" * 300_000, 1), (None, "u", "gone", 1), (None, "v", page, 1), (None, None, "q" * 200, 1), (None, "w", "q" * 200, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
-    got = {r["page_id"]: r for r in warc.round_trip(spark, df).collect()}
+    every = warc.round_trip(spark, df).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert Counter((r["payload_digest"], r["record_type"], r["refers_to"]) for r in every if r["page_id"] is None) == Counter([(sha("gone"), "response", None), (sha(page), "revisit", 3), *[(sha("q" * 200), "response", None)] * 2])
+    got = {r["page_id"]: r for r in every if r["page_id"] is not None}
     assert set(got) == {1, 2, 3, 5, 7, 8, 9, 11}
-    for i, _, html, _ in rows[:-1]:
+    for i, _, html, _ in rows[:-4]:
         data = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
     assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {5: 3, 9: 3}
@@ -562,7 +571,7 @@ def test_templates_split_by_purity(spark):
     rows = [("h", f"/{k}/{i}", 1 if k == "bad" else 0) for k in ("bad", "good") for i in range(60)] + [("h", f"/bad/{i}x", None) for i in range(1000, 1009)]
     rows += [("m", f"/{k}/{i}", i % 2) for k in ("u", "v") for i in range(60)]
     got = {(r["host"], "/".join(r["raw"])): r for r in urls.templates(spark.createDataFrame(rows, "host string, path string, label int")).collect()}
-    assert got["h", "bad/*"]["template"] == "/bad/*" and got["h", "bad/*"]["purity"] > 0.9
+    assert got["h", "bad/*"]["template"] == "/bad/**" and got["h", "bad/*"]["purity"] > 0.9
     assert got["h", "good/*"]["purity"] < 0.2
     assert got["m", "u/*"]["template"] == got["m", "v/*"]["template"] == "/*/*"
 
@@ -577,6 +586,80 @@ def test_branches_without_labels_are_judged_alike_at_any_size(spark, times):
     assert got.where("rule is not null and verdict = 'allow'").isEmpty()
 
 
+def brute_verdicts(given):
+    """The tree in plain Python, host by host."""
+    judged = [(*brute_host_path(u), *(r := urls_rule(*brute_host_path(u)))) for u in given]
+    label = {"block": 1, "allow": 0, None: None}
+    counts = [label[v] for *_, v in judged if v]
+    prior = min(0.5, (sum(counts) + 1) / (len(counts) + 2))
+    purity = {}
+
+    def grow(rows, level, p, where):
+        """rows: (segments, labels) of the raw paths below a node."""
+        below = defaultdict(list)
+        for seg, ys in rows:
+            if len(seg) == level:
+                purity[where, seg] = p
+            else:
+                below[seg[level]].append((seg, ys))
+        every = [x for part in below.values() for x in part]
+        n_all = sum(len(ys) for _, ys in every)
+        if n_all < urls.LEAST or len(every) == 1:
+            purity.update({(where, seg): p for seg, _ in every})
+            return
+        known = lambda part: [y for _, ys in part for y in ys if y is not None]
+        parts = defaultdict(list)
+        for s, part in below.items():
+            n, mine = sum(len(ys) for _, ys in part), known(part)
+            others = [y for t, x in below.items() if t != s for y in known(x)]
+            differs = bool(mine) != bool(others)
+            if mine and others:
+                pooled = sum(mine + others) / len(mine + others)
+                differs = abs(sum(mine) / len(mine) - sum(others) / len(others)) > urls.SIGNIFICANT * (pooled * (1 - pooled) * (1 / len(mine) + 1 / len(others))) ** 0.5
+            parts[s if n >= urls.LEAST and n >= urls.RARE * n_all and differs and s != "*" else "*"].append((s, part))
+        for kids in parts.values():
+            ys = [y for _, part in kids for y in known(part)]
+            bare = sum(len(y) for _, part in kids if not known(part) for _, y in part)
+            q = (sum(ys) + 10 * (p if ys else min(p, prior))) / (len(ys) + bare + 10)
+            grow([x for _, part in kids for x in part], level + 1, q, where)
+
+    hosts = defaultdict(lambda: defaultdict(list))
+    seg_of = lambda path: tuple("*" if re.match(urls.VARIABLE, x) else x for x in path.split("/") if x)
+    for host, path, _, v in judged:
+        hosts[host][seg_of(path)].append(label[v])
+    for host, rows in hosts.items():
+        ys = [y for x in rows.values() for y in x]
+        grow(list(rows.items()), 0, (sum(y or 0 for y in ys) + 10 * prior) / (len(ys) + 10), host)
+    return [v or ("block" if purity[host, seg_of(path)] >= urls.REJECT else "allow") for host, path, _, v in judged], [purity[h, seg_of(p)] for h, p, *_ in judged]
+
+
+def urls_rule(host, path):
+    fit = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[1:] if fit else (None, None)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_verdicts_are_brute_force(spark, seed):
+    rng = random.Random(seed)
+    hosts = ["a.example.com", "x.net", "b.org", "c.example.net", "plain.io"]
+    names = ["de", "fr", "en", "shop", "*", "**", "2024", "x"]
+    given = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    given += [f"http://a.example.com/de/{'deep/' * 12}{i % 3}" for i in range(30)] + [f"http://y.example.com/{'de' if i % 2 else 'de-at'}/{i}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
+    verdicts, purity = brute_verdicts(given)
+    for i, u in enumerate(given):
+        assert got[i]["verdict"] == verdicts[i] and got[i]["purity"] == pytest.approx(purity[i]), u
+
+
+@pytest.mark.parametrize("times", [5, 20])
+def test_verdicts_of_repeated_pages(spark, times):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    many = pages.crossJoin(spark.range(times)).select("page_id", "url")
+    changed = urls.judge_urls(many).join(urls.judge_urls(pages).select("page_id", F.col("verdict").alias("v")), "page_id")
+    assert changed.where("verdict <> v").isEmpty()
+
+
 # --- registered queries and the pipeline
 
 

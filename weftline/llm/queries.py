@@ -76,17 +76,17 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 _OP10_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
 f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN coalesce(page_id > first, first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN coalesce(page_id > first, true) THEN first END AS refers_to
 FROM q LEFT JOIN f ON f.payload_digest = q.payload_digest AND payload_bytes >= 100
 """
 
 _OP6_SQL = r"""
-WITH l AS (SELECT doc_id, coalesce(source, '') AS h, i, unnest(string_split(coalesce(text, ''), chr(10))) AS line, text FROM (SELECT doc_id, source, text, 0 AS i FROM documents)),
-s AS (SELECT doc_id, h, trim(line, E' \t\r\f\v') AS k FROM l),
-b AS (SELECT s.h, k FROM (SELECT h, k, count(DISTINCT doc_id) AS n FROM s WHERE k <> '' GROUP BY h, k) s JOIN (SELECT coalesce(source, '') AS h, count(*) AS pages FROM documents GROUP BY 1) p ON p.h = s.h WHERE n >= 4 AND n > 0.05 * pages),
+WITH l AS (SELECT doc_id, coalesce(source, '') AS h, coalesce(text, '') AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+s AS (SELECT h, page, trim(line, E' \t\r\f\v') AS k FROM l),
+b AS (SELECT s.h, k FROM (SELECT h, k, count(DISTINCT page) AS n FROM s WHERE k <> '' GROUP BY h, k) s JOIN (SELECT coalesce(source, '') AS h, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY 1) p ON p.h = s.h WHERE n >= 3 AND n > 0.01 * pages),
 bad AS (SELECT h, list(k) AS ks FROM b GROUP BY h),
 d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS a, coalesce(ks, []) AS ks FROM documents LEFT JOIN bad ON bad.h = coalesce(source, '')),
 k AS (SELECT doc_id, source, text, a, list_filter(a, lambda x: NOT list_contains(ks, trim(x, E' \t\r\f\v'))) AS keep FROM d)
