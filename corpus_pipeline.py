@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from weftline.llm import decontaminate, jaccard, langid, lines, packing
 from weftline.llm.common import scratch, table
 
-#: Documents whose best language scores below this are rejected; with a few languages chance gives more.
-LEAST_LANGUAGE_SCORE = 0.25
+#: Documents whose best language scores below this are rejected: all languages' margins speak against them. The
+#: labelled documents of the tables, down to single words, score 0.40 and more.
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
