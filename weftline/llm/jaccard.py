@@ -44,6 +44,8 @@ PIVOT_BYTES = 32 << 20
 TURNS, PARTED, SPREAD = 4, 0.7, 3
 #: Up to this many ids (8 bytes each) are broadcast to pick the texts of families.
 BROADCAST_IDS = 1_000_000
+#: Up to this many rows of ids and numbers (60 bytes each) are broadcast to pick the sets of regions.
+BROADCAST_ROWS = 250_000
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LONG = 1 << 20  # bytes hashed at once
@@ -381,7 +383,7 @@ def _solve(groups: DataFrame, key: str, percent: int) -> DataFrame:
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("rep").sort_values("rep")
+        group = group.sort_values("rep")
         sets = [np.asarray(s, dtype=np.int64) for s in group["set"]]
         label = linked_components(sets, percent, group["label"].to_numpy())
         rep = group["rep"].to_numpy()
@@ -457,6 +459,12 @@ def _pieces(rows: DataFrame, limit: int) -> DataFrame:
     return rows.select(F.explode(piece).alias("piece"), "rep", "set", "label")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, written, and broadcast if few: so the sets, which are large, stay where they are."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def region_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """(a, b) spanning the links inside the families of sets (fam, rep, set), which are large.
 
@@ -465,31 +473,32 @@ def region_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     again. Cells that pivots part well become smaller cells, which go through the next turn;
     what is left after TURNS is joined block by block.
     """
-    cells = cut(sets.select(F.col("fam").alias("cell"), "rep", F.size("set").cast("long").alias("n")))
-    label = cut(sets.select("rep", F.col("rep").alias("label")).distinct())
-    of = sets.select("rep", "set").dropDuplicates(["rep"])
+    cells = cut(sets.groupBy(F.col("fam").alias("cell"), "rep").agg(F.sum(F.size("set").cast("long")).alias("n")))
+    label = _sent(cells.select("rep", F.col("rep").alias("label")).distinct())
+    of = sets.select("rep", "set")
     edges = ready = None
     for turn in range(TURNS + 1):
         state = cut(_measured(cells, label).where("rest > 0"))
         good = (F.col("rest") <= limit / 2) if turn < TURNS else F.lit(True)
-        now = cut(cells.join(state.where(good).select("cell"), "cell", "left_semi"))
+        now = cut(cells.join(_sent(state.where(good).select("cell")), "cell", "left_semi"))
         ready = now if ready is None else ready.unionByName(now)
-        wide = state.where(~good)
+        wide = _sent(state.where(~good))
         if turn == TURNS or wide.isEmpty():
             break
-        rows = cut(cells.join(wide, "cell").join(label, "rep").join(of, "rep"))
-        placed = _place(rows, rows.where("label <> core"), turn, percent)
+        ids = _sent(cells.join(wide, "cell").join(label, "rep"))
+        placed = _place(of.join(ids, "rep"), of.join(ids, "rep").where("label <> core"), turn, percent)
         links = placed.where("linked and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         edges = cut(links.distinct() if edges is None else edges.unionByName(links).distinct())
-        label = cut(label.select("rep").join(components(edges).withColumnsRenamed({"v": "rep", "c": "label"}), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
-        cut_up = placed.where("pivot is not null").withColumn("child", F.xxhash64("cell", "pivot"))
+        known = _sent(components(edges).withColumnsRenamed({"v": "rep", "c": "label"}))
+        label = _sent(label.select("rep").join(known, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+        cut_up = placed.where("pivot is not null").groupBy("cell", F.xxhash64("cell", "pivot").alias("child"), "rep").agg(F.sum("n").alias("n"))
         spread = cut_up.groupBy("cell", "child").agg(F.sum("n").alias("n")).groupBy("cell").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-        parted = spread.join(wide, "cell").where((F.col("most") <= PARTED * F.col("total")) & (F.col("all") <= SPREAD * F.col("total"))).select("cell")
+        parted = _sent(spread.join(wide, "cell").where((F.col("most") <= PARTED * F.col("total")) & (F.col("all") <= SPREAD * F.col("total"))).select("cell"))
         smaller = cut_up.join(parted, "cell", "left_semi").select(F.col("child").alias("cell"), "rep", "n")
         same = cells.join(wide.select("cell"), "cell", "left_semi").join(parted, "cell", "left_anti")
         cells = cut(same.unionByName(smaller))
-    state = _measured(ready, label).where("rest > 0")  # with all that is known by now
-    rows = ready.join(state, "cell").join(label, "rep").join(of, "rep")
+    state = _sent(_measured(ready, label).where("rest > 0"))  # with all that is known by now
+    rows = of.join(_sent(ready.join(state, "cell").join(label, "rep")), "rep")
     found = _solve(_pieces(rows, limit), "piece", percent)
     return found if edges is None else found.unionByName(edges)
 
@@ -525,7 +534,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
     Two texts link when 100 * |x & y| >= percent * |x | y| for their sets of `size`-word
     shingles; component_id is the smallest doc_id reachable by links, itself included. Null
     texts and texts without words have no shingles and link with nothing. Rows that share a
-    doc_id are one vertex; rows with a null doc_id link with nothing and have a null component.
+    doc_id are one vertex, which has all the links of one of its texts and of exact copies of
+    any; rows with a null doc_id link with nothing and have a null component.
     """
     found = cut(profiles(docs, size, percent))
     usable = found.where("n > 0 and doc_id is not null")
