@@ -36,7 +36,7 @@ PARTS, WIDE, LARGE = 64, 512, 1024  # sets of LARGE shingles have WIDE parts, wh
 #: Regions of more rows are linked whole, which only makes families larger.
 REGION = 50_000
 #: Shingles that one task joins at once.
-FAMILY = 1 << 17
+FAMILY = 1 << 20
 PIVOTS = 8
 #: Bytes of pivots that are sent to every task at once.
 PIVOT_BYTES = 32 << 20
