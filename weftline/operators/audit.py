@@ -4,17 +4,60 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.traversal import Graph, confidence_rank, reachable, source_sink_paths
 
-SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
-#: Findings by category: (type, severity).
-FINDING_KINDS = {"sql": ("sql-injection", "CRITICAL"), "exec": ("command-injection", "CRITICAL"), "deserialize": ("unsafe-deserialization", "HIGH"), "file": ("path-traversal", "HIGH"), "network": ("ssrf", "MEDIUM"), "html": ("xss", "HIGH"), "secret": ("secret-exposure", "HIGH"), "log": ("log-injection", "LOW")}
+# Severities from the worst, and findings by a sink's category as (type, severity).
+SEVERITIES = ("HIGH", "MEDIUM", "LOW")
+FINDING_KINDS = {
+    "eval": ("code-injection", "HIGH"),
+    "exec": ("command-injection", "HIGH"),
+    "sql": ("sql-injection", "HIGH"),
+    "ssrf": ("ssrf", "HIGH"),
+    "path-traversal": ("path-traversal", "MEDIUM"),
+    "template-render": ("template-injection", "MEDIUM"),
+    "weak-crypto": ("weak-crypto", "MEDIUM"),
+}
+# Sinks outside the graph, as (id, label, category).
+SYNTHETIC_SINKS = (
+    ("__sink__eval", "eval()", "eval"),
+    ("__sink__exec", "child_process.exec", "exec"),
+    ("__sink__spawn", "child_process.spawn", "exec"),
+    ("__sink__sql_concat", "SQL string concat", "sql"),
+    ("__sink__path_write", "fs.writeFile", "path-traversal"),
+    ("__sink__fetch_user", "fetch(userUrl)", "ssrf"),
+    ("__sink__render_template", "renderTemplate()", "template-render"),
+    ("__sink__weak_hash", "createHash(md5)", "weak-crypto"),
+)
+# The built-in patterns, as (name, role, category, parts of labels, any of which qualifies a node).
+PATTERNS = (
+    ("src-http-handler", "source", "http-request", ("handler", "controller", "route", "endpoint", "requesthandler", "onrequest", "handlerequest")),
+    ("src-http-lambda", "source", "http-request", ("lambdahandler", "apigwhandler")),
+    ("src-env-argv", "source", "env-argv", ("parseargs", "parseargv", "getargs", "readenv", "loadenv")),
+    ("src-stdin", "source", "stdin", ("readstdin", "readinput", "parseinput", "getstdin")),
+    ("src-deserialize", "source", "deserialize", ("deserialize", "fromjson", "parsejson", "parseyaml", "parsetoml", "parsexml")),
+    ("src-message-consumer", "source", "message-consumer", ("consume", "subscribe", "onmessage", "processmessage", "handleevent", "receivemessage", "processevent")),
+    ("sink-eval", "sink", "eval", ("evalcode", "runeval", "executeeval", "dynamiceval", "safeeval", "unsafeeval")),
+    ("sink-vm-run", "sink", "eval", ("runscript", "executescript", "runcode", "runinnewcontext", "runincontext")),
+    ("sink-exec", "sink", "exec", ("execcommand", "runcommand", "spawnprocess", "execshell", "shellexec", "runshell", "executecommand")),
+    ("sink-exec-py", "sink", "exec", ("runcommand", "execshell", "callprocess", "spawnprocess")),
+    ("sink-sql", "sink", "sql", ("rawquery", "unsafequery", "buildquery", "constructsql", "executesql", "runsql", "querydb")),
+    ("sink-path-traversal", "sink", "path-traversal", ("writefile", "savefile", "writepath", "savepath", "appendfile", "deletefile", "removefile")),
+    ("sink-template-render", "sink", "template-render", ("rendertemplate", "compiletemplate", "renderview", "rendershtml", "buildhtml")),
+    ("sink-ssrf", "sink", "ssrf", ("fetchurl", "makehttp", "sendhttprequest", "callexternal", "forwardrequest", "proxyrequest")),
+    ("sink-weak-crypto", "sink", "weak-crypto", ("hashmd5", "hashsha1", "md5hash", "sha1hash", "weakcipher", "desencrypt", "rc4encrypt")),
+)
 PACK_BYTES = 128 * 1024
 
 
+def builtin_catalog(spark: SparkSession) -> DataFrame:
+    """(name, role, category, needle, ord) of the built-in patterns, a row for each part of a label."""
+    rows = [(name, role, category, needle, i) for i, (name, role, category, needles) in enumerate(PATTERNS) for needle in needles]
+    return spark.createDataFrame(rows, "name string, role string, category string, needle string, ord int")
+
+
 def effective_catalog(builtin: DataFrame, add: DataFrame | None = None, remove: list[str] | None = None) -> DataFrame:
     """builtin patterns (name, role, category, needle, ord) without those named in remove, with those of add after them."""
     out = builtin.where(~F.col("name").isin(*remove)) if remove else builtin
@@ -47,6 +90,8 @@ def findings(paths: DataFrame, sinks: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("source", "sink").orderBy("hops", "path")) - 1
     kinds = sinks.select(F.col("id").alias("sink"), "category").dropDuplicates(["sink"])
     rows = paths.withColumn("idx", number).join(kinds, "sink", "left")
+    for name, _, category in SYNTHETIC_SINKS:
+        rows = rows.withColumn("category", F.when(F.col("category").isNull() & (F.col("sink") == name), category).otherwise(F.col("category")))
     kind, severity = F.lit("taint-flow"), F.lit("LOW")
     for c, (t, s) in FINDING_KINDS.items():
         kind, severity = F.when(F.col("category") == c, t).otherwise(kind), F.when(F.col("category") == c, s).otherwise(severity)
@@ -127,10 +172,11 @@ def roles(ids: DataFrame, sources: DataFrame, sinks: DataFrame, synthetic: str =
     return ids.select("id").join(s, "id", "left").join(t, "id", "left").select("id", role.alias("role"))
 
 
-def with_synthetic_sinks(g: Graph, categories: list[str]) -> Graph:
-    """The graph with one more node for each category, never stored."""
-    rows = g.nodes.sparkSession.createDataFrame([(f"__sink__{c}", c) for c in categories], "id string, label string")
-    more = [F.col(c) if c in ("id", "label") else F.lit({"kind": "concept", "file_type": "concept", "source_file": ""}.get(c)).cast(t).alias(c) for c, t in g.nodes.dtypes]
+def with_synthetic_sinks(g: Graph) -> Graph:
+    """The graph with a node for each of SYNTHETIC_SINKS, never stored."""
+    rows = g.nodes.sparkSession.createDataFrame([x[:2] for x in SYNTHETIC_SINKS], "id string, label string")
+    fixed = {"kind": "concept", "file_type": "concept", "source_file": "__synthetic__"}
+    more = [F.col(c) if c in ("id", "label") else F.lit(fixed.get(c)).cast(t).alias(c) for c, t in g.nodes.dtypes]
     return Graph(g.nodes.unionByName(rows.select(*more)), g.edges)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.identity import normalize_label
+from weftline.functions.identity import WORD_END, normalize_label, split_identifier
 from weftline.operators.traversal import Graph, induced, neighbourhood
 
 TITLE_WEIGHT, K1, B = 5.0, 1.2, 0.75
@@ -21,30 +23,28 @@ def _normal(text: str) -> str:
 
 
 def _parts(word: str) -> list[str]:
-    w = unicodedata.normalize("NFKC", word)
-    w = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])", " ", w)
-    return [x for x in re.split(r"[\W_]+", w.lower()) if x]
+    return [x.lower() for x in regex.split(WORD_END, unicodedata.normalize("NFKC", word), flags=regex.V1) if x]
 
 
 def question_terms(question: str) -> list[str]:
     """Distinct terms longer than one character: words, their normal forms and their identifier parts."""
     out: list[str] = []
-    for word in re.split(r"[\W_]+", question):
+    for word in regex.split(r"[^\p{L}\p{N}]+", question):
         if len(word) > 1:
             out += [_normal(word), *(p for p in _parts(word) if len(p) > 1)]
     return list(dict.fromkeys(x for x in out if x))
 
 
 def node_scores(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """nodes with a positive score: a label equal to a term 100, else a word of it 12, else a word's beginning 10, else inside 3; 1 more for the file."""
-    label = F.col("_label")
-    words = F.split(label, "_")
-    score = F.lit(0)
+    """nodes with a positive score: a label equal to a term 100, else a word of the identifier 12, else its beginning 10, else inside 3; 1 more for the file."""
+    label, score = F.col("_n.label"), F.lit(0)
     for t in terms:
-        hit = F.when(label == t, 100).when(F.array_contains(words, t), 12).when(F.startswith(label, F.lit(t)) | F.contains(label, F.lit("_" + t)), 10).when(F.contains(label, F.lit(t)), 3).otherwise(0)
-        score = score + hit + F.when(F.contains(F.col("_file"), F.lit(t)), 1).otherwise(0)
-    rows = nodes.withColumns({"_label": normalize_label(F.col("label")), "_file": normalize_label(F.col("source_file"))})
-    return rows.withColumn("score", score.cast("long")).where("score > 0").drop("_label", "_file")
+        hit = F.when(label == t, 100).when(F.array_contains("_n.words", t), 12).when(F.startswith(label, F.lit(t)), 10).when(F.contains(label, F.lit(t)), 3).otherwise(0)
+        score = score + hit + F.when(F.contains(F.col("_n.file"), F.lit(t)), 1).otherwise(0)
+    forms = F.struct(normalize_label(F.col("label")).alias("label"), split_identifier(F.col("label")).alias("words"), normalize_label(F.col("source_file")).alias("file"))
+    rows = nodes.withColumn("_n", F.explode(F.array(forms)))  # else the optimizer repeats the forms in every comparison
+    rows = rows.withColumn("_score", F.explode(F.array(score.cast("long")))).where("_score > 0")
+    return rows.drop("_n").withColumnRenamed("_score", "score")
 
 
 def seeds_of(scored: DataFrame, n: int = 3) -> DataFrame:
@@ -60,7 +60,7 @@ def query_graph(g: Graph, question: str, depth: int = 2, max_nodes: int = 40) ->
 
 
 def search_tokens(query: str) -> list[str]:
-    return list(dict.fromkeys(x for x in re.split(r"[\W_]+", query.lower()) if x))
+    return list(dict.fromkeys(query.lower().split()))
 
 
 def prefix_tokens(query: str) -> list[str]:
@@ -82,8 +82,8 @@ def live(observations: DataFrame, project: str | None = None, scope: str | None
 
 def band(query: str) -> Column:
     """0 for the topic itself, 1 if the title holds the query, 2 if the content does, else 3."""
-    q, topic = query.lower(), normalize_label(F.coalesce("topic_key", F.lit("")))
-    exact = (topic == _normal(query)) & (topic != "")
+    q, topic = query.strip().lower(), F.lower(F.coalesce("topic_key", F.lit("")))
+    exact = topic == "_".join(q.split())
     return F.when(exact, 0).when(F.contains(F.lower("title"), F.lit(q)), 1).when(F.contains(F.lower("content"), F.lit(q)), 2).otherwise(3)
 
 
@@ -116,18 +116,19 @@ def like_search(observations: DataFrame, query: str, limit: int = 10, **only: st
 
 
 def snippet(content: Column, tokens: list[str], around: int = 40, whole: int = 160) -> Column:
-    """The surroundings of the earliest token, tokens in brackets; the beginning where none occurs."""
+    """The surroundings of the earliest token, that one in brackets wherever it occurs; the beginning where none does."""
     if not tokens:
         return F.when(F.length(content) > whole, F.concat(F.substring(content, 1, whole), F.lit(" …"))).otherwise(content)
     low = F.lower(content)
-    spots = [F.when(F.locate(t, low) > 0, F.struct(F.locate(t, low).alias("at"), F.lit(len(t)).alias("len"))) for t in tokens]
+    spots = [F.when(F.locate(t, low) > 0, F.struct(F.locate(t, low).alias("at"), F.lit(i).alias("i"), F.lit(len(t)).alias("len"))) for i, t in enumerate(tokens)]
     first = F.array_min(F.filter(F.array(*spots), lambda x: x.isNotNull()))
     start = F.greatest(first["at"] - around, F.lit(1))
     end = F.least(first["at"] + first["len"] - 1 + around, F.length(content))
     body = F.substring(content, start, end - start + 1)
-    pattern = "(?i)(" + "|".join(re.escape(t) for t in sorted(tokens, key=len, reverse=True)) + ")"
-    marked = F.regexp_replace(body, pattern, "[$1]")
-    cut_off = F.concat(F.when(start > 1, "… ").otherwise(""), marked, F.when(end < F.length(content), " …").otherwise(""))
+    marked = body
+    for i, t in enumerate(tokens):
+        marked = F.when(first["i"] == i, F.regexp_replace(body, f"(?iu)({re.escape(t)})", "[$1]")).otherwise(marked)
+    cut_off = F.concat(F.when(start > 1, " … ").otherwise(""), marked, F.when(end < F.length(content), " … ").otherwise(""))
     return F.when(first.isNotNull(), cut_off).otherwise(snippet(content, []))
 
 
@@ -221,19 +222,34 @@ def suggest_topics(observations: DataFrame, kind: str, title: str, n: int = 3, *
 
 
 def first_line(content: Column, most: int = 200) -> Column:
-    """The first line that is not blank, cut before a word beyond `most` characters."""
-    line = F.regexp_extract(content, r"(?m)^[ \t]*(\S[^\n]*)", 1)
-    cut_at = F.regexp_extract(F.substring(line, 1, most), r"^(.*)\s\S*$", 1)
-    return F.when(F.length(line) <= most, F.rtrim(line)).otherwise(F.when(cut_at == "", F.substring(line, 1, most)).otherwise(cut_at))
+    """The first line that is not blank; beyond `most` characters cut at its last blank there and marked."""
+    line = F.coalesce(F.get(F.filter(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: x.rlike(r"\S")), F.lit(0)), F.lit(""))
+    head = F.substring(line, 1, most)
+    words = F.regexp_extract(head, r"(?s)^(.+) [^ ]*$", 1)
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.when(words == "", head).otherwise(words), F.lit("…")))
+
+
+CONTEXT_HEAD = "## Project memory"
 
 
 def active_context(observations: DataFrame, rows: int = 10, budget: int = 4000, **only: str | None) -> DataFrame:
-    """(pos, id, line): the most recent live rows as lines, up to the first that would exceed the budget of characters."""
+    """(pos, id, line): the most recent live rows as entries under CONTEXT_HEAD, up to the first that would exceed the budget of characters."""
     top = live(observations, **only).orderBy(F.desc("updated_at"), "id").limit(rows)
-    line = F.concat(F.lit("- ["), "type", F.lit("] "), "title", F.lit(": "), first_line(F.col("content")))
+    line = F.concat(F.lit("- "), "title", F.lit(" ["), "type", F.lit("]\n  "), first_line(F.col("content")))
     order = Window.orderBy(F.desc("updated_at"), "id")  # `rows` rows
     out = top.select("id", line.alias("line"), F.row_number().over(order).alias("pos"), F.sum(F.length(line) + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
-    return out.where(F.col("used") <= budget).select("pos", "id", "line")
+    return out.where(F.col("used") + len(CONTEXT_HEAD) + 1 <= budget).select("pos", "id", "line")
+
+
+def context_text(entries: DataFrame, graph: tuple[int, int] | None = None, fresh: bool | None = None, refresh: str = "") -> str:
+    """The active context as text: entries of active_context, the graph's size and whether it is fresh, each a paragraph."""
+    lines = [r["line"] for r in entries.orderBy("pos").collect()]  # within the budget
+    parts = ["\n".join([CONTEXT_HEAD, *lines]) if lines else CONTEXT_HEAD + "\n(no observations yet)"]
+    if graph:
+        parts.append(f"graph: {graph[0]} nodes, {graph[1]} edges" + {True: " (fresh)", False: " (stale)", None: ""}[fresh])
+    if fresh is False or not graph:
+        parts.append(refresh)
+    return "\n\n".join(p for p in parts if p)
 
 
 SPAN, PATH, IDENT = r"`([^`\n]+)`", r"^[\w.@-]+(/[\w.@-]+)+$|^[\w-]+\.\w{1,5}$", r"^[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*(\(\))?$"

@@ -62,7 +62,7 @@ def _(w):
 LIST_SQL = r"(regexp_matches(lower(source_file), '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|java|cs|go|rs|rb|php|c|cpp)$') OR regexp_matches(source_file, '(?i)\.ya?ml$'))"
 
 
-@query("S1_source_listing", N + rf"SELECT DISTINCT source_file AS path FROM nodes WHERE {LIST_SQL} AND NOT regexp_matches(source_file, '\.min\.[^./]+$') AND len(list_intersect(string_split(source_file, '/'), ['node_modules', '.git', 'dist', 'build', 'out', 'coverage', '.next', 'target', 'bin', 'obj', 'vendor', '__pycache__', '.venv'])) = 0")
+@query("S1_source_listing", N + rf"SELECT DISTINCT source_file AS path FROM nodes WHERE {LIST_SQL} AND NOT regexp_matches(source_file, '(?i)\.min\.[^./]+$') AND NOT regexp_matches(source_file, '(^|/)(node_modules|\.git|dist|build|out|\.next|vendor|__pycache__|\.venv|venv|target|obj|bin)/')")
 def _(w):
     return files.listed(w.nodes.select(F.col("source_file").alias("path")).distinct())
 
@@ -128,9 +128,9 @@ def _(w):
     return audit.restricted(g, g.nodes.where("repo = 'ASIA'").select("id")).edges.select("source", "target", "relation")
 
 
-@query("P6_synthetic_sinks", N + "SELECT id, kind FROM nodes UNION ALL SELECT '__sink__' || c, 'concept' FROM (VALUES ('sql'), ('exec'), ('file'), ('network'), ('html'), ('deserialize'), ('secret'), ('log')) v(c)")
+@query("P6_synthetic_sinks", N + "SELECT id, kind FROM nodes UNION ALL SELECT '__sink__' || c, 'concept' FROM (VALUES ('eval'), ('exec'), ('spawn'), ('sql_concat'), ('path_write'), ('fetch_user'), ('render_template'), ('weak_hash')) v(c)")
 def _(w):
-    return audit.with_synthetic_sinks(graph(w), ["sql", "exec", "file", "network", "html", "deserialize", "secret", "log"]).nodes.select("id", "kind")
+    return audit.with_synthetic_sinks(graph(w)).nodes.select("id", "kind")
 
 
 @query("P9_folder_filter", N + "SELECT id FROM nodes WHERE regexp_extract(source_file, '^(.*)/[^/]*$', 1) = 'catalog'")
@@ -637,7 +637,7 @@ def _(w):
 # --- audit
 
 
-PATTERNS = [("src-customer", "source", "input", "customer#00000000", 1), ("src-nation", "source", "input", "peru", 2), ("sink-brand", "sink", "sql", "brand#11", 3), ("sink-brand-2", "sink", "exec", "brand#1", 4), ("sink-supplier", "sink", "file", "supplier#00000000", 5)]
+PATTERNS = [("src-customer", "source", "input", "customer#00000000", 1), ("src-nation", "source", "input", "peru", 2), ("sink-brand", "sink", "sql", "brand#11", 3), ("sink-brand-2", "sink", "exec", "brand#1", 4), ("sink-supplier", "sink", "path-traversal", "supplier#00000000", 5)]
 NEEDLES = "(VALUES " + ", ".join(str(p) for p in PATTERNS) + ") p(name, role, category, needle, ord)"
 
 
@@ -645,10 +645,10 @@ def _catalog(w):
     return w.spark.createDataFrame(PATTERNS, "name string, role string, category string, needle string, ord int")
 
 
-@query("U1_effective_catalog", "SELECT name, role FROM (VALUES ('src-customer', 'source'), ('sink-brand', 'sink'), ('sink-brand-2', 'sink'), ('sink-supplier', 'sink'), ('mine', 'sink')) v(name, role)")
+@query("U1_effective_catalog", "SELECT name, role, CAST(n AS BIGINT) AS needles FROM (VALUES ('src-http-handler', 'source', 7), ('src-http-lambda', 'source', 2), ('src-env-argv', 'source', 5), ('src-deserialize', 'source', 6), ('src-message-consumer', 'source', 7), ('sink-eval', 'sink', 6), ('sink-vm-run', 'sink', 5), ('sink-exec', 'sink', 7), ('sink-exec-py', 'sink', 4), ('sink-sql', 'sink', 7), ('sink-path-traversal', 'sink', 7), ('sink-template-render', 'sink', 5), ('sink-ssrf', 'sink', 6), ('sink-weak-crypto', 'sink', 7), ('mine', 'sink', 1)) v(name, role, n)")
 def _(w):
     more = w.spark.createDataFrame([("mine", "sink", "log", "xyz", 1)], "name string, role string, category string, needle string, ord int")
-    return audit.effective_catalog(_catalog(w), more, ["src-nation"]).select("name", "role")
+    return audit.effective_catalog(audit.builtin_catalog(w.spark), more, ["src-stdin"]).groupBy("name", "role").agg(F.count("*").alias("needles"))
 
 
 @query("U2_catalog_match", N + f"SELECT id, role, min_by(name, ord) AS name, min_by(category, ord) AS category FROM nodes JOIN {NEEDLES} ON contains(lower(label), needle) GROUP BY id, role")
@@ -657,17 +657,17 @@ def _(w):
 
 
 def _findings(w):
-    sinks = w.spark.createDataFrame([("part:5", "sql"), ("supplier:3", "file")], "id string, category string")
+    sinks = w.spark.createDataFrame([("part:5", "sql"), ("supplier:3", "path-traversal")], "id string, category string")
     return audit.findings(_paths(w), sinks)
 
 
-@query("U4_findings", G9 + f"""SELECT substr(sha256(seed || '::' || target || '::' || i), 1, 16) AS id, CASE target WHEN 'part:5' THEN 'sql-injection' WHEN 'supplier:3' THEN 'path-traversal' ELSE 'taint-flow' END AS type, CASE target WHEN 'part:5' THEN 'CRITICAL' WHEN 'supplier:3' THEN 'HIGH' ELSE 'LOW' END AS severity
+@query("U4_findings", G9 + f"""SELECT substr(sha256(seed || '::' || target || '::' || i), 1, 16) AS id, CASE target WHEN 'part:5' THEN 'sql-injection' WHEN 'supplier:3' THEN 'path-traversal' ELSE 'taint-flow' END AS type, CASE target WHEN 'part:5' THEN 'HIGH' WHEN 'supplier:3' THEN 'MEDIUM' ELSE 'LOW' END AS severity
 FROM (SELECT r.seed, e.target, row_number() OVER (PARTITION BY r.seed, e.target) - 1 AS i FROM reach r JOIN edges e ON e.source = r.node WHERE e.target IN {SINKS})""")
 def _(w):
     return _findings(w).select("id", "type", "severity")
 
 
-@query("W9_findings_order", f"SELECT severity, count(*) AS n, CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 ELSE 4 END AS pos FROM ({G9} SELECT CASE e.target WHEN 'part:5' THEN 'CRITICAL' WHEN 'supplier:3' THEN 'HIGH' ELSE 'LOW' END AS severity FROM reach r JOIN edges e ON e.source = r.node WHERE e.target IN {SINKS}) GROUP BY ALL")
+@query("W9_findings_order", f"SELECT severity, count(*) AS n, CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS pos FROM ({G9} SELECT CASE e.target WHEN 'part:5' THEN 'HIGH' WHEN 'supplier:3' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM reach r JOIN edges e ON e.source = r.node WHERE e.target IN {SINKS}) GROUP BY ALL")
 def _(w):
     return audit.severity_counts(_findings(w)).withColumn("pos", audit.severity_rank().cast("int"))
 
@@ -697,15 +697,19 @@ def _(w):
     return w.spark.createDataFrame([(x,) for x in retrieval.question_terms("How does openHTTPServer2 work?")], "term string")
 
 
-SCORE = " + ".join(f"CASE WHEN l = '{x}' THEN 100 WHEN list_contains(string_split(l, '_'), '{x}') THEN 12 WHEN starts_with(l, '{x}') OR contains(l, '_{x}') THEN 10 WHEN contains(l, '{x}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{x}') THEN 1 ELSE 0 END" for x in ("supplier", "000000003", "crm"))
+HUMPS = "label"
+for _a, _b in ((r"[\p{Ll}\p{N}]", r"\p{Lu}"), (r"\p{Lu}+", r"\p{Lu}\p{Ll}"), (r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}")):
+    HUMPS = rf"regexp_replace({HUMPS}, '({_a})({_b})', '\1 \2', 'g')"
+FORMS = rf"{NORM.format('label')} AS l, regexp_split_to_array(lower({HUMPS}), '[^\p{{L}}\p{{N}}]+') AS words, {NORM.format('source_file')} AS f"
+SCORE = " + ".join(f"CASE WHEN l = '{x}' THEN 100 WHEN list_contains(words, '{x}') THEN 12 WHEN starts_with(l, '{x}') THEN 10 WHEN contains(l, '{x}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{x}') THEN 1 ELSE 0 END" for x in ("supplier", "000000003", "crm"))
 
 
-@query("T2_node_scores", N + f"SELECT * FROM (SELECT id, CAST({SCORE} AS BIGINT) AS score FROM (SELECT id, {NORM.format('label')} AS l, {NORM.format('source_file')} AS f FROM nodes)) WHERE score > 0")
+@query("T2_node_scores", N + f"SELECT * FROM (SELECT id, CAST({SCORE} AS BIGINT) AS score FROM (SELECT id, {FORMS} FROM nodes)) WHERE score > 0")
 def _(w):
     return retrieval.node_scores(w.nodes, ["supplier", "000000003", "crm"]).select("id", "score")
 
 
-@query("W3_seeds", N + f"SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, {SCORE} AS score FROM (SELECT id, {NORM.format('label')} AS l, {NORM.format('source_file')} AS f FROM nodes)) WHERE score > 0 ORDER BY score DESC, id LIMIT 3")
+@query("W3_seeds", N + f"SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, {SCORE} AS score FROM (SELECT id, {FORMS} FROM nodes)) WHERE score > 0 ORDER BY score DESC, id LIMIT 3")
 def _(w):
     return retrieval.seeds_of(retrieval.node_scores(w.nodes, ["supplier", "000000003", "crm"])).select("id", F.col("rank").cast("long").alias("rank"))
 

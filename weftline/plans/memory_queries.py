@@ -209,7 +209,7 @@ def _(w):
 def like_sql(tokens: list[str], query: str, limit: int = 10) -> str:
     hit = " OR ".join(f"contains(lower(title), '{t}') OR contains(lower(content), '{t}')" for t in tokens)
     score = " + ".join(f"CASE WHEN contains(lower(title), '{t}') THEN 1 ELSE 0 END" for t in tokens)
-    band = f"CASE WHEN trim(regexp_replace(lower(topic_key), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') = '{query.lower().replace(' ', '_')}' THEN 0 WHEN contains(lower(title), '{query.lower()}') THEN 1 WHEN contains(lower(content), '{query.lower()}') THEN 2 ELSE 3 END"
+    band = f"CASE WHEN lower(coalesce(topic_key, '')) = '{query.lower().replace(' ', '_')}' THEN 0 WHEN contains(lower(title), '{query.lower()}') THEN 1 WHEN contains(lower(content), '{query.lower()}') THEN 2 ELSE 3 END"
     return O + f"SELECT id, CAST({score} AS BIGINT) AS score, {band} AS band, updated_at FROM obs WHERE superseded_by IS NULL AND ({hit}) ORDER BY band, updated_at DESC, id LIMIT {limit}"
 
 
@@ -244,7 +244,7 @@ def _(w):
 
 
 @query("T7_snippet", S + r"""SELECT id, CASE WHEN "at" = 0 THEN CASE WHEN length(content) > 160 THEN substr(content, 1, 160) || ' …' ELSE content END ELSE
-    CASE WHEN greatest("at" - 40, 1) > 1 THEN '… ' ELSE '' END || regexp_replace(substr(content, greatest("at" - 40, 1), least("at" + 2 + 40, length(content)) - greatest("at" - 40, 1) + 1), '(the)', '[\1]', 'gi') || CASE WHEN least("at" + 2 + 40, length(content)) < length(content) THEN ' …' ELSE '' END END AS snippet
+    CASE WHEN greatest("at" - 40, 1) > 1 THEN ' … ' ELSE '' END || regexp_replace(substr(content, greatest("at" - 40, 1), least("at" + 2 + 40, length(content)) - greatest("at" - 40, 1) + 1), '(the)', '[\1]', 'gi') || CASE WHEN least("at" + 2 + 40, length(content)) < length(content) THEN ' … ' ELSE '' END END AS snippet
 FROM (SELECT id, content, instr(lower(content), 'the') AS "at" FROM saves WHERE project_key = 'en')""")
 def _(w):
     return w.saves.where("project_key = 'en'").select("id", retrieval.snippet(F.col("content"), ["the"]).alias("snippet"))
@@ -266,7 +266,10 @@ def _(w):
     return retrieval.suggest_topics(obs(w), "decision", "Src3 other")
 
 
-@query("T11_active_context")
+@query("T11_active_context", O + """, top AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1] AS one FROM obs WHERE superseded_by IS NULL AND project_key = 'en' ORDER BY updated_at DESC, id LIMIT 10),
+entry AS (SELECT id, updated_at, '- ' || title || ' [' || type || ']' || chr(10) || '  ' || CASE WHEN length(coalesce(one, '')) <= 200 THEN coalesce(one, '') WHEN regexp_matches(one[1:200], '. ') THEN regexp_extract(one[1:200], '^(.+) [^ ]*$', 1) || '…' ELSE one[1:200] || '…' END AS line FROM top),
+used AS (SELECT *, row_number() OVER w AS pos, 18 + sum(length(line) + 1) OVER w AS used FROM entry WINDOW w AS (ORDER BY updated_at DESC, id))
+SELECT CAST(pos AS INTEGER) AS pos, id, line FROM used WHERE used <= 4000""")
 def _(w):
     return retrieval.active_context(obs(w), project="en")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import audit, freshness
 from weftline.operators import memory as m
 from weftline.operators.traversal import Graph, source_sink_paths
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import cut, shared_dir
 from weftline.plans.registry import graph, ids, query
 from weftline.plans.workload import with_tables
 from weftline.sources import ingest, store
@@ -19,10 +18,7 @@ from weftline.streaming import outbox
 
 
 def folder(w) -> str:
-    sc = w.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(w.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_dir(w.spark)}/{uuid.uuid4().hex}"
 
 
 @query("K3_atomic_swap", with_tables("edges") + "SELECT source, target FROM edges WHERE relation = 'contains'")
@@ -116,7 +112,7 @@ def _(w):
 
 @query("K10_render_audit")
 def _(w):
-    sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "file")], "id string, category string")
+    sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "path-traversal")], "id string, category string")
     g = _whole(w)
     found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g)
@@ -125,7 +121,7 @@ def _(w):
 
 @query("W11_greedy_budget")
 def _(w):
-    sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "file")], "id string, category string")
+    sinks = w.spark.createDataFrame([("part:5", "sql"), ("part:7", "path-traversal")], "id string, category string")
     g = _whole(w)
     found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g, 2048)

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import cut
+
 NODE = ["id", "label", "kind", "file_type", "source_file", "repo"]
 EDGE = ["source", "target", "relation", "confidence", "context", "source_file", "source_location", "weight"]
 TYPES = ("decision", "architecture", "bugfix", "pattern", "preference", "config", "discovery", "learning")
@@ -26,10 +28,33 @@ def millis(c: str) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Workload:
+    """The tables under a folder as a graph. Nodes, edges and calls are written once a session and read by every query."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _once(self, name: str, made) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            _kept[key] = cut(made())
+        return _kept[key]
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._once("nodes", self._nodes)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._once("edges", self._edges)
+
+    @property
+    def raw_calls(self) -> DataFrame:
+        return self._once("calls", self._raw_calls)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -58,8 +83,7 @@ class Workload:
     def parts(self) -> DataFrame:
         return self.table("part").select("p_partkey", key("part", "p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("label"), F.concat(F.lit("catalog/"), F.lower("p_type"), F.lit(".ts")).alias("source_file"), F.lower("p_type").alias("type"))
 
-    @property
-    def nodes(self) -> DataFrame:
+    def _nodes(self) -> DataFrame:
         def node(df: DataFrame, prefix: str, k: str, label: Column, kind: str, file_type: str, file: Column, repo: Column) -> DataFrame:
             return df.select(key(prefix, k).alias("id"), label.alias("label"), F.lit(kind).alias("kind"), F.lit(file_type).alias("file_type"), file.alias("source_file"), repo.alias("repo"))
 
@@ -79,8 +103,7 @@ class Workload:
             out = out.unionByName(df)
         return out
 
-    @property
-    def edges(self) -> DataFrame:
+    def _edges(self) -> DataFrame:
         one = F.lit(1.0)
 
         def edge(df: DataFrame, source: Column, target: Column, relation: str, file: Column) -> DataFrame:
@@ -109,8 +132,7 @@ class Workload:
             out = out.unionByName(df)
         return out
 
-    @property
-    def raw_calls(self) -> DataFrame:
+    def _raw_calls(self) -> DataFrame:
         """callee, from_id, source_file of each lineitem: its order calls its part, or, on first lines, the next part does."""
         line = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
         part = self.parts.select(F.col("p_partkey").alias("l_partkey"), F.col("label").alias("callee"))
