@@ -64,6 +64,7 @@ _kept: dict[str, object] = {}
 def kept(name: str, make):
     """An object that this process keeps between tasks, until another operator's tasks let go of it."""
     if name not in _kept:
+        trim()
         _kept[name] = make()
     return _kept[name]
 
@@ -71,7 +72,18 @@ def kept(name: str, make):
 def let_go() -> None:
     """Frees what other operators' tasks kept in this process, whose memory they share."""
     if _kept:
-        import gc
-
         _kept.clear()
-        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system; the allocators of Python, C and Arrow would hold it for this process."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -26,7 +26,7 @@ END = 1  # closes every document
 BLOCK = 65_536
 #: Bins filled to less than this share are packed again with those of other blocks.
 FULL = 0.995
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 TEXTS = 64  # whose new words are looked up together
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LAST = END.to_bytes(4, "little")
