@@ -113,6 +113,34 @@ def test_question_terms():
     assert retrieval.question_terms("How does openHTTP work?") == ["how", "does", "openhttp", "open", "http", "work"]
 
 
+def test_node_scores_see_identifier_words(spark):
+    n = spark.createDataFrame([("a", "openFreshStore", "x.ts"), ("b", "storeAll", "x.ts"), ("c", "store", "x.ts"), ("d", "Restores", "store/y.ts"), ("e", "other", "x.ts")], "id string, label string, source_file string")
+    assert {r["id"]: r["score"] for r in retrieval.node_scores(n, ["store"]).collect()} == {"a": 12, "b": 12, "c": 100, "d": 4}
+
+
+def test_search_words():
+    assert retrieval.search_tokens(" Validation_rules  of ") == ["validation_rules", "of"]
+    assert retrieval.prefix_tokens("validation_rules") == ["validatio", "vali"]
+
+
+def test_snippet_marks_the_earliest_token(spark):
+    text = "a" * 50 + " Beta alpha beta " + "z" * 60
+    got = spark.createDataFrame([(text,), ("none",)], "c string").select(retrieval.snippet(F.col("c"), ["alpha", "beta"]).alias("s")).collect()
+    assert got[0]["s"] == " … " + "a" * 39 + " [Beta] alpha [beta] " + "z" * 28 + " … " and got[1]["s"] == "none"
+
+
+def test_listing(spark):
+    paths = ["venv/a.py", "x/FOO.MIN.JS", "coverage/b.py", "a/bin/c.cs", "bin", "src/out.ts", "d.yaml", "e.txt"]
+    got = files.listed(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["path"] for r in got.collect()} == {"coverage/b.py", "src/out.ts", "d.yaml"}
+
+
+def test_context_text(spark):
+    entries = spark.createDataFrame([(2, "b", "- B [x]\n  two"), (1, "a", "- A [x]\n  one")], "pos int, id string, line string")
+    assert retrieval.context_text(entries, (3, 4), True) == "## Project memory\n- A [x]\n  one\n- B [x]\n  two\n\ngraph: 3 nodes, 4 edges (fresh)"
+    assert retrieval.context_text(entries.limit(0), None, None, "run: build") == "## Project memory\n(no observations yet)\n\nrun: build"
+
+
 def test_extractors(spark):
     rows = extract.extract(spark.createDataFrame([("m.py", "py", "class A(B):\n    def f(self):\n        g()\n"), ("x.ts", "ts", "class Q extends R { m() { call(); } }"), ("c.yml", "yaml", "services:\n  w:\n    image: i\n"), ("e.py", "py", "def (")], "path string, lang string, content string")).collect()
     have = {(r["row"], r["id"] or r["source"], r["label"] or r["target"] or r["callee"], r["relation"]) for r in rows}

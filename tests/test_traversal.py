@@ -153,7 +153,7 @@ def plain_communities(ids, weights):
     return number
 
 
-def test_communities_by_component_are_the_whole_walk(spark, monkeypatch):
+def test_communities_by_component_are_the_whole_walk(spark):
     rng = random.Random(0)
     ids = [f"n{i:02d}" for i in range(20)]
     edges = [(a, b, "calls", "EXTRACTED") for a, b in sorted({(rng.choice(ids[:10]), rng.choice(ids[:10])) for _ in range(16)} | {(rng.choice(ids[10:19]), rng.choice(ids[10:19])) for _ in range(16)})]
@@ -161,9 +161,10 @@ def test_communities_by_component_are_the_whole_walk(spark, monkeypatch):
     weights = [(r["a"], r["b"], r["weight"]) for r in stats.weighted_adjacency(g).collect()]
     got = {r["id"]: r["community"] for r in community.communities(g).collect()}
     assert got == plain_communities(ids, weights)
-    monkeypatch.setattr(community, "PASSES", 4)
-    rounds = {r["id"]: r["community"] for r in community.communities(g, large=1).collect()}
-    assert set(rounds) == set(ids)
+    rounds = community.communities_in_rounds(g)
+    assert {r["id"] for r in rounds.collect()} == set(ids)
+    quality = lambda found: community.modularity(stats.weighted_adjacency(g), found).first()[0]
+    assert quality(rounds) > 0.5 * quality(community.communities(g)) > 0
 
 
 def test_pack_stays_under_its_budget(spark):
@@ -171,8 +172,13 @@ def test_pack_stays_under_its_budget(spark):
     g = make(spark, nodes, calls(*[("n000", n) for n in nodes[1:]]))
     sinks = spark.createDataFrame([(n, "sql") for n in nodes[1:]], "id string, category string")
     found = audit.findings(t.source_sink_paths(g, seeds(spark, "n000", name="id"), sinks), sinks)
-    import json
-
+    whole = audit.build_pack(found, g, 1 << 20)
+    assert whole["prunedPaths"] == 0 and len(whole["paths"]) == len(whole["edges"]) == 59 and len(whole["nodes"]) == 60
+    size = lambda p: len(audit.serialised(p).encode())
+    for budget in (4096, 5000, size(whole), size(whole) - 1):
+        pack = audit.build_pack(found, g, budget)
+        assert size(pack) <= budget and pack["prunedPaths"] == 59 - len(pack["paths"]) == len(whole["paths"]) - len(pack["paths"])
+        assert pack["prunedPaths"] == 0 or size(pack) + size(whole) // 50 > budget
+        assert [p["sink"] for p in pack["paths"]] == [p["sink"] for p in whole["paths"]][: len(pack["paths"])]
     pack = audit.build_pack(found, g, 4096)
-    assert len(json.dumps(pack).encode()) <= 4096 and pack["prunedPaths"] == 59 - len(pack["paths"]) > 0
     assert "sql-injection" in audit.render_markdown(pack) and "<table>" in audit.render_html(pack)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.traversal import Graph, confidence_rank, reachable, source_sink_paths
+from weftline.operators.traversal import EDGE_ORDER, Graph, reachable, source_sink_paths
 
 # Severities from the worst, and findings by a sink's category as (type, severity).
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
@@ -112,40 +113,73 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def build_pack(found: DataFrame, g: Graph, max_bytes: int = PACK_BYTES) -> dict:
-    """Paths by confidence while the pack stays under max_bytes; a path too large is skipped, later ones may fit.
+#: Paths of the first kinds are kept, those of the last are left out first.
+PACK_ORDER = ("EXTRACTED", "INFERRED", "AMBIGUOUS", "SYNTACTIC")
+DISCLAIMER = "These are candidate paths for review, not confirmed vulnerabilities."
+CHUNK = 256  # paths whose nodes and edges are fetched at once
+LEAST_PATH = 150  # bytes; no path and its finding take less
 
-    Only as many paths as could fit are brought to the driver: each takes 64 bytes or more.
+
+def serialised(pack: dict) -> str:
+    return json.dumps(pack, ensure_ascii=False, separators=(",", ":"))
+
+
+def _bytes(x: object) -> int:
+    return len(serialised(x).encode())
+
+
+def _fetched(g: Graph, known: set[str], new: set[str]) -> tuple[dict[str, dict], list[tuple[str, str, dict]]]:
+    """The nodes among `new`, and the edges that join those with each other or with `known`."""
+    ids = F.broadcast(g.nodes.sparkSession.createDataFrame([(x, x in new) for x in sorted(known | new)], "id string, fresh boolean"))  # a chunk's
+    nodes = g.nodes.join(ids.where("fresh").select("id"), "id", "left_semi").select("id", F.to_json(F.struct(*g.nodes.columns)).alias("j")).collect()
+    ends = [ids.select(F.col("id").alias(end), F.col("fresh").alias(f"_{end}")) for end in ("source", "target")]
+    edges = g.edges.join(ends[0], "source").join(ends[1], "target").where("_source or _target")
+    edges = edges.select("source", "target", F.to_json(F.struct(*g.edges.columns)).alias("j")).orderBy(*EDGE_ORDER).collect()
+    return {r["id"]: json.loads(r["j"]) for r in nodes}, [(r["source"], r["target"], json.loads(r["j"])) for r in edges]
+
+
+def build_pack(found: DataFrame, g: Graph, max_bytes: int = PACK_BYTES, built_at: int = 0) -> dict:
+    """Paths by confidence while the serialised pack, with the nodes of its paths and all edges among them, is within max_bytes.
+
+    A path too large leaves nothing behind and later ones may fit. Paths come to the driver one
+    partition at a time, and none once no path could fit.
     """
-    most = max_bytes // 64
-    rows = found.orderBy(F.array_max(F.transform("confidences", confidence_rank)), "source", "sink", "id").limit(most).collect()
+    rank = F.array_position(F.array(*[F.lit(c) for c in PACK_ORDER]), F.col("confidence"))
     total = found.count()
-    pack = {"schemaVersion": 3, "paths": [], "findings": [], "nodes": [], "edges": [], "prunedPaths": 0}
-    size, kept = len(json.dumps(pack)), set()
-    for r in rows:
-        steps = [{"from": a, "to": b, "relation": k, "confidence": c} for a, b, k, c in zip(r["path"], r["path"][1:], r["relations"], r["confidences"], strict=False)]
-        path = {"source": r["source"], "sink": r["sink"], "steps": steps, "minConfidence": r["confidence"]}
-        finding = {"id": r["id"], "type": r["type"], "severity": r["severity"]}
-        more = len(json.dumps([path, finding]).encode()) + sum(len(json.dumps(x)) + 2 for x in {*r["path"]} - kept)
-        if size + more <= max_bytes:
-            pack["paths"].append(path)
-            pack["findings"].append(finding)
-            kept.update(r["path"])
-            size += more
+    rows = found.orderBy(rank, "source", "sink", "id").toLocalIterator()
+    pack = {"schemaVersion": 3, "disclaimer": DISCLAIMER, "builtAt": built_at, "reposInvolved": [], "paths": [], "nodes": [], "edges": [], "prunedPaths": total, "findings": []}
+    size, inside, repos = _bytes(pack), set(), []
+    nodes: dict[str, dict] = {}
+    while max_bytes - size >= LEAST_PATH and (chunk := list(islice(rows, CHUNK))):
+        new = {x for r in chunk for x in r["path"]} - inside
+        more, edges = _fetched(g, inside, new)
+        nodes = {k: v for k, v in nodes.items() if k in inside} | more
+        touching: dict[str, list[int]] = {}
+        for i, (a, b, _) in enumerate(edges):
+            for end in {a, b} & new:
+                touching.setdefault(end, []).append(i)
+        for r in chunk:
+            steps = [{"from": a, "to": b, "relation": k, "confidence": c} for a, b, k, c in zip(r["path"], r["path"][1:], r["relations"], r["confidences"], strict=False)]
+            crossed = list(dict.fromkeys(nodes[x]["repo"] for x in r["path"] if nodes.get(x, {}).get("repo")))
+            path = {"source": r["source"], "sink": r["sink"], "steps": steps, "minConfidence": r["confidence"], "reposTraversed": crossed}
+            name = {end: nodes.get(r[end], {}).get("label", r[end]) for end in ("source", "sink")}
+            finding = {
+                "id": r["id"], "type": r["type"], "severity": r["severity"], "title": f"{r['type']}: {name['source']} → {name['sink']}",
+                "description": f"Potential {r['type']} vulnerability: tainted data flows from {name['source']} to {name['sink']} through {len(steps)} hop(s).",
+                "evidence": {"sourceNodeId": r["source"], "sinkNodeId": r["sink"], "steps": steps, "reposTraversed": crossed},
+                "relatedNodes": r["related"], "confidence": r["confidence"], "source": "audit.run", "createdAt": built_at,
+            }
+            fresh = [x for x in dict.fromkeys(r["path"]) if x not in inside]
+            reach = inside | set(fresh)
+            joined = sorted({i for x in fresh for i in touching.get(x, ()) if edges[i][0] in reach and edges[i][1] in reach})
+            added = {"paths": [path], "findings": [finding], "nodes": [nodes[x] for x in fresh if x in nodes], "edges": [edges[i][2] for i in joined], "reposInvolved": [x for x in crossed if x not in repos]}
+            commas = sum(len(xs) - (not pack[k]) for k, xs in added.items() if xs)
+            grown = size + commas + sum(_bytes(x) for xs in added.values() for x in xs)
+            if grown <= max_bytes:
+                for k, xs in added.items():
+                    pack[k] += xs
+                inside, repos, size = reach, pack["reposInvolved"], grown
     pack["prunedPaths"] = total - len(pack["paths"])
-    pack["nodes"] = sorted(kept)
-    if kept:
-        spark = found.sparkSession
-        ids = spark.createDataFrame([(x,) for x in sorted(kept)], "id string")
-        from weftline.operators.traversal import EDGE_ORDER, induced
-
-        edges = induced(g.edges, F.broadcast(ids)).orderBy(*EDGE_ORDER).limit(most).collect()
-        for e in edges:
-            edge = {"source": e["source"], "target": e["target"], "relation": e["relation"], "confidence": e["confidence"]}
-            if size + (n := len(json.dumps(edge)) + 2) > max_bytes:
-                break
-            pack["edges"].append(edge)
-            size += n
     return pack
 
 

@@ -461,6 +461,11 @@ def _(w):
     return community.communities(graph(w))
 
 
+@query("C1_communities_in_rounds")
+def _(w):
+    return community.communities_in_rounds(graph(w))
+
+
 @query("C2_graph_payload", DEGREE + ", shown AS (SELECT id FROM nodes LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 600) SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
 def _(w):
     return stats.graph_payload(graph(w), 600)[1].select("source", "target", "relation")

@@ -116,7 +116,7 @@ def _(w):
     g = _whole(w)
     found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g)
-    return w.spark.createDataFrame([("markdown", audit.render_markdown(pack)), ("html", audit.render_html(pack)), ("json", json.dumps(pack))], "format string, text string")
+    return w.spark.createDataFrame([("markdown", audit.render_markdown(pack)), ("html", audit.render_html(pack)), ("json", audit.serialised(pack))], "format string, text string")
 
 
 @query("W11_greedy_budget")
@@ -125,7 +125,7 @@ def _(w):
     g = _whole(w)
     found = audit.findings(source_sink_paths(g, _sources(w), sinks.select("id")), sinks)
     pack = audit.build_pack(found, g, 2048)
-    return w.spark.createDataFrame([(len(pack["paths"]), pack["prunedPaths"], len(json.dumps(pack)) <= 2048)], "kept int, pruned int, fits boolean")
+    return w.spark.createDataFrame([(len(pack["paths"]), pack["prunedPaths"], len(audit.serialised(pack).encode()) <= 2048)], "kept int, pruned int, fits boolean")
 
 
 @query("S7_symbol_index")
