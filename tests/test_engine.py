@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from weftline import schemas
 from weftline.functions.identity import normalize_label, split_identifier
 from weftline.operators import memory as m
-from weftline.operators import resolve, retrieval
+from weftline.operators import multirepo, resolve, retrieval
+from weftline.operators.traversal import Graph
 from weftline.plans import all_queries
 from weftline.sources import extract, files, index, store
 from weftline.streaming import outbox
@@ -148,6 +149,21 @@ def test_extractors(spark):
     assert sum(r["row"] == "error" for r in rows) == 1
 
 
+def test_links_are_anchored_where_names_are_used(spark):
+    ts = 'import { pay } from "pay-lib/x";\nimport { log } from "Log";\nconst run = async (n) => { const f = (x) => { return pay(x); }; return f(n); };\nfunction idle() { return 1; }\nlog(1);\n'
+    py = "from other.tools import fmt\ndef outer():\n    def inner():\n        return fmt(1)\n    return 2\n"
+    src = spark.createDataFrame([("app", "a.ts", "ts", ts), ("app", "b.py", "py", py)], "repo string, file string, lang string, content string")
+    imports = files.imports_of(src.where("lang = 'ts'").select("repo", "file", "content"), "ts").unionByName(files.imports_of(src.where("lang = 'py'").select("repo", "file", "content"), "py"))
+    sites = extract.use_sites(src, imports)
+    assert sorted((r["file"], r["module"], r["label"]) for r in sites.collect()) == [("a.ts", "pay-lib/x", "f"), ("b.py", "other.tools", "inner")]
+    rows = [("app::f", "f", "function", "a.ts", "app"), ("app::a", "a", "module", "a.ts", "app"), ("app::m", "pay-lib", "module", "m.ts", "app"), ("p::pay", "Pay", "function", "p.ts", "p"), ("p::0", "zero", "function", "p.ts", "p"), ("l::x", "x", "function", "l.ts", "l")]
+    nodes = spark.createDataFrame(rows, "id string, label string, kind string, source_file string, repo string")
+    edges = spark.createDataFrame([("app::a", "app::m", "imports_from", "a.ts"), ("app::a", "./p", "imports", "a.ts")], "source string, target string, relation string, source_file string")
+    packages = spark.createDataFrame([("pay-lib", "p"), ("org:log", "l"), ("a.ts", "app")], "package string, target_repo string")
+    got = multirepo.link_workspace(Graph(nodes, edges), imports, packages, sites).select("source", "target", "confidence").collect()
+    assert sorted(map(tuple, got)) == [("app::a", "l::x", "INFERRED"), ("app::a", "p::0", "EXTRACTED"), ("app::f", "p::pay", "EXTRACTED")]
+
+
 def test_read_tree(spark, tmp_path):
     for p, text in (("src/a.ts", "x"), ("node_modules/b.ts", "y"), ("c.min.js", "z"), ("d.yml", "k: 1"), ("e.txt", "t")):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)

@@ -412,12 +412,28 @@ def _(w):
     return _matches(w).select("file", "module", "target_repo", "confidence")
 
 
-@query("X3_link_repos", "SELECT * FROM (VALUES ('app::main', 'a::run', 'AMBIGUOUS'), ('app::main', 'a::aaa', 'AMBIGUOUS'), ('app::main', 'a2', 'AMBIGUOUS'), ('app::u', 'tools::fmt', 'EXTRACTED'), ('app::src/gone.ts', 'tools::fmt', 'INFERRED'), ('b::b', 'a::aaa', 'AMBIGUOUS'), ('b::b', 'a2', 'AMBIGUOUS')) v(source, target, confidence)")
+@query("X3_link_repos", "SELECT * FROM (VALUES ('app::main', 'a::run', 'AMBIGUOUS'), ('app::main', 'a::aaa', 'AMBIGUOUS'), ('app::main', 'a2', 'AMBIGUOUS'), ('app::u', 'tools::fmt', 'EXTRACTED'), ('app::src_gone_ts', 'tools::fmt', 'INFERRED'), ('b::b', 'a::aaa', 'AMBIGUOUS'), ('b::b', 'a2', 'AMBIGUOUS')) v(source, target, confidence)")
 def _(w):
     nodes = w.spark.createDataFrame(REPO_NODES, "id string, label string, kind string, source_file string, repo string")
     return multirepo.link_repos(_matches(w), nodes).select("source", "target", "confidence")
 
 
+LINKS = with_tables("nodes", "edges") + """, packages AS (SELECT 'customer:' || c_custkey AS package, r.r_name AS target_repo FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN (VALUES (1, 10), (2, 30)) v(step, every) ON c_custkey % every = 0 JOIN region r ON r.r_regionkey = (n_regionkey + step) % 5),
+publishers AS (SELECT package, count(*) AS n FROM packages GROUP BY 1), first_of AS (SELECT repo, min(id) AS target FROM nodes GROUP BY 1)
+SELECT e.source, f.target, CASE WHEN min(p.n) = 1 THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM edges e JOIN nodes s ON s.id = e.source JOIN packages k ON k.package = e.target AND k.target_repo <> s.repo JOIN publishers p USING (package) JOIN first_of f ON f.repo = k.target_repo WHERE e.relation = 'imports' GROUP BY ALL"""
+
+
+@query("X3_link_imports", LINKS)
+def _(w):
+    region = w.table("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("target_repo"))
+    home = w.table("customer").join(w.table("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    own = home.select(key("customer", "c_custkey").alias("package"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)).alias("k")).where("cast(substring(package, 10) as long) % 10 = 0")
+    twice = home.select(key("customer", "c_custkey").alias("package"), F.pmod(F.col("n_regionkey") + 2, F.lit(5)).alias("k")).where("cast(substring(package, 10) as long) % 30 = 0")
+    packages = own.unionByName(twice).join(region, "k").select("package", "target_repo")
+    none = w.spark.createDataFrame([], "repo string, file string, module string, names array<string>")
+    return multirepo.link_workspace(graph(w), none, packages).select("source", "target", "confidence")
+
+
 @query("J12_use_sites", with_tables("nodes") + "SELECT repo, source_file AS file, coalesce(min(CASE WHEN kind = 'module' THEN id END), min(id)) AS source FROM nodes WHERE repo IS NOT NULL GROUP BY 1, 2")
 def _(w):
     return w.nodes.where("repo is not null").groupBy("repo", F.col("source_file").alias("file")).agg(F.coalesce(F.min(F.when(F.col("kind") == "module", F.col("id"))), F.min("id")).alias("source"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,6 +68,7 @@ def extract_python(path: str, text: str) -> list[dict]:
 
 
 DECLARATION = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+)*(?:(class|interface)\s+(\w+)(?:\s+(?:extends|implements|:)\s+([\w, ]+))?|function\s*\*?\s*(\w+)|(?:[\w<>\[\], ]+\s+)?(\w+)\s*\([^;{}]*\)\s*(?::[^;{=]+)?(?=\{))")
+ARROW = re.compile(r"\b(\w+)\s*(?::[^=;{}]+)?=\s*(?:async\b\s*)?(?:\w+|\([^()]*\)\s*(?::[^=;{}]+)?)\s*=>(?=\s*\{)")
 CALL = re.compile(r"(?:(\w+)\s*\.\s*)?\b(\w+)\s*\(")
 NOT_CALLED = frozenset("if for while switch catch return function new typeof sizeof super constructor do else throw await".split())
 
@@ -78,10 +80,11 @@ def blank_strings(text: str) -> str:
 
 
 def brace_spans(text: str) -> list[tuple[str, str, int, int, str | None]]:
-    """(name, kind, start, end, bases) of declarations with a body, by matching braces."""
+    """(name, kind, start, end, bases) of declarations and named arrow functions with a body, by matching braces."""
     clean, out = blank_strings(text), []
-    for m in DECLARATION.finditer(clean):
-        name = m[2] or m[4] or m[5]
+    found = [(m, m[2] or m[4] or m[5], m[1] or "function", m[3]) for m in DECLARATION.finditer(clean)]
+    found += [(m, m[1], "function", None) for m in ARROW.finditer(clean)]
+    for m, name, kind, bases in sorted(found, key=lambda x: x[0].start()):
         if not name or name in NOT_CALLED:
             continue
         at = clean.find("{", m.end() - 1 if clean[m.end() - 1] == "{" else m.end())
@@ -93,7 +96,7 @@ def brace_spans(text: str) -> list[tuple[str, str, int, int, str | None]]:
             end += 1
             if not depth:
                 break
-        out.append((name, m[1] or "function", m.start(), end, m[3]))
+        out.append((name, kind, m.start(), end, bases))
     return out
 
 
@@ -174,26 +177,52 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "content").mapInPandas(run, ROWS)
 
 
+def spans_of(lang: str, text: str) -> list[tuple[str, int, int]]:
+    """(name, start, end) of a file's functions, in characters; none of Python that does not parse."""
+    if lang != "py":
+        return [(s[0], s[2], s[3]) for s in brace_spans(text) if s[1] == "function"]
+    try:
+        found = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    except (SyntaxError, ValueError):
+        return []
+    starts = [0, *accumulate(len(x) for x in text.splitlines(keepends=True))]
+    return [(n.name, starts[n.lineno - 1], starts[n.end_lineno]) for n in found]
+
+
 def function_spans(files: DataFrame) -> DataFrame:
-    """(path, name, first, last): spans of the functions of files, in characters for brace languages and lines for Python."""
+    """(path, name, first, last): spans of the functions of files, in characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, lang, text in zip(b["path"], b["lang"], b["content"], strict=True):
-                if lang == "py":
-                    try:
-                        found = [(n.name, n.lineno, n.end_lineno) for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-                    except (SyntaxError, ValueError):
-                        found = []
-                else:
-                    found = [(s[0], s[2], s[3]) for s in brace_spans(text) if s[1] == "function"]
-                rows += [(path, *f) for f in found]
+            rows = [(path, *s) for path, lang, text in zip(b["path"], b["lang"], b["content"], strict=True) for s in spans_of(lang, text or "")]
             yield pd.DataFrame(rows, columns=["path", "name", "first", "last"])
 
     return files.select("path", "lang", "content").mapInPandas(run, "path string, name string, first long, last long")
 
 
+def use_sites(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, file, module, names, label): the functions of files (repo, file, lang, content) that use names of their imports.
+
+    A use is the name as a whole word, and belongs to the innermost function around it; uses
+    outside of functions, as in the import itself, belong to none.
+    """
+    wanted = imports.where(F.size("names") > 0).groupBy("repo", "file").agg(F.collect_set(F.struct("module", "names")).alias("wanted"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for repo, file, lang, text, found in zip(b["repo"], b["file"], b["lang"], b["content"], b["wanted"], strict=True):
+                spans = spans_of(lang, text)
+                for x in found:
+                    uses = [m.start() for name in x["names"] for m in re.finditer(rf"\b{re.escape(name)}\b", text)]
+                    around = [max((s for s in spans if s[1] <= at < s[2]), key=lambda s: s[1], default=None) for at in uses]
+                    rows += [(repo, file, x["module"], list(x["names"]), label) for label in sorted({s[0] for s in around if s})]
+            yield pd.DataFrame(rows, columns=["repo", "file", "module", "names", "label"])
+
+    rows = files.where("content is not null").join(wanted, ["repo", "file"]).select("repo", "file", "lang", "content", "wanted")
+    return rows.mapInPandas(run, "repo string, file string, module string, names array<string>, label string")
+
+
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (path, at, ...) with the innermost span (path, name, first, last) around each, if any.
 
