@@ -10,7 +10,7 @@ from weftline.operators import audit, community, resolve, retrieval, stats
 from weftline.operators import traversal as t
 from weftline.plans.lineage import cut
 from weftline.plans.registry import graph, ids, query
-from weftline.plans.workload import with_tables
+from weftline.plans.workload import key, with_tables
 from weftline.sources import files
 
 N, E, NE = with_tables("nodes"), with_tables("edges"), with_tables("nodes", "edges")
@@ -28,10 +28,16 @@ def _(w):
     return w.nodes.select("id", normalize_label(F.col("label")).alias("name"))
 
 
-@query("F2_split_identifier")
+HUMPS = "label"
+for _a, _b in ((r"[\p{Ll}\p{N}]", r"\p{Lu}"), (r"\p{Lu}+", r"\p{Lu}\p{Ll}"), (r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}")):
+    HUMPS = rf"regexp_replace({HUMPS}, '({_a})({_b})', '\1 \2', 'g')"
+
+
+@query("F2_split_identifier", with_tables("nodes") + rf"SELECT label, array_to_string(list_filter(regexp_split_to_array(lower({HUMPS}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' ') AS parts FROM (SELECT DISTINCT label FROM nodes UNION SELECT url FROM pages UNION SELECT concat('open', upper(event_type), 'Item', event_id, event_type) FROM events)")
 def _(w):
-    rows = w.spark.createDataFrame([(x,) for x in ("openHTTPServer2", "snake_case_name", "éCoLe12b", "X", "")], "name string")
-    return rows.select("name", F.array_join(split_identifier(F.col("name"), unicode=True), " ").alias("parts"))
+    made = w.table("events").select(F.concat(F.lit("open"), F.upper("event_type"), F.lit("Item"), F.col("event_id").cast("string"), "event_type").alias("label"))
+    rows = w.nodes.select("label").union(w.table("pages").select("url")).union(made).distinct()
+    return rows.select("label", F.array_join(split_identifier(F.col("label")), " ").alias("parts"))
 
 
 @query("F3_make_id", N + f"SELECT id, {NORM.format('repo')} || ':' || {NORM.format('label')} AS made FROM nodes WHERE repo IS NOT NULL AND {NORM.format('repo')} <> '' AND {NORM.format('label')} <> ''")
@@ -49,9 +55,18 @@ def _(w):
     return w.nodes.select("source_file", path_hash(F.col("source_file")).alias("h")).distinct()
 
 
-@query("F6_remotes")
+REMOTES = """SELECT remote, normal, split_part(normal, '/', -1) AS name, CASE WHEN len(string_split(normal, '/')) > 2 THEN split_part(normal, '/', -2) END AS org, replace(split_part(normal, '/', -1), '_', '-') AS key FROM (
+SELECT 'git@host.x:Org' || c_custkey || '/Repo_' || c_custkey || '.git' AS remote, 'host.x/org' || c_custkey || '/repo_' || c_custkey AS normal FROM customer
+UNION ALL SELECT 'https://host.x/Org/R' || c_custkey || '/', 'host.x/org/r' || c_custkey FROM customer
+UNION ALL SELECT 'ssh://git@host.x:22/a/b' || c_custkey || '/c.git', 'host.x/a/b' || c_custkey || '/c' FROM customer
+UNION ALL SELECT 'https://u:p@host.x/solo' || c_custkey || '.git', 'host.x/solo' || c_custkey FROM customer)"""
+
+
+@query("F6_remotes", REMOTES)
 def _(w):
-    rows = w.spark.createDataFrame([("git@host.x:Org/Repo.git",), ("https://host.x/Org/Repo/",), ("ssh://git@host.x:22/a/b/c.git",), ("https://u:p@host.x/solo.git",)], "remote string")
+    forms = ("git@host.x:Org%/Repo_%.git", "https://host.x/Org/R%/", "ssh://git@host.x:22/a/b%/c.git", "https://u:p@host.x/solo%.git")
+    k = F.col("c_custkey").cast("string")
+    rows = w.table("customer").select(F.explode(F.array(*[F.replace(F.lit(f), F.lit("%"), k) for f in forms])).alias("remote"))
     name, org = parse_remote(F.col("remote"))
     return rows.select("remote", normalize_remote(F.col("remote")).alias("normal"), name.alias("name"), org.alias("org"), project_key(name).alias("key"))
 
@@ -161,10 +176,18 @@ def _(w):
     return w.nodes.select("id", stats.short_label(F.col("label"), F.col("kind")).alias("short"))
 
 
-@query("P14_signature_text")
+SIGNATURES = """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'public ' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN 'async ' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '* ' ELSE '' END || '(' || CASE WHEN p_size % 7 = 0 THEN '' ELSE 'x' || CASE WHEN p_size % 4 = 0 THEN '?' ELSE '' END || ': ' || p_brand || ', y' END || ') => ' || CASE WHEN p_size % 6 = 0 THEN 'void' ELSE p_type END AS text FROM part"""
+
+
+@query("P14_signature_text", SIGNATURES)
 def _(w):
-    rows = w.spark.createDataFrame([("a", ("number", False), [("x", "T", False, True), ("y", None, False, False)], "public", True, False), ("b", None, [], None, False, False)], f"id string, returnType struct<text: string, nullable: boolean>, parameters array<struct<name: string, type: string, nullable: boolean, optional: boolean>>, accessModifier string, isAsync boolean, isGenerator boolean")
-    return rows.select("id", stats.signature_text(F.struct("returnType", "parameters", "accessModifier", "isAsync", "isGenerator")).alias("text"))
+    size, yes = F.col("p_size"), F.lit(True)
+    by = lambda n: F.pmod(size, F.lit(n)) == 0
+    param = lambda name, kind, optional: F.struct(F.lit(name).alias("name"), kind.cast("string").alias("type"), (~yes).alias("nullable"), optional.alias("optional"))
+    both = F.array(param("x", F.col("p_brand"), by(4)), param("y", F.lit(None), ~yes))
+    result = F.when(~by(6), F.struct(F.col("p_type").alias("text"), (~yes).alias("nullable")))
+    sig = F.struct(result.alias("returnType"), F.when(by(7), F.slice(both, 1, 0)).otherwise(both).alias("parameters"), F.when(by(2), "public").alias("accessModifier"), by(3).alias("isAsync"), by(5).alias("isGenerator"))
+    return w.table("part").select(F.col("p_partkey").alias("id"), sig.alias("sig")).select("id", stats.signature_text(F.col("sig")).alias("text"))
 
 
 @query("P15_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS url FROM pages")
@@ -402,7 +425,16 @@ def _(w):
     return _paths(w).groupBy("source", "sink").agg(F.count("*").alias("paths"))
 
 
-@query("A13_weakest_confidence")
+RANK = "list_position(['EXTRACTED', 'SYNTACTIC', 'INFERRED', 'AMBIGUOUS'], {0})"
+A13 = with_tables("edges", recursive=True, more=f"""reach AS (SELECT seed, seed AS node, 0 AS depth FROM (VALUES {', '.join(f"('{s}')" for s in SOURCES)}) v(seed) UNION SELECT r.seed, e.target, r.depth + 1 FROM reach r JOIN edges e ON e.source = r.node WHERE e.target NOT IN {SINKS} AND r.depth < 19),
+least AS (SELECT seed, node, min(depth) AS depth FROM reach GROUP BY ALL),
+up AS (SELECT l.seed, l.node, l.depth, first(struct_pack(parent := e.source, c := {RANK.format('e.confidence')}) ORDER BY e.source, e.relation, e.context) AS w FROM least l JOIN edges e ON e.target = l.node JOIN least p ON p.seed = l.seed AND p.node = e.source AND p.depth = l.depth - 1 GROUP BY ALL),
+worst AS (SELECT seed, node, depth, CAST(1 AS BIGINT) AS c FROM least WHERE depth = 0 UNION ALL SELECT u.seed, u.node, u.depth, greatest(p.c, u.w.c) FROM worst p JOIN up u ON u.seed = p.seed AND u.w.parent = p.node AND u.depth = p.depth + 1)
+""") + f"""SELECT source, sink, ['EXTRACTED', 'SYNTACTIC', 'INFERRED', 'AMBIGUOUS'][c] AS weakest, count(*) AS n, CAST(min(hops) AS INTEGER) AS hops
+FROM (SELECT p.seed AS source, e.target AS sink, greatest(p.c, {RANK.format('e.confidence')}) AS c, p.depth + 1 AS hops FROM worst p JOIN edges e ON e.source = p.node WHERE e.target IN {SINKS}) GROUP BY source, sink, c"""
+
+
+@query("A13_weakest_confidence", A13)
 def _(w):
     return _paths(w).groupBy("source", "sink", "weakest").agg(F.count("*").alias("n"), F.min("hops").alias("hops"))
 
@@ -589,14 +621,20 @@ def _(w):
     return resolve.retarget_heritage(w.nodes, rows).select("source", "target", "confidence")
 
 
-@query("R1_receiver_type")
+RECEIVERS = """SELECT 'order:' || a.o_orderkey AS source, min('order:' || b.o_orderkey) AS target, 'calls' AS relation, 'EXTRACTED' AS confidence FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderkey <> a.o_orderkey AND b.o_orderkey % 20 = (a.o_orderkey + a.o_orderkey // 64 % 3) % 20 GROUP BY a.o_orderkey"""
+
+
+@query("R1_receiver_type", RECEIVERS)
 def _(w):
-    spark = w.spark
-    nodes = spark.createDataFrame([("a", "Repo", "class", "a.ts"), ("b", "Other", "class", "b.ts"), ("a:save", "save", "method", "a.ts"), ("b:save", "save", "method", "b.ts"), ("c", "main", "function", "c.ts")], "id string, label string, kind string, source_file string")
-    edges = spark.createDataFrame([("a", "a:save", "method", ""), ("b", "b:save", "method", "")], "source string, target string, relation string, context string")
-    calls = spark.createDataFrame([("save", "c", "c.ts", "Other")], "callee string, from_id string, source_file string, receiver_type string")
-    imports = spark.createDataFrame([], "source_file string, local_name string, module string, ord int")
-    return resolve.resolve_calls(nodes, edges, calls, imports)
+    orders = w.table("orders").select(key("order", "o_orderkey").alias("id"), F.col("o_orderkey").alias("k"), key("customer", "o_custkey").alias("owner"))
+    named = lambda k: F.concat(F.lit("op"), F.pmod(k, F.lit(20)).cast("string"))
+    nodes = w.nodes.where("kind = 'class'").select("id", "label", "kind", "source_file").unionByName(orders.select("id", named(F.col("k")).alias("label"), F.lit("method").alias("kind"), F.lit("o.ts").alias("source_file")))
+    edges = orders.select(F.col("owner").alias("source"), F.col("id").alias("target"), F.lit("method").alias("relation"), F.lit("").alias("context"))
+    shift = F.pmod(F.floor(F.col("k") / 64), F.lit(3))
+    types = w.nodes.where("kind = 'class'").select(F.col("id").alias("owner"), F.col("label").alias("receiver_type"))
+    calls = orders.join(types, "owner").select(named(F.col("k") + shift).alias("callee"), F.col("id").alias("from_id"), F.lit("o.ts").alias("source_file"), "receiver_type")
+    none = w.spark.createDataFrame([], "source_file string, local_name string, module string, ord int")
+    return resolve.resolve_calls(nodes, edges, calls, none).where("rung = 'receiver'").select("source", "target", "relation", "confidence")
 
 
 @query("R6_edge_kinds", R_SQL + "SELECT DISTINCT 'calls' AS relation, CAST(1 AS DOUBLE) AS weight FROM picked WHERE rung IS NOT NULL")
@@ -702,9 +740,6 @@ def _(w):
     return w.spark.createDataFrame([(x,) for x in retrieval.question_terms("How does openHTTPServer2 work?")], "term string")
 
 
-HUMPS = "label"
-for _a, _b in ((r"[\p{Ll}\p{N}]", r"\p{Lu}"), (r"\p{Lu}+", r"\p{Lu}\p{Ll}"), (r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}")):
-    HUMPS = rf"regexp_replace({HUMPS}, '({_a})({_b})', '\1 \2', 'g')"
 FORMS = rf"{NORM.format('label')} AS l, regexp_split_to_array(lower({HUMPS}), '[^\p{{L}}\p{{N}}]+') AS words, {NORM.format('source_file')} AS f"
 SCORE = " + ".join(f"CASE WHEN l = '{x}' THEN 100 WHEN list_contains(words, '{x}') THEN 12 WHEN starts_with(l, '{x}') THEN 10 WHEN contains(l, '{x}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{x}') THEN 1 ELSE 0 END" for x in ("supplier", "000000003", "crm"))
 
