@@ -1,5 +1,6 @@
 """Resolution, notes, sources, stores and streams on literal rows; and the registered queries against their SQL."""
 
+import json
 import os
 import subprocess
 import sys
@@ -200,6 +201,20 @@ def test_snapshots(spark, tmp_path):
     assert store.load(spark, root, "nodes")[0].count() == 0
 
 
+def test_node_link_document(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", 'x "}",'), ("a", None)], "id string, label string")
+    edges = spark.createDataFrame([("b", "a", "calls", ""), ("a", "b", "calls", ""), ("a", "b", "uses", "")], "source string, target string, relation string, context string")
+    for name, n, e in (("full", nodes, edges), ("empty", nodes.limit(0), edges.limit(0))):
+        path = str(tmp_path / name)
+        store.write_node_link(n.repartition(3), e.repartition(3), path)
+        parts = sorted(x for x in os.listdir(path) if x.startswith("part-"))
+        doc = json.loads("".join(open(f"{path}/{x}").read() for x in parts))
+        assert [x["id"] for x in doc["nodes"]] == (["a", "b"] if name == "full" else [])
+        assert [(x["source"], x["target"], x["relation"]) for x in doc["links"]] == ([("a", "b", "calls"), ("a", "b", "uses"), ("b", "a", "calls")] if name == "full" else [])
+        back = store.read_node_link(spark, path, n.schema, e.schema)
+        assert sorted(map(tuple, back[0].collect()), key=str) == sorted(map(tuple, n.collect()), key=str) and back[1].count() == len(doc["links"])
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "ok").write_text('{"observation_id": "o", "node_id": "n", "role": "about", "created_at": 1}\n\n')
     assert store.read_lines(spark, str(tmp_path / "ok"), schemas.ANCHORS).count() == 1

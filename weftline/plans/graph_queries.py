@@ -355,25 +355,54 @@ def _(w):
 
 PAIRS = [("part:5", "customer:7"), ("region:0", "part:9"), ("supplier:3", "supplier:4"), ("order:11", "order:11"), ("region:1", "region:2")]
 BOTH = "SELECT source AS src, target AS dst FROM edges UNION ALL SELECT target, source FROM edges"
-G5_SQL = with_tables("edges", recursive=True, more=f"""pairs AS (SELECT * FROM (VALUES {', '.join(str(p) for p in PAIRS)}) v(seed, target)),
+G5_TREE = with_tables("edges", recursive=True, more=f"""pairs AS (SELECT * FROM (VALUES {', '.join(str(p) for p in PAIRS)}) v(seed, target)),
 walk AS (SELECT DISTINCT * FROM ({BOTH})),
-reach AS (SELECT DISTINCT seed, seed AS node, 0 AS depth FROM pairs UNION SELECT r.seed, w.dst, r.depth + 1 FROM reach r JOIN walk w ON w.src = r.node WHERE r.depth < 4)
-""") + "SELECT p.seed, p.target, CAST(min(depth) AS INTEGER) AS hops FROM pairs p JOIN reach r ON r.seed = p.seed AND r.node = p.target GROUP BY p.seed, p.target"
+reach AS (SELECT DISTINCT seed, seed AS node, 0 AS depth FROM pairs UNION SELECT r.seed, w.dst, r.depth + 1 FROM reach r JOIN walk w ON w.src = r.node WHERE r.depth < 8),
+least AS (SELECT seed, node, min(depth) AS depth FROM reach GROUP BY ALL)
+""").rstrip()
+G5_STEPS = """,
+ways AS (SELECT source AS parent, target AS node, 0 AS dir, * EXCLUDE (source, target), source, target FROM edges UNION ALL SELECT target, source, 1, * EXCLUDE (source, target), source, target FROM edges),
+up AS (SELECT l.seed, l.node, l.depth, min(struct_pack(parent := w.parent, dir := w.dir, relation := w.relation, source := w.source, target := w.target, context := w.context, confidence := w.confidence)) AS w FROM least l JOIN ways w ON w.node = l.node JOIN least p ON p.seed = l.seed AND p.node = w.parent AND p.depth = l.depth - 1 GROUP BY ALL),
+back AS (SELECT p.seed, p.target, u.node, u.depth, u.w FROM pairs p JOIN up u ON u.seed = p.seed AND u.node = p.target UNION ALL SELECT b.seed, b.target, u.node, u.depth, u.w FROM back b JOIN up u ON u.seed = b.seed AND u.node = b.w.parent)
+SELECT seed, target, CAST(depth - 1 AS INTEGER) AS pos, w.parent AS "from", node AS "to", w.relation AS relation, w.confidence AS confidence FROM back"""
 
 
-@query("G5_shortest_path", G5_SQL)
+@query("G5_shortest_path", G5_TREE + "\nSELECT p.seed, p.target, CAST(l.depth AS INTEGER) AS hops FROM pairs p JOIN least l ON l.seed = p.seed AND l.node = p.target")
 def _(w):
     pairs = w.spark.createDataFrame(PAIRS, "seed string, target string")
-    return t.shortest_paths(graph(w), pairs, 4).select("seed", "target", "hops")
+    return t.shortest_paths(graph(w), pairs).select("seed", "target", "hops")
 
 
-@query("G5_path_steps")
+@query("G5_path_steps", G5_TREE + G5_STEPS)
 def _(w):
     pairs = w.spark.createDataFrame(PAIRS, "seed string, target string")
     return t.shortest_paths(graph(w), pairs).select("seed", "target", F.posexplode("steps").alias("pos", "s")).select("seed", "target", "pos", "s.*")
 
 
-@query("G6_query_graph")
+# the words of a label, as SQL scores them against terms
+FORMS = rf"{NORM.format('label')} AS l, regexp_split_to_array(lower({HUMPS}), '[^\p{{L}}\p{{N}}]+') AS words, {NORM.format('source_file')} AS f"
+
+
+def score_sql(*terms: str) -> str:
+    one = "CASE WHEN l = '{0}' THEN 100 WHEN list_contains(words, '{0}') THEN 12 WHEN starts_with(l, '{0}') THEN 10 WHEN contains(l, '{0}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{0}') THEN 1 ELSE 0 END"
+    return " + ".join(one.format(x) for x in terms)
+
+
+def level_sql(name: str, before: str, seen: str) -> str:
+    """A level of the visit: what `before` leads to, in visiting order, until 40 are seen."""
+    return f"""{name} AS (SELECT id, row_number() OVER (ORDER BY w, id) + (SELECT count(*) FROM ({seen})) AS place FROM (SELECT w.node AS id, min(struct_pack(place := b.place, dir := w.dir, source := w.source, target := w.target, relation := w.relation, context := w.context)) AS w
+    FROM ways w JOIN {before} b ON b.id = w.parent WHERE w.node NOT IN ({seen}) GROUP BY w.node) QUALIFY place <= 40)"""
+
+
+G6 = NE + f""", ways AS (SELECT source AS parent, target AS node, 0 AS dir, source, target, relation, context FROM edges UNION ALL SELECT target, source, 1, source, target, relation, context FROM edges),
+l0 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, {score_sql('supplier', '000000003', 'and', 'customer', '000000007')} AS score FROM (SELECT id, {FORMS} FROM nodes)) WHERE score > 0 QUALIFY place <= 3),
+{level_sql('l1', 'l0', 'SELECT id FROM l0')},
+{level_sql('l2', 'l1', 'SELECT id FROM l0 UNION ALL SELECT id FROM l1')},
+seen AS (SELECT id FROM l0 UNION ALL SELECT id FROM l1 UNION ALL SELECT id FROM l2)
+SELECT id, 'node' AS what FROM seen WHERE id IN (SELECT id FROM nodes) UNION ALL SELECT source || ' ' || relation || ' ' || target, 'edge' FROM edges WHERE source IN (FROM seen) AND target IN (FROM seen)"""
+
+
+@query("G6_query_graph", G6)
 def _(w):
     nodes, edges = retrieval.query_graph(graph(w), "supplier 000000003 and Customer#000000007")
     return nodes.select("id", F.lit("node").alias("what")).unionByName(edges.select(F.concat_ws(" ", "source", "relation", "target").alias("id"), F.lit("edge").alias("what")))
@@ -740,8 +769,7 @@ def _(w):
     return w.spark.createDataFrame([(x,) for x in retrieval.question_terms("How does openHTTPServer2 work?")], "term string")
 
 
-FORMS = rf"{NORM.format('label')} AS l, regexp_split_to_array(lower({HUMPS}), '[^\p{{L}}\p{{N}}]+') AS words, {NORM.format('source_file')} AS f"
-SCORE = " + ".join(f"CASE WHEN l = '{x}' THEN 100 WHEN list_contains(words, '{x}') THEN 12 WHEN starts_with(l, '{x}') THEN 10 WHEN contains(l, '{x}') THEN 3 ELSE 0 END + CASE WHEN contains(f, '{x}') THEN 1 ELSE 0 END" for x in ("supplier", "000000003", "crm"))
+SCORE = score_sql("supplier", "000000003", "crm")
 
 
 @query("T2_node_scores", N + f"SELECT * FROM (SELECT id, CAST({SCORE} AS BIGINT) AS score FROM (SELECT id, {FORMS} FROM nodes)) WHERE score > 0")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.operators import memory as m
 from weftline.operators import multirepo, resolve, retrieval
 from weftline.operators.traversal import Graph
+from weftline.plans.lineage import shared_dir
 from weftline.plans.registry import graph, query
 from weftline.plans.workload import Workload, key, millis, with_tables
 from weftline.sources import extract, files, store
@@ -583,10 +586,12 @@ def _(w):
     return rows.select(F.inline(F.from_json("j", "array<struct<title: string, n: int>>")))
 
 
-@query("K6_node_link")
+@query("K6_node_link", with_tables("nodes", "edges") + "SELECT id, label AS a, kind AS b, repo AS c FROM nodes UNION ALL SELECT source, target, relation, CAST(weight AS VARCHAR) FROM edges")
 def _(w):
-    text = store.node_link(w.nodes.where("kind in ('module', 'config')"), w.edges.where("relation = 'contains'"))
-    return w.spark.createDataFrame([(len(text) > 100,)], "ok boolean")
+    path = f"{shared_dir(w.spark)}/{uuid.uuid4().hex}"
+    store.write_node_link(w.nodes, w.edges, path)
+    nodes, links = store.read_node_link(w.spark, path, w.nodes.schema, w.edges.schema)
+    return nodes.select("id", F.col("label").alias("a"), F.col("kind").alias("b"), F.col("repo").alias("c")).union(links.select("source", "target", "relation", F.col("weight").cast("string")))
 
 
 # --- events

@@ -72,12 +72,27 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return rows.drop("_error")
 
 
-def node_link(nodes: DataFrame, edges: DataFrame, limit: int = 200_000) -> str:
-    """The graph as one node-link JSON document, for graphs of up to `limit` rows."""
-    if nodes.limit(limit + 1).count() > limit or edges.limit(limit + 1).count() > limit:
-        raise ValueError("too large for one document; write JSON lines instead")
-    rows = lambda df, *key: [json.loads(r[0]) for r in df.orderBy(*key).select(F.to_json(F.struct(*df.columns))).collect()]
-    return json.dumps({"directed": True, "multigraph": True, "graph": {}, "nodes": rows(nodes, "id"), "links": rows(edges, "source", "target", "relation")})
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as one node-link JSON document: the text parts under path, in order of their names, are the document.
+
+    A line holds a node or a link; nodes come by id, links by their key. Both are sorted and
+    written by all executors, so a graph of any size can be exported. Ids and edge keys are unique.
+    """
+    part = lambda df, rank, *key: df.select(F.lit(rank).alias("rank"), F.struct(*[F.col(c).cast("string") for c in key], *[F.lit("")] * (4 - len(key))).alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows = part(nodes, 1, "id").union(part(edges, 3, "source", "target", "relation", "context"))
+    first = F.broadcast(rows.groupBy("rank").agg(F.min(F.struct("key", "value")).alias("first")))  # 2 rows
+    rows = rows.join(first, "rank").select("rank", "key", F.when(F.struct("key", "value") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    ends = [(0, '{"directed":true,"multigraph":true,"graph":{},"nodes":['), (2, '],"links":['), (4, "]}")]
+    none = F.struct(*[F.lit("")] * 4).alias("key")
+    frame = nodes.sparkSession.createDataFrame(ends, "rank int, value string").select("rank", none, "value")
+    rows.union(frame).orderBy("rank", "key", "value").select("value").write.text(path)
+
+
+def read_node_link(spark: SparkSession, path: str, nodes: T.StructType, edges: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The nodes and links of a document that write_node_link wrote."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value"))
+    parsed = lambda schema, key: lines.where(F.startswith("value", F.lit("{")) & F.endswith("value", F.lit("}"))).select(F.from_json("value", schema).alias("j")).where(F.col(f"j.{key}").isNotNull()).select("j.*")
+    return parsed(nodes, "id"), parsed(edges, "source")
 
 
 def write_export(rows: DataFrame, path: str) -> None:
