@@ -455,12 +455,19 @@ def _(w):
 
 
 RANK = "list_position(['EXTRACTED', 'SYNTACTIC', 'INFERRED', 'AMBIGUOUS'], {0})"
-A13 = with_tables("edges", recursive=True, more=f"""reach AS (SELECT seed, seed AS node, 0 AS depth FROM (VALUES {', '.join(f"('{s}')" for s in SOURCES)}) v(seed) UNION SELECT r.seed, e.target, r.depth + 1 FROM reach r JOIN edges e ON e.source = r.node WHERE e.target NOT IN {SINKS} AND r.depth < 19),
+
+
+def paths_sql(seeds: str, sinks: tuple[str, ...]) -> str:
+    """ways_in (source, sink, hops, weakest): a row for each path from the trees of seeds (seed) into sinks."""
+    return with_tables("nodes", "edges", recursive=True, more=f"""reach AS (SELECT seed, seed AS node, 0 AS depth FROM ({seeds}) UNION SELECT r.seed, e.target, r.depth + 1 FROM reach r JOIN edges e ON e.source = r.node WHERE e.target NOT IN {sinks} AND r.depth < 19),
 least AS (SELECT seed, node, min(depth) AS depth FROM reach GROUP BY ALL),
 up AS (SELECT l.seed, l.node, l.depth, first(struct_pack(parent := e.source, c := {RANK.format('e.confidence')}) ORDER BY e.source, e.relation, e.context) AS w FROM least l JOIN edges e ON e.target = l.node JOIN least p ON p.seed = l.seed AND p.node = e.source AND p.depth = l.depth - 1 GROUP BY ALL),
-worst AS (SELECT seed, node, depth, CAST(1 AS BIGINT) AS c FROM least WHERE depth = 0 UNION ALL SELECT u.seed, u.node, u.depth, greatest(p.c, u.w.c) FROM worst p JOIN up u ON u.seed = p.seed AND u.w.parent = p.node AND u.depth = p.depth + 1)
-""") + f"""SELECT source, sink, ['EXTRACTED', 'SYNTACTIC', 'INFERRED', 'AMBIGUOUS'][c] AS weakest, count(*) AS n, CAST(min(hops) AS INTEGER) AS hops
-FROM (SELECT p.seed AS source, e.target AS sink, greatest(p.c, {RANK.format('e.confidence')}) AS c, p.depth + 1 AS hops FROM worst p JOIN edges e ON e.source = p.node WHERE e.target IN {SINKS}) GROUP BY source, sink, c"""
+worst AS (SELECT seed, node, depth, CAST(1 AS BIGINT) AS c FROM least WHERE depth = 0 UNION ALL SELECT u.seed, u.node, u.depth, greatest(p.c, u.w.c) FROM worst p JOIN up u ON u.seed = p.seed AND u.w.parent = p.node AND u.depth = p.depth + 1),
+ways_in AS (SELECT p.seed AS source, e.target AS sink, p.depth + 1 AS hops, ['EXTRACTED', 'SYNTACTIC', 'INFERRED', 'AMBIGUOUS'][greatest(p.c, {RANK.format('e.confidence')})] AS weakest FROM worst p JOIN edges e ON e.source = p.node WHERE e.target IN {sinks})
+""")
+
+
+A13 = paths_sql("SELECT unnest([" + ", ".join(f"'{s}'" for s in SOURCES) + "]) AS seed", SINKS) + "SELECT source, sink, weakest, count(*) AS n, CAST(min(hops) AS INTEGER) AS hops FROM ways_in GROUP BY ALL"
 
 
 @query("A13_weakest_confidence", A13)

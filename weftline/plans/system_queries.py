@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import audit, freshness
 from weftline.operators import memory as m
 from weftline.operators.traversal import Graph, source_sink_paths
+from weftline.plans.graph_queries import paths_sql
 from weftline.plans.lineage import cut, shared_dir
 from weftline.plans.registry import graph, ids, query
 from weftline.plans.workload import with_tables
@@ -105,7 +106,7 @@ def _whole(w) -> Graph:
     return Graph(cut(w.nodes), cut(w.edges))
 
 
-@query("U3_audit_paths")
+@query("U3_audit_paths", paths_sql("SELECT id AS seed FROM nodes WHERE kind = 'config'", ("part:5", "part:7")) + "SELECT source, sink, CAST(hops AS INTEGER) AS hops, weakest FROM ways_in")
 def _(w):
     return source_sink_paths(_whole(w), _sources(w), ids(w, "part:5", "part:7", name="id")).select("source", "sink", "hops", "weakest")
 
