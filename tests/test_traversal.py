@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import audit, community, stats
+from weftline.operators import audit, community, html, stats
 from weftline.operators import traversal as t
 from weftline.operators.traversal import Graph
 
@@ -182,3 +182,16 @@ def test_pack_stays_under_its_budget(spark):
         assert [p["sink"] for p in pack["paths"]] == [p["sink"] for p in whole["paths"]][: len(pack["paths"])]
     pack = audit.build_pack(found, g, 4096)
     assert "sql-injection" in audit.render_markdown(pack) and "<table>" in audit.render_html(pack)
+    assert all(f["suggestedActions"] == audit.SUGGESTED["sql-injection"] for f in pack["findings"])
+    assert set(audit.SUGGESTED) == {kind for kind, _ in audit.FINDING_KINDS.values()} | {"taint-flow"}
+
+
+def test_pages_escape_what_they_hold(spark):
+    g = make(spark, ["a", "</script><b>"], calls(("a", "</script><b>"), ("a", "a")))
+    text = html.graph_page(g, "<x>", 10, script="/* lib */")
+    assert text.count("</script>") == 3 and "<title>&lt;x&gt;" in text and "/* lib */" in text
+    data = html.data_of(text)
+    assert [n["id"] for n in data["nodes"]] == ["</script><b>", "a"] and len(data["edges"]) == 2 and not data["truncated"]
+    few = html.data_of(html.graph_page(g, "x", 1))
+    assert [n["id"] for n in few["nodes"]] == ["a"] and len(few["edges"]) == 1 and few["truncated"]
+    assert html.data_of(html.graph_page(make(spark, [], []), "x"))["nodes"] == []

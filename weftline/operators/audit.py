@@ -21,6 +21,49 @@ FINDING_KINDS = {
     "template-render": ("template-injection", "MEDIUM"),
     "weak-crypto": ("weak-crypto", "MEDIUM"),
 }
+# What a finding of each type asks for; the last is for all others.
+SUGGESTED = {
+    "code-injection": [
+        "Evitar pasar datos controlados por el usuario a eval() o new Function().",
+        "Usar una librería de evaluación sandboxed o un parser de expresiones estático.",
+        "Si se requiere ejecución dinámica, validar y aplicar allowlist estricta de expresiones.",
+    ],
+    "command-injection": [
+        "Nunca interpolar input del usuario en comandos de shell.",
+        "Usar APIs parametrizadas (execFile con array de args, sin shell: true).",
+        "Aplicar validación de input y allowlist de comandos permitidos.",
+    ],
+    "sql-injection": [
+        "Usar consultas parametrizadas o prepared statements — nunca concatenación de strings.",
+        "Aplicar query builders con parámetros vinculados (ORM/Knex/pg parameterized).",
+        "Validar y sanitizar todos los valores de usuario antes de interactuar con la DB.",
+    ],
+    "ssrf": [
+        "Validar las URLs salientes contra un allowlist de hosts y esquemas permitidos.",
+        "Bloquear peticiones a rangos IP internos/privados (RFC 1918, loopback, link-local).",
+        "Usar un proxy de egreso con filtrado estricto de destinos.",
+    ],
+    "path-traversal": [
+        "Normalizar la ruta con path.resolve() y verificar que comienza con el directorio base esperado.",
+        "Rechazar paths con segmentos '..' antes de la resolución.",
+        "Usar una allowlist de extensiones y directorios permitidos.",
+    ],
+    "template-injection": [
+        "Nunca pasar strings controlados por el usuario como fuente de template.",
+        "Usar un motor de templates sandboxed con auto-escape habilitado.",
+        "Separar las definiciones de template (estáticas) de los datos de renderizado (dinámicos).",
+    ],
+    "weak-crypto": [
+        "Reemplazar MD5/SHA-1 con SHA-256 o superior para fines de seguridad.",
+        "Usar cifrado autenticado (AES-GCM) en lugar de modos no autenticados.",
+        "Evitar algoritmos criptográficos obsoletos o personalizados.",
+    ],
+    "taint-flow": [
+        "Revisar el flujo de taint de source a sink y evaluar su explotabilidad.",
+        "Aplicar validación de input en el punto de entrada del source.",
+        "Agregar una tarea de revisión de seguridad para este flujo de datos.",
+    ],
+}
 # Sinks outside the graph, as (id, label, category).
 SYNTHETIC_SINKS = (
     ("__sink__eval", "eval()", "eval"),
@@ -167,7 +210,7 @@ def build_pack(found: DataFrame, g: Graph, max_bytes: int = PACK_BYTES, built_at
                 "id": r["id"], "type": r["type"], "severity": r["severity"], "title": f"{r['type']}: {name['source']} → {name['sink']}",
                 "description": f"Potential {r['type']} vulnerability: tainted data flows from {name['source']} to {name['sink']} through {len(steps)} hop(s).",
                 "evidence": {"sourceNodeId": r["source"], "sinkNodeId": r["sink"], "steps": steps, "reposTraversed": crossed},
-                "relatedNodes": r["related"], "confidence": r["confidence"], "source": "audit.run", "createdAt": built_at,
+                "relatedNodes": r["related"], "suggestedActions": SUGGESTED[r["type"]], "confidence": r["confidence"], "source": "audit.run", "createdAt": built_at,
             }
             fresh = [x for x in dict.fromkeys(r["path"]) if x not in inside]
             reach = inside | set(fresh)
@@ -183,20 +226,41 @@ def build_pack(found: DataFrame, g: Graph, max_bytes: int = PACK_BYTES, built_at
     return pack
 
 
+def _sorted(pack: dict) -> list[dict]:
+    return sorted(pack["findings"], key=lambda f: (SEVERITIES.index(f["severity"]), f["id"]))
+
+
+def _tally(pack: dict) -> list[tuple[str, int]]:
+    return [(s, sum(f["severity"] == s for f in pack["findings"])) for s in SEVERITIES]
+
+
+def _way(finding: dict) -> list[str]:
+    steps = finding["evidence"]["steps"]
+    return [finding["evidence"]["sourceNodeId"], *(f"{s['relation']} ({s['confidence']}) {s['to']}" for s in steps)]
+
+
 def render_markdown(pack: dict) -> str:
-    """Findings by severity, then id."""
-    rank = {s: i for i, s in enumerate(SEVERITIES)}
-    lines = ["# Audit", "", f"{len(pack['findings'])} findings, {pack['prunedPaths']} paths left out", ""]
-    for f in sorted(pack["findings"], key=lambda f: (rank[f["severity"]], f["id"])):
-        lines.append(f"- **{f['severity']}** `{f['id']}` {f['type']}")
-    return "\n".join(lines) + "\n"
+    """Counts by severity, then each finding, by severity and id, with its way and what it asks for."""
+    out = ["# Audit", "", f"> {pack['disclaimer']}", "", f"{len(pack['findings'])} findings, {pack['prunedPaths']} paths left out.", "", "| Severity | Findings |", "|---|---|"]
+    out += [f"| {s} | {n} |" for s, n in _tally(pack)]
+    for f in _sorted(pack):
+        out += ["", f"## {f['severity']} {f['title']}", "", f"`{f['id']}` · {f['type']} · {f['confidence']}", "", f["description"], "", "Way: `" + " → ".join(_way(f)) + "`", ""]
+        out += [f"- {x}" for x in f["suggestedActions"]]
+    return "\n".join(out) + "\n"
 
 
 def render_html(pack: dict) -> str:
+    """As render_markdown, as a page; every value is escaped."""
     import html
 
-    rows = "".join(f"<tr><td>{html.escape(f['severity'])}</td><td>{html.escape(f['id'])}</td><td>{html.escape(f['type'])}</td></tr>" for f in pack["findings"])
-    return f"<!doctype html><title>Audit</title><table>{rows}</table>"
+    esc = lambda x: html.escape(str(x))
+    tally = "".join(f"<tr><td>{s}</td><td>{n}</td></tr>" for s, n in _tally(pack))
+    body = "".join(
+        f"<section><h2>{esc(f['severity'])} {esc(f['title'])}</h2><p><code>{esc(f['id'])}</code> {esc(f['type'])} {esc(f['confidence'])}</p><p>{esc(f['description'])}</p>"
+        f"<ol>{''.join(f'<li>{esc(x)}</li>' for x in _way(f))}</ol><ul>{''.join(f'<li>{esc(x)}</li>' for x in f['suggestedActions'])}</ul></section>"
+        for f in _sorted(pack)
+    )
+    return f"<!doctype html><meta charset=utf-8><title>Audit</title><h1>Audit</h1><p>{esc(pack['disclaimer'])}</p><table>{tally}</table>{body}"
 
 
 def roles(ids: DataFrame, sources: DataFrame, sinks: DataFrame, synthetic: str = "__sink__") -> DataFrame:

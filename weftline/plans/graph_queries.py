@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions.identity import make_id, namespaced_id, normalize_label, normalize_remote, parse_remote, path_hash, project_key, split_identifier
-from weftline.operators import audit, community, resolve, retrieval, stats
+from weftline.operators import audit, community, html, resolve, retrieval, stats
 from weftline.operators import traversal as t
 from weftline.plans.lineage import cut
 from weftline.plans.registry import graph, ids, query
@@ -539,6 +539,20 @@ def _(w):
     return stats.graph_payload(graph(w), 600)[1].select("source", "target", "relation")
 
 
+SHOWN = DEGREE + ", shown AS (SELECT id FROM nodes LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 600), drawn AS (SELECT DISTINCT source, target, relation FROM edges WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown))"
+
+
+@query("K11_graph_pages", SHOWN + """, named AS (SELECT id, coalesce(repo, 'unknown') AS r FROM nodes), pairs AS (SELECT DISTINCT a.r, b.r FROM edges JOIN named a ON a.id = source JOIN named b ON b.id = target WHERE a.r <> b.r)
+SELECT 'single' AS mode, (SELECT count(*) FROM shown) AS nodes, (SELECT count(*) FROM drawn) AS edges, CAST(0 AS BIGINT) AS dimmed
+UNION ALL SELECT 'drilldown', (SELECT count(*) FROM shown), (SELECT count(*) FROM drawn), (SELECT count(*) FROM shown JOIN named USING (id) WHERE r <> 'ASIA')
+UNION ALL SELECT 'constellation', (SELECT count(DISTINCT r) FROM named), (SELECT count(*) FROM pairs), 0""")
+def _(w):
+    g = graph(w)
+    pages = [html.data_of(x) for x in (html.graph_page(g, "graph", 600), html.graph_page(g, "graph", 600, "ASIA"), html.constellation_page(g, "repositories"))]
+    rows = [(p["mode"], len(p["nodes"]), len(p["edges"]), sum(n.get("opacity", 1) < 1 for n in p["nodes"])) for p in pages]
+    return w.spark.createDataFrame(rows, "mode string, nodes long, edges long, dimmed long")
+
+
 @query("C5_vis_nodes", DEGREE + f", god AS (SELECT id FROM d JOIN nodes USING (id) ORDER BY degree DESC, id LIMIT 12) SELECT id, CASE WHEN god.id IS NOT NULL OR kind = 'module' THEN label ELSE '' END AS label, {LAYER} AS \"group\", coalesce(degree, 0) AS degree, god.id IS NOT NULL AS is_god FROM nodes LEFT JOIN d USING (id) LEFT JOIN god USING (id)")
 def _(w):
     return stats.vis_nodes(graph(w))
