@@ -689,3 +689,32 @@ def test_pipeline_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     check_sequences(packed, 4096)
     assert {p["doc_id"] for p in packed} == ids
+
+
+def test_pipeline_on_nulls_repeats_and_empty_tables(spark, sf_dir, docs, rows, bench, tmp_path):
+    import corpus_pipeline
+
+    learn = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id between 1000 and 1060")
+    for c in CLASH:
+        learn = learn.withColumn(c, F.lit(7))
+    clash = docs.unionByName(learn).withColumns({c: F.lit("x") for c in ("component_id", "sequence_id", "offset", "rn", "n_hit", "piece")})
+    kept = {}
+    for name, table in (("full", clash), ("empty", clash.limit(0))):
+        folder = tmp_path / name
+        table.write.parquet(f"{folder}/documents.parquet")
+        bench.limit(0 if name == "empty" else 6).write.parquet(f"{folder}/benchmark.parquet")
+        current = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            out = run(spark, current, str(folder)).cache()
+            assert out.columns == clash.columns, stage
+            kept[name, stage] = Counter((r["doc_id"], r["text"]) for r in out.collect())
+            assert stage == "line_dedup" or not kept[name, stage] - Counter((r["doc_id"], r["text"]) for r in current.collect()), stage
+            current = out
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        check_sequences(packed, 4096)
+        assert Counter({p["doc_id"] for p in packed}) == Counter({i for i, _ in kept[name, "decontamination"]})
+    first = kept["full", "language_id"]
+    assert not any(not t or not any(c.isalpha() for c in t) for _, t in first) and first[(4, rows[3][1])] == 2
+    assert not any(kept["empty", s] for s, _ in corpus_pipeline.STAGES[:-1])
+    near = kept["full", "near_duplicates"]
+    assert (3, rows[3][1]) in near and (None, rows[3][1]) in near and not {4, 5, 6} & {i for i, _ in near}
