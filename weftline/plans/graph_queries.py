@@ -412,14 +412,14 @@ G7_STEP = f"SELECT source AS src, target AS dst FROM edges WHERE relation IN {IM
 G7_SEEDS = "SELECT seed, seed AS node FROM (VALUES ('part:5'), ('supplier:3'), ('customer:7')) s(seed)"
 
 
-@query("G7_impact", with_tables("edges", recursive=True, more=bfs_sql(G7_STEP, G7_SEEDS, 2)) + "SELECT seed, node, CAST(depth AS INTEGER) AS depth FROM least_depth")
+@query("G7_impact", with_tables("edges", recursive=True, more=bfs_sql(G7_STEP, G7_SEEDS, 3)) + "SELECT seed, node, CAST(depth AS INTEGER) AS depth FROM least_depth")
 def _(w):
-    return t.impact(graph(w), ids(w, "part:5", "supplier:3", "customer:7"), 2)
+    return t.impact(graph(w), ids(w, "part:5", "supplier:3", "customer:7"))
 
 
-@query("G7_impact_categories", with_tables("nodes", "edges", recursive=True, more=bfs_sql(G7_STEP, G7_SEEDS, 2).rstrip() + ",\nhit AS (SELECT seed, nodes.* FROM least_depth JOIN nodes ON id = node)\n") + r"SELECT DISTINCT seed, 'file' AS category, source_file AS value FROM hit UNION SELECT seed, 'test', source_file FROM hit WHERE regexp_matches(source_file, '\.(test|spec)\.|/test/|/tests/|/__tests__/') UNION SELECT seed, 'service', id FROM hit WHERE kind = 'service' UNION SELECT seed, 'config', id FROM hit WHERE kind = 'config' OR file_type = 'config'")
+@query("G7_impact_categories", with_tables("nodes", "edges", recursive=True, more=bfs_sql(G7_STEP, G7_SEEDS, 3).rstrip() + ",\nhit AS (SELECT seed, nodes.* FROM least_depth JOIN nodes ON id = node)\n") + r"SELECT DISTINCT seed, 'file' AS category, source_file AS value FROM hit UNION SELECT seed, 'test', source_file FROM hit WHERE regexp_matches(source_file, '\.(test|spec)\.|/test/|/tests/|/__tests__/') UNION SELECT seed, 'service', id FROM hit WHERE kind = 'service' UNION SELECT seed, 'config', id FROM hit WHERE kind = 'config' OR file_type = 'config'")
 def _(w):
-    return t.impact_categories(graph(w), ids(w, "part:5", "supplier:3", "customer:7"), 2)
+    return t.impact_categories(graph(w), ids(w, "part:5", "supplier:3", "customer:7"))
 
 
 G8 = with_tables("nodes", "edges", recursive=True, more="reach AS (SELECT 'nation:3' AS node UNION SELECT e.target FROM reach JOIN edges e ON e.source = reach.node)\n")
