@@ -140,7 +140,8 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     path = pairs.join(tree.select("seed", F.col("node").alias("target"), F.col("depth").alias("hops")), ["seed", "target"])
     path = path.withColumns({"at": F.col("target"), "steps": F.array().cast("array<struct<from:string,to:string,relation:string,confidence:string>>")})
     up = tree.where("depth > 0").select("seed", F.col("node").alias("at"), "parent", "relation", "confidence")
-    for _ in range(max_hops):  # from the target back to the seed
+    longest = path.agg(F.max("hops")).first()[0] or 0
+    for _ in range(longest):  # from the target back to the seed
         path = path.join(up, ["seed", "at"], "left")
         step = F.array(F.struct(F.col("parent").alias("from"), F.col("at").alias("to"), "relation", "confidence"))
         path = path.withColumn("steps", F.when(F.col("parent").isNull(), F.col("steps")).otherwise(F.concat(step, "steps")))
