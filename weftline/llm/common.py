@@ -46,9 +46,9 @@ class Steps:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
-    def drop(self) -> None:
-        """Deletes the tables; what was read from them must have been written elsewhere."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def drop(self, number: int | None = None) -> None:
+        """Deletes the tables, or one of them; what was read from them must have been written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder if number is None else f"{self.folder}/{number}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

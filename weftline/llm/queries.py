@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, jaccard, langid, lines, packing, sharding, toxicity, urls, warc
+from weftline.llm import centroids, codes, decontaminate, fingerprint, jaccard, langid, lines, packing, pieces, sharding, toxicity, urls, warc
 from weftline.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "offset", "length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op7_jaccard_join, op8_language_id, op9_decontamination, op10_warc)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_url_filters, op3_sharding, op4_fingerprints, op5_packing, op6_line_dedup, op7_jaccard_join, op8_language_id, op9_decontamination, op10_warc, op11_centroids, op12_pieces, op13_vector_codes)
+}
 
 
 def _op3_sql() -> str:
@@ -93,4 +111,64 @@ k AS (SELECT doc_id, source, text, a, list_filter(a, lambda x: NOT list_contains
 SELECT doc_id, source, CASE WHEN len(keep) < len(a) THEN array_to_string(keep, chr(10)) ELSE text END AS text, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(a) - len(keep) END AS BIGINT) AS n_dropped FROM k
 """
 
-ORACLES: dict[str, str] = {"op3_sharding": _op3_sql(), "op6_line_dedup": _OP6_SQL, "op9_decontamination": _OP9_SQL, "op10_warc": _OP10_SQL}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds one after another, all distances computed."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, vec_id, v, min(CAST(list_dot_product(v, v) - 2 * list_dot_product(v, w) + list_dot_product(w, w) AS BIGINT) * {k} + c) AS m FROM kept, c{i} GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS MATERIALIZED (
+    SELECT c, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS w FROM (
+        SELECT m % {k} AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY ALL) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(u{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN u{i} ON u{i}.c = c{i}.c)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS w FROM kept QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance,
+       CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia, CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(w, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = m % {k}
+"""
+
+
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds with whole sums."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, part.p, x, min(CAST(list_dot_product(x, x) - 2 * list_dot_product(x, w) + list_dot_product(w, w) AS BIGINT) * {entries} + e) AS m
+    FROM part JOIN b{i} ON b{i}.p = part.p GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS MATERIALIZED (
+    SELECT p, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS w FROM (
+        SELECT p, m % {entries} AS e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b{i}.p, b{i}.e, coalesce(u{i}.w, b{i}.w) AS w FROM b{i} LEFT JOIN u{i} ON u{i}.p = b{i}.p AND u{i}.e = b{i}.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings WHERE {_FINITE}),
+part AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS w FROM part WHERE rid <= {entries}),
+{", ".join(steps)},
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS s FROM b{rounds}),
+code AS (SELECT rid, string_agg(lower(printf('%02x', m % {entries})), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN code USING (rid), book
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_sharding": _op3_sql(),
+    "op6_line_dedup": _OP6_SQL,
+    "op9_decontamination": _OP9_SQL,
+    "op10_warc": _OP10_SQL,
+    "op11_centroids": _op11_sql(),
+    "op13_vector_codes": _op13_sql(),
+}
