@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -207,6 +208,25 @@ def test_packing_over_blocks(spark):
     assert len({g["sequence_id"] for g in got}) <= 1.03 * sum(g["length"] for g in got) / 128 + 4
 
 
+@pytest.mark.parametrize("key", ["1", "cast(null as bigint)"])
+def test_blocks_are_even_whatever_the_keys(spark, key):
+    """200,000 pieces that are equal in every column."""
+    n, block = 200_000, packing.BLOCK
+    pieces = packing.cut(spark.range(0, n, 1, 5).selectExpr(f"{key} as doc_id", "0 as piece", "0L as start", "64L as length", "9L as ids_crc32"))
+    blocks = -(-n // block)
+    sizes = [r["count"] for r in packing._dealt(pieces, blocks).groupBy("_block").count().collect()]
+    assert len(sizes) == blocks and sum(sizes) == n and max(sizes) <= block and max(sizes) - min(sizes) <= 1
+
+
+def test_packing_repeats_of_one_row_over_blocks(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(None if i % 2 else 7, "one two three") for i in range(600)], "doc_id long, text string")
+    got = packing.pack_documents(df, public_tokenizers.path(packing.TOKENIZER), capacity=64, block=100).collect()
+    check_sequences(got, 64)
+    assert len(got) == 600 and len({g["sequence_id"] for g in got}) == -(-600 // (64 // got[0]["length"]))
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 21, 60)
@@ -332,6 +352,55 @@ def test_drop_near_copies_keeps_null_ids_and_other_texts(spark):
     assert as_set(out) == Counter(given) - Counter([(1, "one two three")])
 
 
+def brute_rows(rows, size, percent):
+    """Component of each row: rows are vertices of their own, those of one id too; rows without words or id stand alone."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if label[i] != label[j] and a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_a_row_near_nothing_stays_whatever_its_id_has_besides(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    given = [(1, a), (5, a + " more"), (5, b), (7, c), (None, b + " more"), (None, c), (None, c)]
+    out = jaccard.drop_near_copies(spark.createDataFrame(given, "doc_id long, text string"))
+    assert as_set(out) == Counter([(1, a), (5, b), (7, c), (None, b + " more"), (None, c), (None, c)])
+
+
+@pytest.mark.parametrize("limit", [jaccard.FAMILY, 60])
+def test_ids_with_several_texts_are_brute_force(spark, limit):
+    rng = random.Random(limit)
+    given = []
+    for _ in range(8):
+        base = words(rng, rng.choice([8, 30, 90])).split()
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            given.append((rng.randint(1, 30), " ".join(w)))
+    given += [given[3], (given[4][0], given[4][1].upper()), (2, None), (2, ""), (2, None)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    label = brute_rows(given, 4, 85)
+    least = {}
+    for (i, _), k in zip(given, label, strict=True):
+        least[k] = min(i, least.get(k, i))
+    got = jaccard.near_groups(df, 4, 85, limit)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got.collect()) == Counter((i, least[k]) for (i, _), k in zip(given, label, strict=True))
+    kept = jaccard.drop_near_copies(df, 4, 85).collect()
+    full = [(i, k) for (i, t), k in zip(given, label, strict=True) if (t or "").split()]
+    assert Counter(r["doc_id"] for r in kept if (r["text"] or "").split()) == Counter({k: i for i, k in sorted(full, reverse=True)}.values())
+    assert Counter((r["doc_id"], r["text"]) for r in kept if not (r["text"] or "").split()) == Counter([(2, None), (2, "")])
+
+
 def test_long_texts_hash_like_short_ones(monkeypatch):
     text = words(random.Random(1), 3000)
     whole = jaccard.shingles(text, 4)
@@ -440,14 +509,36 @@ def test_language_id(spark, docs):
 
 
 def test_folded_matrix_is_the_kernel_machine():
-    texts = ["the cat sat", "le chat noir", "der hund", "la casa"] * 3
-    rows = []
-    for i, t in enumerate(texts):
+    """Kernel, landmarks, whitening and ridge in plain numpy on sets of hashes, text by text."""
+    rng = random.Random(4)
+    known = [("en", "the cat sat on a mat"), ("fr", "le chat noir et la nuit"), ("de", "der hund und das haus"), ("es", "la casa del perro")]
+    given = [(lang, text + " " + words(rng, 3)) for lang, text in known * 6]
+    asked = ["the mat", "le chat", "das haus", "casa", "x"]
+
+    def grams(text):
         x = np.zeros(langid.HASHES, dtype=np.uint8)
-        langid.presence(t + str(i), x)
-        rows.append((["en", "fr", "de", "es"][i % 4], np.packbits(x).tobytes()))
-    names, score = langid.fit(rows).scores(["the cat sat", "der hund", None, "123"])
-    assert names == ["en", "de", "und", "und"] and (score[:2] > 0.25).all()
+        langid.presence(text, x)
+        return x, set(np.flatnonzero(x).tolist())
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    rows = [(lang, np.packbits(grams(t)[0]).tobytes()) for lang, t in given]
+    sets, languages = [grams(t)[1] for _, t in given], sorted({x for x, _ in given})
+    marks = [s for x in languages for s in [s for s, (lang, _) in zip(sets, given, strict=True) if lang == x][: langid.LANDMARKS_A_LANGUAGE]]
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = value > 1e-6 * value[-1]
+    root = vector[:, keep] / np.sqrt(value[keep])  # of the landmarks' kernel, inverted
+    phi = np.array([[kernel(s, m) for m in marks] for s in sets]) @ root
+    weight = np.diag([1 / sum(x == lang for x, _ in given) for lang, _ in given])
+    want = np.zeros((len(asked), len(languages)))
+    for k, x in enumerate(languages):  # one against the rest
+        y = np.array([1.0 if lang == x else -1.0 for lang, _ in given])
+        w = np.linalg.solve(phi.T @ weight @ phi + langid.RIDGE * np.eye(phi.shape[1]), phi.T @ weight @ y)
+        want[:, k] = np.array([[kernel(grams(t)[1], m) for m in marks] for t in asked]) @ root @ w
+    names, score = langid.fit(rows).scores([*asked, None, "123"])
+    assert names == [languages[k] for k in want.argmax(axis=1)] + ["und", "und"]
+    assert np.allclose(score[: len(asked)], np.clip((1 + want.max(axis=1)) / 2, 0, 1), atol=1e-4) and not score[len(asked) :].any()
 
 
 # --- toxicity

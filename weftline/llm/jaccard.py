@@ -20,6 +20,7 @@ block. All steps report a spanning forest, never all pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import Steps, cut, let_go
 
@@ -103,6 +105,10 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(s)).view(np.int64)
 
 
+def digest_of(s: np.ndarray) -> str:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts that are small enough to hold several times over."""
     for batch in batches:
@@ -163,8 +169,6 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, size))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         let_go()
         counts = order.value
         for batch in _slices(batches):
@@ -175,7 +179,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 take = len(s) - need + _shared(len(s), percent)
                 by = np.argsort(counts[s.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:take]
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                digest.append(digest_of(s))
                 first.append(s[by])
                 width = PARTS if len(s) < LARGE else WIDE
                 parts.append(np.minimum(np.bincount(s & (width - 1), minlength=width), 255).astype(np.uint8).tobytes())
@@ -503,21 +507,32 @@ def region_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     return found if edges is None else found.unionByName(edges)
 
 
-def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int, limit: int = FAMILY) -> DataFrame:
-    """(a, b) spanning the links inside families (rep, fam), whose texts are read from docs."""
+def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int, limit: int = FAMILY, several: DataFrame | None = None) -> DataFrame:
+    """(a, b) spanning the links inside families (rep, fam), whose texts are read from docs.
+
+    several: (doc_id, digest, v) of ids with several texts, of which rep v is the one of that digest.
+    """
     n = families.count()
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = rows.join(F.broadcast(families) if n <= BROADCAST_IDS else families, "rep")
+    if several is None:
+        families = families.select(F.col("rep").alias("doc_id"), "rep", "fam", F.lit(None).cast("string").alias("want"))
+    else:
+        of = several.select(F.col("v").alias("rep"), "doc_id", F.col("digest").alias("want"))
+        families = families.join(of, "rep", "left").select(F.coalesce("doc_id", "rep").alias("doc_id"), "rep", "fam", "want")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(F.broadcast(families) if n <= BROADCAST_IDS else families, "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            found = [s if w is None or w == digest_of(s) else s[:0] for s, w in zip(found, batch.column(3).to_pylist(), strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fam", "rep", "set"])
 
-    members = rows.select("fam", "rep", "text").mapInArrow(make, "fam long, rep long, set array<long>").where(F.size("set") > 0)
+    members = rows.select("fam", "rep", "text", "want").mapInArrow(make, "fam long, rep long, set array<long>").where(F.size("set") > 0)
+    if several is not None:  # rows that repeat both id and text
+        members = members.dropDuplicates(["fam", "rep"])
     sizes = cut(members.groupBy("fam").agg(F.sum(F.size("set").cast("long")).alias("total")))
     alone = members.withColumn("label", F.col("rep"))
     large = sizes.where(F.col("total") > limit).select("fam")
@@ -528,22 +543,32 @@ def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int,
     return cut(found.unionByName(region_links(big, percent, limit)))
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int = FAMILY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
+def _vertices(found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """found with the vertex v of each row that can link; and (doc_id, digest, v) of ids that several such rows have.
 
-    Two texts link when 100 * |x & y| >= percent * |x | y| for their sets of `size`-word
-    shingles; component_id is the smallest doc_id reachable by links, itself included. Null
-    texts and texts without words have no shingles and link with nothing. Rows that share a
-    doc_id are one vertex, which has all the links of one of its texts and of exact copies of
-    any; rows with a null doc_id link with nothing and have a null component.
+    A vertex is a doc_id, or for those ids one number for each of their sets, below all ids.
     """
-    found = cut(profiles(docs, size, percent))
     usable = found.where("n > 0 and doc_id is not null")
-    multi = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    copies = cut(usable.select("doc_id", "digest").join(multi, "digest").where("doc_id > rep").select("doc_id", F.col("digest").alias("_g")))
+    again = cut(usable.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    if again.isEmpty():
+        return found.withColumn("v", F.col("doc_id")), None
+    low = usable.agg(F.min("doc_id")).first()[0]
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    several = cut(usable.join(few, "doc_id").select("doc_id", "digest").distinct())
+    several = cut(several.withColumn("v", F.lit(low) - 1 - F.monotonically_increasing_id()))
+    return found.join(several, ["doc_id", "digest"], "left").withColumn("v", F.coalesce("v", "doc_id")), several
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, digest, n, comp) of every row, comp being any vertex of its component; and what _vertices() has of repeated ids."""
+    found, several = _vertices(cut(profiles(docs, size, percent)))
+    found = found if several is None else cut(found)
+    usable = found.where("n > 0 and doc_id is not null")
+    multi = cut(usable.groupBy("digest").agg(F.min("v").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    copies = cut(usable.select("v", "digest").join(multi, "digest").where("v > rep").select("v").distinct())
     few = copies.count() <= BROADCAST_IDS
-    reps = usable.alias("u").join((F.broadcast(copies) if few else copies).alias("k"), F.expr("u.doc_id = k.doc_id and u.digest = k._g"), "left_anti")
-    reps = reps.select(F.col("doc_id").alias("rep"), "n", "first", "parts")
+    reps = usable.join(F.broadcast(copies) if few else copies, "v", "left_anti").select(F.col("v").alias("rep"), "n", "first", "parts")
+    reps = reps if several is None else reps.dropDuplicates(["rep"])
     smaller = F.floor((F.col("n") * percent + 99) / 100)  # the least size of a partner
     least = F.least(F.lit(SHARED) + F.floor(smaller / SHARED_PER), F.floor((smaller * percent + 99) / 100))
     held = reps.select(F.explode("first").alias("s"), "rep", "n")
@@ -552,22 +577,66 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
         held = cut(held.join(often, "s"))
         enough = held.groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("rep").distinct()
         held = held.join(enough, "rep")
-    parts = reps.select("rep", "parts").dropDuplicates(["rep"])
-    regions = held.join(parts, "rep").select("s", "rep", "n", "parts").repartition("s").sortWithinPartitions("s", "rep")
+    regions = held.join(reps.select("rep", "parts"), "rep").select("s", "rep", "n", "parts").repartition("s").sortWithinPartitions("s", "rep")
     families = components(candidate_links(regions, percent)).select(F.col("v").alias("rep"), F.col("c").alias("fam"))
-    linked = components(family_links(docs, families, size, percent, limit)).select(F.col("v").alias("rep"), F.col("c").alias("comp"))
-    out = found.select("doc_id", "n", "digest").join(multi, "digest", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    return out.join(linked, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    linked = components(family_links(docs, families, size, percent, limit, several)).select(F.col("v").alias("rep"), F.col("c").alias("comp"))
+    out = found.select("doc_id", "n", "digest", "v").join(multi, "digest", "left")
+    links = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "digest", "n", F.when(links, F.coalesce("rep", "v")).alias("rep"))
+    return out.join(linked, "rep", "left").select("doc_id", "digest", "n", F.coalesce("comp", "rep").alias("comp")), several
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, limit: int = FAMILY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Two texts link when 100 * |x & y| >= percent * |x | y| for their sets of `size`-word
+    shingles; component_id is the smallest doc_id reachable by links, itself included. Null
+    texts and texts without words have no shingles and link with nothing. Rows that share a
+    doc_id link by their own texts only; rows with a null doc_id link with nothing and have a
+    null component.
+    """
+    out, several = _grouped(docs, size, percent, limit)
+    if several is None:  # a component's smallest vertex is its smallest id
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    out = cut(out)
+    least = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return out.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_digest(docs: DataFrame, size: int) -> DataFrame:
+    """docs and _near_digest, the digest of each row's set; null for a text without words."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = [shingles(t, size) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            digests = pa.array([digest_of(s) if len(s) else None for s in sets], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "_near_digest"])
+
+    return docs.mapInArrow(go, T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.StringType())]))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of near copies; all columns are kept.
+    """docs without all but one row of each group of near copies, that of the smallest doc_id; all columns are kept.
 
-    Of rows that repeat a doc_id of a larger group none or all stay as that id does; rows that
-    repeat both doc_id and text of a row that stays are dropped. Rows with a null doc_id all stay.
+    Rows that share a doc_id are judged each by its own text: of a group's rows with the
+    smallest id one stays, by the digest of its set. Rows without words stay, but for repeats of
+    both doc_id and text. Rows with a null doc_id all stay.
     """
-    gone = cut(near_groups(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null")
+    out, several = _grouped(docs, size, percent, FAMILY)
+    if several is None:
+        gone = cut(out.where("comp <> doc_id").select("doc_id"))
+        kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    else:
+        out = cut(out.where("comp is not null"))
+        first = out.groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+        gone = cut(out.join(first, "comp").where("doc_id <> first.doc_id or digest <> first.digest").select("doc_id", "digest").distinct())
+        ids = cut(several.select("doc_id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        once = docs.join(ids, "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        more = _with_digest(docs.join(ids, "doc_id", "left_semi").select(*docs.columns), size)
+        lost = gone.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_gone"))
+        more = more.join(lost, (more["doc_id"] == lost["_near_id"]) & (more["_near_digest"] == lost["_near_gone"]), "left_anti")
+        more = more.where("_near_digest is not null").dropDuplicates(["doc_id", "_near_digest"]).unionByName(more.where("_near_digest is null"))
+        kept = once.unionByName(more.select(*docs.columns))
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null")
     return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))

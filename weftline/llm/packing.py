@@ -165,8 +165,20 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return bins, offsets
 
 
+def _dealt(pieces: DataFrame, blocks: int) -> DataFrame:
+    """pieces, which are written, with _block: their rows counted through and dealt in turn, so that blocks differ by one row at most."""
+    number = F.monotonically_increasing_id()
+    rows = pieces.select("*", F.shiftright(number, 33).alias("_part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    counts, before, at = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect(), [], 0  # a row a partition
+    for r in counts:
+        before.append((r["_part"], at))
+        at += r["n"]
+    begins = pieces.sparkSession.createDataFrame(before, "_part long, _at long")
+    return rows.join(F.broadcast(begins), "_part").withColumn("_block", F.pmod(F.col("_at") + F.col("_i"), F.lit(blocks)).cast("int")).drop("_part", "_at", "_i")
+
+
 def _pack_blocks(pieces: DataFrame, blocks: int, capacity: int) -> DataFrame:
-    """pieces (length, ...) with bin (block, number in it) and offset."""
+    """pieces (length, ...), which are written, with bin (block, number in it) and offset."""
 
     def one(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
@@ -174,8 +186,7 @@ def _pack_blocks(pieces: DataFrame, blocks: int, capacity: int) -> DataFrame:
         return block.assign(bin=bins, offset=offsets)
 
     schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", _block int, bin long, offset long"
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*[c for c in pieces.columns if c in ("doc_id", "piece")]), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("_block").applyInPandas(one, schema)
+    return _dealt(pieces, blocks).groupBy("_block").applyInPandas(one, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
