@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
 import public_tokenizers
@@ -161,7 +162,8 @@ def test_chunks_are_segmented_as_whole_texts_are(texts, window):
 
 def _table(data, starts, ends, ids):
     keys, first = np.unique(pieces.hashed(data, starts, ends)[0], return_index=True)
-    return pieces.Table(keys, np.array([len(ids[i]) for i in first]), np.concatenate([ids[i] for i in first]))
+    part = keys.tobytes(), np.array([len(ids[i]) for i in first], dtype="<u2").tobytes(), b"".join(ids[i].tobytes() for i in first)
+    return pickle.loads(pickle.dumps(pieces.Packed([part], "<u2")))
 
 
 def test_words_of_one_hash_are_told_apart(spark, monkeypatch):

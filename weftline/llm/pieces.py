@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Steps, kept
 
 MARK = "▁"
-#: Bytes of the words that every task holds: 12 a word and 2 an id.
-TABLE_BYTES = 128 << 20
+#: Bytes of the words that every task holds: 10 a word and 2 or 4 an id.
+TABLE_BYTES = 96 << 20
+MOST_IDS = 0xFFFF  # of a word in that table
 WINDOW = 4 << 20  # bytes looked at together
 SHORT = 64  # bytes; longer chunks are hashed one by one
 ROWS = 256  # texts at once
@@ -128,7 +129,7 @@ def _window(parts: list[tuple[int, bytes]], apart: bool) -> tuple[list[int], byt
 
 
 def distinct_chunks(docs: DataFrame, path: str) -> DataFrame:
-    """(h, chunk, n) of every distinct chunk of docs (text) and how often it stands."""
+    """(chunk, n) of every distinct chunk of docs (text) and how often it stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
@@ -143,38 +144,49 @@ def distinct_chunks(docs: DataFrame, path: str) -> DataFrame:
                     n = n - np.bincount(place[odd], minlength=len(keys))
                     rows = np.r_[first, odd]
                     chunks = [data[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(np.r_[n, np.ones(len(odd), dtype=np.int64)])], names=["h", "chunk", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(np.r_[n, np.ones(len(odd), dtype=np.int64)])], names=["chunk", "n"])
 
-    return docs.select("text").mapInArrow(count, "h long, chunk string, n long").groupBy("h", "chunk").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 def segmented(chunks: DataFrame, path: str) -> DataFrame:
-    """chunks (h, chunk, n) with the ids of each, as packed bytes."""
+    """chunks (chunk, n) with the hash h of each and its ids, as packed bytes."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            ids = [x.tobytes() for x in model.segment(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["h", "chunk", "n", "ids"])
+            if not batch.num_rows:
+                continue
+            texts = batch.column(0).to_pylist()
+            data = [t.encode() for t in texts]
+            ends = np.cumsum([len(d) for d in data])
+            h = hashed(b"".join(data), np.r_[0, ends[:-1]], ends)[0]
+            ids = [x.tobytes() for x in model.segment(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h), pa.array(ids, pa.binary())], names=["chunk", "n", "h", "ids"])
 
-    return chunks.mapInArrow(go, "h long, chunk string, n long, ids binary")
+    return chunks.mapInArrow(go, "chunk string, n long, h long, ids binary")
 
 
 class Table:
     """Ids by hash: hashes in order, found by their top bits, and the ids one after another."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes.view(np.uint64), kind="stable")
-        begins = np.r_[0, np.cumsum(sizes)][:-1]
-        self.hashes, self.sizes, self.begins, self.ids = hashes[order].view(np.uint64), sizes[order].astype(np.int32), begins[order], ids
-        self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length()))
-        tops = (self.hashes >> self.shift).astype(np.int64)
-        self.first = np.searchsorted(tops, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], kind: str):
+        """parts: hashes (ascending over all), numbers of ids, and ids, as packed bytes."""
+        whole = lambda i, t: np.concatenate([np.frombuffer(p[i], dtype=t) for p in parts] or [np.zeros(0, dtype=t)])
+        self.hashes, self.sizes, self.ids = whole(0, "<i8"), whole(1, "<u2"), whole(2, kind)
+        self.begins = np.zeros(len(self.sizes), dtype=np.uint32)
+        np.cumsum(self.sizes[:-1], dtype=np.uint32, out=self.begins[1:])
+        self.shift = np.uint64(64 - max(1, len(self.hashes).bit_length() - 1))
+        counts = np.bincount(self._top(self.hashes), minlength=1 << (64 - int(self.shift)))
+        self.first = np.zeros(len(counts) + 1, dtype=np.int32)
+        np.cumsum(counts, dtype=np.int32, out=self.first[1:])
+
+    def _top(self, h: np.ndarray) -> np.ndarray:
+        return ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
-        h = h.view(np.uint64)
-        top = (h >> self.shift).astype(np.int64)
+        top = self._top(h)
         at, to = self.first[top], self.first[top + 1]
         out = np.full(len(h), -1, dtype=np.int64)
         rows = np.flatnonzero(at < to)
@@ -187,18 +199,27 @@ class Table:
         return out
 
 
-def _common(table: DataFrame, kind: np.dtype) -> Table:
-    """The rows (h, ids), of checked size, as a Table."""
+class Packed:
+    """A Table in the driver, which never unpacks it; a task that reads it from a broadcast gets the Table."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], kind: str):
+        self.parts, self.kind = parts, kind
+
+    def __reduce__(self):
+        return Table, (self.parts, self.kind)
+
+
+def _common(words: DataFrame, kind: np.dtype) -> Packed:
+    """The rows (h, ids), of checked size, sorted and packed by tasks and fetched a partition at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(1).to_pylist()
-            cols = [[b.column(0).to_numpy().tobytes()], [np.array([len(x) // kind.itemsize for x in ids], dtype="<i4").tobytes()], [b"".join(ids)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["h", "sizes", "ids"])
+            cols = [b.column(0).to_numpy().tobytes(), np.array([len(x) // kind.itemsize for x in ids], dtype="<u2").tobytes(), b"".join(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["h", "sizes", "ids"])
 
-    rows = table.select("h", "ids").mapInArrow(pack, "h binary, sizes binary, ids binary").collect()
-    whole = lambda c, t: np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=t)
-    return Table(whole("h", np.int64), whole("sizes", "<i4"), whole("ids", kind))
+    rows = words.select("h", "ids").repartitionByRange(8, "h").sortWithinPartitions("h").mapInArrow(pack, "h binary, sizes binary, ids binary")
+    return Packed([(bytes(r["h"]), bytes(r["sizes"]), bytes(r["ids"])) for r in rows.toLocalIterator()], kind.str)
 
 
 def _lookups(batch: pa.RecordBatch, column: int, model: Model, table: Table) -> Iterator[tuple[int, list, Iterator]]:
@@ -224,7 +245,7 @@ def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -> DataFr
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind, steps = Model(path).kind, Steps(spark)
     words = steps.put(segmented(distinct_chunks(rows, path), path))
-    weight = 12 + F.octet_length("ids").cast("long")
+    weight = 10 + F.octet_length("ids").cast("long")
     level = F.floor(F.log2("n")).cast("int")
     by_level = sorted(words.groupBy(level.alias("k")).agg(F.sum(weight).alias("w")).collect(), key=lambda r: -r["k"])  # 63 rows at most
     least, room = 1 << 62, table_bytes
@@ -236,9 +257,9 @@ def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -> DataFr
     clash = steps.put(words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.lit(True).alias("clash")))
     clashes = clash.count()
     mark = words.join(F.broadcast(clash) if clashes <= 1_000_000 else clash, "h", "left") if clashes else words.withColumn("clash", F.lit(None).cast("boolean"))
-    common = F.col("clash").isNull() & (F.col("n") >= least)
+    common = F.col("clash").isNull() & (F.col("n") >= least) & (F.octet_length("ids") <= MOST_IDS * kind.itemsize)
     table = spark.sparkContext.broadcast(_common(mark.where(common), kind))
-    if not clashes and room >= 0:
+    if not clashes and room >= 0 and mark.where(~common).isEmpty():
         return _encoded(rows.withColumn("own", F.lit(None).cast("array<struct<chunk:string,ids:binary>>")), path, table, id_type)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,15 +269,16 @@ def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -> DataFr
                 for docs_of, data, starts, ends, heads, places in windows:
                     lost = np.flatnonzero(places < 0)
                     of = np.searchsorted(heads, lost, side="right") - 1
-                    keys = [hashlib.sha256(texts[d].encode()).hexdigest() for d in docs_of]
+                    keys = [int(hashlib.sha256(texts[d].encode()).hexdigest()[:15], 16) for d in docs_of]
                     chunks = [data[starts[i] : ends[i]].decode() for i in lost]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in of], pa.string()), pa.array(chunks, pa.string())], names=["key", "chunk"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in of], pa.int64()), pa.array(chunks, pa.string())], names=["key", "chunk"])
 
-    asked = rows.select("text").mapInArrow(ask, "key string, chunk string").distinct()
+    # texts that share a key share their answers, of which each takes its own
+    asked = rows.select("text").mapInArrow(ask, "key long, chunk string").distinct()
     answers = asked.join(mark.where(~common).select("chunk", "ids"), "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
     answers = steps.put(answers)
     answers = F.broadcast(answers) if answers.count() <= BROADCAST_TEXTS else answers
-    return _encoded(rows.withColumn("key", F.sha2("text", 256)).join(answers, "key", "left").select("doc_id", "text", "own"), path, table, id_type)
+    return _encoded(rows.withColumn("key", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")).join(answers, "key", "left").select("doc_id", "text", "own"), path, table, id_type)
 
 
 def _encoded(rows: DataFrame, path: str, table, id_type: str) -> DataFrame:
@@ -301,7 +323,7 @@ def _joined_back(data, starts, ends, places, table: Table, own: pa.ListArray, do
         n = sizes[here]
         shift = np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
         step = np.arange(len(shift)) - shift
-        out[np.repeat(to[here], n) + step] = table.ids[np.repeat(table.begins[places[here]], n) + step]
+        out[np.repeat(to[here], n) + step] = table.ids[np.repeat(table.begins[places[here]].astype(np.int64), n) + step]
     for i, ids in answers.items():
         out[to[i] : to[i] + len(ids)] = ids
     return out, to
