@@ -186,28 +186,6 @@ def stemmed(c: str) -> Column:
     return F.pandas_udf(_stems, "array<string>")(c)
 
 
-def bm25_search(observations: DataFrame, query: str, limit: int = 10, **only: str | None) -> DataFrame:
-    """(id, score, band, updated_at) of live rows by band, then Okapi BM25 with the title weighing five times; higher is better."""
-    rows = live(observations, **only)
-    terms = list(dict.fromkeys(stems(query)))
-    docs = rows.select("id", "title", "content", "topic_key", "updated_at", stemmed("title").alias("t"), stemmed("content").alias("c"))
-    length = (F.size("t") + F.size("c")).cast("double")
-    total = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg")).first()
-    def times(column: str, term: str) -> Column:
-        return F.size(F.filter(column, lambda x: x == term))
-
-    tf = {t: TITLE_WEIGHT * times("t", t) + times("c", t) for t in terms}
-    counted = docs.select("*", length.alias("len"), *[tf[t].alias(f"tf{i}") for i, t in enumerate(terms)])
-    df = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first() if terms else ()
-    n, mean = total["n"], total["avg"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.lit(n) - df[i] + 0.5) / (F.lit(df[i]) + 0.5)), F.lit(1e-6))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / mean))
-    found = counted.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
-    return found.select("id", F.round(score, 6).alias("score"), band(query).alias("band"), "updated_at").orderBy("band", F.desc("score"), F.desc("updated_at"), "id").limit(limit)
-
-
 def topic_key(kind: str, title: str) -> str:
     return f"{kind}/{_normal(title).replace('_', '-')}"
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.operators import memory as m
-from weftline.operators import multirepo, resolve, retrieval
+from weftline.operators import multirepo, postings, resolve, retrieval
 from weftline.operators.traversal import Graph
-from weftline.plans.lineage import shared_dir
+from weftline.plans.lineage import cut, shared_dir
 from weftline.plans.registry import graph, query
 from weftline.plans.workload import Workload, key, millis, with_tables
 from weftline.sources import extract, files, store
@@ -243,7 +243,70 @@ def _(w):
 
 @query("T3_bm25_search")
 def _(w):
-    return retrieval.bm25_search(obs(w), "the standing of others")
+    return postings.search(obs(w), "the standing of others").select("id", "score", "band", "updated_at")
+
+
+def chained(w: Workload):
+    """Saves of which every three make a topic."""
+    return w.saves.withColumn("topic_key", F.concat(F.lit("doc/"), F.floor(F.col("ts") / 3).cast("string")))
+
+
+def indexed(w: Workload):
+    """An index of words over all notes, a third of which came as a second batch; and the notes."""
+    rows = chained(w)
+    before = cut(m.evolve(rows.where("ts % 3 < 2")))
+    after = cut(m.save(before, rows.where("ts % 3 = 2")))
+    index = postings.PostingsIndex(w.spark, f"{shared_dir(w.spark)}/{uuid.uuid4().hex}", "words")
+    index.update(None, before)
+    index.update(before, after)
+    return index, after
+
+
+WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
+INDEXED = with_tables("saves") + f""", links AS (
+    SELECT *, 'doc/' || (ts // 3) AS topic, row_number() OVER w AS rn, count(*) OVER (PARTITION BY project_key, ts // 3) AS last, first_value(id) OVER w AS live_id
+    FROM saves WINDOW w AS (PARTITION BY project_key, ts // 3 ORDER BY ts, id)),
+notes AS (SELECT live_id AS id, project_key, topic AS topic_key, title, content, ts AS updated_at FROM links WHERE rn = last),
+tok AS (SELECT *, {WORDS.format('title')} AS t, {WORDS.format('content')} AS c FROM notes)"""
+
+
+def bm25_sql(phrases: list[str], prefix: bool = False) -> str:
+    """Okapi BM25 of phrases over tok, by a scan."""
+
+    def times(side: str, phrase: str) -> str:
+        tests = [f"starts_with({side}[i + {k}], '{x}')" if prefix else f"{side}[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())]
+        return f"len(list_filter(range(1, len({side}) + 1), lambda i: coalesce({' AND '.join(tests)}, false)))"
+
+    f = ", ".join(f"5.0 * {times('t', p)} + {times('c', p)} AS f{i}" for i, p in enumerate(phrases))
+    idf = [f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END" for i in range(len(phrases))]
+    terms = " + ".join(f"{x} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i, x in enumerate(idf))
+    some = " OR ".join(f"f{i} > 0" for i in range(len(phrases)))
+    return f""", counted AS MATERIALIZED (SELECT *, len(t) + len(c) AS size, {f} FROM tok),
+total AS (SELECT count(*) AS n, avg(size) AS mean, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(phrases)))} FROM counted),
+hits AS (SELECT counted.*, round({terms}, 6) AS score FROM counted, total WHERE {some})"""
+
+
+def best_sql(query: str) -> str:
+    return f"""SELECT id, score, CASE WHEN topic_key = '{query.replace(' ', '_')}' THEN 0 WHEN contains(lower(coalesce(title, '')), '{query}') THEN 1 WHEN contains(lower(content), '{query}') THEN 2 ELSE 3 END AS band, updated_at
+FROM hits ORDER BY band, score DESC, updated_at DESC, id LIMIT 10"""
+
+
+@query("T3_index_search", INDEXED + bm25_sql(["of the", "of", "the"]) + best_sql("of the"))
+def _(w):
+    index, notes = indexed(w)
+    return postings.search(notes, "of the", index=index).select("id", "score", "band", "updated_at")
+
+
+@query("T3_prefix_retry", INDEXED + bm25_sql(["stan"], prefix=True) + best_sql("stanqx"))
+def _(w):
+    index, notes = indexed(w)
+    return postings.search(notes, "stanqx", index=index).select("id", "score", "band", "updated_at")
+
+
+@query("T3_snippets")
+def _(w):
+    index, notes = indexed(w)
+    return postings.search(notes, "of the", 100, index=index).select("id", "snippet")
 
 
 @query("T7_snippet", S + r"""SELECT id, CASE WHEN "at" = 0 THEN CASE WHEN length(content) > 160 THEN substr(content, 1, 160) || ' …' ELSE content END ELSE
@@ -253,9 +316,11 @@ def _(w):
     return w.saves.where("project_key = 'en'").select("id", retrieval.snippet(F.col("content"), ["the"]).alias("snippet"))
 
 
-@query("T9_index_rows", O + "SELECT project_key, count(*) AS n FROM obs WHERE superseded_by IS NULL GROUP BY 1")
+@query("T9_index_rows", INDEXED + "SELECT project_key, count(*) AS n, CAST(sum(len(t) + len(c)) AS BIGINT) AS words FROM tok WHERE len(t) + len(c) > 0 GROUP BY 1")
 def _(w):
-    return retrieval.live(obs(w)).groupBy("project_key").agg(F.count("*").alias("n"))
+    index, notes = indexed(w)
+    rows = index.rows().select("id", "length").distinct()
+    return notes.join(rows, "id").groupBy("project_key").agg(F.count("*").alias("n"), F.sum("length").alias("words"))
 
 
 @query("T8_stems")

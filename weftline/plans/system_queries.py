@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.operators import audit, freshness
+from weftline.operators import audit, freshness, postings
 from weftline.operators import memory as m
 from weftline.operators.traversal import Graph, source_sink_paths
 from weftline.plans.graph_queries import paths_sql
 from weftline.plans.lineage import cut, shared_dir
+from weftline.plans.memory_queries import INDEXED, bm25_sql, indexed
 from weftline.plans.registry import graph, ids, query
 from weftline.plans.workload import with_tables
 from weftline.sources import ingest, store
@@ -92,10 +93,12 @@ def _(w):
     return w.spark.createDataFrame(out, "c string, graph string, rebuilds int")
 
 
-@query("J1_search_join", with_tables("saves") + "SELECT s.id, s.title FROM saves s WHERE contains(lower(s.title), 'the')")
+@query("J1_search_join", INDEXED + bm25_sql(["the"]) + "SELECT id, title, topic_key, score FROM hits")
 def _(w):
-    hit = w.saves.where(F.contains(F.lower("title"), F.lit("the"))).select("id")
-    return w.saves.join(hit, "id", "left_semi").select("id", "title")
+    index, notes = indexed(w)
+    asked = postings.phrases("the", index.analyzer)
+    hits = postings.scored(index.read(asked), asked, *index.totals())
+    return notes.where("superseded_by is null").join(hits, "id").select("id", "title", "topic_key", F.round("score", 6).alias("score"))
 
 
 def _sources(w):
