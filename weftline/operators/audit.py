@@ -208,7 +208,7 @@ def build_pack(found: DataFrame, g: Graph, max_bytes: int = PACK_BYTES, built_at
             name = {end: nodes.get(r[end], {}).get("label", r[end]) for end in ("source", "sink")}
             finding = {
                 "id": r["id"], "type": r["type"], "severity": r["severity"], "title": f"{r['type']}: {name['source']} → {name['sink']}",
-                "description": f"Potential {r['type']} vulnerability: tainted data flows from {name['source']} to {name['sink']} through {len(steps)} hop(s).",
+                "description": f"{name['sink']} can be reached from {name['source']} in {len(steps)} steps; check what is passed on for {r['type']}.",
                 "evidence": {"sourceNodeId": r["source"], "sinkNodeId": r["sink"], "steps": steps, "reposTraversed": crossed},
                 "relatedNodes": r["related"], "suggestedActions": SUGGESTED[r["type"]], "confidence": r["confidence"], "source": "audit.run", "createdAt": built_at,
             }
