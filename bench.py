@@ -18,7 +18,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     began = time.perf_counter()  # nodes, edges and calls are written once a session, and read by all queries
     work = Workload(spark, sf_dir)
-    for table in (work.nodes, work.edges, work.raw_calls):
+    for table in (work.nodes, work.edges, work.raw_calls):  # edges are stored as they are walked, by both ends
         table.count()
     took = {"snapshot": round(time.perf_counter() - began, 3)}
     all_queries.QUERIES["A1_stats"](spark, sf_dir).collect()  # code generation once

@@ -5,6 +5,10 @@ new node: the first by (parent, direction, relation, edge order). Every operator
 of seeds; state is keyed by seed, so a batch costs as many shuffles as one seed. Each level is
 written to the checkpoint folder, which keeps plans short and makes a lost executor cost one
 level.
+
+Edges may be stored as they are walked (`store_walks`): once by source and once by target, in
+buckets and sorted, the edges of hubs salted. A small frontier then reads its own buckets and
+pages of them; a large one is shuffled to the buckets, while the edges stay where they are.
 """
 
 from __future__ import annotations
@@ -25,63 +29,162 @@ IMPACT_RELATIONS = (*AFFECTED_RELATIONS, "deploys", "reads", "configures", "expo
 CONFIDENCE_RANK = {"EXTRACTED": 0, "SYNTACTIC": 1, "INFERRED": 2, "AMBIGUOUS": 3}
 TEST_PATH = r"\.(test|spec)\.|/test/|/tests/|/__tests__/"
 EDGE_ORDER = ("source", "target", "relation", "context")
-#: Up to this many frontier rows are broadcast to the edges; beyond, Spark picks the join.
+#: Up to this many frontier rows are broadcast to the edges; beyond, they are shuffled to their buckets.
 BROADCAST_FRONTIER = 100_000
+#: Up to this many frontier rows are fetched, so that only their nodes' edges are read.
+SEEK = 1_000
+#: Nodes with more edges are hubs, whose edges are dealt to SALTS buckets.
+HUB, SALTS = 100_000, 16
+#: Up to this many hubs are broadcast; there are no more than edges / HUB.
+BROADCAST_HUBS = 100_000
 
 
 @dataclass(frozen=True)
-class Graph:
-    nodes: DataFrame
-    edges: DataFrame
+class Walks:
+    """The edges with salt and known (whether the end walked to is a node), bucketed by (source, salt) and by (target, salt); and the hubs (node)."""
 
-    def cached(self) -> Graph:
-        return Graph(self.nodes.persist(), self.edges.persist())
+    out: DataFrame
+    back: DataFrame
+    hubs: DataFrame
 
+    def of(self, direction: str) -> list[DataFrame]:
+        """(from, to, dir, relation, confidence, context, salt, known); dir 0 is along the edge, 1 against it."""
+        along, against = _ends(self.out, False, "salt", "known"), _ends(self.back, True, "salt", "known")
+        return {"out": [along], "in": [against], "both": [along, against]}[direction]
 
-def steps(edges: DataFrame, direction: str) -> DataFrame:
-    """(from, to, dir, relation, confidence, ord): edges as they are walked; dir 0 is along the edge, 1 against it."""
-    order = F.struct(*EDGE_ORDER).alias("ord")
-    out = edges.select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit(0).alias("dir"), "relation", "confidence", order)
-    back = edges.select(F.col("target").alias("from"), F.col("source").alias("to"), F.lit(1).alias("dir"), "relation", "confidence", order)
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
+@dataclass(frozen=True)
+class Graph:
+    nodes: DataFrame
+    edges: DataFrame
+    walks: Walks | None = None
 
-def frontier(walk: DataFrame, seeds: DataFrame, depth: int | None, known: DataFrame | None = None, expand_unknown: bool = True, stop: DataFrame | None = None) -> DataFrame:
-    """(seed, node, depth, parent, dir, relation, confidence) of every node reached from seeds (seed, node), seeds at depth 0.
+    def cached(self) -> Graph:
+        return Graph(self.nodes.persist(), self.edges.persist(), self.walks)
+
+
+def _ends(edges: DataFrame, back: bool, *more: str) -> DataFrame:
+    a, b = ("target", "source") if back else ("source", "target")
+    return edges.select(F.col(a).alias("from"), F.col(b).alias("to"), F.lit(int(back)).alias("dir"), "relation", "confidence", "context", *more)
+
+
+def store_walks(g: Graph, buckets: int, name: str, folder: str) -> Graph:
+    """g with its edges written as they are walked, as tables name_out and name_back below the folder."""
+    spark, columns, found, hubs = g.edges.sparkSession, g.edges.columns, [], []
+    for side, a, b in (("out", "source", "target"), ("back", "target", "source")):
+        ids = g.nodes.select(F.col("id").alias(b), F.lit(True).alias("known"))
+        edges = g.edges if side == "out" else g.edges.select("source", "target", "relation", "confidence", "context")
+        g.edges.groupBy(a).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col(a).alias("node")).write.parquet(f"{folder}/{name}_hubs/{side}")
+        hub = spark.read.schema("node string").parquet(f"{folder}/{name}_hubs/{side}")
+        few = hub.count()
+        if few:
+            mine = hub.select(F.col("node").alias(a), F.lit(True).alias("hub"))
+            edges = edges.join(F.broadcast(mine) if few <= BROADCAST_HUBS else mine, a, "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64(b), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub")
+        else:
+            edges = edges.withColumn("salt", F.lit(0))
+        edges = edges.join(ids, b, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        table = f"{name}_{side}"
+        edges.repartition(buckets, a, "salt").write.bucketBy(buckets, a, "salt").sortBy(a, "salt").format("parquet").option("path", f"{folder}/{table}").saveAsTable(table)
+        found.append(spark.table(table))
+        hubs.append(hub)
+    return Graph(g.nodes, found[0].select(*columns), Walks(found[0], found[1], hubs[0].unionByName(hubs[1]).distinct()))
+
+
+def _order() -> Column:
+    """The edge's own order, from a row as it is walked."""
+    along = F.col("dir") == 0
+    a, b = F.col("from"), F.col("to")
+    return F.struct(F.when(along, a).otherwise(b).alias("source"), F.when(along, b).otherwise(a).alias("target"), F.col("relation"), F.col("context")).alias("ord")
+
+
+class Walk:
+    """Some edges of a graph in a direction, to be walked level by level.
+
+    Of a graph without stored walks, the edges are persisted until close().
+    """
 
-    known: ids that exist; others are reported but, unless expand_unknown, not expanded.
-    stop: (seed, node); a seed is dropped from the frontier once it has reached its node.
+    def __init__(self, g: Graph, direction: str, only: Column | None = None, check: bool = True):
+        keep = F.lit(True) if only is None else only
+        self.stored = g.walks is not None
+        if self.stored:
+            self.tables, self.hubs = [t.where(keep) for t in g.walks.of(direction)], g.walks.hubs
+            return
+        rows = [_ends(g.edges.where(keep), back) for back in {"out": [False], "in": [True], "both": [False, True]}[direction]]
+        if check:
+            ids = g.nodes.select(F.col("id").alias("to"), F.lit(True).alias("known"))
+            rows = [r.join(ids, "to", "left").withColumn("known", F.coalesce("known", F.lit(False))) for r in rows]
+        self.tables = [(r if check else r.withColumn("known", F.lit(True))).persist() for r in rows]
+
+    def close(self) -> None:
+        if not self.stored:
+            for t in self.tables:
+                t.unpersist()
+
+    def where(self, keep) -> Walk:
+        """The walk on what keep makes of its tables."""
+        out = object.__new__(Walk)
+        out.__dict__ |= self.__dict__ | {"tables": [keep(t) for t in self.tables]}
+        return out
+
+    def step(self, level: DataFrame) -> tuple[int, DataFrame]:
+        """Rows of level (node, ...), and those rows joined with what is walked from their nodes: (..., from, to, dir, relation, confidence, ord, known)."""
+        few = level.limit(SEEK + 1).collect() if self.stored else []
+        n = len(few) if 0 < len(few) <= SEEK else level.count()
+        if not n:
+            return 0, level
+        names, out = [c for c in level.columns if c != "node"], None
+        for table in self.tables:
+            if self.stored and n <= SEEK:
+                here = level.sparkSession.createDataFrame(few, level.schema)
+                rows = table.where(F.col("from").isin(sorted({r["node"] for r in few if r["node"] is not None}))).join(F.broadcast(here.withColumnRenamed("node", "from")), "from")
+            elif n <= BROADCAST_FRONTIER:
+                rows = table.join(F.broadcast(level.withColumnRenamed("node", "from")), "from")
+            elif self.stored:
+                rows = salted(table, level, self.hubs)
+            else:
+                rows = table.join(level.withColumnRenamed("node", "from"), "from")
+            rows = rows.select(*names, "from", "to", "dir", "relation", "confidence", _order(), "known")
+            out = rows if out is None else out.unionByName(rows)
+        return n, out
+
+
+def salted(table: DataFrame, level: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The rows of a stored table from the nodes of level; a hub's row of level goes to each salt."""
+    hubs = hubs.select(F.col("node"), F.lit(True).alias("_hub"))
+    level = level.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs, "node", "left")
+    salts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return table.join(level.withColumn("salt", F.explode(salts)).drop("_hub").withColumnRenamed("node", "from"), ["from", "salt"])
+
+
+def first_way() -> Column:
+    """The first way into a node, of rows as step() gives them."""
+    return F.min_by(F.struct(F.col("from").alias("parent"), "dir", "relation", "confidence"), F.struct("from", "dir", "relation", "ord"))
+
+
+def frontier(walk: Walk, seeds: DataFrame, depth: int | None, expand_unknown: bool = True) -> DataFrame:
+    """(seed, node, depth, parent, dir, relation, confidence, known) of every node reached from seeds (seed, node), seeds at depth 0.
+
+    Ids without a node are reported but, unless expand_unknown, not expanded; seeds are expanded anyway.
     """
     none = F.lit(None).cast("string")
-    walk = walk.persist()  # every level joins it; it spills, and is let go at the end
-    known = known.select(F.col("id").alias("node")).persist() if known is not None and not expand_unknown else None
     level = cut(seeds.select("seed", "node").distinct())
-    reached = level.select("seed", "node", F.lit(0).alias("depth"), none.alias("parent"), F.lit(None).cast("int").alias("dir"), none.alias("relation"), none.alias("confidence"))
+    reached = level.select("seed", "node", F.lit(0).alias("depth"), none.alias("parent"), F.lit(None).cast("int").alias("dir"), none.alias("relation"), none.alias("confidence"), F.lit(True).alias("known"))
     d = 0
     while depth is None or d < depth:
         d += 1
-        if known is not None and d > 1:
-            level = level.join(known, "node", "left_semi")
-        if stop is not None:
-            level = level.join(reached.join(stop, ["seed", "node"], "left_semi").select("seed").distinct(), "seed", "left_anti")
-        n = level.count()
+        n, found = walk.step(level)
         if not n:
             break
-        near = F.broadcast(level) if n <= BROADCAST_FRONTIER else level
-        found = walk.join(near, walk["from"] == level["node"]).select("seed", F.col("to").alias("node"), F.col("from").alias("parent"), "dir", "relation", "confidence", "ord")
-        found = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
-        first = F.struct("parent", "dir", "relation", "ord")
-        new = found.groupBy("seed", "node").agg(F.min_by(F.struct("parent", "dir", "relation", "confidence"), first).alias("way"))
-        new = cut(new.select("seed", "node", F.lit(d).alias("depth"), "way.*"))
+        found = found.withColumnRenamed("to", "node").join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
+        new = found.groupBy("seed", "node").agg(first_way().alias("way"), F.first("known").alias("known"))
+        new = cut(new.select("seed", "node", F.lit(d).alias("depth"), "way.*", "known"))
         reached = reached.unionByName(new)
-        level = new.select("seed", "node")
-    walk.unpersist()
-    if known is not None:
-        known.unpersist()
+        level = (new if expand_unknown else new.where("known")).select("seed", "node")
+    walk.close()
     return reached
 
 
-def closure(walk: DataFrame, seeds: DataFrame) -> DataFrame:
+def closure(walk: Walk, seeds: DataFrame) -> DataFrame:
     """(seed, node): everything reachable, seeds included; the generic fixpoint."""
     return frontier(walk, seeds, None).select("seed", "node")
 
@@ -89,7 +192,7 @@ def closure(walk: DataFrame, seeds: DataFrame) -> DataFrame:
 def member_closure(g: Graph, seeds: DataFrame) -> DataFrame:
     """(seed, node): modules with all they contain, other seeds alone."""
     modules = seeds.join(g.nodes.where("kind = 'module'").select(F.col("id").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("node"))
-    inside = closure(steps(g.edges.where(F.col("relation").isin(*MEMBER_RELATIONS)), "out"), modules)
+    inside = closure(Walk(g, "out", F.col("relation").isin(*MEMBER_RELATIONS), check=False), modules)
     return inside.unionByName(seeds.select("seed", F.col("seed").alias("node"))).distinct()
 
 
@@ -100,10 +203,9 @@ def affected(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     start from their members; starting nodes are not reported, nor are ids without a node, which
     are not walked through either.
     """
-    edges = g.edges.where(F.col("relation").isin(*AFFECTED_RELATIONS) & (F.col("confidence") != "AMBIGUOUS"))
-    hits = frontier(steps(edges, "in"), member_closure(g, seeds), depth, g.nodes, expand_unknown=False).where("depth > 0")
-    hits = hits.join(g.nodes.select(F.col("id").alias("node")), "node", "left_semi")
-    return hits.select("seed", "node", "depth", F.col("relation").alias("via_relation"))
+    sure = F.col("relation").isin(*AFFECTED_RELATIONS) & (F.col("confidence") != "AMBIGUOUS")
+    hits = frontier(Walk(g, "in", sure), member_closure(g, seeds), depth, expand_unknown=False)
+    return hits.where("depth > 0 and known").select("seed", "node", "depth", F.col("relation").alias("via_relation"))
 
 
 def like_pattern(q: str) -> str:
@@ -131,35 +233,67 @@ def resolve_seed(nodes: DataFrame, query: str) -> DataFrame:
 def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     """(seed, target, hops, steps): an undirected shortest path for each pair (seed, target), if there is one in max_hops.
 
-    steps is an array of (from, to, relation, confidence), relation and confidence being the
-    stored edge's; steps with an endpoint that is no node are left out of it.
+    Both ends are searched, a level at a time and the smaller frontier first, until they meet.
+    Of several shortest paths the one stays that comes first by (parent, direction, relation,
+    edge order) from the target back: all nodes at which the searches meet are followed to the
+    target by the levels of its search, which makes every shortest path's ways known. steps is an
+    array of (from, to, relation, confidence), relation and confidence being the stored edge's;
+    steps with an endpoint that is no node are left out of it.
     """
-    pairs = cut(pairs.distinct())
-    stop = pairs.select("seed", F.col("target").alias("node"))
-    tree = cut(frontier(steps(g.edges, "both"), pairs.select("seed", F.col("seed").alias("node")).distinct(), max_hops, stop=stop if pairs.groupBy("seed").count().where("count > 1").isEmpty() else None))
-    path = pairs.join(tree.select("seed", F.col("node").alias("target"), F.col("depth").alias("hops")), ["seed", "target"])
-    path = path.withColumns({"at": F.col("target"), "steps": F.array().cast("array<struct<from:string,to:string,relation:string,confidence:string>>")})
-    up = tree.where("depth > 0").select("seed", F.col("node").alias("at"), "parent", "relation", "confidence")
-    longest = path.agg(F.max("hops")).first()[0] or 0
-    for _ in range(longest):  # from the target back to the seed
-        path = path.join(up, ["seed", "at"], "left")
+    walk, pairs = Walk(g, "both", check=False), pairs.distinct()
+    pairs = cut(pairs.withColumn("pair", F.struct("seed", "target")))
+    way = [F.lit(None).cast(t).alias(c) for c, t in (("parent", "string"), ("dir", "int"), ("relation", "string"), ("confidence", "string"))]
+    sides = [pairs.select("pair", F.col(end).alias("node"), F.lit(0).alias("depth"), *way) for end in ("seed", "target")]
+    levels, deep, met, new = [s.select("pair", "node") for s in sides], [0, 0], None, None
+    while True:
+        # all searches have gone as far, so those that meet do so at this depth, and at every node of it on a shortest path
+        now = cut(levels[0].join(levels[1], ["pair", "node"]).withColumns({"hops": F.lit(sum(deep)), "left": F.lit(deep[1])}))
+        met = now if met is None else met.unionByName(now)
+        sizes = [x.groupBy("pair").agg(F.count("*").alias(f"n{i}")) for i, x in enumerate(levels)]
+        going = cut(sizes[0].join(sizes[1], "pair").join(now.select("pair").distinct(), "pair", "left_anti"))
+        n = going.agg(F.sum("n0"), F.sum("n1")).first()
+        if n[0] is None or sum(deep) == max_hops:
+            break
+        i = 0 if n[0] <= n[1] else 1
+        levels = [x.join(going.select("pair"), "pair", "left_semi") for x in levels]
+        found = walk.step(levels[i])[1].withColumnRenamed("to", "node").join(sides[i].select("pair", "node"), ["pair", "node"], "left_anti")
+        deep[i] += 1
+        new = cut(found.groupBy("pair", "node").agg(first_way().alias("way")).select("pair", "node", F.lit(deep[i]).alias("depth"), "way.*"))
+        sides[i], levels[i] = sides[i].unionByName(new), new.select("pair", "node")
+    ways = sides[0].where("depth > 0").select("pair", "node", "parent", "relation", "confidence")
+    level = met.select("pair", "node", "left")
+    for _ in range(deep[1]):
+        found = walk.step(level.where("left > 0"))[1]
+        if "to" not in found.columns:
+            break
+        back = sides[1].select("pair", F.col("node").alias("to"), (F.col("depth") + 1).alias("left"))
+        found = found.join(back, ["pair", "to", "left"], "left_semi").withColumnRenamed("to", "node")
+        new = cut(found.groupBy("pair", "node", "left").agg(first_way().alias("way")).select("pair", "node", (F.col("left") - 1).alias("left"), "way.parent", "way.relation", "way.confidence"))
+        ways = ways.unionByName(new.drop("left"))
+        level = new.select("pair", "node", "left")
+    walk.close()
+    path = met.select("pair", "hops").distinct().withColumns({"at": F.col("pair.target"), "steps": F.array().cast("array<struct<from:string,to:string,relation:string,confidence:string>>")})
+    up = ways.withColumnRenamed("node", "at")
+    for _ in range(sum(deep)):  # from the target back to the seed
+        path = path.join(up, ["pair", "at"], "left")
         step = F.array(F.struct(F.col("parent").alias("from"), F.col("at").alias("to"), "relation", "confidence"))
         path = path.withColumn("steps", F.when(F.col("parent").isNull(), F.col("steps")).otherwise(F.concat(step, "steps")))
         path = path.withColumn("at", F.coalesce("parent", "at")).drop("parent", "relation", "confidence")
-    ids = g.nodes.select("id")
-    flat = path.select("seed", "target", F.posexplode("steps").alias("i", "s"))
-    kept = flat.join(ids, F.col("s.from") == ids["id"], "left_semi").join(ids, F.col("s.to") == ids["id"], "left_semi")
-    kept = kept.groupBy("seed", "target").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("k")).select("seed", "target", F.transform("k", lambda x: x["s"]).alias("steps"))
-    out = path.select("seed", "target", "hops").join(kept, ["seed", "target"], "left")
-    return out.withColumn("steps", F.coalesce("steps", F.array().cast(kept.schema["steps"].dataType)))
+    path = cut(path)
+    flat = cut(path.select("pair", F.posexplode("steps").alias("i", "s")))
+    ends = flat.select(F.explode(F.array("s.from", "s.to")).alias("id")).distinct()
+    real = cut(g.nodes.select("id").join(ends, "id", "left_semi"))
+    kept = flat.join(real, F.col("s.from") == real["id"], "left_semi").join(real, F.col("s.to") == real["id"], "left_semi")
+    kept = kept.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("k")).select("pair", F.transform("k", lambda x: x["s"]).alias("steps"))
+    out = path.select("pair", "hops").join(kept, "pair", "left")
+    return out.select("pair.seed", "pair.target", "hops", F.coalesce("steps", F.array().cast(kept.schema["steps"].dataType)).alias("steps"))
 
 
 def impact(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(seed, node, depth): all nodes within `depth` steps over IMPACT_RELATIONS in either direction, the seed included."""
     real = seeds.join(g.nodes.select(F.col("id").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("node"))
-    walk = steps(g.edges.where(F.col("relation").isin(*IMPACT_RELATIONS)), "both")
-    hits = frontier(walk, real, depth, g.nodes, expand_unknown=False)
-    return hits.join(g.nodes.select(F.col("id").alias("node")), "node", "left_semi").select("seed", "node", "depth")
+    hits = frontier(Walk(g, "both", F.col("relation").isin(*IMPACT_RELATIONS)), real, depth, expand_unknown=False)
+    return hits.where("known").select("seed", "node", "depth")
 
 
 def impact_categories(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -177,8 +311,8 @@ def reachable(g: Graph, entries: DataFrame, direction: str = "forward") -> DataF
     """(id, reached) of every node, from entries (id), over all relations and without a depth."""
     ids = g.nodes.select("id")
     start = entries.join(ids, "id", "left_semi").select(F.lit("all").alias("seed"), F.col("id").alias("node"))
-    walk = steps(g.edges, "out" if direction == "forward" else "in")
-    hit = frontier(walk, start, None, ids, expand_unknown=False).select(F.col("node").alias("id"), F.lit(True).alias("reached"))
+    walk = Walk(g, "out" if direction == "forward" else "in")
+    hit = frontier(walk, start, None, expand_unknown=False).select(F.col("node").alias("id"), F.lit(True).alias("reached"))
     return ids.join(hit, "id", "left").select("id", F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
@@ -199,11 +333,17 @@ def source_sink_paths(g: Graph, sources: DataFrame, sinks: DataFrame, max_hops:
     """
     ids = g.nodes.select("id")
     sinks, sources = cut(sinks.select("id").distinct()), sources.join(ids, "id", "left_semi").select("id").distinct()
-    walk = steps(g.edges, "out")
-    open_walk = walk.join(sinks.withColumnRenamed("id", "to"), "to", "left_anti").select(*walk.columns)
-    into = walk.join(sinks.withColumnRenamed("id", "to"), "to", "left_semi")
+    walk = Walk(g, "out").where(lambda t: t.join(sinks.withColumnRenamed("id", "to"), "to", "left_anti"))
     start = sources.select(F.col("id").alias("seed"), F.col("id").alias("node"))
-    tree = cut(frontier(open_walk, start, max_hops - 1, ids, expand_unknown=False))
+    tree = cut(frontier(walk, start, max_hops - 1, expand_unknown=False))
+    against = Walk(g, "in", check=False)
+    n, into = against.step(sinks.withColumnRenamed("id", "node"))
+    if n:
+        into = into.select(F.col("to").alias("node"), F.col("from").alias("sink"), F.col("relation").alias("r"), F.col("confidence").alias("c"))
+        into = cut(into)
+    else:
+        into = sinks.select(*[F.col("id").alias(c) for c in ("node", "sink", "r", "c")])
+    against.close()
     depth = tree.agg(F.max("depth")).first()[0] or 0
     empty = F.array().cast("array<string>")
     level = tree.where("depth = 0").select("seed", "node", F.array("node").alias("path"), empty.alias("relations"), empty.alias("confidences"))
@@ -213,8 +353,8 @@ def source_sink_paths(g: Graph, sources: DataFrame, sinks: DataFrame, max_hops:
         level = tree.where(F.col("depth") == d).join(up, ["seed", "parent"])
         level = cut(level.select("seed", "node", F.concat("path", F.array("node")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("confidences", F.array("confidence")).alias("confidences")))
         grown = grown.unionByName(level)
-    real = grown.join(ids, grown["node"] == ids["id"], "left_semi")
-    last = real.join(into.select(F.col("from").alias("node"), F.col("to").alias("sink"), F.col("relation").alias("r"), F.col("confidence").alias("c"), "ord"), "node")
+    real = grown.join(tree.where("known").select("seed", "node"), ["seed", "node"], "left_semi")
+    last = real.join(into, "node")
     out = last.select(F.col("seed").alias("source"), "sink", F.size("path").alias("hops"), F.concat("path", F.array("sink")).alias("path"), F.concat("relations", F.array("r")).alias("relations"), F.concat("confidences", F.array("c")).alias("confidences"))
     return out.withColumn("weakest", weakest(F.col("confidences")))
 
@@ -242,15 +382,16 @@ def neighbourhood(g: Graph, seeds: DataFrame, depth: int = 2, max_nodes: int = 4
     Order is by depth, then parent's place, then along before against edges, then edge order.
     The frontier never exceeds max_nodes rows, so its one-row-group window is bounded.
     """
-    walk = steps(g.edges, "both")
+    walk = Walk(g, "both", check=False)
     seen = cut(seeds.select("id", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("rank")).cast("long").alias("place")).where(F.col("place") <= max_nodes))
     level = seen
     for d in range(1, depth + 1):
         n = seen.count()
         if n >= max_nodes or level.isEmpty():
             break
-        found = walk.join(F.broadcast(level.select(F.col("id").alias("from"), F.col("place").alias("parent"))), "from").join(F.broadcast(seen.select(F.col("id").alias("to"))), "to", "left_anti")
+        found = walk.step(level.select(F.col("id").alias("node"), F.col("place").alias("parent")))[1].join(F.broadcast(seen.select(F.col("id").alias("to"))), "to", "left_anti")
         new = found.groupBy("to").agg(F.min(F.struct("parent", "dir", "ord")).alias("first")).orderBy("first", "to").limit(max_nodes - n)
         level = cut(new.select(F.col("to").alias("id"), F.lit(d).alias("depth"), (F.row_number().over(Window.orderBy("first", "to")) + n).cast("long").alias("place")))
         seen = seen.unionByName(level)
+    walk.close()
     return seen.select("id", "depth", "place")

@@ -488,12 +488,12 @@ def _(w):
 
 @query("G12_dependency_closure", with_tables("edges", recursive=True, more="reach AS (SELECT 'supplier:3' AS seed, 'supplier:3' AS node UNION SELECT seed, e.target FROM reach JOIN edges e ON e.source = node AND e.relation IN ('deploys', 'contains'))\n") + "SELECT seed, node FROM reach")
 def _(w):
-    return t.closure(t.steps(w.edges.where("relation in ('deploys', 'contains')"), "out"), w.spark.createDataFrame([("supplier:3", "supplier:3")], "seed string, node string"))
+    return t.closure(t.Walk(graph(w), "out", F.col("relation").isin("deploys", "contains"), check=False), w.spark.createDataFrame([("supplier:3", "supplier:3")], "seed string, node string"))
 
 
 @query("J14_frontier_expansion", E + "SELECT DISTINCT source AS node FROM edges WHERE target IN (SELECT source FROM edges WHERE target = 'part:5') AND source NOT IN (SELECT source FROM edges WHERE target = 'part:5') AND source <> 'part:5'")
 def _(w):
-    tree = t.frontier(t.steps(w.edges, "in"), w.spark.createDataFrame([("s", "part:5")], "seed string, node string"), 2)
+    tree = t.frontier(t.Walk(graph(w), "in", check=False), w.spark.createDataFrame([("s", "part:5")], "seed string, node string"), 2)
     return tree.where("depth = 2").select("node")
 
 
@@ -778,7 +778,7 @@ def _(w):
 
 @query("U7_run_audit")
 def _(w):
-    pack = audit.run_audit(t.Graph(cut(w.nodes), cut(w.edges)), _catalog(w), max_bytes=8_192)
+    pack = audit.run_audit(graph(w), _catalog(w), max_bytes=8_192)
     return w.spark.createDataFrame([(f["id"], f["type"], f["severity"]) for f in pack["findings"]], "id string, type string, severity string")
 
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def graph(w: Workload) -> Graph:
-    return Graph(w.nodes, w.edges)
+    return w.graph
 
 
 def ids(w: Workload, *values: str, name: str = "seed") -> DataFrame:

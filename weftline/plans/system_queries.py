@@ -11,7 +11,7 @@ from weftline.operators import audit, freshness, postings
 from weftline.operators import memory as m
 from weftline.operators.traversal import Graph, source_sink_paths
 from weftline.plans.graph_queries import paths_sql
-from weftline.plans.lineage import cut, shared_dir
+from weftline.plans.lineage import shared_dir
 from weftline.plans.memory_queries import INDEXED, bm25_sql, indexed
 from weftline.plans.registry import graph, ids, query
 from weftline.plans.workload import with_tables
@@ -106,7 +106,7 @@ def _sources(w):
 
 
 def _whole(w) -> Graph:
-    return Graph(cut(w.nodes), cut(w.edges))
+    return w.graph
 
 
 @query("U3_audit_paths", paths_sql("SELECT id AS seed FROM nodes WHERE kind = 'config'", ("part:5", "part:7")) + "SELECT source, sink, CAST(hops AS INTEGER) AS hops, weakest FROM ways_in")

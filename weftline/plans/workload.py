@@ -6,12 +6,14 @@ by (source, target, relation, context).
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
+from weftline.operators.traversal import Graph, store_walks
+from weftline.plans.lineage import cut, shared_dir
 
 NODE = ["id", "label", "kind", "file_type", "source_file", "repo"]
 EDGE = ["source", "target", "relation", "confidence", "context", "source_file", "source_location", "weight"]
@@ -28,7 +30,7 @@ def millis(c: str) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame | Graph] = {}
 
 
 class Workload:
@@ -47,9 +49,18 @@ class Workload:
     def nodes(self) -> DataFrame:
         return self._once("nodes", self._nodes)
 
+    @property
+    def graph(self) -> Graph:
+        """Nodes and edges, the edges stored as they are walked."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "graph")
+        if key not in _kept:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            _kept[key] = store_walks(Graph(self.nodes, self._edges()), buckets, f"walks_{uuid.uuid4().hex}", shared_dir(self.spark))
+        return _kept[key]
+
     @property
     def edges(self) -> DataFrame:
-        return self._once("edges", self._edges)
+        return self.graph.edges
 
     @property
     def raw_calls(self) -> DataFrame:
