@@ -17,6 +17,7 @@ DEFINABLE = ("function", "method", "class", "interface")
 HERITAGE = ("inherits", "implements", "extends")
 MOST = 4  # more candidates than this drop the call
 CONFIDENCE_WEIGHT = {"EXTRACTED": 3, "INFERRED": 2}
+KIND = "\0"  # between a candidate's id and its kind, so that candidates sort by id
 EDGE_KEY = ("source", "target", "relation", "context")
 
 
@@ -39,10 +40,11 @@ def definitions(nodes: DataFrame) -> DataFrame:
 
 
 def _first_two(defs: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """keys, count, and the two smallest ids of each group."""
-    one = defs.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.min("id").alias(f"{prefix}_1"))
-    rest = defs.join(one.select(*keys, F.col(f"{prefix}_1").alias("_1")), keys).where(F.col("id") > F.col("_1"))
-    return one.join(rest.groupBy(*keys).agg(F.min("id").alias(f"{prefix}_2")), keys, "left")
+    """keys, count, and the two smallest candidates of each group: ids with their kinds."""
+    defs = defs.select(*keys, F.concat("id", F.lit(KIND), "kind").alias("c"))
+    one = defs.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.min("c").alias(f"{prefix}_1"))
+    rest = defs.join(one.where(F.col(f"{prefix}_n") > 1).select(*keys, F.col(f"{prefix}_1").alias("_1")), keys).where(F.col("c") > F.col("_1"))
+    return one.join(rest.groupBy(*keys).agg(F.min("c").alias(f"{prefix}_2")), keys, "left")
 
 
 def last_imports(imports: DataFrame) -> DataFrame:
@@ -61,34 +63,38 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, imports:
 
     calls: callee, from_id, source_file, receiver_type. imports: source_file, local_name,
     module, ord. scope: (source_file); definitions outside it count only for labels that have
-    none inside. Ties go to the smallest id.
+    none inside. Ties go to the smallest id. Candidates are looked up for the different
+    (callee, file, receiver), not for the calls, which then are joined twice: with what was
+    found, and with their own callers' definitions.
     """
     defs = definitions(nodes)
-    calls = calls.withColumn("name", normalize_label(F.col("callee")))
     if scope is not None:
         inside = defs.join(scope.select("source_file").distinct(), "source_file", "left_semi")
         named = inside.select("name").distinct()
         defs = inside.unionByName(defs.join(named, "name", "left_anti").select(*inside.columns))
     self_def = defs.select(F.col("id").alias("from_id"), "name", F.col("source_file").alias("own_file"), F.lit(1).alias("own"))
     bound = last_imports(imports).select("source_file", normalize_label(F.col("local_name")).alias("name"), "module", module_stem(F.col("module")).alias("stem")).dropDuplicates(["source_file", "name"])
-    rows = calls.join(_first_two(defs, ["name"], "all"), "name")
-    rows = rows.join(_first_two(defs, ["name", "source_file"], "file"), ["name", "source_file"], "left")
-    rows = rows.join(bound, ["name", "source_file"], "left")
-    rows = rows.join(_first_two(defs.withColumn("stem", file_stem(F.col("source_file"))), ["name", "stem"], "mod"), ["name", "stem"], "left")
-    rows = rows.join(self_def, ["from_id", "name"], "left")
-    owned = defs.join(method_owners(nodes, edges), "id").select("id", "name", F.col("owner").alias("receiver"))
-    rows = rows.withColumn("receiver", normalize_label(F.col("receiver_type"))).join(_first_two(owned, ["name", "receiver"], "own_by"), ["name", "receiver"], "left")
+    asked = ["callee", "source_file", "receiver_type"]
+    keys = calls.select(*asked).distinct().withColumns({"name": normalize_label(F.col("callee")), "receiver": normalize_label(F.col("receiver_type"))})
+    keys = keys.join(_first_two(defs, ["name"], "all"), "name")
+    keys = keys.join(_first_two(defs, ["name", "source_file"], "file"), ["name", "source_file"], "left")
+    keys = keys.join(bound, ["name", "source_file"], "left")
+    keys = keys.join(_first_two(defs.withColumn("stem", file_stem(F.col("source_file"))), ["name", "stem"], "mod"), ["name", "stem"], "left")
+    owned = defs.join(method_owners(nodes, edges), "id").select("id", "kind", "name", F.col("owner").alias("receiver"))
+    keys = keys.join(_first_two(owned, ["name", "receiver"], "own_by"), ["name", "receiver"], "left").withColumnsRenamed({c: "_" + c for c in asked})
+    rows = calls.join(keys, [calls[c].eqNullSafe(keys["_" + c]) for c in asked]).join(self_def, ["from_id", "name"], "left")
+    self_id = F.concat("from_id", F.lit(KIND))
 
     def but_self(prefix: str, applies: Column) -> tuple[Column, Column]:
         """Count and first id of the group without the caller itself."""
         mine = F.coalesce(applies, F.lit(False)) & F.col("own").isNotNull()
         n = F.coalesce(F.col(f"{prefix}_n"), F.lit(0)) - mine.cast("int")
-        return n, F.when(mine & (F.col(f"{prefix}_1") == F.col("from_id")), F.col(f"{prefix}_2")).otherwise(F.col(f"{prefix}_1"))
+        return n, F.when(mine & F.startswith(F.col(f"{prefix}_1"), self_id), F.col(f"{prefix}_2")).otherwise(F.col(f"{prefix}_1"))
 
     n_all, first_all = but_self("all", F.lit(True))
     n_file, first_file = but_self("file", F.col("own_file") == F.col("source_file"))
     n_mod, first_mod = but_self("mod", file_stem(F.col("own_file")) == F.col("stem"))
-    first_own = F.when(F.col("own_by_1") == F.col("from_id"), F.col("own_by_2")).otherwise(F.col("own_by_1"))
+    first_own = F.when(F.startswith(F.col("own_by_1"), self_id), F.col("own_by_2")).otherwise(F.col("own_by_1"))
     pick = lambda rung, target, confidence: F.struct(F.lit(rung).alias("rung"), target.alias("target"), F.lit(confidence).alias("confidence"))
     imported = F.col("module").isNotNull()
     choice = (
@@ -102,10 +108,9 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, imports:
         .when(n_all.between(2, MOST), pick("name", first_all, "AMBIGUOUS"))
     )
     rows = rows.withColumn("c", choice).where(F.col("c").isNotNull() & F.col("c.target").isNotNull())
-    kinds = defs.select(F.col("id").alias("target"), "kind")
-    rows = rows.select(F.col("from_id").alias("source"), F.col("c.target").alias("target"), F.col("c.confidence").alias("confidence"), F.col("c.rung").alias("rung"), "source_file").join(kinds, "target")
-    relation = F.when(F.col("kind").isin("class", "interface"), "references").otherwise("calls")
-    return rows.select("source", "target", relation.alias("relation"), "confidence", F.lit("").alias("context"), "source_file", F.lit(1.0).alias("weight"), "rung")
+    target, kind = F.substring_index("c.target", KIND, 1), F.substring_index("c.target", KIND, -1)
+    relation = F.when(kind.isin("class", "interface"), "references").otherwise("calls")
+    return rows.select(F.col("from_id").alias("source"), target.alias("target"), relation.alias("relation"), F.col("c.confidence").alias("confidence"), F.lit("").alias("context"), "source_file", F.lit(1.0).alias("weight"), F.col("c.rung").alias("rung"))
 
 
 def retarget_heritage(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -33,6 +33,10 @@ EDGE_ORDER = ("source", "target", "relation", "context")
 BROADCAST_FRONTIER = 100_000
 #: Up to this many frontier rows are fetched, so that only their nodes' edges are read.
 SEEK = 1_000
+#: A frontier of up to so many rows is stepped from without a file, if no more than SEEK rows come of it.
+TRY = 100
+#: After so many levels what was reached is written as one table, so that plans stay short.
+FOLD = 32
 #: Nodes with more edges are hubs, whose edges are dealt to SALTS buckets.
 HUB, SALTS = 100_000, 16
 #: Up to this many hubs are broadcast; there are no more than edges / HUB.
@@ -148,6 +152,15 @@ class Walk:
         return n, out
 
 
+def _kept(new: DataFrame, n: int) -> tuple[DataFrame, list | None]:
+    """new, which came of n rows, free of its lineage: as rows of the driver if those are few, else as a file; and those rows."""
+    if n <= TRY:
+        few = new.limit(SEEK + 1).collect()
+        if len(few) <= SEEK:
+            return new.sparkSession.createDataFrame(few, new.schema), few
+    return cut(new), None
+
+
 def salted(table: DataFrame, level: DataFrame, hubs: DataFrame) -> DataFrame:
     """The rows of a stored table from the nodes of level; a hub's row of level goes to each salt."""
     hubs = hubs.select(F.col("node"), F.lit(True).alias("_hub"))
@@ -161,14 +174,15 @@ def first_way() -> Column:
     return F.min_by(F.struct(F.col("from").alias("parent"), "dir", "relation", "confidence"), F.struct("from", "dir", "relation", "ord"))
 
 
-def frontier(walk: Walk, seeds: DataFrame, depth: int | None, expand_unknown: bool = True) -> DataFrame:
+def frontier(walk: Walk, seeds: DataFrame, depth: int | None, expand_unknown: bool = True, ways: bool = True) -> DataFrame:
     """(seed, node, depth, parent, dir, relation, confidence, known) of every node reached from seeds (seed, node), seeds at depth 0.
 
-    Ids without a node are reported but, unless expand_unknown, not expanded; seeds are expanded anyway.
+    Ids without a node are reported but, unless expand_unknown, not expanded; seeds are expanded
+    anyway. Without ways, parent to confidence are null, and a level is aggregated by hash, not by sort.
     """
-    none = F.lit(None).cast("string")
-    level = cut(seeds.select("seed", "node").distinct())
-    reached = level.select("seed", "node", F.lit(0).alias("depth"), none.alias("parent"), F.lit(None).cast("int").alias("dir"), none.alias("relation"), none.alias("confidence"), F.lit(True).alias("known"))
+    no_way = [F.lit(None).cast(t).alias(c) for c, t in (("parent", "string"), ("dir", "int"), ("relation", "string"), ("confidence", "string"))]
+    level, _ = _kept(seeds.select("seed", "node").distinct(), 0)
+    reached = level.select("seed", "node", F.lit(0).alias("depth"), *no_way, F.lit(True).alias("known"))
     d = 0
     while depth is None or d < depth:
         d += 1
@@ -176,9 +190,15 @@ def frontier(walk: Walk, seeds: DataFrame, depth: int | None, expand_unknown: bo
         if not n:
             break
         found = found.withColumnRenamed("to", "node").join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
-        new = found.groupBy("seed", "node").agg(first_way().alias("way"), F.first("known").alias("known"))
-        new = cut(new.select("seed", "node", F.lit(d).alias("depth"), "way.*", "known"))
+        if ways:
+            new = found.groupBy("seed", "node").agg(first_way().alias("way"), F.max("known").alias("known")).select("seed", "node", F.lit(d).alias("depth"), "way.*", "known")
+        else:
+            new = found.groupBy("seed", "node").agg(F.max("known").alias("known")).select("seed", "node", F.lit(d).alias("depth"), *no_way, "known")
+        new, few = _kept(new, n)
+        if few is not None and not few:
+            break
         reached = reached.unionByName(new)
+        reached = reached if d % FOLD else cut(reached)
         level = (new if expand_unknown else new.where("known")).select("seed", "node")
     walk.close()
     return reached
@@ -186,7 +206,7 @@ def frontier(walk: Walk, seeds: DataFrame, depth: int | None, expand_unknown: bo
 
 def closure(walk: Walk, seeds: DataFrame) -> DataFrame:
     """(seed, node): everything reachable, seeds included; the generic fixpoint."""
-    return frontier(walk, seeds, None).select("seed", "node")
+    return frontier(walk, seeds, None, ways=False).select("seed", "node")
 
 
 def member_closure(g: Graph, seeds: DataFrame) -> DataFrame:
@@ -241,34 +261,48 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     steps with an endpoint that is no node are left out of it.
     """
     walk, pairs = Walk(g, "both", check=False), pairs.distinct()
-    pairs = cut(pairs.withColumn("pair", F.struct("seed", "target")))
+    pairs, _ = _kept(pairs.withColumn("pair", F.struct("seed", "target")), 0)
     way = [F.lit(None).cast(t).alias(c) for c, t in (("parent", "string"), ("dir", "int"), ("relation", "string"), ("confidence", "string"))]
     sides = [pairs.select("pair", F.col(end).alias("node"), F.lit(0).alias("depth"), *way) for end in ("seed", "target")]
-    levels, deep, met, new = [s.select("pair", "node") for s in sides], [0, 0], None, None
+    levels, deep, met = [s.select("pair", "node") for s in sides], [0, 0], None
     while True:
         # all searches have gone as far, so those that meet do so at this depth, and at every node of it on a shortest path
-        now = cut(levels[0].join(levels[1], ["pair", "node"]).withColumns({"hops": F.lit(sum(deep)), "left": F.lit(deep[1])}))
-        met = now if met is None else met.unionByName(now)
-        sizes = [x.groupBy("pair").agg(F.count("*").alias(f"n{i}")) for i, x in enumerate(levels)]
-        going = cut(sizes[0].join(sizes[1], "pair").join(now.select("pair").distinct(), "pair", "left_anti"))
-        n = going.agg(F.sum("n0"), F.sum("n1")).first()
-        if n[0] is None or sum(deep) == max_hops:
+        ends = levels[0].withColumn("side", F.lit(0)).unionByName(levels[1].withColumn("side", F.lit(1)))
+        ends = ends.groupBy("pair", "node").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+        state = ends.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.expr("n0 > 0 and n1 > 0")).alias("met"))
+        state, _ = _kept(state, 0)
+        sums = state.agg(*[F.sum(F.when(F.expr("met = 0 and n0 > 0 and n1 > 0"), F.col(c))) for c in ("n0", "n1")], F.sum("met")).first()
+        if sums[2]:
+            now = levels[0].join(levels[1], ["pair", "node"]).withColumns({"hops": F.lit(sum(deep)), "left": F.lit(deep[1])})
+            now, _ = _kept(now, 0)
+            met = now if met is None else met.unionByName(now)
+        if sums[0] is None or sum(deep) == max_hops:
             break
-        i = 0 if n[0] <= n[1] else 1
-        levels = [x.join(going.select("pair"), "pair", "left_semi") for x in levels]
-        found = walk.step(levels[i])[1].withColumnRenamed("to", "node").join(sides[i].select("pair", "node"), ["pair", "node"], "left_anti")
+        i = 0 if sums[0] <= sums[1] else 1
+        going = state.where("met = 0 and n0 > 0 and n1 > 0").select("pair")
+        levels = [x.join(going, "pair", "left_semi") for x in levels]
+        n, found = walk.step(levels[i])
+        found = found.withColumnRenamed("to", "node").join(sides[i].select("pair", "node"), ["pair", "node"], "left_anti")
         deep[i] += 1
-        new = cut(found.groupBy("pair", "node").agg(first_way().alias("way")).select("pair", "node", F.lit(deep[i]).alias("depth"), "way.*"))
+        if i:  # the way back is found later, and only where the searches meet
+            new = found.select("pair", "node").distinct().select("pair", "node", F.lit(deep[i]).alias("depth"), *way)
+        else:
+            new = found.groupBy("pair", "node").agg(first_way().alias("way")).select("pair", "node", F.lit(deep[i]).alias("depth"), "way.*")
+        new, _ = _kept(new, n)
         sides[i], levels[i] = sides[i].unionByName(new), new.select("pair", "node")
+    if met is None:
+        walk.close()
+        return pairs.select("seed", "target", F.lit(0).alias("hops"), F.array().cast("array<struct<from:string,to:string,relation:string,confidence:string>>").alias("steps")).where("false")
     ways = sides[0].where("depth > 0").select("pair", "node", "parent", "relation", "confidence")
     level = met.select("pair", "node", "left")
     for _ in range(deep[1]):
-        found = walk.step(level.where("left > 0"))[1]
-        if "to" not in found.columns:
+        n, found = walk.step(level.where("left > 0"))
+        if not n:
             break
         back = sides[1].select("pair", F.col("node").alias("to"), (F.col("depth") + 1).alias("left"))
         found = found.join(back, ["pair", "to", "left"], "left_semi").withColumnRenamed("to", "node")
-        new = cut(found.groupBy("pair", "node", "left").agg(first_way().alias("way")).select("pair", "node", (F.col("left") - 1).alias("left"), "way.parent", "way.relation", "way.confidence"))
+        new = found.groupBy("pair", "node", "left").agg(first_way().alias("way")).select("pair", "node", (F.col("left") - 1).alias("left"), "way.parent", "way.relation", "way.confidence")
+        new, _ = _kept(new, n)
         ways = ways.unionByName(new.drop("left"))
         level = new.select("pair", "node", "left")
     walk.close()
@@ -279,10 +313,10 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
         step = F.array(F.struct(F.col("parent").alias("from"), F.col("at").alias("to"), "relation", "confidence"))
         path = path.withColumn("steps", F.when(F.col("parent").isNull(), F.col("steps")).otherwise(F.concat(step, "steps")))
         path = path.withColumn("at", F.coalesce("parent", "at")).drop("parent", "relation", "confidence")
-    path = cut(path)
-    flat = cut(path.select("pair", F.posexplode("steps").alias("i", "s")))
+    path, _ = _kept(path, 0)
+    flat = path.select("pair", F.posexplode("steps").alias("i", "s"))
     ends = flat.select(F.explode(F.array("s.from", "s.to")).alias("id")).distinct()
-    real = cut(g.nodes.select("id").join(ends, "id", "left_semi"))
+    real, _ = _kept(g.nodes.select("id").join(ends, "id", "left_semi"), 0)
     kept = flat.join(real, F.col("s.from") == real["id"], "left_semi").join(real, F.col("s.to") == real["id"], "left_semi")
     kept = kept.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("k")).select("pair", F.transform("k", lambda x: x["s"]).alias("steps"))
     out = path.select("pair", "hops").join(kept, "pair", "left")
@@ -292,7 +326,7 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
 def impact(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(seed, node, depth): all nodes within `depth` steps over IMPACT_RELATIONS in either direction, the seed included."""
     real = seeds.join(g.nodes.select(F.col("id").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("node"))
-    hits = frontier(Walk(g, "both", F.col("relation").isin(*IMPACT_RELATIONS)), real, depth, expand_unknown=False)
+    hits = frontier(Walk(g, "both", F.col("relation").isin(*IMPACT_RELATIONS)), real, depth, expand_unknown=False, ways=False)
     return hits.where("known").select("seed", "node", "depth")
 
 
@@ -312,7 +346,7 @@ def reachable(g: Graph, entries: DataFrame, direction: str = "forward") -> DataF
     ids = g.nodes.select("id")
     start = entries.join(ids, "id", "left_semi").select(F.lit("all").alias("seed"), F.col("id").alias("node"))
     walk = Walk(g, "out" if direction == "forward" else "in")
-    hit = frontier(walk, start, None, expand_unknown=False).select(F.col("node").alias("id"), F.lit(True).alias("reached"))
+    hit = frontier(walk, start, None, expand_unknown=False, ways=False).select(F.col("node").alias("id"), F.lit(True).alias("reached"))
     return ids.join(hit, "id", "left").select("id", F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
