@@ -390,16 +390,17 @@ def score_sql(*terms: str) -> str:
 
 def level_sql(name: str, before: str, seen: str) -> str:
     """A level of the visit: what `before` leads to, in visiting order, until 40 are seen."""
-    return f"""{name} AS (SELECT id, row_number() OVER (ORDER BY w, id) + (SELECT count(*) FROM ({seen})) AS place FROM (SELECT w.node AS id, min(struct_pack(place := b.place, dir := w.dir, source := w.source, target := w.target, relation := w.relation, context := w.context)) AS w
-    FROM ways w JOIN {before} b ON b.id = w.parent WHERE w.node NOT IN ({seen}) GROUP BY w.node) QUALIFY place <= 40)"""
+    return f"""{name} AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY w, id) + (SELECT count(*) FROM ({seen})) AS place FROM (SELECT w.node AS id, min(struct_pack(place := b.place, dir := w.dir, source := w.source, target := w.target, relation := w.relation, context := w.context)) AS w
+    FROM ways w JOIN {before} b ON b.id = w.parent ANTI JOIN ({seen}) s ON s.id = w.node GROUP BY w.node) QUALIFY place <= 40)"""
 
 
 G6 = NE + f""", ways AS (SELECT source AS parent, target AS node, 0 AS dir, source, target, relation, context FROM edges UNION ALL SELECT target, source, 1, source, target, relation, context FROM edges),
-l0 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, {score_sql('supplier', '000000003', 'and', 'customer', '000000007')} AS score FROM (SELECT id, {FORMS} FROM nodes)) WHERE score > 0 QUALIFY place <= 3),
+forms AS MATERIALIZED (SELECT id, {FORMS} FROM nodes),
+l0 AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, {score_sql('supplier', '000000003', 'and', 'customer', '000000007')} AS score FROM forms) WHERE score > 0 QUALIFY place <= 3),
 {level_sql('l1', 'l0', 'SELECT id FROM l0')},
 {level_sql('l2', 'l1', 'SELECT id FROM l0 UNION ALL SELECT id FROM l1')},
-seen AS (SELECT id FROM l0 UNION ALL SELECT id FROM l1 UNION ALL SELECT id FROM l2)
-SELECT id, 'node' AS what FROM seen WHERE id IN (SELECT id FROM nodes) UNION ALL SELECT source || ' ' || relation || ' ' || target, 'edge' FROM edges WHERE source IN (FROM seen) AND target IN (FROM seen)"""
+seen AS MATERIALIZED (SELECT id FROM l0 UNION ALL SELECT id FROM l1 UNION ALL SELECT id FROM l2)
+SELECT id, 'node' AS what FROM nodes SEMI JOIN seen USING (id) UNION ALL SELECT e.source || ' ' || e.relation || ' ' || e.target, 'edge' FROM edges e SEMI JOIN seen a ON a.id = e.source SEMI JOIN seen b ON b.id = e.target"""
 
 
 @query("G6_query_graph", G6)

@@ -325,8 +325,7 @@ def _(w):
 
 @query("T8_stems")
 def _(w):
-    rows = w.spark.createDataFrame([(x,) for x in ("caresses ponies running", "relational Ünïcode hopping", "generalizations oscillators")], "text string")
-    return rows.select("text", F.array_join(retrieval.stemmed("text"), " ").alias("stems"))
+    return w.table("documents").select("doc_id", F.array_join(retrieval.stemmed("text"), " ").alias("stems"))
 
 
 @query("T10_topic_suggestion", O + "SELECT topic_key, round(1 / 3, 6) AS score FROM (SELECT DISTINCT topic_key FROM obs WHERE superseded_by IS NULL) WHERE topic_key = 'src3'")
@@ -351,19 +350,29 @@ def _(w):
     return rows.withColumn("used", used).where("used <= 500").select("id", "ts")
 
 
-NOTES = [("n1", "See `src/a.ts:openFile()` and `openFile` in `src/a.ts`; not `two words`"), ("n2", "`Customer#000000007` vs `customer.load()`"), ("n3", "no spans")]
+SPANS_SQL = "WITH k AS (SELECT p_partkey AS k, 'note:' || p_partkey AS id FROM part), spans AS (SELECT id, k, 0 AS pos, 'p' || k AS label FROM k UNION ALL SELECT id, k, 2, 'part' || k FROM k UNION ALL SELECT id, k, 3, 'P' || k FROM k UNION ALL SELECT id, k, 4, 'src/f' || (k % 97) || '.ts' FROM k)\n"
 
 
-@query("T12_candidate_labels", "SELECT * FROM (VALUES ('n1', 0, 'openFile'), ('n1', 1, 'openFile'), ('n1', 2, 'src/a.ts'), ('n2', 1, 'load')) v(id, pos, label)")
+def _spans(w):
+    """A note on every part, with code spans that name a symbol, nothing, a call, a symbol again and a file."""
+    k, file = F.col("p_partkey").cast("string"), F.concat(F.lit("src/f"), (F.col("p_partkey") % 97).cast("string"), F.lit(".ts"))
+    text = F.concat(F.lit("See `"), file, F.lit(":p"), k, F.lit("()`, not `Order#"), k, F.lit("`; `load.part"), k, F.lit("()` or `P"), k, F.lit("` in `"), file, F.lit("`."))
+    return retrieval.candidate_labels(w.table("part").select(F.concat(F.lit("note:"), k).alias("id"), text.alias("content")))
+
+
+@query("T12_candidate_labels", SPANS_SQL + "SELECT id, pos, label FROM spans")
 def _(w):
-    return retrieval.candidate_labels(w.spark.createDataFrame(NOTES, "id string, content string"))
+    return _spans(w)
 
 
-@query("T13_reanchor", "SELECT * FROM (VALUES ('n1', 0, 'f:open', 'minted'), ('n1', 1, 'f:open', 'repeated'), ('n1', 2, NULL, 'no-node'), ('n2', 1, NULL, 'ambiguous')) v(id, pos, node_id, outcome)")
+@query("T13_reanchor", SPANS_SQL + """SELECT id, pos, CASE WHEN pos IN (0, 3) AND k % 3 = 0 AND k % 9 <> 0 THEN 'part:' || k END AS node_id,
+    CASE WHEN pos IN (2, 4) OR k % 3 <> 0 THEN 'no-node' WHEN k % 9 = 0 THEN 'ambiguous' WHEN k % 6 = 0 THEN 'present' WHEN pos = 3 THEN 'repeated' ELSE 'minted' END AS outcome FROM spans""")
 def _(w):
-    nodes = w.spark.createDataFrame([("f:open", "openFile"), ("g:load", "load"), ("h:load", "load")], "id string, label string")
-    rows = retrieval.candidate_labels(w.spark.createDataFrame(NOTES, "id string, content string"))
-    return m.reanchor(rows, nodes, w.spark.createDataFrame([], "observation_id string, node_id string")).select("id", "pos", "node_id", "outcome")
+    k = F.col("p_partkey").cast("string")
+    part = w.table("part").select("p_partkey", key("part", "p_partkey").alias("id"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "P").otherwise("q"), k).alias("label"))
+    twice = part.where("p_partkey % 9 = 0").select("p_partkey", F.concat(F.lit("more:"), k).alias("id"), "label")
+    have = part.where("p_partkey % 6 = 0").select(F.concat(F.lit("note:"), k).alias("observation_id"), F.col("id").alias("node_id"))
+    return m.reanchor(_spans(w), part.unionByName(twice).select("id", "label"), have).select("id", "pos", "node_id", "outcome")
 
 
 # --- drift
@@ -430,24 +439,35 @@ def _manifest(w):
     return w.table("pages").select(F.parse_url("url", F.lit("PATH")).alias("path"), F.lit(100.0).alias("mtime"), F.sha2("html", 256).alias("hash"), F.col("page_id").alias("ord")).dropDuplicates(["path"])
 
 
-@query("D5_staleness", "SELECT 'added' AS reason, '/new.ts' AS path UNION ALL SELECT 'modified', '/b'")
+def _pages(w, where: str = "true", touched: str = "false"):
+    """Pages as files, those that `touched` chooses changed later."""
+    rows = w.table("pages").where(where)
+    now, text = F.expr(touched), F.col("page_id").cast("string")
+    return rows.select(text.alias("path"), F.when(now, 2.0).otherwise(1.0).alias("mtime"), F.sha2(F.when(now, text).otherwise(F.col("html")), 256).alias("hash"), F.col("page_id").alias("ord"))
+
+
+@query("D5_staleness", "SELECT 'added' AS reason, CAST(min(page_id) FILTER (page_id % 5 = 3) AS VARCHAR) AS path FROM pages UNION ALL SELECT 'modified', CAST(min(page_id) FILTER (page_id % 7 = 4) AS VARCHAR) FROM pages UNION ALL SELECT 'removed', CAST(min(page_id) FILTER (page_id % 11 = 6) AS VARCHAR) FROM pages UNION ALL SELECT 'no-manifest', NULL")
 def _(w):
-    spark = w.spark
-    old = spark.createDataFrame([("/a", 1.0, "x", 1), ("/b", 1.0, "y", 2), ("/c", 1.0, "z", 3)], "path string, mtime double, hash string, ord int")
-    added = spark.createDataFrame([("/a", 1.0, "x", 1), ("/new.ts", 1.0, "n", 2)], "path string, mtime double, hash string, ord int")
-    touched = spark.createDataFrame([("/a", 2.0, "x", 1), ("/b", 2.0, "changed", 2)], "path string, mtime double, hash string, ord int")
-    return m.staleness(added, old).unionByName(m.staleness(touched, old))
+    cases = [(_pages(w), _pages(w, "page_id % 5 <> 3")), (_pages(w, touched="page_id % 7 = 4"), _pages(w)), (_pages(w, "page_id % 11 <> 6"), _pages(w)), (_pages(w), _pages(w, "false"))]
+    signs = [m.staleness(*x) for x in cases]
+    return signs[0].unionByName(signs[1]).unionByName(signs[2]).unionByName(signs[3])
 
 
-@query("D6_graph_status", "SELECT 'fresh' AS status")
+@query("D6_graph_status", "SELECT 'same' AS c, 'fresh' AS status UNION ALL SELECT 'touched', CASE WHEN count(*) = 0 THEN 'fresh' ELSE 'stale' END FROM pages WHERE page_id % 7 = 4")
 def _(w):
-    rows = w.spark.createDataFrame([("/a", 1.0, "x", 1)], "path string, mtime double, hash string, ord int")
-    return m.staleness(rows, rows).agg(F.when(F.count("*") == 0, "fresh").otherwise("stale").alias("status"))
+    status = F.when(F.count("*") == 0, "fresh").otherwise("stale").alias("status")
+    same, other = (m.staleness(_pages(w, touched=x), _pages(w)).agg(status) for x in ("false", "page_id % 7 = 4"))
+    return same.select(F.lit("same").alias("c"), "status").unionByName(other.select(F.lit("touched").alias("c"), "status"))
 
 
-@query("D7_workspace_staleness", "SELECT bool_or(page_id % 97 = 5) AS stale FROM pages")
+@query("D7_workspace_staleness", "SELECT page_id % 3 AS repo, bool_or(page_id % 97 = 5) AS stale FROM pages GROUP BY 1")
 def _(w):
-    return w.table("pages").agg(F.bool_or(F.col("page_id") % 97 == 5).alias("stale"))
+    out = None
+    for repo in range(3):
+        signs = m.staleness(_pages(w, f"page_id % 3 = {repo}", "page_id % 97 = 5"), _pages(w, f"page_id % 3 = {repo}"))
+        one = signs.agg((F.count("*") > 0).alias("stale")).select(F.lit(repo).cast("long").alias("repo"), "stale")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- repositories
@@ -465,25 +485,52 @@ def _(w):
     return multirepo.merged([("left", g), ("right", g)]).nodes.select("id", "repo")
 
 
-REPOS = [("app", "src/main.ts", "lib-a", ["run"]), ("app", "src/main.ts", "lib-a/deep/x", []), ("app", "src/util.ts", "@scope/tools", ["nope"]), ("app", "src/util.ts", "./local", []), ("app", "src/gone.ts", "x/tools", ["fmt"]), ("b", "b.ts", "lib-a", [])]
-PACKAGES = [("lib-a", "a"), ("@scope/tools", "tools"), ("lib-a", "a2")]
-REPO_NODES = [("app::main", "main", "module", "src/main.ts", "app"), ("app::u", "u", "function", "src/util.ts", "app"), ("a::run", "run", "function", "r.ts", "a"), ("a::aaa", "aaa", "function", "a.ts", "a"), ("tools::fmt", "fmt", "function", "f.ts", "tools"), ("b::b", "b", "module", "b.ts", "b")]
+#: Files of orders import the packages of nations; every fifth package has two publishers.
+IMPORTS_SQL = with_tables("nodes") + """, files AS (SELECT repo, source_file AS file, min(id) AS first, max(id) AS last FROM nodes WHERE id LIKE 'order:%' GROUP BY ALL),
+homes AS (SELECT n_nationkey AS n, n_name, n_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+wanted AS (SELECT DISTINCT repo, source_file AS file, CAST(substr(id, 7) AS BIGINT) % 25 AS n FROM nodes WHERE id LIKE 'order:%'),
+packages AS (SELECT n, r_name AS target_repo FROM homes UNION ALL SELECT n, r.r_name FROM homes JOIN region r ON r.r_regionkey = (n_regionkey + 1) % 5 WHERE n % 5 = 0),
+found AS (SELECT repo, file, n, target_repo, CASE WHEN n % 5 = 0 THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence FROM wanted JOIN packages USING (n) WHERE repo <> target_repo),
+firsts AS (SELECT repo AS target_repo, min(id) AS any_id FROM nodes GROUP BY 1),
+links AS (SELECT f.*, first, last, any_id, CASE WHEN r_name = target_repo THEN 'nation:' || f.n ELSE any_id END AS named FROM found f JOIN files USING (repo, file) JOIN firsts USING (target_repo) JOIN homes USING (n))
+"""
+
+
+def _imports(w):
+    orders = w.nodes.where("id like 'order:%'").select("repo", F.col("source_file").alias("file"), F.pmod(F.substring("id", 7, 20).cast("long"), F.lit(25)).alias("n"))
+    nation = w.table("nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name")
+    rows = orders.distinct().join(nation, "n")
+    return rows.select("repo", "file", F.concat(F.lit("pkg-"), F.col("n").cast("string"), F.lit("/deep/x")).alias("module"), F.array(F.lit("none"), "n_name").alias("names"))
 
 
 def _matches(w):
-    imports = w.spark.createDataFrame(REPOS, "repo string, file string, module string, names array<string>")
-    return multirepo.match_packages(imports, w.spark.createDataFrame(PACKAGES, "package string, target_repo string"))
+    region = w.table("region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("target_repo"))
+    nation = w.table("nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit("pkg-"), F.col("n_nationkey").cast("string")).alias("package"), F.col("n_regionkey").cast("long").alias("k"))
+    twice = nation.where("n % 5 = 0").withColumn("k", F.pmod(F.col("k") + 1, F.lit(5)))
+    return multirepo.match_packages(_imports(w), nation.unionByName(twice).join(region, "k").select("package", "target_repo"))
 
 
-@query("J11_package_match", "SELECT * FROM (VALUES ('src/main.ts', 'lib-a', 'a', 'AMBIGUOUS'), ('src/main.ts', 'lib-a', 'a2', 'AMBIGUOUS'), ('src/main.ts', 'lib-a/deep/x', 'a', 'AMBIGUOUS'), ('src/main.ts', 'lib-a/deep/x', 'a2', 'AMBIGUOUS'), ('src/util.ts', '@scope/tools', 'tools', 'EXTRACTED'), ('src/gone.ts', 'x/tools', 'tools', 'INFERRED'), ('b.ts', 'lib-a', 'a', 'AMBIGUOUS'), ('b.ts', 'lib-a', 'a2', 'AMBIGUOUS')) v(file, module, target_repo, confidence)")
+@query("J11_package_match", IMPORTS_SQL + "SELECT repo, file, 'pkg-' || n || '/deep/x' AS module, target_repo, confidence FROM found")
 def _(w):
-    return _matches(w).select("file", "module", "target_repo", "confidence")
+    return _matches(w).select("repo", "file", "module", "target_repo", "confidence")
 
 
-@query("X3_link_repos", "SELECT * FROM (VALUES ('app::main', 'a::run', 'AMBIGUOUS'), ('app::main', 'a::aaa', 'AMBIGUOUS'), ('app::main', 'a2', 'AMBIGUOUS'), ('app::u', 'tools::fmt', 'EXTRACTED'), ('app::src_gone_ts', 'tools::fmt', 'INFERRED'), ('b::b', 'a::aaa', 'AMBIGUOUS'), ('b::b', 'a2', 'AMBIGUOUS')) v(source, target, confidence)")
+@query("X3_link_repos", IMPORTS_SQL + "SELECT first AS source, any_id AS target, max(confidence) AS confidence FROM links GROUP BY ALL")
 def _(w):
-    nodes = w.spark.createDataFrame(REPO_NODES, "id string, label string, kind string, source_file string, repo string")
-    return multirepo.link_repos(_matches(w), nodes).select("source", "target", "confidence")
+    none = F.array().cast("array<string>")
+    return multirepo.link_repos(_matches(w).withColumn("names", none), w.nodes).select("source", "target", "confidence")
+
+
+@query("J12_use_sites", IMPORTS_SQL + "SELECT last AS source, named AS target, max(confidence) AS confidence FROM links GROUP BY ALL")
+def _(w):
+    code = w.nodes.where("id like 'order:%'").groupBy("repo", F.col("source_file").alias("file")).agg(F.max_by("label", "id").alias("label"))
+    sites = _imports(w).join(code, ["repo", "file"])
+    return multirepo.link_repos(_matches(w), w.nodes, sites).select("source", "target", "confidence")
+
+
+@query("J13_target_selection", IMPORTS_SQL + "SELECT first AS source, named AS target, max(confidence) AS confidence FROM links GROUP BY ALL")
+def _(w):
+    return multirepo.link_repos(_matches(w), w.nodes).select("source", "target", "confidence")
 
 
 LINKS = with_tables("nodes", "edges") + """, packages AS (SELECT 'customer:' || c_custkey AS package, r.r_name AS target_repo FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN (VALUES (1, 10), (2, 30)) v(step, every) ON c_custkey % every = 0 JOIN region r ON r.r_regionkey = (n_regionkey + step) % 5),
@@ -502,35 +549,28 @@ def _(w):
     return multirepo.link_workspace(graph(w), none, packages).select("source", "target", "confidence")
 
 
-@query("J12_use_sites", with_tables("nodes") + "SELECT repo, source_file AS file, coalesce(min(CASE WHEN kind = 'module' THEN id END), min(id)) AS source FROM nodes WHERE repo IS NOT NULL GROUP BY 1, 2")
-def _(w):
-    return w.nodes.where("repo is not null").groupBy("repo", F.col("source_file").alias("file")).agg(F.coalesce(F.min(F.when(F.col("kind") == "module", F.col("id"))), F.min("id")).alias("source"))
-
-
-@query("J13_target_selection", with_tables("nodes") + "SELECT repo, coalesce(min(id) FILTER (label = 'PERU'), min(id)) AS target FROM nodes WHERE repo IS NOT NULL GROUP BY repo")
-def _(w):
-    return w.nodes.where("repo is not null").groupBy("repo").agg(F.coalesce(F.min(F.when(F.col("label") == "PERU", F.col("id"))), F.min("id")).alias("target"))
-
-
 @query("X4_workspace_mode", "SELECT * FROM (VALUES ('flag', 'single'), ('declared', 'workspace'), ('children', 'workspace'), ('none', 'single')) v(c, mode)")
 def _(w):
     rows = [("flag", multirepo.workspace_mode("single", True, 5)), ("declared", multirepo.workspace_mode(None, True, 0)), ("children", multirepo.workspace_mode(None, False, 2)), ("none", multirepo.workspace_mode(None, False, 1))]
     return w.spark.createDataFrame(rows, "c string, mode string")
 
 
-CANDIDATES = [("/a", "My Key", None, None, [], "a"), ("/b", None, "git@h.x:Org/Repo.git", "/b", [], "b"), ("/c", None, None, "/x/Proj_C/", [], "c"), ("/d", None, None, None, ["/d/only"], "d"), ("/e", None, None, None, ["/e/1", "/e/2"], "e"), ("/f", None, None, None, [], "F dir")]
-
-
 def _candidates(w):
-    return w.spark.createDataFrame(CANDIDATES, "root string, config string, remote string, git_root string, children array<string>, basename string")
+    """A root of every customer, by turns with a configured key, a remote, a git root, one child, two children and none of these."""
+    k = F.col("c_custkey").cast("string")
+    turn = lambda i, x: F.when(F.col("c_custkey") % 6 == i, x)
+    text = lambda *x: F.concat(*[y if not isinstance(y, str) else F.lit(y) for y in x])
+    children = F.coalesce(turn(3, F.array(text("/d/only", k))), turn(4, F.array(text("/e/1", k), text("/e/2", k))), F.array().cast("array<string>"))
+    return w.table("customer").select(text("/c/", k).alias("root"), turn(0, text("My Key ", k)).alias("config"), turn(1, text("git@Host.x:Org/Repo", k, ".git")).alias("remote"), turn(2, text("/x/Proj_", k, "/")).alias("git_root"), children.alias("children"), text("F dir ", k).alias("basename"))
 
 
-@query("X5_project_keys", "SELECT * FROM (VALUES ('/a', 'my-key', 'config'), ('/b', 'repo', 'git_remote'), ('/c', 'proj-c', 'git_root'), ('/d', 'only', 'git_child'), ('/e', NULL, 'ambiguous'), ('/f', 'f-dir', 'dir_basename')) v(root, key, method)")
+@query("X5_project_keys", """SELECT '/c/' || c_custkey AS root, CASE c_custkey % 6 WHEN 0 THEN 'my-key-' || c_custkey WHEN 1 THEN 'repo' || c_custkey WHEN 2 THEN 'proj-' || c_custkey WHEN 3 THEN 'only' || c_custkey WHEN 5 THEN 'f-dir-' || c_custkey END AS key,
+    ['config', 'git_remote', 'git_root', 'git_child', 'ambiguous', 'dir_basename'][c_custkey % 6 + 1] AS method FROM customer""")
 def _(w):
     return multirepo.derive_key(_candidates(w))
 
 
-@query("X6_repo_identity", "SELECT * FROM (VALUES ('/a', NULL, 'low'), ('/b', 'h.x/org/repo', 'high'), ('/c', NULL, 'medium'), ('/d', NULL, 'low'), ('/e', NULL, 'low'), ('/f', NULL, 'low')) v(root, remote, confidence)")
+@query("X6_repo_identity", "SELECT '/c/' || c_custkey AS root, CASE WHEN c_custkey % 6 = 1 THEN 'host.x/org/repo' || c_custkey END AS remote, CASE c_custkey % 6 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM customer")
 def _(w):
     return multirepo.identity_of(_candidates(w))
 
@@ -598,17 +638,24 @@ def _(w):
     return rows.groupBy("page_id", "module").agg(F.count("*").alias("n"))
 
 
-@query("S9_import_names", "SELECT * FROM (VALUES ('m.py', '.pkg', 'thing'), ('m.py', 'os.path', ''), ('box.ts', './a', 'a')) v(path, module, names)")
+@query("S9_import_names", """SELECT 'p' || p_partkey || '.py' AS path, '.p' || p_partkey AS module, 'thing,other' AS names FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'p' || p_partkey || '.py', 'os.path', '' FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'p' || p_partkey || '.ts', './p' || p_partkey, 'a,c' FROM part WHERE p_partkey % 2 = 1""")
 def _(w):
-    good = _files(w).where("path in ('m.py', 'box.ts')").select("path", "lang", "content")
-    rows = files.imports_of(good.where("lang = 'py'"), "py").unionByName(files.imports_of(good.where("lang = 'ts'"), "ts"))
-    return rows.select("path", "module", F.array_join("names", ",").alias("names"))
+    k = F.col("p_partkey").cast("string")
+    py = w.table("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), F.concat(F.lit("import os.path as p\nfrom .p"), k, F.lit(" import thing, other as o\n")).alias("content"))
+    ts = w.table("part").where("p_partkey % 2 = 1").select(F.concat(F.lit("p"), k, F.lit(".ts")).alias("path"), F.concat(F.lit("import { a as b,\n  c } from './p"), k, F.lit("';\n")).alias("content"))
+    return files.imports_of(py, "py").unionByName(files.imports_of(ts, "ts")).select("path", "module", F.array_join("names", ",").alias("names"))
 
 
-@query("S12_package_names", "SELECT * FROM (VALUES ('package.json', '@x/y'), ('pom.xml', 'g.h:art'), ('A.csproj', 'Asm'), ('B.csproj', NULL)) v(name, package)")
+@query("S12_package_names", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN '@s/s' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'g.s:art' || s_suppkey ELSE 'Asm' || s_suppkey END AS package FROM supplier")
 def _(w):
-    rows = [("package.json", '{"name": "@x/y"}'), ("pom.xml", "<project><parent><artifactId>p</artifactId></parent><groupId>g.h</groupId><artifactId>art</artifactId></project>"), ("A.csproj", "<AssemblyName>Asm</AssemblyName>"), ("B.csproj", "<x/>")]
-    return w.spark.createDataFrame(rows, "name string, content string").select("name", files.package_name(F.col("name"), F.col("content")).alias("package"))
+    k, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    name = F.when(kind == 0, "package.json").when(kind == 1, "pom.xml").otherwise("S.csproj")
+    own = F.when(kind == 0, F.concat(F.lit('{"name": "@s/s'), k, F.lit('"}'))).when(kind == 1, F.concat(F.lit("<project><parent><artifactId>p</artifactId></parent><groupId>g.s</groupId><artifactId>art"), k, F.lit("</artifactId></project>")))
+    own = own.otherwise(F.concat(F.lit("<Project><PropertyGroup><AssemblyName>Asm"), k, F.lit("</AssemblyName></PropertyGroup></Project>")))
+    bare = F.when(kind == 0, "{}").when(kind == 1, "<project><version>1</version></project>").otherwise("<Project><ItemGroup/></Project>")
+    rows = w.table("supplier").select("s_suppkey", name.alias("name"), F.when(F.col("s_suppkey") % 7 == 0, bare).otherwise(own).alias("content"))
+    return rows.select("s_suppkey", files.package_name(F.col("name"), F.col("content")).alias("package"))
 
 
 CACHE = "WITH f AS (SELECT page_id, sha256(html) AS hash FROM pages)"

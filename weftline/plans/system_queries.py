@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from weftline.plans.graph_queries import paths_sql
 from weftline.plans.lineage import shared_dir
 from weftline.plans.memory_queries import INDEXED, bm25_sql, indexed
 from weftline.plans.registry import graph, ids, query
-from weftline.plans.workload import with_tables
+from weftline.plans.workload import key, with_tables
 from weftline.sources import ingest, store
 from weftline.streaming import outbox
 
@@ -47,14 +46,21 @@ def _(w):
     return outbox.read(w.spark, path).select("id", "type")
 
 
-@query("E2_fail_open_emit", "SELECT false AS written")
+@query("E2_fail_open_emit", "SELECT 'nowhere' AS c, false AS written, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'folder', true, count(*) FROM events")
 def _(w):
-    return w.spark.createDataFrame([(outbox.append(w.outbox.limit(1), "/proc/none/events"),)], "written boolean")
+    path = folder(w)
+    failed, written = outbox.append(w.outbox, "/proc/none/events"), outbox.append(w.outbox.withColumnRenamed("schema_version", "schemaVersion"), path)
+    back = outbox.read(w.spark, path).agg(F.count("id").alias("n")).select(F.lit("folder").alias("c"), F.lit(written).alias("written"), "n")
+    return w.outbox.where("false").agg(F.count("*").alias("n")).select(F.lit("nowhere").alias("c"), F.lit(failed).alias("written"), "n").unionByName(back)
 
 
-@query("E5_outbox_switch", "SELECT false AS written")
+@query("E5_outbox_switch", "SELECT event_type AS type, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1")
 def _(w):
-    return w.spark.createDataFrame([(outbox.append(w.outbox.limit(1), folder(w), enabled=False),)], "written boolean")
+    path, rows = folder(w), w.outbox.withColumnRenamed("schema_version", "schemaVersion")
+    odd = F.substring("id", 7, 20).cast("long") % 2 == 1
+    outbox.append(rows.where(~odd), path, enabled=False)  # leaves nothing
+    outbox.append(rows.where(odd), path)
+    return outbox.read(w.spark, path).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("E7_streamed_outbox", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
@@ -66,11 +72,14 @@ def _(w):
     return w.spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("S6_extractor_payloads", "SELECT * FROM (VALUES ('a', 'b', 'calls', '')) v(source, target, relation, context)")
+@query("S6_extractor_payloads", "SELECT 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS relation, '' AS context FROM nation WHERE n_nationkey % 4 <> 0")
 def _(w):
-    doc = {"schemaVersion": 1, "extractor": {"id": "x", "version": "1"}, "nodes": [{"id": "a", "label": "A"}], "edges": [{"source": "a", "target": "b", "relation": "calls", "confidence": "EXTRACTED"}]}
-    rows = ingest.parse_payloads(w.spark.createDataFrame([(json.dumps(doc),), (json.dumps(doc | {"schemaVersion": 2}),)], "value string"))
-    return ingest.payload_edges(rows).select("source", "target", "relation", "context")
+    version = F.when(F.col("n_nationkey") % 4 == 0, 2).otherwise(1).alias("schemaVersion")
+    source, target = key("region", "n_regionkey"), key("nation", "n_nationkey")
+    nodes = F.array(F.struct(target.alias("id"), F.col("n_name").alias("label"))).alias("nodes")
+    edges = F.array(F.struct(source.alias("source"), target.alias("target"), F.lit("contains").alias("relation"), F.lit("EXTRACTED").alias("confidence"))).alias("edges")
+    docs = w.table("nation").select(F.to_json(F.struct(version, F.struct(F.lit("x").alias("id"), F.lit("1").alias("version")).alias("extractor"), nodes, edges)).alias("value"))
+    return ingest.payload_edges(ingest.parse_payloads(docs)).select("source", "target", "relation", "context")
 
 
 @query("D8_freshness_gate", "SELECT * FROM (VALUES ('fresh', 'v1', 0), ('stale', 'v2', 1), ('missing', 'v2', 1), ('refused', NULL, 0)) v(c, graph, rebuilds)")
