@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,14 @@ def let_go() -> None:
         trim()
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """What a task yields; when it ends, its free memory is given back, for the process waits idle for the next task."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
 def trim() -> None:
     """Gives free memory back to the system; the allocators of Python, C and Arrow would hold it for this process."""
     import ctypes

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Steps, cut, let_go
+from weftline.llm.common import Steps, cut, let_go, trim, trimmed
 
 SHARED, SHARED_PER = 8, 32  # k(n) is SHARED + n // SHARED_PER, but no more than ceil(t n)
 SKETCH_BITS = 20  # counters of the frequency order: one array of 4 MB
@@ -157,7 +157,7 @@ def shingle_order(docs: DataFrame, size: int) -> np.ndarray:
             total += np.frombuffer(c, dtype="<u4")
         return pd.DataFrame({"block": block["block"].iloc[:1], "counts": [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]})
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lambda b: trimmed(count(b)), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)  # 4 MB, whatever the corpus
     for r in rows:
         out[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["counts"], dtype="<u4")
@@ -188,7 +188,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest), lists, pa.array(parts, pa.binary())], names=["doc_id", "n", "digest", "first", "parts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(profile, "doc_id long, n long, digest string, first array<long>, parts binary")
+    return rows.mapInArrow(lambda b: trimmed(profile(b)), "doc_id long, n long, digest string, first array<long>, parts binary")
 
 
 class _Parts:
@@ -309,7 +309,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
             solve(tail[1], tail[2], tail[3], a, b)
             yield out(a, b)
 
-    return rows.mapInArrow(link, "a long, b long")
+    return rows.mapInArrow(lambda b: trimmed(link(b)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -392,6 +392,8 @@ def _solve(groups: DataFrame, key: str, percent: int) -> DataFrame:
         label = linked_components(sets, percent, group["label"].to_numpy())
         rep = group["rep"].to_numpy()
         keep = label != np.arange(len(rep))
+        if sum(map(len, sets)) > LARGE * PARTS:  # of a small group there is little to give back
+            trim()
         return pd.DataFrame({"a": rep[label[keep]], "b": rep[keep]})
 
     return groups.select(key, "rep", "set", "label").groupBy(key).applyInPandas(one, "a long, b long")
@@ -435,7 +437,7 @@ def _place(rows: DataFrame, shell: DataFrame, turn: int, percent: int) -> DataFr
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.bool_())], names=["cell", "pivot", "rep", "n", "linked"])
 
-        some = rows.where(mine).select("cell", "rep", "set").mapInArrow(place, "cell long, pivot long, rep long, n long, linked boolean")
+        some = rows.where(mine).select("cell", "rep", "set").mapInArrow(lambda b, place=place: trimmed(place(b)), "cell long, pivot long, rep long, n long, linked boolean")
         out = some if out is None else out.unionByName(some)
     return cut(out)
 
@@ -530,7 +532,7 @@ def family_links(docs: DataFrame, families: DataFrame, size: int, percent: int,
             lists = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fam", "rep", "set"])
 
-    members = rows.select("fam", "rep", "text", "want").mapInArrow(make, "fam long, rep long, set array<long>").where(F.size("set") > 0)
+    members = rows.select("fam", "rep", "text", "want").mapInArrow(lambda b: trimmed(make(b)), "fam long, rep long, set array<long>").where(F.size("set") > 0)
     if several is not None:  # rows that repeat both id and text
         members = members.dropDuplicates(["fam", "rep"])
     sizes = cut(members.groupBy("fam").agg(F.sum(F.size("set").cast("long")).alias("total")))
@@ -612,7 +614,7 @@ def _with_digest(docs: DataFrame, size: int) -> DataFrame:
             digests = pa.array([digest_of(s) if len(s) else None for s in sets], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "_near_digest"])
 
-    return docs.mapInArrow(go, T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.StringType())]))
+    return docs.mapInArrow(lambda b: trimmed(go(b)), T.StructType([*docs.schema.fields, T.StructField("_near_digest", T.StringType())]))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, kept
+from weftline.llm.common import cut, kept, trimmed
 
 CAPACITY = 4096
 END = 1  # closes every document
@@ -26,7 +26,7 @@ END = 1  # closes every document
 BLOCK = 65_536
 #: Bins filled to less than this share are packed again with those of other blocks.
 FULL = 0.995
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 TEXTS = 64  # whose new words are looked up together
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LAST = END.to_bytes(4, "little")
@@ -133,7 +133,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
             yield out.astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(lambda b: trimmed(cut_up(b)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ MARK = "▁"
 #: Bytes of the words that every task holds: 10 a word and 2 or 4 an id.
 TABLE_BYTES = 96 << 20
 MOST_IDS = 0xFFFF  # of a word in that table
-WINDOW = 4 << 20  # bytes looked at together
+WINDOW = 1 << 20  # bytes looked at together
 SHORT = 64  # bytes; longer chunks are hashed one by one
 ROWS = 256  # texts at once
 #: Up to this many texts' answers are broadcast.
