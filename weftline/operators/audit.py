@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.traversal import EDGE_ORDER, Graph, reachable, source_sink_paths
+from weftline.plans.lineage import cut
 
 # Severities from the worst, and findings by a sink's category as (type, severity).
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
@@ -110,12 +111,26 @@ def effective_catalog(builtin: DataFrame, add: DataFrame | None = None, remove:
     return out
 
 
-def match_catalog(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
+#: Up to this many needles are compared with every label; more are found by their grams.
+CASES = 200
+#: Up to this many grams of needles (12 bytes each) are broadcast.
+BROADCAST_GRAMS = 500_000
+GRAM = 3
+
+
+def match_catalog(nodes: DataFrame, catalog: DataFrame, cases: int = CASES) -> DataFrame:
     """(id, role, name, category): the first pattern, in catalog order, that each node's label holds, per role.
 
-    The catalog is a literal of the program, so its patterns become one CASE a role: no join.
+    Few needles become one CASE a role, without a join; of a large catalog only those shorter than a gram do.
     """
-    patterns = catalog.orderBy("ord").collect()
+    patterns = catalog.orderBy("ord").limit(cases + 1).collect()
+    if len(patterns) <= cases:
+        return _by_case(nodes, patterns)
+    short = catalog.where(F.length("needle") < GRAM).select("role", "name", "category", "needle", "ord").distinct().orderBy("ord").collect()  # of one or two characters
+    return _first(_by_gram(nodes, catalog.where(F.length("needle") >= GRAM)).unionByName(_each(nodes, short)))
+
+
+def _by_case(nodes: DataFrame, patterns: list) -> DataFrame:
     label, rows = F.lower("label"), []
     for role in sorted({p["role"] for p in patterns}):
         own = [p for p in patterns if p["role"] == role]
@@ -127,6 +142,37 @@ def match_catalog(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     return out
 
 
+def grams(text: Column) -> Column:
+    """The different GRAM characters in a row of a text."""
+    n = F.length(text) - GRAM + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, GRAM)))).otherwise(F.array().cast("array<string>"))
+
+
+def _by_gram(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, role, name, category, ord) of every pattern and label that holds it: labels meet the needles whose rarest gram they have, and are then compared."""
+    needles = cut(catalog.select("role", "name", "category", F.lower("needle").alias("needle"), "ord"))
+    of_needles = cut(needles.select("needle").distinct().select("needle", F.explode(grams(F.col("needle"))).alias("gram")))
+    asked = of_needles.select("gram").distinct()
+    asked = F.broadcast(asked) if of_needles.count() <= BROADCAST_GRAMS else asked
+    labels = nodes.select("id", F.lower("label").alias("label")).where("label is not null")
+    met = labels.select("id", "label", F.explode(grams(F.col("label"))).alias("gram")).join(asked, "gram", "left_semi")
+    often = met.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = cut(of_needles.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("needle", "g.gram"))
+    few = rarest.count() <= BROADCAST_GRAMS
+    found = met.join(F.broadcast(rarest) if few else rarest, "gram").where(F.contains("label", F.col("needle")))
+    return found.select("id", "needle").join(needles, "needle").select("id", "role", "name", "category", "ord")
+
+
+def _each(nodes: DataFrame, patterns: list) -> DataFrame:
+    held = [F.when(F.contains(F.lower("label"), F.lit(p["needle"].lower())), F.struct(*[F.lit(p[c]).alias(c) for c in ("role", "name", "category", "ord")])) for p in patterns]
+    rows = nodes.select("id", F.explode(F.array_compact(F.array(*held))).alias("h")).select("id", "h.*") if held else None
+    return rows if rows is not None else nodes.select("id", *[F.lit("").alias(c) for c in ("role", "name", "category")], F.lit(0).alias("ord")).where("false")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id", "role").agg(F.min_by(F.struct("name", "category"), F.struct("ord", "name")).alias("h")).select("id", "role", "h.*")
+
+
 def findings(paths: DataFrame, sinks: DataFrame) -> DataFrame:
     """One finding a path (source, sink, path, weakest), by the sink's category; the id hashes source, sink and the pair's path number."""
     from pyspark.sql.window import Window

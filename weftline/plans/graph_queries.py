@@ -750,6 +750,20 @@ def _(w):
     return audit.match_catalog(w.nodes, _catalog(w))
 
 
+NAMES_SQL = """, names AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 8 = 0 THEN 'source' ELSE 'sink' END AS role, 'part-' || p_partkey AS name, 'c' || (p_partkey % 3) AS category, lower(p_name) AS needle FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT 1000000000 + s_suppkey, 'sink', 'supplier-' || s_suppkey, 's', substr(s_name, 12) FROM supplier)
+"""
+
+
+@query("U2_large_catalog", N.rstrip() + NAMES_SQL + "SELECT id, role, min_by(names.name, ord) AS name, min_by(category, ord) AS category FROM nodes JOIN names ON contains(lower(label), needle) GROUP BY id, role")
+def _(w):
+    """A catalog of parts' names and of suppliers' numbers."""
+    k = F.col("p_partkey")
+    parts = w.table("part").where("p_partkey % 4 = 0").select(F.concat(F.lit("part-"), k.cast("string")).alias("name"), F.when(k % 8 == 0, "source").otherwise("sink").alias("role"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("category"), F.col("p_name").alias("needle"), k.cast("long").alias("ord"))
+    suppliers = w.table("supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("sink").alias("role"), F.lit("s").alias("category"), F.substring("s_name", 12, 100).alias("needle"), (F.col("s_suppkey") + 1_000_000_000).cast("long").alias("ord"))
+    return audit.match_catalog(w.nodes, parts.unionByName(suppliers))
+
+
 def _findings(w):
     sinks = w.spark.createDataFrame([("part:5", "sql"), ("supplier:3", "path-traversal")], "id string, category string")
     return audit.findings(_paths(w), sinks)
