@@ -246,8 +246,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return knots, np.maximum.accumulate(np.array([v for v in value for _ in (0, 1)]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = SAMPLE_A_LABEL) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
-    """Up to `each` labelled texts a label, and the labelled rows of each label. Of rows with one doc_id the highest label counts."""
+def sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = SAMPLE_A_LABEL) -> tuple[list[tuple[int, int, Vector]], dict[int, int]]:
+    """The words of up to `each` labelled texts a label, counted where the texts lie, and the labelled rows of each label.
+
+    Of rows with one doc_id the highest label counts.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [words_of(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [w.astype("<u8").tobytes() for w, _ in found], "times": [n.astype("<i4").tobytes() for _, n in found]})
+
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = None
@@ -260,7 +269,9 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = SAMPL
         return [], counts
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return sorted((r["doc_id"], int(r["toxic"]), r["text"]) for r in rows.collect()), counts
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInPandas(counted, "doc_id long, toxic int, words binary, times binary").collect()
+    vectors = [(r["doc_id"], r["toxic"], (np.frombuffer(r["words"], dtype="<u8"), np.frombuffer(r["times"], dtype="<i4").astype(np.int64))) for r in rows]
+    return sorted(vectors, key=lambda x: x[0]), counts
 
 
 def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
@@ -290,9 +301,9 @@ def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray
     return found[: len(words)], int(found[len(words)])
 
 
-def fit(docs: DataFrame, rows: list[tuple[int, int, str]], counts: dict[int, int]) -> Model:
+def fit(docs: DataFrame, rows: list[tuple[int, int, Vector]], counts: dict[int, int]) -> Model:
     toxic = np.array([r[1] for r in rows], dtype=np.float64)
-    given = [words_of(r[2]) for r in rows]
+    given = [r[2] for r in rows]
     words = np.unique(np.concatenate([g[0] for g in given] or [np.zeros(0, dtype=np.uint64)]))
     found = [(np.searchsorted(words, w), tf) for w, tf in given]
     df, n = document_frequencies(docs, words)
