@@ -14,7 +14,6 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ROWS = "row string, id string, label string, kind string, source string, target string, relation string, callee string, receiver string, source_file string, line int"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
@@ -227,18 +226,30 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (path, at, ...) with the innermost span (path, name, first, last) around each, if any.
 
     Ranges are compared within a path only; the tightest wins, then the later start, then name.
+    A span is cut into aligned blocks of 2^level lines, two a level at most. Each block keeps its
+    best span, and a point looks at the one block of each level that it lies in, so that no point
+    meets all spans of its path.
     """
-    at = points.withColumn("_id", F.monotonically_increasing_id()) if "point_id" not in points.columns else points.withColumn("_id", F.col("point_id"))
-    s = spans.select("path", "name", "first", "last")
-    hit = at.join(s, "path", "left").where("first is null or at between first and last")
-    inner = hit.where("first is not null").groupBy("_id").agg(F.min_by("name", F.struct(F.col("last") - F.col("first"), -F.col("first"), "name")).alias("name"))
-    return at.join(inner, "_id", "left").drop("_id")
+    best, blocks = F.struct((F.col("last") - F.col("first")).alias("size"), (-F.col("first")).alias("start"), "name"), []
+    spans = spans.select("path", "name", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).where("first <= last")
+    longest = spans.agg(F.max(F.col("last").cast("decimal(38,0)") - F.col("first"))).first()[0]
+    for level in range(int((longest or 0) + 1).bit_length()):
+        low = F.lit((1 << level) - 1)
+        a = F.shiftright("first", level) + (F.col("first").bitwiseAND(low) != 0).cast("int")  # the first block that begins in the span
+        b = F.shiftright("last", level) - (F.col("last").bitwiseAND(low) != low).cast("int")  # the last one that ends in it
+        odd, even, some = a.bitwiseAND(F.lit(1)) == 1, b.bitwiseAND(F.lit(1)) == 0, a <= b  # those that no block of the next level holds
+        blocks += [F.when(some & odd, F.struct(F.lit(level).alias("level"), a.alias("block"))), F.when(some & even, F.struct(F.lit(level).alias("level"), b.alias("block")))]
+    if not blocks:
+        return points.withColumn("name", F.lit(None).cast(spans.schema["name"].dataType))
+    held = spans.select("path", best.alias("s"), F.explode(F.array_compact(F.array(*blocks))).alias("b")).groupBy("path", "b.level", "b.block").agg(F.min("s").alias("s"))
+    lines = points.select("path", "at").where("path is not null and at is not null").distinct()
+    inside = lines.select("path", "at", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(F.col("at").cast("long"), i).alias("block")) for i in range(len(blocks) // 2)])).alias("b"))
+    inner = inside.select("path", "at", "b.*").join(held, ["path", "level", "block"]).groupBy("path", "at").agg(F.min("s").alias("s"))
+    return points.join(inner.select("path", "at", F.col("s.name").alias("name")), ["path", "at"], "left").select(*points.columns, "name")
 
 
 def symbol_graph(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """calls edges of a symbol index: references (path, at, symbol) to definitions (path, symbol, first, last) from the innermost definition around."""
-    refs = references.withColumn("point_id", F.row_number().over(Window.partitionBy("path").orderBy("at", "symbol")))
-    refs = refs.withColumn("point_id", F.concat_ws("|", "path", "at", "symbol", "point_id"))
-    around = enclosing(refs, definitions.withColumnRenamed("symbol", "name"))
+    around = enclosing(references, definitions.withColumnRenamed("symbol", "name"))
     known = definitions.select("symbol").distinct()
     return around.where("name is not null and name <> symbol").join(known, "symbol", "left_semi").select(F.col("name").alias("source"), F.col("symbol").alias("target"), F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"), "path", "at").distinct()
