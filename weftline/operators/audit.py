@@ -113,9 +113,10 @@ def effective_catalog(builtin: DataFrame, add: DataFrame | None = None, remove:
 
 #: Up to this many needles are compared with every label; more are found by their grams.
 CASES = 200
-#: Up to this many grams of needles (12 bytes each) are broadcast.
+#: Up to this many grams of needles are broadcast.
 BROADCAST_GRAMS = 500_000
-GRAM = 3
+#: Needles are found by grams as long as they are themselves, or by the rarest of this length; shorter ones are compared with every label.
+GRAM, WIDEST = 3, 16
 
 
 def match_catalog(nodes: DataFrame, catalog: DataFrame, cases: int = CASES) -> DataFrame:
@@ -142,25 +143,43 @@ def _by_case(nodes: DataFrame, patterns: list) -> DataFrame:
     return out
 
 
-def grams(text: Column) -> Column:
-    """The different GRAM characters in a row of a text."""
-    n = F.length(text) - GRAM + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, GRAM)))).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, width: int | Column = GRAM) -> Column:
+    """The different `width` characters in a row of a text."""
+    width = F.lit(width) if isinstance(width, int) else width
+    n = F.length(text) - width + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, width)))).otherwise(F.array().cast("array<string>"))
 
 
 def _by_gram(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, role, name, category, ord) of every pattern and label that holds it: labels meet the needles whose rarest gram they have, and are then compared."""
-    needles = cut(catalog.select("role", "name", "category", F.lower("needle").alias("needle"), "ord"))
-    of_needles = cut(needles.select("needle").distinct().select("needle", F.explode(grams(F.col("needle"))).alias("gram")))
-    asked = of_needles.select("gram").distinct()
-    asked = F.broadcast(asked) if of_needles.count() <= BROADCAST_GRAMS else asked
-    labels = nodes.select("id", F.lower("label").alias("label")).where("label is not null")
-    met = labels.select("id", "label", F.explode(grams(F.col("label"))).alias("gram")).join(asked, "gram", "left_semi")
-    often = met.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = cut(of_needles.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("needle", "g.gram"))
-    few = rarest.count() <= BROADCAST_GRAMS
-    found = met.join(F.broadcast(rarest) if few else rarest, "gram").where(F.contains("label", F.col("needle")))
-    return found.select("id", "needle").join(needles, "needle").select("id", "role", "name", "category", "ord")
+    """(id, role, name, category, ord) of the first pattern of each role and needle, for every label that holds it.
+
+    Different labels meet the needles that are one of their grams, or whose rarest gram is one,
+    and are then compared. Patterns with the same needle and role, and nodes with the same label,
+    count once.
+    """
+    first = F.min_by(F.struct("name", "category", "ord"), F.struct("ord", "name")).alias("h")
+    needles = cut(catalog.groupBy("role", F.lower("needle").alias("needle")).agg(first).select("role", "needle", "h.*"))
+    own = needles.select("needle").distinct().withColumn("width", F.least(F.length("needle"), F.lit(WIDEST)))
+    of_needles = cut(own.select("needle", "width", F.explode(grams(F.col("needle"), F.col("width"))).alias("gram")))
+    widths = sorted(r["width"] for r in of_needles.select("width").distinct().collect())  # WIDEST at most
+    labels = nodes.select(F.lower("label").alias("label")).where("label is not null").distinct()
+    if not widths:
+        return nodes.select("id").join(needles.where("false"))
+    cuts = lambda widths: labels.select("label", F.explode(F.flatten(F.array(*[grams(F.col("label"), w) for w in widths]))).alias("gram"))
+    long = F.length("needle") > WIDEST
+    asked = of_needles.where(~long).select("needle", "gram")
+    if widths[-1] == WIDEST:  # of those that may be longer, the rarest gram
+        of_long = of_needles.where(long)
+        few = of_long.count() <= BROADCAST_GRAMS
+        grams_of = of_long.select("gram").distinct()
+        often = cuts([WIDEST]).join(F.broadcast(grams_of) if few else grams_of, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = of_long.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+        asked = asked.unionByName(rarest.select("needle", "g.gram"))
+    asked = cut(asked)
+    few = asked.count() <= BROADCAST_GRAMS
+    found = cuts(widths).join(F.broadcast(asked) if few else asked, "gram").where(F.contains("label", F.col("needle")))
+    hit = _first(found.select("label", "needle").join(needles, "needle").withColumnRenamed("label", "id"), "ord").withColumnRenamed("id", "label")
+    return nodes.select("id", F.lower("label").alias("label")).join(hit, "label").select("id", "role", "name", "category", "ord")
 
 
 def _each(nodes: DataFrame, patterns: list) -> DataFrame:
@@ -169,8 +188,8 @@ def _each(nodes: DataFrame, patterns: list) -> DataFrame:
     return rows if rows is not None else nodes.select("id", *[F.lit("").alias(c) for c in ("role", "name", "category")], F.lit(0).alias("ord")).where("false")
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id", "role").agg(F.min_by(F.struct("name", "category"), F.struct("ord", "name")).alias("h")).select("id", "role", "h.*")
+def _first(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("id", "role").agg(F.min_by(F.struct("name", "category", *more), F.struct("ord", "name")).alias("h")).select("id", "role", "h.*")
 
 
 def findings(paths: DataFrame, sinks: DataFrame) -> DataFrame:
