@@ -41,6 +41,10 @@ FOLD = 32
 HUB, SALTS = 100_000, 16
 #: Up to this many hubs are broadcast; there are no more than edges / HUB.
 BROADCAST_HUBS = 100_000
+#: Edges are first counted by so many hash bins of their nodes, when hubs are looked for.
+BINS = 1 << 16
+#: Up to this many ends that are no nodes are broadcast.
+BROADCAST_LOOSE = 100_000
 
 
 @dataclass(frozen=True)
@@ -75,18 +79,23 @@ def _ends(edges: DataFrame, back: bool, *more: str) -> DataFrame:
 def store_walks(g: Graph, buckets: int, name: str, folder: str) -> Graph:
     """g with its edges written as they are walked, as tables name_out and name_back below the folder."""
     spark, columns, found, hubs = g.edges.sparkSession, g.edges.columns, [], []
+    every = cut(g.edges)  # read again for hubs, loose ends and either side
+    loose = cut(every.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(g.nodes.select("id"), "id", "left_anti"))
+    n_loose = loose.count()
     for side, a, b in (("out", "source", "target"), ("back", "target", "source")):
-        ids = g.nodes.select(F.col("id").alias(b), F.lit(True).alias("known"))
-        edges = g.edges if side == "out" else g.edges.select("source", "target", "relation", "confidence", "context")
-        g.edges.groupBy(a).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col(a).alias("node")).write.parquet(f"{folder}/{name}_hubs/{side}")
-        hub = spark.read.schema("node string").parquet(f"{folder}/{name}_hubs/{side}")
+        edges = every if side == "out" else every.select("source", "target", "relation", "confidence", "context")
+        hub = cut(hubs_of(every, a))
         few = hub.count()
         if few:
             mine = hub.select(F.col("node").alias(a), F.lit(True).alias("hub"))
             edges = edges.join(F.broadcast(mine) if few <= BROADCAST_HUBS else mine, a, "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64(b), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub")
         else:
             edges = edges.withColumn("salt", F.lit(0))
-        edges = edges.join(ids, b, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        if n_loose:
+            ends = loose.select(F.col("id").alias(b), F.lit(False).alias("known"))
+            edges = edges.join(F.broadcast(ends) if n_loose <= BROADCAST_LOOSE else ends, b, "left").withColumn("known", F.col(b).isNotNull() & F.coalesce("known", F.lit(True)))
+        else:
+            edges = edges.withColumn("known", F.col(b).isNotNull())
         table = f"{name}_{side}"
         edges.repartition(buckets, a, "salt").write.bucketBy(buckets, a, "salt").sortBy(a, "salt").format("parquet").option("path", f"{folder}/{table}").saveAsTable(table)
         found.append(spark.table(table))
@@ -94,6 +103,14 @@ def store_walks(g: Graph, buckets: int, name: str, folder: str) -> Graph:
     return Graph(g.nodes, found[0].select(*columns), Walks(found[0], found[1], hubs[0].unionByName(hubs[1]).distinct()))
 
 
+def hubs_of(edges: DataFrame, end: str) -> DataFrame:
+    """(node): those with more than HUB edges at that end. Nodes are counted only in the few hash bins that hold as many edges."""
+    bin_of = F.pmod(F.xxhash64(end), F.lit(BINS)).alias("bin")
+    full = edges.groupBy(bin_of).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("bin")
+    some = edges.select(end, bin_of).join(F.broadcast(full), "bin", "left_semi")  # no more than BINS
+    return some.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col(end).alias("node"))
+
+
 def _order() -> Column:
     """The edge's own order, from a row as it is walked."""
     along = F.col("dir") == 0

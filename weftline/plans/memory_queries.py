@@ -11,7 +11,7 @@ from weftline.operators import memory as m
 from weftline.operators import multirepo, postings, resolve, retrieval
 from weftline.operators.traversal import Graph
 from weftline.plans.lineage import cut, shared_dir
-from weftline.plans.registry import graph, query
+from weftline.plans.registry import plain, query
 from weftline.plans.workload import Workload, key, millis, with_tables
 from weftline.sources import extract, files, store
 from weftline.streaming import outbox
@@ -481,7 +481,7 @@ def _(w):
 
 @query("X2_workspace_nodes", with_tables("nodes") + "SELECT r || '::' || id AS id, r AS repo FROM nodes, (VALUES ('left'), ('right')) v(r)")
 def _(w):
-    g = graph(w)
+    g = plain(w)
     return multirepo.merged([("left", g), ("right", g)]).nodes.select("id", "repo")
 
 
@@ -546,7 +546,7 @@ def _(w):
     twice = home.select(key("customer", "c_custkey").alias("package"), F.pmod(F.col("n_regionkey") + 2, F.lit(5)).alias("k")).where("cast(substring(package, 10) as long) % 30 = 0")
     packages = own.unionByName(twice).join(region, "k").select("package", "target_repo")
     none = w.spark.createDataFrame([], "repo string, file string, module string, names array<string>")
-    return multirepo.link_workspace(graph(w), none, packages).select("source", "target", "confidence")
+    return multirepo.link_workspace(plain(w), none, packages).select("source", "target", "confidence")
 
 
 @query("X4_workspace_mode", "SELECT * FROM (VALUES ('flag', 'single'), ('declared', 'workspace'), ('children', 'workspace'), ('none', 'single')) v(c, mode)")

@@ -26,8 +26,14 @@ def query(name: str, sql: str | None = None):
 
 
 def graph(w: Workload) -> Graph:
+    """The graph to be walked, its walks being stored."""
     return w.graph
 
 
+def plain(w: Workload) -> Graph:
+    """The graph for all that reads its edges without walking them far: nothing is stored."""
+    return Graph(w.nodes, w.edges)
+
+
 def ids(w: Workload, *values: str, name: str = "seed") -> DataFrame:
     return w.spark.createDataFrame([(v,) for v in values], f"{name} string")
