@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.identity import normalize_label
+from weftline.plans.lineage import cut
 
 DEFINABLE = ("function", "method", "class", "interface")
 HERITAGE = ("inherits", "implements", "extends")
 MOST = 4  # more candidates than this drop the call
+#: Up to this many different (callee, file, receiver) that may resolve, or names that are called, are broadcast.
+BROADCAST_KEYS = 200_000
 CONFIDENCE_WEIGHT = {"EXTRACTED": 3, "INFERRED": 2}
 KIND = "\0"  # between a candidate's id and its kind, so that candidates sort by id
 EDGE_KEY = ("source", "target", "relation", "context")
@@ -47,6 +50,10 @@ def _first_two(defs: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return one.join(rest.groupBy(*keys).agg(F.min("c").alias(f"{prefix}_2")), keys, "left")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def last_imports(imports: DataFrame) -> DataFrame:
     """(source_file, local_name, module): the last binding of a name in a file wins."""
     return imports.groupBy("source_file", "local_name").agg(F.max_by("module", "ord").alias("module"))
@@ -64,25 +71,30 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, calls: DataFrame, imports:
     calls: callee, from_id, source_file, receiver_type. imports: source_file, local_name,
     module, ord. scope: (source_file); definitions outside it count only for labels that have
     none inside. Ties go to the smallest id. Candidates are looked up for the different
-    (callee, file, receiver), not for the calls, which then are joined twice: with what was
-    found, and with their own callers' definitions.
+    (callee, file, receiver), not for the calls, and only among definitions of called names.
+    Calls that may resolve are then joined twice: with what was found, and with their own
+    callers' definitions.
     """
     defs = definitions(nodes)
     if scope is not None:
         inside = defs.join(scope.select("source_file").distinct(), "source_file", "left_semi")
         named = inside.select("name").distinct()
         defs = inside.unionByName(defs.join(named, "name", "left_anti").select(*inside.columns))
+    asked = ["callee", "source_file", "receiver_type"]
+    keys = cut(calls.select(*asked).distinct().withColumns({"name": normalize_label(F.col("callee")), "receiver": normalize_label(F.col("receiver_type"))}))
+    called = cut(keys.select("name").distinct())
+    defs = defs.join(_small(called), "name", "left_semi")
     self_def = defs.select(F.col("id").alias("from_id"), "name", F.col("source_file").alias("own_file"), F.lit(1).alias("own"))
     bound = last_imports(imports).select("source_file", normalize_label(F.col("local_name")).alias("name"), "module", module_stem(F.col("module")).alias("stem")).dropDuplicates(["source_file", "name"])
-    asked = ["callee", "source_file", "receiver_type"]
-    keys = calls.select(*asked).distinct().withColumns({"name": normalize_label(F.col("callee")), "receiver": normalize_label(F.col("receiver_type"))})
     keys = keys.join(_first_two(defs, ["name"], "all"), "name")
     keys = keys.join(_first_two(defs, ["name", "source_file"], "file"), ["name", "source_file"], "left")
     keys = keys.join(bound, ["name", "source_file"], "left")
     keys = keys.join(_first_two(defs.withColumn("stem", file_stem(F.col("source_file"))), ["name", "stem"], "mod"), ["name", "stem"], "left")
     owned = defs.join(method_owners(nodes, edges), "id").select("id", "kind", "name", F.col("owner").alias("receiver"))
     keys = keys.join(_first_two(owned, ["name", "receiver"], "own_by"), ["name", "receiver"], "left").withColumnsRenamed({c: "_" + c for c in asked})
-    rows = calls.join(keys, [calls[c].eqNullSafe(keys["_" + c]) for c in asked]).join(self_def, ["from_id", "name"], "left")
+    few = lambda c, most: F.col(c).between(1, most + 1)  # noqa: E731  # one of them may be the caller itself
+    keys = cut(keys.where(F.col("own_by_1").isNotNull() | few("file_n", MOST) | few("all_n", MOST) | F.col("module").isNotNull() & few("mod_n", 1)))
+    rows = calls.join(_small(keys), [calls[c].eqNullSafe(keys["_" + c]) for c in asked]).join(self_def, ["from_id", "name"], "left")
     self_id = F.concat("from_id", F.lit(KIND))
 
     def but_self(prefix: str, applies: Column) -> tuple[Column, Column]:
