@@ -241,7 +241,10 @@ def _fetched(g: Graph, known: set[str], new: set[str]) -> tuple[dict[str, dict],
     ids = F.broadcast(g.nodes.sparkSession.createDataFrame([(x, x in new) for x in sorted(known | new)], "id string, fresh boolean"))  # a chunk's
     nodes = g.nodes.join(ids.where("fresh").select("id"), "id", "left_semi").select("id", F.to_json(F.struct(*g.nodes.columns)).alias("j")).collect()
     ends = [ids.select(F.col("id").alias(end), F.col("fresh").alias(f"_{end}")) for end in ("source", "target")]
-    edges = g.edges.join(ends[0], "source").join(ends[1], "target").where("_source or _target")
+    edges = g.edges
+    for end in ends:  # first as a semi-join, which Spark takes below what the edges are computed by
+        edges = edges.join(end.select(end.columns[0]), end.columns[0], "left_semi")
+    edges = edges.join(ends[0], "source").join(ends[1], "target").where("_source or _target")
     edges = edges.select("source", "target", F.to_json(F.struct(*g.edges.columns)).alias("j")).orderBy(*EDGE_ORDER).collect()
     return {r["id"]: json.loads(r["j"]) for r in nodes}, [(r["source"], r["target"], json.loads(r["j"])) for r in edges]
 
