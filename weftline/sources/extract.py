@@ -228,7 +228,8 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     Ranges are compared within a path only; the tightest wins, then the later start, then name.
     A span is cut into aligned blocks of 2^level lines, two a level at most. Each block keeps its
     best span, and a point looks at the one block of each level that it lies in, so that no point
-    meets all spans of its path.
+    meets all spans of its path. Rows grow by the levels after Spark has estimated them by their
+    files, so the joins are told to sort: else a side of many times its estimate is broadcast.
     """
     best, blocks = F.struct((F.col("last") - F.col("first")).alias("size"), (-F.col("first")).alias("start"), "name"), []
     spans = spans.select("path", "name", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).where("first <= last")
@@ -244,12 +245,12 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     held = spans.select("path", best.alias("s"), F.explode(F.array_compact(F.array(*blocks))).alias("b")).groupBy("path", "b.level", "b.block").agg(F.min("s").alias("s"))
     lines = points.select("path", "at").where("path is not null and at is not null").distinct()
     inside = lines.select("path", "at", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(F.col("at").cast("long"), i).alias("block")) for i in range(len(blocks) // 2)])).alias("b"))
-    inner = inside.select("path", "at", "b.*").join(held, ["path", "level", "block"]).groupBy("path", "at").agg(F.min("s").alias("s"))
-    return points.join(inner.select("path", "at", F.col("s.name").alias("name")), ["path", "at"], "left").select(*points.columns, "name")
+    inner = inside.select("path", "at", "b.*").join(held.hint("merge"), ["path", "level", "block"]).groupBy("path", "at").agg(F.min("s").alias("s"))
+    return points.join(inner.select("path", "at", F.col("s.name").alias("name")).hint("merge"), ["path", "at"], "left").select(*points.columns, "name")
 
 
 def symbol_graph(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """calls edges of a symbol index: references (path, at, symbol) to definitions (path, symbol, first, last) from the innermost definition around."""
     around = enclosing(references, definitions.withColumnRenamed("symbol", "name"))
-    known = definitions.select("symbol").distinct()
+    known = definitions.select("symbol").distinct().hint("merge")
     return around.where("name is not null and name <> symbol").join(known, "symbol", "left_semi").select(F.col("name").alias("source"), F.col("symbol").alias("target"), F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"), "path", "at").distinct()
