@@ -17,12 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again, so that a loop's plan stays short and lost executors cost one round.
 
     A checkpoint would keep the optimizer's estimate of the rows' size, which in a loop that
-    joins a table with itself doubles its digits each time; files have the size they have.
+    joins a table with itself doubles its digits each time; files have the size they have. compression is for tables so large that disk counts for more than time.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -701,8 +701,8 @@ def _(w):
 @query("K6_node_link", with_tables("nodes", "edges") + "SELECT id, label AS a, kind AS b, repo AS c FROM nodes UNION ALL SELECT source, target, relation, CAST(weight AS VARCHAR) FROM edges")
 def _(w):
     path = f"{shared_dir(w.spark)}/{uuid.uuid4().hex}"
-    edges = cut(w.edges)  # read for the first link, for the ranges of the sort and for the sort
-    store.write_node_link(w.nodes, edges, path)
+    edges = cut(w.edges, "zstd")  # read for the first link, for the ranges of the sort and for the sort
+    store.write_node_link(w.nodes, edges, path, "gzip")
     nodes, links = store.read_node_link(w.spark, path, w.nodes.schema, edges.schema)
     return nodes.select("id", F.col("label").alias("a"), F.col("kind").alias("b"), F.col("repo").alias("c")).union(links.select("source", "target", "relation", F.col("weight").cast("string")))
 

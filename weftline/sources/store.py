@@ -72,20 +72,28 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return rows.drop("_error")
 
 
-def write_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, compression: str | None = None) -> None:
     """The graph as one node-link JSON document: the text parts under path, in order of their names, are the document.
 
     A line holds a node or a link; nodes come by id, links by their key. Both are sorted and
-    written by all executors, so a graph of any size can be exported. Ids and edge keys are unique.
+    written by all executors, so a graph of any size can be exported. Columns are sorted, each once,
+    and only sorted rows become JSON. Ids and edge keys are unique.
     """
-    part = lambda df, rank, *key: df.select(F.lit(rank).alias("rank"), F.struct(*[F.col(c).cast("string") for c in key], *[F.lit("")] * (4 - len(key))).alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    rows = part(nodes, 1, "id").union(part(edges, 3, "source", "target", "relation", "context"))
-    first = F.broadcast(rows.groupBy("rank").agg(F.min(F.struct("key", "value")).alias("first")))  # 2 rows
-    rows = rows.join(first, "rank").select("rank", "key", F.when(F.struct("key", "value") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    sides = {1: (nodes, ["id"]), 3: (edges, ["source", "target", "relation", "context"])}
+    text = lambda df, key: [c for c in key if df.schema[c].dataType == T.StringType()]  # noqa: E731  # what the key holds as it is
+    rest = {rank: F.struct(F.lit(0).alias("_"), *[F.col(c) for c in df.columns if c not in text(df, key)]) for rank, (df, key) in sides.items()}
+    keyed = {rank: df.select(F.lit(rank).alias("rank"), F.struct(*[(F.col(key[i]).cast("string") if i < len(key) else F.lit("")).alias(f"k{i}") for i in range(4)]).alias("key"), *[(rest[r] if r == rank else F.lit(None)).alias(f"rest{r}") for r in sides]) for rank, (df, key) in sides.items()}
     ends = [(0, '{"directed":true,"multigraph":true,"graph":{},"nodes":['), (2, '],"links":['), (4, "]}")]
-    none = F.struct(*[F.lit("")] * 4).alias("key")
-    frame = nodes.sparkSession.createDataFrame(ends, "rank int, value string").select("rank", none, "value")
-    rows.union(frame).orderBy("rank", "key", "value").select("value").write.text(path)
+    frame = nodes.sparkSession.createDataFrame(ends, "rank int, text string").select("rank", F.struct(*[F.lit("").alias(f"k{i}") for i in range(4)]).alias("key"), *[F.lit(None).alias(f"rest{r}") for r in sides], "text")
+    whole = F.struct("key", "rest1", "rest3")
+    rows = keyed[1].union(keyed[3])
+    first = F.broadcast(rows.groupBy("rank").agg(F.min(whole).alias("first")))  # 2 rows
+    rows = rows.join(first, "rank").select("rank", "key", "rest1", "rest3", F.when(~whole.eqNullSafe(F.col("first")), ",").otherwise("").alias("text"))
+    value = F.col("text")
+    for rank, (df, key) in sides.items():
+        own = [(F.col(f"key.k{key.index(c)}") if c in text(df, key) else F.col(f"rest{rank}.{c}")).alias(c) for c in df.columns]
+        value = F.when(F.col("rank") == rank, F.concat("text", F.to_json(F.struct(*own), {"ignoreNullFields": "false"}))).otherwise(value)
+    rows.union(frame).orderBy("rank", "key", "rest1", "rest3").select(value.alias("value")).write.text(path, compression=compression)
 
 
 def read_node_link(spark: SparkSession, path: str, nodes: T.StructType, edges: T.StructType) -> tuple[DataFrame, DataFrame]:
