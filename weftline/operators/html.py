@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import stats
-from weftline.operators.traversal import Graph
+from weftline.operators.traversal import Graph, induced
+from weftline.plans.lineage import cut
 
 PAGE = """<!doctype html>
 <html><head><meta charset="utf-8"><title>{title}</title><style>body{{margin:0;font:14px sans-serif}}#graph{{height:90vh}}header{{padding:8px}}</style></head>
@@ -53,11 +54,17 @@ def _rows(df: DataFrame, *order: str) -> list[dict]:
     return [r.asDict() for r in df.orderBy(*order).collect()]
 
 
-def graph_page(g: Graph, title: str, max_nodes: int = 6000, repo: str | None = None, script: str = "") -> str:
-    """The max_nodes best connected nodes and the edges among them; with repo, nodes of other repositories are dimmed."""
-    shown, edges, truncated = stats.graph_payload(g, max_nodes)
+def graph_page(g: Graph, title: str, max_nodes: int = 6000, repo: str | None = None, script: str = "", deg: DataFrame | None = None) -> str:
+    """The max_nodes best connected nodes and the edges among them; with repo, nodes of other repositories are dimmed.
+
+    deg has the degrees (stats.degrees, not structural) if several pages need them; else they are stored for this one.
+    """
+    deg = cut(stats.degrees(g.edges, False), "zstd") if deg is None else deg
+    shown, _, truncated = stats.graph_payload(g, max_nodes, deg)
+    shown = cut(shown)
+    edges = induced(g.edges, shown)
     ids = F.broadcast(shown.select("id").limit(max_nodes))
-    nodes = stats.vis_nodes(g).join(ids, "id").join(g.nodes.select("id", F.coalesce("repo", F.lit("unknown")).alias("repo"), "kind", "source_file"), "id")
+    nodes = stats.vis_nodes(g, deg=deg).join(ids, "id").join(g.nodes.select("id", F.coalesce("repo", F.lit("unknown")).alias("repo"), "kind", "source_file"), "id")
     nodes = nodes.withColumn("value", F.sqrt(F.col("degree") + 1))
     if repo is not None:
         nodes = nodes.withColumn("opacity", F.when(F.col("repo") == repo, 1.0).otherwise(0.2))
@@ -71,8 +78,9 @@ def graph_page(g: Graph, title: str, max_nodes: int = 6000, repo: str | None = N
 
 def constellation_page(g: Graph, title: str, script: str = "") -> str:
     """A node a repository, sized by its nodes, and an edge for each pair that depends on one another."""
-    nodes = stats.constellation(g)
+    sums = cut(stats.repo_sums(g))  # a row a pair of repositories, for the nodes and for the links
+    nodes = stats.constellation(g, sums)
     spots = nodes.join(stats.constellation_layout(nodes.select("repo")), "repo").withColumn("id", F.col("repo")).withColumn("label", F.col("repo"))
-    pairs = stats.repo_pairs(g).select(F.col("source_repo").alias("from"), F.col("target_repo").alias("to"), F.col("weight").alias("value"))
+    pairs = stats.repo_pairs(g, sums).select(F.col("source_repo").alias("from"), F.col("target_repo").alias("to"), F.col("weight").alias("value"))
     drawn, links = _rows(spots, "id"), _rows(pairs, "from", "to")
     return page(title, {"mode": "constellation", "nodes": drawn, "edges": links, "totals": {"nodes": len(drawn), "edges": len(links)}, "truncated": False}, script)

@@ -75,15 +75,15 @@ def folder_tree(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("folder", "depth").agg(F.count("*").alias("files"))
 
 
-def top_nodes(g: Graph, n: int, structural: bool = False) -> DataFrame:
-    """The n nodes of highest degree, ties by id, with degree 0 where none."""
-    deg = degrees(g.edges, structural)
+def top_nodes(g: Graph, n: int, structural: bool = False, deg: DataFrame | None = None) -> DataFrame:
+    """The n nodes of highest degree, ties by id, with degree 0 where none; deg has the degrees if they are there already."""
+    deg = degrees(g.edges, structural) if deg is None else deg
     return g.nodes.join(deg, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).orderBy(F.desc("degree"), "id").limit(n)
 
 
-def graph_payload(g: Graph, max_nodes: int = 6000) -> tuple[DataFrame, DataFrame, bool]:
+def graph_payload(g: Graph, max_nodes: int = 6000, deg: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Nodes with degree, the edges among them, and whether nodes were cut off."""
-    shown = top_nodes(g, max_nodes)
+    shown = top_nodes(g, max_nodes, deg=deg)
     return shown, induced(g.edges, shown), g.nodes.limit(max_nodes + 1).count() > max_nodes
 
 
@@ -111,9 +111,15 @@ def catalog(g: Graph) -> DataFrame:
     return nodes.join(rows, "repo", "left").select("repo", "nodes", F.coalesce("edges", zero).alias("edges"), F.coalesce("cross_edges", zero).alias("cross_edges"))
 
 
-def constellation(g: Graph) -> DataFrame:
-    """(repo, nodes, edges, size): nodes and edges inside each repository, size clamped to 20..60."""
-    inside = edge_repos(g).where("source_repo = target_repo").groupBy(F.col("source_repo").alias("repo")).agg(F.count("*").alias("edges"))
+def repo_sums(g: Graph) -> DataFrame:
+    """(source_repo, target_repo, n, first): the edges between and inside repositories, and the first one's weight."""
+    first = F.min_by("weight", F.struct("source", "target", "relation", "context"))
+    return edge_repos(g).groupBy("source_repo", "target_repo").agg(F.count("*").alias("n"), first.alias("first"))
+
+
+def constellation(g: Graph, sums: DataFrame | None = None) -> DataFrame:
+    """(repo, nodes, edges, size): nodes and edges inside each repository, size clamped to 20..60; sums are repo_sums if they are there already."""
+    inside = edge_repos(g).where("source_repo = target_repo").groupBy(F.col("source_repo").alias("repo")).agg(F.count("*").alias("edges")) if sums is None else sums.where("source_repo = target_repo").select(F.col("source_repo").alias("repo"), F.col("n").alias("edges"))
     nodes = counts(g.nodes, "repo", "repo", "unknown").withColumnRenamed("n", "nodes")
     out = nodes.join(inside, "repo", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("long")))
     return out.withColumn("size", F.least(F.lit(60.0), F.greatest(F.lit(20.0), F.lit(20.0) + F.col("nodes") / 10)))
@@ -126,11 +132,10 @@ def constellation_layout(repos: DataFrame, radius: float = 300.0) -> DataFrame:
     return repos.select("*", F.round(radius * F.cos(angle), 6).alias("x"), F.round(radius * F.sin(angle), 6).alias("y"))
 
 
-def repo_pairs(g: Graph) -> DataFrame:
+def repo_pairs(g: Graph, sums: DataFrame | None = None) -> DataFrame:
     """(source_repo, target_repo, n, weight) of edges between repositories: the first edge's weight, and one for each other."""
-    cross = edge_repos(g).where("source_repo <> target_repo")
-    first = F.min_by("weight", F.struct("source", "target", "relation", "context"))
-    return cross.groupBy("source_repo", "target_repo").agg(F.count("*").alias("n"), (first + F.count("*") - 1).alias("weight"))
+    sums = repo_sums(g) if sums is None else sums
+    return sums.where("source_repo <> target_repo").select("source_repo", "target_repo", "n", (F.col("first") + F.col("n") - 1).alias("weight"))
 
 
 def vis_edges(edges: DataFrame) -> DataFrame:
@@ -139,10 +144,11 @@ def vis_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source").alias("from"), F.col("target").alias("to"), "relation").agg((first == "INFERRED").alias("dashed"))
 
 
-def vis_nodes(g: Graph, gods: int = 12) -> DataFrame:
+def vis_nodes(g: Graph, gods: int = 12, deg: DataFrame | None = None) -> DataFrame:
     """(id, label, group, size, is_god): labels only for modules and the most connected nodes."""
-    top = top_nodes(g, gods).select("id", F.lit(True).alias("is_god"))
-    rows = g.nodes.join(degrees(g.edges, False), "id", "left").join(F.broadcast(top), "id", "left")
+    deg = degrees(g.edges, False) if deg is None else deg
+    top = top_nodes(g, gods, deg=deg).select("id", F.lit(True).alias("is_god"))
+    rows = g.nodes.join(deg, "id", "left").join(F.broadcast(top), "id", "left")
     god = F.coalesce("is_god", F.lit(False))
     label = F.when(god | (F.col("kind") == "module"), short_label(F.col("label"), F.col("kind"))).otherwise("")
     return rows.select("id", label.alias("label"), layer(F.col("source_file")).alias("group"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), god.alias("is_god"))
